@@ -1,19 +1,367 @@
-"""Queries over the driver's tables, with their SQL."""
+"""Queries over the driver's tables, each with its SQL.
+
+The table events becomes hits: event_id -> id, user_id -> client_id, view -> page_view, props.k -> page_location.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import casts, urls
+from ..operators import attribution, filters, lookups, page_flow, session_totals, sessionize
+
+Query = Callable[[SparkSession, str], DataFrame]
+KEYS = ["property_id", "client_id", "proto_seq", "split_idx"]
+#: The session key of the oracles.
+SESSIONS = """
+with hits as (
+  select cast(event_id as varchar) as id, 'p' || (user_id % 3) as property_id, cast(user_id as varchar) as client_id,
+    case event_type when 'view' then 'page_view' else event_type end as name, value, user_id,
+    '/p/' || cast(json_extract_string(props, '$.k') as varchar) as page_location,
+    case when cast(json_extract_string(props, '$.k') as int) % 5 = 0 then null else 't' || cast(cast(json_extract_string(props, '$.k') as int) % 7 as varchar) end as page_title,
+    epoch_us(ts) as us from events),
+marked as (select *, case when us - lag(us) over c > 1800000000 then 1 else 0 end as new from hits window c as (partition by property_id, client_id order by us, id)),
+s as (select *, cast(sum(new) over (partition by property_id, client_id order by us, id rows unbounded preceding) as bigint) as proto_seq from marked),
+n as (select *, row_number() over w - 1 as rn, lag(page_location) over w as prev_loc, name = 'page_view' as pv from s window w as (partition by property_id, client_id, proto_seq order by us, id))
+"""
+
+
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k = F.get_json_object("props", "$.k")
+    return e.select(
+        F.col("event_id").cast("string").alias("id"), F.concat(F.lit("p"), F.pmod("user_id", F.lit(3)).cast("string")).alias("property_id"), F.col("user_id").cast("string").alias("client_id"),
+        F.when(F.col("event_type") == "view", "page_view").otherwise(F.col("event_type")).alias("name"), "value", F.col("user_id").cast("string").alias("user_id"),
+        F.concat(F.lit("/p/"), k).alias("page_location"), F.when(k.cast("int") % 5 == 0, None).otherwise(F.concat(F.lit("t"), (k.cast("int") % 7).cast("string"))).alias("page_title"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessionize.sessionize(hits(spark, sf_dir)).withColumn("split_idx", F.lit(0).cast("bigint"))
+
+
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(SESSIONS + "select id, client_id, proto_seq from s")
+def sessionize_gap(spark, sf_dir):
+    return sessions(spark, sf_dir).select("id", "client_id", "proto_seq")
+
+
+@query(SESSIONS + """select property_id, client_id, proto_seq, count(*) as session_total_events, cast(floor(max(us) / 1000000) - floor(min(us) / 1000000) as bigint) as session_duration,
+  arg_min(id, (us, id)) as session_id, count(*) filter (where pv) = 1 as session_is_bounced, cast(floor(min(us) / 1000000) as bigint) as first_s from n group by all""")
+def session_rows(spark, sf_dir):
+    rows = session_totals.session_rows(sessions(spark, sf_dir))
+    return rows.select(*KEYS[:3], "session_total_events", "session_duration", "session_id", "session_is_bounced", F.unix_seconds("session_first_event_time").alias("first_s"))
+
+
+@query(SESSIONS + """select id, cast(rn as bigint) as session_hit_number,
+  cast(sum(case when page_location <> prev_loc then 1 else 0 end) over (partition by property_id, client_id, proto_seq order by us, id rows unbounded preceding) as bigint) as session_page_number from n""")
+def session_hit_and_page_number(spark, sf_dir):
+    return page_flow.add_page_flow(sessions(spark, sf_dir)).select("id", "session_hit_number", "session_page_number")
+
+
+@query(SESSIONS + """, pages as (select *, row_number() over (partition by property_id, client_id, proto_seq order by us, id) as p from n where pv),
+run0 as (select *, case when p = 1 or page_location is distinct from lag(page_location) over (partition by property_id, client_id, proto_seq order by p) then 1 else 0 end as st from pages),
+runs as (select *, sum(st) over (partition by property_id, client_id, proto_seq order by p rows unbounded preceding) as run from run0),
+heads as (select property_id, client_id, proto_seq, run, any_value(page_location) as loc from runs group by all)
+, pos as (select n.id, n.property_id, n.client_id, n.proto_seq, coalesce((select max(r.run) from runs r where r.property_id = n.property_id and r.client_id = n.client_id and r.proto_seq = n.proto_seq and r.rn <= n.rn), 0) as run, n.rn from n)
+select pos.id, a.loc as previous_page_location, b.loc as next_page_location from pos
+left join heads a on a.property_id = pos.property_id and a.client_id = pos.client_id and a.proto_seq = pos.proto_seq and a.run = pos.run - 1
+left join heads b on b.property_id = pos.property_id and b.client_id = pos.client_id and b.proto_seq = pos.proto_seq and b.run = pos.run + 1""")
+def previous_next_page(spark, sf_dir):
+    return page_flow.add_page_flow(sessions(spark, sf_dir)).select("id", "previous_page_location", "next_page_location")
+
+
+@query(SESSIONS + """select id, coalesce(rn = min(case when pv then rn end) over z, false) as session_is_entry_page, coalesce(rn = max(case when pv then rn end) over z, false) as session_is_exit_page,
+  pv and count(*) filter (where pv) over z = 1 as page_is_bounce from n window z as (partition by property_id, client_id, proto_seq)""")
+def entry_exit_bounce(spark, sf_dir):
+    return page_flow.add_page_flow(sessions(spark, sf_dir)).select("id", "session_is_entry_page", "session_is_exit_page", "page_is_bounce")
+
+
+@query(SESSIONS + """, seg as (select *, sum(case when rn = 0 or pv then 1 else 0 end) over (partition by property_id, client_id, proto_seq order by us, id rows unbounded preceding) as seg from n),
+b as (select property_id, client_id, proto_seq, seg, min(us) as st from seg group by all),
+e as (select *, lead(st) over (partition by property_id, client_id, proto_seq order by seg) as nx from b),
+z as (select property_id, client_id, proto_seq, max(us) as last from n group by all)
+select seg.id, cast(floor((coalesce(e.nx, z.last) - e.st) / 1000000) as bigint) as time_on_page from seg join e using (property_id, client_id, proto_seq, seg) join z using (property_id, client_id, proto_seq)""")
+def time_on_page(spark, sf_dir):
+    return page_flow.add_page_flow(sessions(spark, sf_dir)).select("id", "time_on_page")
+
+
+@query(SESSIONS + """select property_id, client_id, proto_seq, count(*) filter (where name = 'page_view') as session_total_page_views, count(*) filter (where name = 'purchase') as session_total_purchases,
+  count(*) filter (where name = 'click') as session_total_outbound_clicks,
+  cast(count(distinct page_location) filter (where pv) + coalesce(max(case when pv and page_location is null then 1 end), 0) as bigint) as session_unique_page_views,
+  cast(count(distinct page_title) filter (where name = 'click') + coalesce(max(case when name = 'click' and page_title is null then 1 end), 0) as bigint) as session_unique_outbound_clicks from n group by all""")
+def session_totals_and_uniques(spark, sf_dir):
+    rows = session_totals.session_rows(sessions(spark, sf_dir).withColumn("params_link_url", F.col("page_title")))
+    return rows.select(*KEYS[:3], "session_total_page_views", "session_total_purchases", "session_total_outbound_clicks", "session_unique_page_views", "session_unique_outbound_clicks")
+
+
+@query(SESSIONS + """, p as (select *, row_number() over (partition by property_id, client_id, proto_seq order by us, id) as i, row_number() over (partition by property_id, client_id, proto_seq order by us desc, id desc) as j from n where pv),
+k as (select distinct property_id, client_id, proto_seq from n)
+select k.*, a.page_title as session_entry_page_title, b.page_location as session_second_page_location, c.page_title as session_exit_page_title from k
+left join p a on a.property_id = k.property_id and a.client_id = k.client_id and a.proto_seq = k.proto_seq and a.i = 1
+left join p b on b.property_id = k.property_id and b.client_id = k.client_id and b.proto_seq = k.proto_seq and b.i = 2
+left join p c on c.property_id = k.property_id and c.client_id = k.client_id and c.proto_seq = k.proto_seq and c.j = 1""")
+def session_nth_page(spark, sf_dir):
+    return session_totals.session_rows(sessions(spark, sf_dir)).select(*KEYS[:3], "session_entry_page_title", "session_second_page_location", "session_exit_page_title")
+
+
+@query(SESSIONS + """, m as (select property_id, client_id, proto_seq, name as c, count(*) as k, min(rn) as f, arg_min(page_location, rn) as v from n group by all)
+select property_id, client_id, proto_seq, v as session_geo_city from (select *, row_number() over (partition by property_id, client_id, proto_seq order by k desc, f) as r from m) where r = 1""")
+def session_mode_client(spark, sf_dir):
+    rows = sessions(spark, sf_dir).withColumn("geo_city", F.col("page_location"))
+    return session_totals.mode_client_values(rows, client="name").select(*KEYS[:3], "session_geo_city")
+
+
+@query(SESSIONS + """select property_id, client_id, proto_seq, count(*) filter (where name = 'page_view') >= 2 or count(*) filter (where name = 'purchase') >= 1 as session_is_engaged,
+  coalesce(max(case when name = 'click' then rn end) > coalesce(max(case when name = 'purchase' then rn end), -1), false) as session_abandoned_cart from n group by all""")
+def session_engaged_and_cart(spark, sf_dir):
+    rows = sessions(spark, sf_dir)
+    return rows.groupBy(*KEYS).agg(session_totals.engaged().alias("session_is_engaged"), session_totals.abandoned_cart(cart="click").alias("session_abandoned_cart")).drop("split_idx")
+
+
+@query("""with recursive hits as (select cast(event_id as varchar) as id, user_id % 20 as g, user_id, epoch_us(ts) as us, row_number() over (partition by user_id % 20 order by ts, cast(event_id as varchar)) as i from events),
+r as (select id, g, i, us as first, 1 as n, 0 as split_idx, cast(null as varchar) as cause from hits where i = 1
+union all select h.id, h.g, h.i,
+  case when h.us - r.first >= 86400000000 or r.n >= 7 then h.us else r.first end,
+  case when h.us - r.first >= 86400000000 or r.n >= 7 then 1 else r.n + 1 end,
+  case when h.us - r.first >= 86400000000 or r.n >= 7 then r.split_idx + 1 else r.split_idx end,
+  case when h.us - r.first >= 86400000000 then 'max_time_since_first_event_reached' when r.n >= 7 then 'max_events_reached' end
+from r join hits h on h.g = r.g and h.i = r.i + 1)
+select id, cast(split_idx as bigint) as split_idx, cause as session_split_cause from r""")
+def split_sessions(spark, sf_dir):
+    rows = hits(spark, sf_dir).withColumn("g", F.pmod(F.col("user_id").cast("bigint"), F.lit(20))).withColumn("utm_campaign", F.lit(None).cast("string"))
+    cut = sessionize.split(rows, max_s=86_400, max_events=7, by_user=False, by_campaign=False, group=["g"])
+    return cut.select("id", "split_idx", F.col("_split_cause").alias("session_split_cause"))
+
+
+@query(SESSIONS + """, c as (select *, case when page_title <> last_value(page_title ignore nulls) over (partition by property_id, client_id, proto_seq order by us, id rows between unbounded preceding and 1 preceding) then 1 else 0 end as ch from n)
+select id, cast(sum(ch) over (partition by property_id, client_id, proto_seq order by us, id rows unbounded preceding) as bigint) as split_idx from c""")
+def split_on_change(spark, sf_dir):
+    rows = sessionize.sessionize(hits(spark, sf_dir))
+    return sessionize.split_on_change(rows, "page_title").select("id", "split_idx")
+
+
+CONDITIONS = [
+    filters.Condition("no errors", "exclude", "name == 'error' && page_location startsWith '/p/1'"),
+    filters.Condition("some clients", "allow", "client_id matches '^[0-9]*[02468]$' || name == \"signup\""),
+    filters.Condition("watch", "exclude", "page_location endsWith '7' or !(name contains 'i')", test_mode=True),
+]
+
+
+@query(SESSIONS + """select id, case when page_location like '%7' or not (name like '%i%') then 'watch' end as traffic_filter_name from n
+where not (name = 'error' and page_location like '/p/1%') and (regexp_matches(client_id, '^[0-9]*[02468]$') or name = 'signup')""")
+def traffic_filter(spark, sf_dir):
+    kept = filters.apply_filters(hits(spark, sf_dir), CONDITIONS, ["name", "page_location", "client_id"])
+    return kept.select("id", "traffic_filter_name")
+
+
+@query("""select event_id, '10.' || (event_id % 5) || '.0.' || (user_id % 256) as ip, event_id % 5 = 1 as internal from events""")
+def cidr_filter(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ip = F.concat(F.lit("10."), F.pmod("event_id", F.lit(5)), F.lit(".0."), F.pmod("user_id", F.lit(256)))
+    rows = e.select("event_id", ip.alias("ip"))
+    return filters.apply_filters(rows, [filters.Condition("in", "exclude", 'inCidr(ip, "10.1.0.0/16")', test_mode=True)], ["ip"]).select("event_id", "ip", F.col("traffic_filter_name").isNotNull().alias("internal"))
+
+
+@query("""with t as (select event_id, case event_id % 6 when 0 then cast(event_id as varchar) when 1 then ' 5' when 2 then '-7' when 3 then '1.5e2' when 4 then 'yes' else '' end as v from events)
+select event_id, case when regexp_full_match(v, '[+-]?[0-9]+') then cast(v as bigint) end as i, case when regexp_full_match(v, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') then cast(v as double) end as f,
+case when lower(trim(v)) in ('true','yes','y','on','1','t') then true when lower(trim(v)) in ('false','no','n','off','0','f') then false end as b, nullif(v, '') as s from t""")
+def scalar_casts(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    m = F.pmod("event_id", F.lit(6))
+    v = F.when(m == 0, F.col("event_id").cast("string")).when(m == 1, " 5").when(m == 2, "-7").when(m == 3, "1.5e2").when(m == 4, "yes").otherwise("")
+    t = e.select("event_id", v.alias("v"))
+    return t.select("event_id", casts.int_or_null(F.col("v")).alias("i"), casts.float_or_null(F.col("v")).alias("f"), casts.bool_or_null(F.col("v")).alias("b"), casts.str_or_null(F.col("v")).alias("s"))
+
+
+@query("""with t as (select l_orderkey, l_linenumber, l_extendedprice * l_discount - 100 as x from lineitem), u as (select *, x * 100 as sc, trunc(x * 100) as w from t)
+select l_orderkey, l_linenumber, case when sc - w = 0.5 then case when (w % 2 + 2) % 2 = 0 then w else w + 1 end when sc - w >= 0.5 then w + 1 else w end / 100 as rounded from u""")
+def bankers_round(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return t.select("l_orderkey", "l_linenumber", casts.bankers_round(F.col("l_extendedprice") * F.col("l_discount") - 100).alias("rounded"))
+
+
+@query(r"""select page_id, regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '') as host,
+url_decode(replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)', 1), '+', '%2B')) as path, coalesce(url_decode(replace(regexp_extract(url, '[?&]id=([^&#]*)', 1), '+', '%20')), '') as id_param from pages""")
+def url_parts(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return p.select("page_id", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"), urls.query_param(F.col("url"), "id").alias("id_param"))
+
+
+@query("""with t as (select event_id, 'https://shop.example/p?b=' || (event_id % 7) || case when event_id % 2 = 0 then '&utm_source=x' else '' end || '&a=' || (event_id % 3) as u from events)
+select event_id, case when event_id % 2 = 0 then 'https://shop.example/p?a=' || (event_id % 3) || '&b=' || (event_id % 7) else u end as stripped from t""")
+def strip_params(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    i = F.col("event_id")
+    u = F.concat(F.lit("https://shop.example/p?b="), i % 7, F.when(i % 2 == 0, "&utm_source=x").otherwise(""), F.lit("&a="), i % 3)
+    return e.select("event_id", urls.strip_params(u).alias("stripped"))
+
+
+_REF = ["", "https://www.google.de/search?q=red+shoes", "https://m.facebook.com/x", "https://news.example.org/a", "https://mail.other.net/in", "https://youtube.com/watch"]
+_PAGE = ["https://shop.example/p", "https://shop.example/p?gclid=1", "https://shop.example/p?x=1&fbclid=9"]
+
+
+@query("""with t as (select event_id, event_id % 6 as r, event_id % 7 as p from events)
+select event_id,
+case when p = 1 then 'google' when p = 2 then 'facebook' when p = 3 then 'news-letter' else case r when 0 then 'direct' when 1 then 'google' when 2 then 'facebook' when 3 then 'news.example.org' when 4 then 'mail.other.net' else 'youtube' end end as session_source,
+case when p in (1, 2) then 'cpc' when r = 0 then 'none' when r = 1 then 'organic' when r = 2 then 'social' when r = 3 then 'referral' when r = 4 then 'email' else 'video' end as session_medium,
+case when p not in (1, 2) and r = 1 then 'red-shoes' end as session_term from t""")
+def attribution_rules(spark, sf_dir):
+    i = F.col("event_id")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    first = e.select(
+        "event_id", pick(_REF, i % 6).alias("page_referrer"), F.when(i % 7 < 3, pick(_PAGE, F.least(i % 7, F.lit(2)))).otherwise(F.lit(_PAGE[0])).alias("original_page_location"),
+        F.lit(False).alias("ignore_referrer"), F.when(i % 7 == 3, "News Letter").alias("utm_source"), F.lit(None).cast("string").alias("utm_medium"), F.lit(None).cast("string").alias("utm_term"),
+    )
+    return attribution.attribute(first, attribution.referrer_table(spark)).select("event_id", "session_source", "session_medium", "session_term")
+
+
+@query("""select l_orderkey, round(sum(l_extendedprice * l_quantity), 2) as revenue, count(distinct l_partkey) as unique_items, cast(sum(cast(l_quantity as bigint)) as bigint) as total_quantity from lineitem group by l_orderkey""")
+def items_revenue(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    item = F.struct("l_linenumber", F.col("l_partkey").cast("string").alias("item_id"), F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") * F.col("l_quantity")).alias("item_revenue"))
+    orders = t.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("ecommerce_items"))
+    return orders.select(
+        "l_orderkey", F.round(F.aggregate("ecommerce_items", F.lit(0.0), lambda a, x: a + F.coalesce(x["item_revenue"], F.lit(0.0))), 2).alias("revenue"),
+        F.size(F.array_distinct(F.transform("ecommerce_items", lambda x: x["item_id"]))).cast("bigint").alias("unique_items"),
+        F.aggregate("ecommerce_items", F.lit(0).cast("bigint"), lambda a, x: a + x["quantity"].cast("bigint")).alias("total_quantity"),
+    )
+
+
+@query("""with r(b, r) as (values ('eur', 1.1), ('pln', 0.25)), t as (select o_orderkey, o_totalprice as v, case o_orderkey % 4 when 0 then ' EUR' when 1 then 'usd' when 2 then 'PLN' else 'xyz' end as c from orders),
+u as (select t.*, r.r, v * r.r * 100 as sc, trunc(v * r.r * 100) as w from t left join r on r.b = lower(trim(c)))
+select o_orderkey, case when lower(trim(c)) = 'usd' then v when r is null then null else case when sc - w = 0.5 then case when w % 2 = 0 then w else w + 1 end when sc - w >= 0.5 then w + 1 else w end / 100 end as in_usd from u""")
+def fx_convert(spark, sf_dir):
+    i = F.col("o_orderkey")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_totalprice").alias("v"), F.when(i % 4 == 0, " EUR").when(i % 4 == 1, "usd").when(i % 4 == 2, "PLN").otherwise("xyz").alias("c"))
+    rates = spark.createDataFrame([("eur", "usd", 1.1), ("pln", "usd", 0.25)], "base string, quote string, rate double")
+    return lookups.convert(o, rates, "v", "c", "usd", "in_usd").select("o_orderkey", "in_usd")
+
+
+@query("""with r as (select n_nationkey, n_name, n_nationkey * 10000000 as lo, n_nationkey * 10000000 + 4999999 as hi from nation), t as (select event_id, (event_id * 7919) % 260000000 as a from events)
+select event_id, r.n_name as geo_country from t left join r on a between lo and hi""")
+def ip_range_join(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    lo = F.col("n_nationkey").cast("bigint") * 10_000_000
+    ranges = n.select(lo.alias("lo"), (lo + 4_999_999).alias("hi"), F.col("n_name").alias("geo_country"))
+    a = (F.col("event_id") * 7919) % 260_000_000
+    part = lambda s: (F.shiftright(a, s) % 256).cast("string")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.concat_ws(".", part(24), part(16), part(8), part(0)).alias("ip_address"))
+    return lookups.ip_ranges(e, ranges).select("event_id", "geo_country")
+
+
+@query("""select event_id, case when event_id % 3 = 0 then user_id end as answer from events""")
+def custom_column_lookup(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    row = lambda k, v: F.struct(F.lit(k).alias("name"), v.cast("double").alias("value_number"))
+    params = F.array(row("a", F.col("event_id")), F.when(F.col("event_id") % 3 == 0, row("b", F.col("user_id"))).otherwise(row("c", F.lit(1))), row("b", F.lit(None)))
+    return e.select("event_id", lookups.nested_lookup(params, "name", "b", "value_number", "bigint").alias("answer"))
+
+
+@query(SESSIONS + """, z as (select property_id, client_id, proto_seq, count(*) as session_total_events, arg_min(id, (us, id)) as session_id from n group by all) select n.id, z.session_id, z.session_total_events from n join z using (property_id, client_id, proto_seq)""")
+def embedded_layout(spark, sf_dir):
+    return session_totals.windowed_totals(sessions(spark, sf_dir)).select("id", "session_id", "session_total_events")
+
+
+@query("""select n_nationkey as k, n_name as name, cast(null as varchar) as segment from nation union all by name select c_nationkey as k, cast(null as varchar) as name, c_mktsegment as segment from customer""")
+def schema_union(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("segment"))
+    return n.unionByName(c, allowMissingColumns=True)
+
+
+@query("""with t as (select event_id, user_id % 3 as property_id, cast(floor(epoch_us(ts) / 1000000) as bigint) as s, event_id as arrival from events),
+u as (select *, max(s) over (partition by property_id order by arrival, event_id rows between unbounded preceding and 1 preceding) as clock from t) select event_id, coalesce(s + 1800 <= clock, false) as is_late from u""")
+def late_drop(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("user_id") % 3).alias("property_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("arrival"))
+    return sessionize.drop_late(e, tie="event_id").select("event_id", "is_late")
+
+
+@query(SESSIONS + """, q as (select *, case when cast(id as bigint) % 4 = 0 then null else 'st' || (cast(id as bigint) % 50) end as stamp from hits),
+g as (select *, case when us - lag(us) over w > 1800000000 then 1 else 0 end as g from q window w as (partition by property_id, stamp order by us, id)),
+r as (select *, sum(g) over (partition by property_id, stamp order by us, id rows unbounded preceding) as run from g)
+select id, case when stamp is null then client_id else first_value(client_id) over (partition by property_id, stamp, run order by us, id) end as stitched_client_id from r""")
+def stitch_by_stamp(spark, sf_dir):
+    i = F.col("id").cast("bigint")
+    rows = hits(spark, sf_dir).withColumn("session_stamp", F.when(i % 4 != 0, F.concat(F.lit("st"), (i % 50).cast("string"))))
+    return sessionize.stitch_by_stamp(rows).select("id", "stitched_client_id")
+
+
+@query()
+def stitch_identity(spark, sf_dir):
+    """Stamps and user ids together: an online rule that SQL can't express; tests hold it against scenarios."""
+    i = F.col("id").cast("bigint")
+    rows = hits(spark, sf_dir).withColumns({"session_stamp": F.when(i % 4 != 0, F.concat(F.lit("st"), (i % 50).cast("string"))), "user_id": F.when(i % 5 == 0, F.concat(F.lit("u"), (i % 40).cast("string")))})
+    return sessionize.stitch(rows).select("id", "stitched_client_id")
+
+
+@query(SESSIONS + """, w as (select property_id, client_id, name, count(*) as n_events, count(distinct proto_seq) as n_sessions from n group by all) select * from w""")
+def events_by_name(spark, sf_dir):
+    rows = sessions(spark, sf_dir)
+    return rows.groupBy("property_id", "client_id", "name", "proto_seq").agg(F.count("*").alias("c")).groupBy("property_id", "client_id", "name").agg(F.sum("c").alias("n_events"), F.count("*").alias("n_sessions"))
+
+
+@query("""select sha256('p' || (user_id % 3) || '|' || user_id) as isolated, count(*) as n from events group by all""")
+def isolated_ids(spark, sf_dir):
+    return hits(spark, sf_dir).groupBy(sessionize.isolated_id("property_id", "client_id").alias("isolated")).agg(F.count("*").alias("n"))
+
+
+def ga4_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests as a browser would send the events."""
+    h = hits(spark, sf_dir)
+    en = lambda c: F.url_encode(c)
+    q = F.concat(F.lit("v=2&tid=G-1&cid="), "client_id", F.lit("&en="), "name", F.lit("&dl="), en(F.concat(F.lit("https://shop.example"), "page_location", F.lit("?utm_source=news&id=1"))), F.lit("&dt="), F.coalesce("page_title", F.lit("")), F.lit("&epn.value="), F.col("value").cast("string"), F.lit("&ep.currency=EUR&pr1=idA1~nmShoe~pr2.5~qt2&sct=2"))
+    ua = "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36"
+    return h.select(
+        F.col("id").alias("request_id"), F.col("ts").alias("server_received_time"), q.alias("query"), F.lit("").alias("body"), F.lit("shop.example").alias("host"), F.lit("/g/collect").alias("path"), F.lit("POST").alias("method"),
+        F.lit("10.0.0.1").alias("ip_address"), F.create_map(F.lit("User-Agent"), F.array(F.lit(ua))).alias("headers"), "property_id",
+    )
+
+
+@query(SESSIONS + """select sha256(n.id || '|0') as id, cast(rn as bigint) as session_hit_number, count(*) over (partition by property_id, client_id, proto_seq) as session_total_events,
+'https://shop.example' || page_location || '?id=1' as page_location, coalesce(page_title, '') as page_title, 'news' as session_source, value as params_value, 'Chrome' as device_web_browser,
+case when name = 'purchase' then 5e0 else 0e0 end as ecommerce_purchase_revenue from n""")
+def wide_events(spark, sf_dir):
+    """The whole way: requests, hits, event columns, sessions, page flow, session values, attribution."""
+    from . import pipeline
+
+    rows = pipeline.hits_from_requests(ga4_requests(spark, sf_dir))
+    wide = pipeline.build_events(rows, pipeline.Options(), attribution.referrer_table(spark))
+    return wide.select("id", "session_hit_number", "session_total_events", "page_location", "page_title", "session_source", F.col("params_value"), "device_web_browser", "ecommerce_purchase_revenue")
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    """The flagship query: the wide row of each event."""
+    from . import pipeline
+
+    sf_dir = "/root/testdata/sf0.001"
+    rows = pipeline.hits_from_requests(ga4_requests(spark, sf_dir))
+    return pipeline.build_events(rows, pipeline.Options(), attribution.referrer_table(spark))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
+
+
