@@ -13,6 +13,11 @@ EXCLUDED_PARAMS = (
 _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: lambdas don't share subexpressions otherwise."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def decode(c: Column, plus: bool = True) -> Column:
     """Percent-decoded; null if malformed. plus: + stands for a blank."""
     return F.try_url_decode(c if plus else F.replace(c, F.lit("+"), F.lit("%2B")))
@@ -39,9 +44,8 @@ def query_param(url: Column, name: str) -> Column:
 
 
 def param_of_query(q: Column, name: str) -> Column:
-    found = F.filter(F.split(q, "&"), lambda p: decode(F.substring_index(p, "=", 1)) == name)
-    first = F.get(found, F.lit(0))
-    return F.coalesce(decode(F.when(F.contains(first, F.lit("=")), F.regexp_replace(first, "^[^=]*=", "")).otherwise(F.lit(""))), F.lit(""))
+    first = F.get(F.filter(F.split(q, "&"), lambda p: decode(F.substring_index(p, "=", 1)) == name), F.lit(0))
+    return F.coalesce(let(first, lambda p: decode(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise(F.lit("")))), F.lit(""))
 
 
 def parse_query(q: Column) -> Column:
@@ -49,8 +53,12 @@ def parse_query(q: Column) -> Column:
     parts = F.filter(F.split(F.coalesce(q, F.lit("")), "&"), lambda p: (p != "") & ~F.contains(p, F.lit(";")))
     pairs = F.transform(parts, lambda p: F.struct(decode(F.substring_index(p, "=", 1)).alias("k"), decode(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise(F.lit(""))).alias("v")))
     pairs = F.filter(pairs, lambda x: x["k"].isNotNull() & x["v"].isNotNull())
-    keys = F.array_distinct(F.transform(pairs, lambda x: x["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.transform(F.filter(pairs, lambda x: x["k"] == k), lambda x: x["v"])))
+
+    def grouped(p: Column) -> Column:
+        keys = F.array_distinct(F.transform(p, lambda x: x["k"]))
+        return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.transform(F.filter(p, lambda x: x["k"] == k), lambda x: x["v"]))))
+
+    return let(pairs, grouped)
 
 
 def first_value(params: Column, name: str) -> Column:
@@ -60,15 +68,17 @@ def first_value(params: Column, name: str) -> Column:
 
 def strip_params(url: Column, names: tuple[str, ...] = EXCLUDED_PARAMS) -> Column:
     """Without the named parameters; the rest sorted by key and re-encoded. Unchanged if none of them is there."""
-    q = query(url)
-    parts = F.filter(F.split(q, "&"), lambda p: p != "")
-    key = lambda p: decode(F.substring_index(p, "=", 1))
-    hit = F.exists(parts, lambda p: key(p).isin(*names))
-    kept = F.filter(parts, lambda p: ~F.coalesce(key(p).isin(*names), F.lit(False)))
-    coded = F.transform(kept, lambda p: F.struct(key(p).alias("k"), F.concat(F.url_encode(key(p)), F.lit("="), F.url_encode(F.coalesce(decode(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise(F.lit(""))), F.lit("")))).alias("p")))
-    text = F.array_join(F.transform(F.array_sort(coded, lambda a, b: F.when(a["k"] < b["k"], F.lit(-1)).when(a["k"] > b["k"], F.lit(1)).otherwise(F.lit(0))), lambda x: x["p"]), "&")
+    text_of = lambda p: F.coalesce(decode(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise(F.lit(""))), F.lit(""))
+    parts = F.transform(F.filter(F.split(query(url), "&"), lambda p: p != ""), lambda p: F.struct(decode(F.substring_index(p, "=", 1)).alias("k"), text_of(p).alias("v")))
     base, tail = F.regexp_extract(url, r"^([^?#]*)", 1), F.regexp_extract(url, r"(#.*)$", 1)
-    return F.when(hit, F.concat(base, F.when(text != "", F.concat(F.lit("?"), text)).otherwise(F.lit("")), tail)).otherwise(url)
+
+    def rebuilt(p: Column) -> Column:
+        kept = F.filter(p, lambda x: ~F.coalesce(x["k"].isin(*names), F.lit(False)))
+        kept = F.array_sort(kept, lambda a, b: F.when(a["k"] < b["k"], F.lit(-1)).when(a["k"] > b["k"], F.lit(1)).otherwise(F.lit(0)))
+        text = F.array_join(F.transform(kept, lambda x: F.concat(F.url_encode(x["k"]), F.lit("="), F.url_encode(x["v"]))), "&")
+        return F.when(F.exists(p, lambda x: x["k"].isin(*names)), F.concat(base, F.when(text != "", F.concat(F.lit("?"), text)).otherwise(F.lit("")), tail)).otherwise(url)
+
+    return F.when(F.contains(url, F.lit("?")), let(parts, rebuilt)).otherwise(url)
 
 
 def without_www(name: Column) -> Column:

@@ -69,20 +69,20 @@ def attribute(df: DataFrame, table: DataFrame, page: str = "original_page_locati
     hosts = df.where("_ref_host <> ''").select(F.col("_ref_host").alias("host")).distinct() if hosts is None else hosts
     lookup = matched_hosts(hosts, table).withColumnRenamed("host", "_lk_host")
     df = df.join(lookup, df["_ref_host"] == lookup["_lk_host"], "left")
-    has = lambda name: urls.query_param(F.col(page), name) != ""
+    df = df.withColumn("_pq", urls.parse_query(urls.query(F.coalesce(F.col(page), F.lit("")))))
+    has = lambda name: F.coalesce(urls.first_value(F.col("_pq"), name) != "", F.lit(False))
     out = lambda s, m, t=None: F.struct(s.alias("source"), F.lit(m).alias("medium"), (F.lit(None).cast("string") if t is None else t).alias("term"))
     rule = None
     for name, source, medium in CLICK_IDS:
         rule = (F if rule is None else rule).when(has(name), out(F.lit(source), medium))
     for value, source, medium in CLICK_SOURCES:
-        rule = rule.when(urls.query_param(F.col(page), "gclsrc") == value, out(F.lit(source), medium))
+        rule = rule.when(F.coalesce(urls.first_value(F.col("_pq"), "gclsrc") == value, F.lit(False)), out(F.lit(source), medium))
     found = lambda kind: F.try_element_at("found", F.lit(kind))
     for kind in KINDS:
         if kind == "mail":
             rule = rule.when(F.contains(F.col("_ref"), F.lit("mail.")), out(F.regexp_replace("_ref_host", r"^(www|email)\.", ""), "email"))
         elif kind == "search":
-            query = urls.parse_query(urls.query(F.col("_ref")))
-            terms = F.filter(F.transform(F.split(found(kind)["terms"], ","), lambda t: F.get(F.try_element_at(query, t), F.lit(0))), lambda v: v != "")
+            terms = urls.let(urls.parse_query(urls.query(F.col("_ref"))), lambda q: F.filter(F.transform(F.split(found("search")["terms"], ","), lambda t: F.get(F.try_element_at(q, t), F.lit(0))), lambda v: v != ""))
             rule = rule.when(found(kind).isNotNull(), out(F.lower(found(kind)["name"]), "organic", F.get(terms, F.lit(0))))
         else:
             rule = rule.when(found(kind).isNotNull(), out(found(kind)["name"], kind))
@@ -92,4 +92,4 @@ def attribute(df: DataFrame, table: DataFrame, page: str = "original_page_locati
     for field, column in utm.items():
         value = F.nullif(F.col(column), F.lit("")) if column in df.columns else F.lit(None).cast("string")
         df = df.withColumn(f"session_{field}", urls.normalize_label(F.coalesce(value, F.col("_smt")[field])))
-    return df.drop("_ref", "_ref_host", "_page_host", "_lk_host", "found", "_smt")
+    return df.drop("_ref", "_ref_host", "_page_host", "_lk_host", "found", "_smt", "_pq")

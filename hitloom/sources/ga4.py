@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import urls
 from ..functions.casts import CASTS, float_or_null
 from ..operators.lookups import nested_lookup
 from ..plans.columns import ColumnDef
@@ -53,8 +54,10 @@ def params_array() -> Column:
 
 def item_struct(text: Column, usd_rate: Column | None = None) -> Column:
     """An item's fields from its ~-separated parts; the last part of a code counts."""
-    parts = F.split(text, "~")
+    return urls.let(F.split(text, "~"), lambda parts: _item(parts, usd_rate))
 
+
+def _item(parts: Column, usd_rate: Column | None) -> Column:
     def code(c: str) -> Column:
         return F.substring(F.try_element_at(F.filter(parts, lambda p: p.startswith(c)), F.lit(-1)), 3, 1 << 20)
 

@@ -22,7 +22,7 @@ def param(name: str, source: str, cast: str = "str", interface: str = "", breaks
 
 
 def page_param(name: str, source: str) -> ColumnDef:
-    return ColumnDef(name, "string", lambda: CASTS["str"](urls.query_param(F.coalesce("original_page_location", "page_location", F.lit("")), source)), f"events/{name}", depends_on=("page_location", "original_page_location"), doc=f"page parameter {source}")
+    return ColumnDef(name, "string", lambda: CASTS["str"](urls.first_value(F.col("_page_query"), source)), f"events/{name}", depends_on=("_page_query",), doc=f"page parameter {source}")
 
 
 def computed(name: str, kind: str, build, *deps: str, **more) -> ColumnDef:
@@ -40,6 +40,7 @@ def gcs_flag(index: int) -> Column:
 def shared(page: str, title: str, referrer: str, protocol: str, lang: str, resolution: str, excluded=urls.EXCLUDED_PARAMS) -> list[ColumnDef]:
     out = [
         computed("original_page_location", "string", lambda: value(page)),
+        computed("_page_query", "map<string,array<string>>", lambda: urls.parse_query(urls.query(F.col("original_page_location"))), "original_page_location"),
         computed("page_location", "string", lambda: urls.strip_params(value(page), tuple(excluded))),
         computed("page_hostname", "string", lambda: urls.host(F.col("page_location")), "page_location"),
         computed("page_path", "string", lambda: urls.path(F.col("page_location")), "page_location"),
