@@ -5,11 +5,12 @@ shingle. Each shingle is a Poisson process of arrivals at the signature's regist
 rate; a register keeps its earliest arrival, and a shingle stops once its next arrival is later than all of them
 (early termination). Two registers agree with the probability-Jaccard similarity of the weighted sets.
 
-Texts with the same word sequence are one node from the start. Bands of registers put nodes in buckets. In a bucket
-all are compared with the bucket's least and greatest node, which needs no pairs within the bucket; links are verified
-exactly (Jaccard of the shingle sets >= threshold), and components formed. Then, in buckets that still hold more than
-one component, every pair across components that lengths allow is verified too, so no link between
-different components is lost; pairs within one component would change nothing.
+Texts with the same word sequence are one node from the start. Bands of registers put nodes in buckets. From large buckets
+those nodes go that can have no link there: too many of their shingles stand in no other node of a large bucket. In each
+bucket all are compared with the node whose shingles most others hold, which needs no pairs within the bucket;
+links are verified exactly (Jaccard of the shingle sets >= threshold), and components formed. Then, in buckets that still
+hold more than one component, every pair across components that lengths allow is verified too, so no link
+between different components is lost; pairs within one component would change nothing.
 
 Result: a row for each document with class_id, the least doc_id of its class. Null and empty texts have no shingle
 and are classes of their own row (class_id = doc_id). Null ids: class_id is the least non-null id, null if there is
@@ -27,6 +28,10 @@ from .common import WordCache, map_rows, materialize, mix, table
 
 BANDS, ROWS = 32, 6
 WORDS, THRESHOLD = 5, 0.8
+#: Nodes of a bucket above which those without a chance of a link are taken out of it first.
+LARGE = 4
+#: Parts by which the shingles of such nodes are counted, to bound what two of them have in common.
+PARTS = 32
 _SEPARATE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _PRIME = np.uint64(0x100000001B3)
 
@@ -126,8 +131,24 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return joined.where(common >= threshold * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
+def linkable(sets: DataFrame, threshold: float) -> DataFrame:
+    """node, shared, holders, parts: those that can have a link within these sets, how many of their shingles others hold
+    too, by how many nodes these are held, and shared by the shingles' remainder modulo PARTS.
+
+    A link needs that to be at least the threshold of all, so what is left out has none.
+    """
+    held = sets.select("node", "n", F.explode("shingles").alias("s"))
+    common = held.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    part = held.join(common, "s").groupBy("node").agg(
+        F.count("*").alias("shared"), F.sum("c").alias("holders"), F.max("n").alias("n"),
+        F.array(*[F.count_if(F.pmod("s", F.lit(PARTS)) == i).cast("short") for i in range(PARTS)]).alias("parts"),
+    )
+    return part.where(F.col("shared") >= F.col("n") * threshold).drop("n")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighted: bool = True) -> DataFrame:
     """doc_id, class_id for every row."""
+    threshold -= 1e-9  # a similarity that equals the threshold counts, whatever its last bit
     signed = materialize(sign(df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "text", bands, rows, weighted).drop("text"))
     with_words = signed.where("node is not null")
     # One row stands for each node: the least id (null ids last).
@@ -135,27 +156,37 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     owners = materialize(with_words.groupBy("node").agg(F.min(rank).alias("rank")))
     banded = with_words.select("node", rank, "bands").join(owners, ["node", "rank"]).distinct()  # keyed by id too: groups of copies spread
     in_bucket = banded.select("node", F.explode("bands").alias("bucket"))
-    shared = in_bucket.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    shared = in_bucket.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1")
     members = materialize(in_bucket.join(shared, "bucket"))
-
-    def pairs(one: str) -> DataFrame:
-        return members.where(F.col(one) != F.col("node")).select(F.least(one, "node").alias("a"), F.greatest(one, "node").alias("b"))
-
-    tried = materialize(pairs("low").union(pairs("high")).distinct())
     involved = members.select("node").distinct().join(owners, "node")
     sets = materialize(with_words.withColumn("rank", rank).join(involved, ["node", "rank"]).dropDuplicates(["node"]).select("node", "n", "shingles"))
+
+    # Large buckets: a node whose shingles are mostly its own there can have no link there.
+    likely = materialize(linkable(sets.join(members.where(F.col("held") > LARGE).select("node").distinct(), "node"), threshold))
+    sized = members.join(sets.select("node", "n"), "node")
+    large = sized.where(F.col("held") > LARGE).join(likely, "node")
+    least_n = large.groupBy("bucket").agg(F.min("n").alias("least_n"))
+    # In common at most `shared`; the other has as many shingles as the bucket's smallest at least.
+    large = large.join(least_n, "bucket").where(F.col("shared") * (1 + threshold) >= threshold * (F.col("n") + F.col("least_n")))
+    small = sized.where(F.col("held") <= LARGE).withColumns({"shared": F.col("n").cast("long"), "holders": F.lit(0).cast("long"), "parts": F.lit(None).cast("array<smallint>")})
+    members = materialize(small.unionByName(large.drop("least_n")).select("bucket", "node", "n", "shared", "holders", "parts"))
+
+    # Each bucket's node whose shingles most others hold is compared with the others.
+    middle = members.groupBy("bucket").agg(F.max(F.struct("holders", -F.col("node"), "node"))["node"].alias("middle"))
+    tried = members.join(middle, "bucket").where("middle <> node").select(F.least("middle", "node").alias("a"), F.greatest("middle", "node").alias("b")).distinct()
+    tried = materialize(tried)
     links = materialize(verify(tried, sets, threshold))
     comps = components(links)
 
     # Buckets that still hold several components.
-    lengths = sets.select("node", "n")
-    labelled = members.select("bucket", "node").join(lengths, "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    labelled = materialize(labelled)
+    labelled = materialize(members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("bucket")
     rest = labelled.join(mixed, "bucket")
-    x = rest.select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
-    y = rest.select("bucket", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"))
-    across = x.join(y, "bucket").where((F.col("cx") < F.col("cy")) & (F.least("nx", "ny") >= F.greatest("nx", "ny") * threshold))
+    x = rest.select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("parts").alias("px"))
+    y = rest.select("bucket", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("parts").alias("py"))
+    # Two nodes have at most the lesser count of each part in common.
+    most = F.coalesce(F.aggregate(F.zip_with("px", "py", lambda p, q: F.least(p, q).cast("int")), F.lit(0), lambda t, v: t + v), F.least("nx", "ny"))
+    across = x.join(y, "bucket").where((F.col("cx") < F.col("cy")) & (F.least("nx", "ny") >= F.greatest("nx", "ny") * threshold) & (most * (1 + threshold) >= threshold * (F.col("nx") + F.col("ny"))))
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = materialize(verify(across, sets, threshold))
     if not more.isEmpty():
