@@ -16,7 +16,9 @@ their occurrence number, repeated rows likewise. An empty table makes an empty s
 from __future__ import annotations
 
 import functools
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import ODD_SPACE, vocabulary_path
-from .common import STEP, WordCache, materialize, mix, shared_dir, table
+from .bpe import vocabulary_path
+from .common import STEP, materialize, mix, shared_dir, table
 
 END_ID = 2
 #: A shard is closed at so many ids or documents; this bounds a task's memory.
@@ -37,6 +39,11 @@ SHARD_IDS, SHARD_DOCS = 8_000_000, 100_000
 MAGIC, HEAD = b"HLTS", struct.Struct("<4sIQQII")  # magic, bytes an id, documents, ids, levels, unused
 NULL_KEY = -(1 << 63)
 GAMMA = 1.6
+#: Words of a process whose ids are kept, in each of two generations: what was used lately outlives a change.
+KEPT_WORDS = 500_000
+#: Python's white space beyond the tokenizer's, and letters whose lower case depends on more than themselves.
+ODD = re.compile("[\x1c-\x1f\u03a3\u0130]")
+STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=\s|$)")
 
 
 class LibraryEncoder:
@@ -53,31 +60,41 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known = WordCache(lambda w: self.ids([w])[0])
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def ids(self, words: list[str]) -> list[bytes]:
         coded = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
         ids, owner = np.asarray(coded.ids, dtype=np.uint32), coded.word_ids
-        sizes = np.bincount(np.fromiter((w for w in owner), dtype=np.int64, count=len(ids)), minlength=len(words))
+        sizes = np.bincount(np.array(owner, dtype=np.int64), minlength=len(words))
         ends = np.cumsum(sizes) * 4
         data = ids.tobytes()
         return [data[e - 4 * n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
 
+    def words(self, text: str) -> list[str] | None:
+        """Lower-case words, or None for a text that the library must see as a whole."""
+        if ODD.search(text) or not (text.isascii() or unicodedata.is_normalized("NFC", text)) or any(s in text for s in self.special):
+            return None
+        # A full stop or comma after a letter is a piece of its own for the pre-tokenizer.
+        return STOP.sub(r" \1", text.lower()).split()
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split, known = [], self.known
-        for t in texts:
-            t = t or ""
-            odd = ODD_SPACE.search(t) or any(s in t for s in self.special)
-            split.append(None if odd else t.split())
-        fresh = [w for w in dict.fromkeys(w for words in split if words for w in words) if w not in known]
-        if len(known) + len(fresh) > 400_000:
-            known.clear()
-            fresh = list(dict.fromkeys(w for words in split if words for w in words))
+        split = [self.words(t or "") for t in texts]
+        distinct = set().union(*[words for words in split if words])
+        if len(self.recent) > KEPT_WORDS:
+            self.older, self.recent = self.recent, {}
+        recent, older, fresh = self.recent, self.older, []
+        for w in distinct.difference(recent):
+            if (ids := older.get(w)) is None:
+                fresh.append(w)
+            else:
+                recent[w] = ids
         for at in range(0, len(fresh), 20_000):
             some = fresh[at : at + 20_000]
-            known.update(zip(some, self.ids(some)))
+            recent.update(zip(some, self.ids(some)))
+        find = recent.__getitem__
         return [
-            np.asarray(self.library.encode(t, add_special_tokens=False).ids, dtype=np.uint32).tobytes() if words is None else b"".join([known[w] for w in words])
+            np.asarray(self.library.encode(t, add_special_tokens=False).ids, dtype=np.uint32).tobytes() if words is None else b"".join(map(find, words))
             for t, words in zip(texts, split)
         ]
 
