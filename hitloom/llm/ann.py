@@ -3,8 +3,8 @@
 Unit vectors are projected on DIMS Gaussian directions: the squared projected distance of two vectors is their squared
 distance times a chi-square variable. A kd-tree over the projections (splits from a bounded sample) cuts all rows
 into cells. A query first searches its own cell, which bounds its k-th distance; then every other cell whose box
-isn't excluded by the chi-square test. In a block of a cell, candidates come in order of projected distance and
-are verified on the vectors, until the test says that what is left would, with probability SURE, have
+isn't excluded by the chi-square test. In a block of a cell, candidates come in rings of growing projected distance
+and are verified on the vectors, until the test says that what is left would, with probability SURE, have
 come before: P(chi2 <= projected distance^2 / k-th distance^2) >= SURE.
 
 Cells are dealt out in blocks of bounded rows (salted by id), queries in blocks likewise, so copies of one vector spread.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-DIMS, SURE, K, EVERY = 8, 0.99, 5, 50
+DIMS, SURE, K, EVERY = 8, 0.95, 5, 50
 SAMPLE = 16_384
 LEAST_BLOCK, MOST_BLOCK, QUERY_BLOCK = 512, 16_384, 512
 CELLS = 4096
@@ -74,13 +74,14 @@ class Tree:
         return (gap * gap).sum(1)
 
 
-def cosines(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Component by component, so that a row's value doesn't depend on its place."""
-    dot, norm, own = np.zeros(len(rows)), np.zeros(len(rows)), 0.0
+def cosines(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Of pairs of rows, component by component, so that a pair's value doesn't depend on its place."""
+    dot, norm, own = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows))
     for j in range(rows.shape[1]):
-        dot += rows[:, j] * query[j]
-        norm += rows[:, j] * rows[:, j]
-        own += query[j] * query[j]
+        x, y = rows[:, j], queries[:, j]
+        dot += x * y
+        norm += x * x
+        own += y * y
     return dot / (np.sqrt(norm) * np.sqrt(own))
 
 
@@ -90,35 +91,49 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
 
 
-def search_block(ids, vectors, q_ids, q_vectors, q_bounds, k: int, step: int = 64):
-    """Rows (query_id, vec_id, score) of the k nearest of a block for each query. q_bounds: a known k-th squared distance."""
+def reach() -> float:
+    """The chi-square quantile at SURE."""
+    low, high = 0.0, 1000.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square(np.array(mid)) < SURE else (low, mid)
+    return high
+
+
+def search_block(ids, vectors, q_ids, q_vectors, q_bounds, k: int, first: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query_id, vec_id and score of the k nearest of a block for each query, of those within its known bound.
+
+    q_bounds: a known k-th squared distance (of unit vectors). Candidates come in order of projected distance in two rings:
+    the first few give or better the bound, then all whose projected distance the chi-square test doesn't exclude.
+    """
     project = directions(vectors.shape[1])
     units, q_units = unit(vectors), unit(q_vectors)
     points, q_points = units @ project, q_units @ project
-    out = []
-    for i in range(len(q_ids)):
-        away = ((points - q_points[i]) ** 2).sum(1)
-        order = np.argsort(away, kind="stable")
-        order = order[ids[order] != q_ids[i]]
-        near, best = np.zeros(0), np.inf
-        done = 0
-        while done < len(order):
-            some = order[done : done + step]
-            near = np.append(near, 2 - 2 * (units[some] @ q_units[i]))
-            done += len(some)
-            if len(near) >= k:
-                best = np.partition(near, k - 1)[k - 1]
-            best_known = max(min(best, q_bounds[i]), 1e-12)
-            if done < len(order) and chi_square(away[order[done]] / best_known) >= SURE and away[order[done]] > 1e-9:
-                break
-        if not len(near):
-            continue
-        limit = np.partition(near, k - 1)[k - 1] if len(near) >= k else np.inf
-        close = order[:done][near <= limit + 1e-9]
-        scores = cosines(vectors[close], q_vectors[i])
-        first = np.lexsort((ids[close], -scores))[:k]
-        out += [(int(q_ids[i]), int(ids[close[j]]), float(scores[j])) for j in first]
-    return out
+    away = np.maximum((points * points).sum(1)[None, :] + (q_points * q_points).sum(1)[:, None] - 2 * q_points @ points.T, 0.0)
+    away[q_ids[:, None] == ids[None, :]] = np.inf
+    far = reach()
+    bound = q_bounds.copy()
+    if len(ids) > first >= k:
+        ring = np.argpartition(away, first - 1, axis=1)[:, :first]
+        near = 2 - 2 * np.einsum("qmd,qd->qm", units[ring], q_units)
+        near[np.isinf(np.take_along_axis(away, ring, 1))] = np.inf
+        bound = np.minimum(bound, np.partition(near, k - 1, axis=1)[:, k - 1])
+    open_ = away <= (far * np.maximum(bound, 1e-12) + 1e-6)[:, None]
+    open_ &= np.isfinite(away)
+    some = np.flatnonzero(open_.any(1))  # queries with a candidate left
+    if not len(some):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    apart = 2 - 2 * q_units[some] @ units.T
+    apart[~open_[some]] = np.inf
+    limit = np.partition(apart, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(some), np.inf)
+    close = (apart <= np.minimum(limit, q_bounds[some])[:, None] + 1e-9) & np.isfinite(apart)
+    q, v = np.nonzero(close)
+    scores = cosines(vectors[v], q_vectors[some[q]])
+    order = np.lexsort((ids[v], -scores, q))
+    q, v, scores = q[order], v[order], scores[order]
+    start = np.searchsorted(q, q)  # where the query's candidates begin
+    best = np.arange(len(q)) - start < k
+    return q_ids[some[q[best]]], ids[v[best]], scores[best]
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -143,7 +158,7 @@ def search_blocks(rows: DataFrame, queries: DataFrame, blocks: DataFrame, k: int
         if not len(left) or not len(right):
             return FOUND.empty_table()
         found = search_block(left["vec_id"].to_numpy(), matrix(left["vec"]), right["q_id"].to_numpy(), matrix(right["q_vec"]), right["bound"].to_numpy(), k)
-        return pa.Table.from_pylist([dict(zip(FOUND.names, x)) for x in found], schema=FOUND)
+        return pa.Table.from_arrays([pa.array(x) for x in found], schema=FOUND)
 
     dealt = dealt.toDF("d_cell", "d_part", "vec_id", "vec", "d_turn")  # the two sides share their lineage: other names
     asked = asked.select(F.col("cell").alias("a_cell"), F.col("part").alias("a_part"), F.col("turn").alias("a_turn"), F.col("query_id").alias("q_id"), F.col("q_vec").alias("q_vec"), F.col("bound").alias("bound"))
