@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,41 +44,63 @@ def session_stamp(headers: list[str], ip: str = "ip_address", prop: str = "prope
     return daily if explicit is None else F.when(F.coalesce(F.col(explicit), F.lit("")) != "", isolated_id(explicit, prop)).otherwise(daily)
 
 
-def _stitch_one(rows: pd.DataFrame, timeout_s: int, stamps: bool, users: bool) -> pd.DataFrame:
-    """Hits of one property in order: each key's first owner keeps it while the owner's session is open."""
-    rows = rows.sort_values(["ts", "id"], kind="stable")
-    owner: dict[tuple, str] = {}
-    last: dict[str, pd.Timestamp] = {}
-    out = []
-    gap = pd.Timedelta(seconds=timeout_s)
-    for ts, client, stamp, user in zip(rows["ts"], rows["client_id"], rows["session_stamp"], rows["user_id"]):
-        found = client
-        for on, kind, value in ((stamps, "stamp", stamp), (users, "user", user)):
-            if not on or value is None or value == "" or value != value:
-                continue
-            holder = owner.get((kind, value))
-            if holder is None or ts - last.get(holder, ts) > gap:
-                owner[kind, value] = client
-                last.setdefault(client, ts)
-            elif holder != client:
-                found = holder
-        last[found] = ts
-        out.append(found)
-    return rows.assign(stitched_client_id=out)
+#: Entries of the fold's state at which keys of closed sessions are cleared out first.
+STITCH_STATE = 100_000
+
+
+def _stitch_rows(batches: Iterator[pa.RecordBatch], width: int, timeout_s: int, stamps: bool, users: bool) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by property and time: each key's first owner keeps it until the owner's session is over.
+
+    The state is the open sessions and their keys, so memory doesn't grow with the hits.
+    """
+    gap, prop, limit = timeout_s * 1_000_000, None, STITCH_STATE
+    owner: dict[tuple, tuple] = {}  # key -> client and start of the client's session
+    spans: dict[str, list] = {}  # client -> start and latest hit of its session
+
+    def span(client: str, ts: int) -> list:
+        if client not in spans or ts - spans[client][1] > gap:
+            spans[client] = [ts, ts]
+        return spans[client]
+
+    def is_open(client: str, start: int, ts: int) -> bool:
+        return client in spans and spans[client][0] == start and ts - spans[client][1] <= gap
+
+    for batch in batches:
+        out = []
+        for p, ts, client, stamp, user in zip(*(batch.column(width + i).to_pylist() for i in range(5))):
+            if p != prop:
+                prop, owner, spans = p, {}, {}
+            found = client
+            for on, kind, value in ((stamps, "stamp", stamp), (users, "user", user)):
+                if not on or not value:
+                    continue
+                held = owner.get((kind, value))
+                if held is None or not is_open(*held, ts):
+                    owner[kind, value] = (client, span(client, ts)[0])
+                elif held[0] != client:
+                    found = held[0]
+            span(found, ts)[1] = ts
+            out.append(found)
+            if len(owner) + len(spans) > limit:
+                owner = {k: h for k, h in owner.items() if is_open(*h, ts)}
+                spans = {c: s for c, s in spans.items() if ts - s[1] <= gap}
+                limit = max(STITCH_STATE, 2 * (len(owner) + len(spans)))
+        arrays = [batch.column(i) for i in range(width)] + [pa.array(out, pa.string())]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:width], "stitched_client_id"])
 
 
 def stitch(events: DataFrame, timeout_s: int = 1800, by_stamp: bool = True, by_user: bool = True) -> DataFrame:
     """Append stitched_client_id: the client that first held the hit's session stamp or user id.
 
     First owner wins, chains aren't followed, keys are free again once their owner's session is over. Keys of a
-    property can meet in any order, so the general rule folds a property's hits in time order.
+    property can meet in any order, so the general rule folds a property's hits in time order, streamed through one task
+    a property with the open sessions as state; stitch_by_stamp spreads further.
     """
     schema = StructType([*events.schema.fields, StructField("stitched_client_id", StringType())])
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        return _stitch_one(rows, timeout_s, by_stamp, by_user)[schema.names]
-
-    return events.groupBy("property_id").applyInPandas(fold, schema)
+    helpers = [F.col("property_id").cast("string").alias("_p"), F.unix_micros("ts").alias("_t"), *[F.col(c).cast("string").alias(f"_{c}") for c in ("client_id", "session_stamp", "user_id")]]
+    ordered = events.repartition("property_id").sortWithinPartitions("property_id", "ts", "id").select("*", *helpers)
+    width = len(events.columns)
+    return ordered.mapInArrow(lambda batches: _stitch_rows(batches, width, timeout_s, by_stamp, by_user), schema)
 
 
 def stitch_by_stamp(events: DataFrame, timeout_s: int = 1800) -> DataFrame:

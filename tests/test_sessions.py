@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 from hitloom.operators import filters, page_flow, session_totals, sessionize
 
@@ -34,12 +35,24 @@ def test_gap_is_kept_at_the_time_out(spark):
         ([(0, "a", "s", None), (1, "b", "s", "u"), (2, "c", None, "u")], ["a", "a", "b"]),  # chains aren't followed
         ([(0, "a", "s", None), (4000, "b", "s", None)], ["a", "b"]),  # the key is free again
         ([(0, "a", "s", None), (1700, "a", None, None), (3400, "b", "s", None)], ["a", "a", "a"]),
+        ([(0, "a", "s", None), (4000, "a", None, None), (4001, "b", "s", None)], ["a", "a", "b"]),  # a new session of the owner doesn't bring it back
     ],
 )
 def test_stitching(spark, rows, want):
     assert owners(sessionize.stitch(hits(spark, rows))) == want
 
 
+def test_stitching_with_little_state(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = sorted((rng.randrange(40_000), rng.choice("abcdefgh"), rng.choice(["s", "t", "x", None]), rng.choice(["u", "v", None])) for _ in range(200))
+    cols = [[*c] for c in zip(*[("p", t * 1_000_000, c, s, u) for t, c, s, u in rows])]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in [cols[0], *cols]], names=list("zptcsu"))
+    run = lambda: next(sessionize._stitch_rows(iter([batch]), 1, 1800, True, True)).column("stitched_client_id").to_pylist()
+    want = run()
+    monkeypatch.setattr(sessionize, "STITCH_STATE", 2)
+    assert run() == want and want == owners(sessionize.stitch(hits(spark, rows)))
+
+
 def test_stamp_runs_agree_with_the_fold(spark):
     rng = random.Random(3)
     rows = sorted((rng.randrange(20_000), rng.choice("abc"), rng.choice(["s", "t", None]), None) for _ in range(40))
@@ -72,7 +85,7 @@ def test_split_against_model(spark):
     rng = random.Random(5)
     data, want = [], {}
     for s in range(30):
-        rows = sorted((rng.randrange(500), rng.choice([None, "", "u", "v"]), rng.choice([None, "x", "y"])) for _ in range(rng.randrange(1, 25)))
+        rows = sorted([(rng.randrange(500), rng.choice([None, "", "u", "v"]), rng.choice([None, "x", "y"])) for _ in range(rng.randrange(1, 25))], key=lambda r: r[0])
         for i, ((t, u, c), w) in enumerate(zip(rows, model_split(rows, 200, 6))):
             data.append((f"{s:02d}-{i:03d}", "p", f"c{s}", 0, u, c, T0 + dt.timedelta(seconds=t)))
             want[data[-1][0]] = w
