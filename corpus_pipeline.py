@@ -28,11 +28,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each class (of repeated rows with that id, one)."""
-    classes = near_dup.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(*COLUMNS)
-    kept = rows.join(classes, rows["doc_id"].eqNullSafe(classes["kept_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """Keeps one row of each class: that with the least id (null ids last), of rows with one id that with the least hash.
+
+    Rows are told apart by a key of their own, so rows with null or repeated ids are judged by their texts alone."""
+    rows = materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*COLUMNS).alias("hash"), "row")
+    classes = near_dup.near_duplicates(rows.select("row", "text", order.alias("order")), key="row", carry=("order",))
+    kept = classes.groupBy("class_id").agg(F.min("order")["row"].alias("row"))
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -146,10 +146,10 @@ def linkable(sets: DataFrame, threshold: float) -> DataFrame:
     return part.where(F.col("shared") >= F.col("n") * threshold).drop("n")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighted: bool = True) -> DataFrame:
-    """doc_id, class_id for every row."""
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighted: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, class_id and the columns `carry` for every row."""
     threshold -= 1e-9  # a similarity that equals the threshold counts, whatever its last bit
-    signed = materialize(sign(df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "text", bands, rows, weighted).drop("text"))
+    signed = materialize(sign(df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *carry), "text", bands, rows, weighted).drop("text"))
     with_words = signed.where("node is not null")
     # One row stands for each node: the least id (null ids last).
     rank = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("rank")
@@ -195,7 +195,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     named = owners.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("rank").alias("class_rank"))
     classes = named.join(least, "comp").select("node", F.nullif("class_rank", F.lit((1 << 63) - 1)).alias("class_id"))
-    return signed.select("doc_id", "node").join(classes, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    return signed.select("doc_id", "node", *carry).join(classes, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), *carry)
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
