@@ -5,6 +5,10 @@ shingle. Each shingle is a Poisson process of arrivals at the signature's regist
 rate; a register keeps its earliest arrival, and a shingle stops once its next arrival is later than all of them
 (early termination). Two registers agree with the probability-Jaccard similarity of the weighted sets.
 
+A link is defined by the plain sets, whose similarity the weighted one undercuts where shingles repeat. So a text with repeated
+shingles gets a second signature, of weights 1, and the bands of both: two texts of set similarity 0.8 share none of 32 bands of
+6 registers with probability 6e-5, however often their shingles repeat. Without repeats the two signatures are the same.
+
 Texts with the same word sequence are one node from the start. Bands of registers put nodes in buckets. From large buckets
 those nodes go that can have no link there: too many of their shingles stand in no other node of a large bucket. In each
 bucket all are compared with the node whose shingles most others hold, which needs no pairs within the bucket;
@@ -85,14 +89,20 @@ class Signer:
             return None, 0, [], []
         codes = np.fromiter(map(self.code.__getitem__, words), dtype=np.uint64, count=len(words))
         items, counts = shingles_of(codes)
-        weights = 1.0 + np.log(counts) if self.weighted else np.ones(len(items))
+        keys = self.keys(items, np.ones(len(items)))
+        if self.weighted and counts.max() > 1:
+            keys = np.unique(np.concatenate([keys, self.keys(items, 1.0 + np.log(counts))]))
+        node = xxhash.xxh3_64_intdigest(b" ".join(words))
+        small = np.unique((items >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+        return node - (1 << 64) * (node >> 63), len(small), keys.view(np.int64), small
+
+    def keys(self, items: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """A key of each band."""
         kept = probminhash(items, weights, self.bands * self.rows).reshape(self.bands, self.rows)
         keys = mix(np.arange(self.bands, dtype=np.uint64))
         for i in range(self.rows):
             keys = mix(keys * _PRIME + kept[:, i])
-        node = xxhash.xxh3_64_intdigest(b" ".join(words))
-        small = np.unique((items >> np.uint64(32)).astype(np.uint32)).view(np.int32)
-        return node - (1 << 64) * (node >> 63), len(small), keys.view(np.int64), small
+        return keys
 
 
 SIGNED = {"node": "long", "n": "int", "bands": "array<long>", "shingles": "array<int>"}

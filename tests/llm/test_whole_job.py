@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline as p
+from hitloom.llm import near_dup
+from test_text_ops import classes_model
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -19,3 +21,12 @@ def test_near_duplicates_stage_keeps_one_row_a_class(spark):
     got = sorted(map(str, ((r["doc_id"], r["text"]) for r in p.near_duplicates(spark, df, None).collect())))
     # Of a class the least id, null ids last; texts without words are classes of their own row.
     assert got == sorted(map(str, [(2, a + " more"), (None, b), (1, c), (3, d), (3, e), (None, None), (None, None), (None, "")]))
+
+
+def test_near_duplicates_with_a_repeated_line(spark):
+    rows = []
+    for i in range(12):
+        text = prose(100 + i, 120)
+        rows += [(2 * i, text), (2 * i + 1, text + (" " + prose(200 + i, 16)) * 400)]  # 116 shingles, and 20 others
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes_model(rows) and got[1] == 0
