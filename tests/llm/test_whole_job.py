@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline as p
-from hitloom.llm import near_dup
+import numpy as np
+from hitloom.llm import ann, near_dup
 from test_text_ops import classes_model
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -30,3 +31,14 @@ def test_near_duplicates_with_a_repeated_line(spark):
         rows += [(2 * i, text), (2 * i + 1, text + (" " + prose(200 + i, 16)) * 400)]  # 116 shingles, and 20 others
     got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == classes_model(rows) and got[1] == 0
+
+
+def test_neighbours_stop_late_enough():
+    x = np.random.default_rng(5).standard_normal((8000, 16))
+    ids, q = np.arange(8000), np.arange(0, 8000, 20)
+    score = ann.unit(x[q]) @ ann.unit(x).T
+    score[np.arange(len(q)), q] = -9
+    best = np.argsort(-score, axis=1)[:, :5]
+    a, b, _ = ann.search_block(ids, x, q, x[q], np.full(len(q), np.inf), 5)
+    found = set(zip(a.tolist(), b.tolist()))
+    assert np.mean([(int(q[i]), int(v)) in found for i in range(len(q)) for v in best[i]]) >= 0.998
