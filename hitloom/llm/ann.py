@@ -10,12 +10,15 @@ come before: P(chi2 <= projected distance^2 / k-th distance^2) >= SURE.
 Cells are dealt out in blocks of bounded rows (salted by id), queries in blocks likewise, so copies of one vector spread.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id, take no part. Vectors
-of different lengths never meet. Rows with the query's id are no candidates of it; other repeated rows are. Scores are
+of different lengths never meet; the LENGTHS most frequent lengths are searched by tree, rows of all others exactly. Rows
+with the query's id are no candidates of it; other repeated rows are. Rows of one id with equal vectors are one query; each
+different vector of an id is a query with k neighbours and ranks of its own. Scores are
 computed in double precision, component by component, on the original vectors, so equal vectors tie exactly.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -29,6 +32,8 @@ DIMS, SURE, K, EVERY = 8, 0.99, 5, 50
 SAMPLE = 16_384
 LEAST_BLOCK, MOST_BLOCK, QUERY_BLOCK = 512, 16_384, 512
 CELLS = 4096
+#: Vector lengths that get a tree each.
+LENGTHS = 64
 
 
 def directions(size: int) -> np.ndarray:
@@ -100,18 +105,19 @@ def reach() -> float:
     return high
 
 
-def search_block(ids, vectors, q_ids, q_vectors, q_bounds, k: int, first: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query_id, vec_id and score of the k nearest of a block for each query, of those within its known bound.
+def search_block(ids, vectors, q_ids, q_vectors, q_bounds, k: int, first: int = 32, far: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query (its place in q_ids), vec_id and score of the k nearest of a block for each query, of those within its known bound.
 
     q_bounds: a known k-th squared distance (of unit vectors). Candidates come in order of projected distance in two rings:
-    the first few give or better the bound, then all whose projected distance the chi-square test doesn't exclude.
+    the first few give or better the bound, then all whose projected distance the chi-square test doesn't exclude
+    (far: its quantile; infinite to exclude none).
     """
     project = directions(vectors.shape[1])
     units, q_units = unit(vectors), unit(q_vectors)
     points, q_points = units @ project, q_units @ project
     away = np.maximum((points * points).sum(1)[None, :] + (q_points * q_points).sum(1)[:, None] - 2 * q_points @ points.T, 0.0)
     away[q_ids[:, None] == ids[None, :]] = np.inf
-    far = reach()
+    far = reach() if far is None else far
     bound = q_bounds.copy()
     if len(ids) > first >= k:
         ring = np.argpartition(away, first - 1, axis=1)[:, :first]
@@ -133,7 +139,7 @@ def search_block(ids, vectors, q_ids, q_vectors, q_bounds, k: int, first: int =
     q, v, scores = q[order], v[order], scores[order]
     start = np.searchsorted(q, q)  # where the query's candidates begin
     best = np.arange(len(q)) - start < k
-    return q_ids[some[q[best]]], ids[v[best]], scores[best]
+    return some[q[best]], ids[v[best]], scores[best]
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -141,44 +147,61 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(flat.flatten(), dtype=np.float64).reshape(len(flat), -1)
 
 
-FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+FOUND = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def search_blocks(rows: DataFrame, queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """rows: cell, vec_id, vec; queries: cell, query_id, q_vec, bound - a row for each cell to search; blocks: cell, n_parts.
+def search_blocks(rows: DataFrame, queries: DataFrame, blocks: DataFrame, k: int, far: float | None = None) -> DataFrame:
+    """rows: cell, vec_id, vec; queries: cell, query (a key of its own), query_id, q_vec, bound - a row for each cell to search; blocks: cell, n_parts.
 
     A cell's rows are dealt to n_parts blocks, its queries to n_turns; each pair of them is one task's group."""
     blocks = blocks.join(queries.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("n_turns")), "cell")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1).cast("array<long>")
     sent = F.broadcast(blocks)  # at most CELLS rows a vector length
     dealt = rows.join(sent, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), "n_parts").alias("part"), "vec_id", "vec", F.explode(upto("n_turns")).alias("turn"))
-    asked = queries.join(sent, "cell").select("cell", F.explode(upto("n_parts")).alias("part"), "query_id", "q_vec", "bound", F.pmod(F.xxhash64("query_id"), "n_turns").alias("turn"))
+    asked = queries.join(sent, "cell").select("cell", F.explode(upto("n_parts")).alias("part"), "query", "query_id", "q_vec", "bound", F.pmod(F.xxhash64("query"), "n_turns").alias("turn"))
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return FOUND.empty_table()
-        found = search_block(left["vec_id"].to_numpy(), matrix(left["vec"]), right["q_id"].to_numpy(), matrix(right["q_vec"]), right["bound"].to_numpy(), k)
-        return pa.Table.from_arrays([pa.array(x) for x in found], schema=FOUND)
+        keys, q_ids = right["q_key"].to_numpy(), right["q_id"].to_numpy()
+        at, ids, scores = search_block(left["vec_id"].to_numpy(), matrix(left["vec"]), q_ids, matrix(right["q_vec"]), right["bound"].to_numpy(), k, far=far)
+        return pa.Table.from_arrays([pa.array(x) for x in (keys[at], q_ids[at], ids, scores)], schema=FOUND)
 
     dealt = dealt.toDF("d_cell", "d_part", "vec_id", "vec", "d_turn")  # the two sides share their lineage: other names
-    asked = asked.select(F.col("cell").alias("a_cell"), F.col("part").alias("a_part"), F.col("turn").alias("a_turn"), F.col("query_id").alias("q_id"), F.col("q_vec").alias("q_vec"), F.col("bound").alias("bound"))
-    return dealt.groupBy("d_cell", "d_part", "d_turn").cogroup(asked.groupBy("a_cell", "a_part", "a_turn")).applyInArrow(work, "query_id long, vec_id long, score double")
+    asked = asked.select(F.col("cell").alias("a_cell"), F.col("part").alias("a_part"), F.col("turn").alias("a_turn"), F.col("query").alias("q_key"), F.col("query_id").alias("q_id"), F.col("q_vec").alias("q_vec"), F.col("bound").alias("bound"))
+    return dealt.groupBy("d_cell", "d_part", "d_turn").cogroup(asked.groupBy("a_cell", "a_part", "a_turn")).applyInArrow(work, "query long, query_id long, vec_id long, score double")
 
 
 def nearest(df: DataFrame, k: int = K, every: int = EVERY, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by `every`."""
+    """query_id, rank, vec_id, score: the k nearest found for each distinct row whose id is divisible by `every`."""
     v = F.transform(vector, lambda x: x.cast("double"))
     usable = F.col(key).isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x)) & F.exists("vec", lambda x: x != 0)
     rows = df.select(F.col(key).cast("long").alias("vec_id"), v.alias("vec")).where(usable).withColumn("size", F.size("vec"))
-    counts = {r["size"]: r["n"] for r in rows.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(64).collect()}
-    out = None
-    for size, n in counts.items():
-        found = nearest_of_size(rows.where(F.col("size") == size).drop("size"), size, n, k, every)
-        out = found if out is None else out.union(found)
-    if out is None:
-        out = df.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    counts = {r["size"]: r["n"] for r in rows.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(LENGTHS + 1).collect()}
+    sizes = list(counts)[:LENGTHS]
+    found = [nearest_of_size(rows.where(F.col("size") == size).drop("size"), size, counts[size], k, every).withColumn("size", F.lit(size)) for size in sizes]
+    if len(counts) > LENGTHS:
+        found.append(nearest_exactly(rows.where(~F.col("size").isin(sizes)), k, every))
+    if not found:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    order = Window.partitionBy("size", "query").orderBy(F.desc("score"), "vec_id")
+    out = functools.reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order))
+    return out.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def queries_of(placed: DataFrame, every: int) -> DataFrame:
+    """cell, query, query_id, q_vec: the distinct query rows, each with a key of its own."""
+    asked = placed.where(F.pmod("vec_id", F.lit(every)) == 0).select("cell", F.col("vec_id").alias("query_id"), F.col("vec").alias("q_vec"))
+    return materialize(asked.distinct().withColumn("query", F.monotonically_increasing_id()))
+
+
+def nearest_exactly(rows: DataFrame, k: int, every: int) -> DataFrame:
+    """All pairs within each length, in blocks; a length is a cell."""
+    placed = materialize(rows.select("vec_id", "vec", F.col("size").cast("long").alias("cell")))
+    blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / MOST_BLOCK).cast("int").alias("n_parts"))
+    asked = queries_of(placed, every)
+    found = search_blocks(placed, asked.withColumn("bound", F.lit(float("inf"))), blocks, k, far=float("inf"))
+    return found.withColumn("size", F.lit(-1))  # query keys are their own over all these lengths
 
 
 def nearest_of_size(rows: DataFrame, size: int, n: int, k: int, every: int) -> DataFrame:
@@ -198,17 +221,17 @@ def nearest_of_size(rows: DataFrame, size: int, n: int, k: int, every: int) -> D
 
     placed = materialize(rows.mapInArrow(place, "vec_id long, vec array<double>, cell long"))
     blocks = materialize(placed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("n_parts")))
-    asked = placed.where(F.pmod("vec_id", F.lit(every)) == 0).select("cell", F.col("vec_id").alias("query_id"), F.col("vec").alias("q_vec"))
+    asked = queries_of(placed, every)
     home = materialize(search_blocks(placed, asked.withColumn("bound", F.lit(float("inf"))), blocks, k))
-    bound = home.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), False).alias("s")).select("query_id", (2 - 2 * F.get("s", F.lit(k - 1))).alias("bound"))
-    asked = asked.join(bound, "query_id", "left").select("cell", "query_id", "q_vec", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    bound = home.groupBy("query").agg(F.sort_array(F.collect_list("score"), False).alias("s")).select("query", (2 - 2 * F.get("s", F.lit(k - 1))).alias("bound"))
+    asked = asked.join(bound, "query", "left").select("cell", "query", "query_id", "q_vec", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
 
     def route(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            points = unit(matrix(pa.chunked_array([batch.column(2)]))) @ directions(size)
-            cell, bounds = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            points = unit(matrix(pa.chunked_array([batch.column(3)]))) @ directions(size)
+            cell, bounds = batch.column(0).to_numpy(), batch.column(4).to_numpy()
             take, to = [], []
             for i in range(len(points)):
                 lowest = sent.value.bounds(points[i])
@@ -219,9 +242,9 @@ def nearest_of_size(rows: DataFrame, size: int, n: int, k: int, every: int) -> D
                 to.append(go)
             at = pa.array(np.concatenate(take).astype(np.int64))
             part = batch.take(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to).astype(np.int64)), part.column(1), part.column(2), part.column(3)], names=["cell", "query_id", "q_vec", "bound"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to).astype(np.int64)), *part.columns[1:]], names=["cell", "query", "query_id", "q_vec", "bound"])
 
-    routed = asked.mapInArrow(route, "cell long, query_id long, q_vec array<double>, bound double")
+    routed = asked.mapInArrow(route, "cell long, query long, query_id long, q_vec array<double>, bound double")
     return home.union(search_blocks(placed, materialize(routed), blocks, k))
 
 

@@ -40,5 +40,19 @@ def test_neighbours_stop_late_enough():
     score[np.arange(len(q)), q] = -9
     best = np.argsort(-score, axis=1)[:, :5]
     a, b, _ = ann.search_block(ids, x, q, x[q], np.full(len(q), np.inf), 5)
-    found = set(zip(a.tolist(), b.tolist()))
+    found = set(zip(q[a].tolist(), b.tolist()))
     assert np.mean([(int(q[i]), int(v)) in found for i in range(len(q)) for v in best[i]]) >= 0.998
+
+
+def test_neighbours_of_repeated_queries_and_rare_lengths(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LENGTHS", 1, raising=False)
+    x = np.random.default_rng(7).standard_normal((300, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(50, x[50].tolist())] * 2 + [(100, x[201].tolist())]
+    for size in range(9, 75):  # more lengths than any limit, three rows each
+        rows += [(50 * size, [1.0] * size), (1000 + size, [1.0] * (size - 1) + [2.0]), (2000 + size, [1.0] * (size - 1) + [3.0])]
+    got = [tuple(r) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    wanted = []
+    for i, v in sorted({(i, tuple(v)) for i, v in rows if i % 50 == 0}):
+        u = [(-float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), j) for j, w in rows if len(w) == len(v) and j != i]
+        wanted += [(i, n + 1, j) for n, (_, j) in enumerate(sorted(u)[:5])]
+    assert sorted(r[:3] for r in got) == sorted(wanted)
