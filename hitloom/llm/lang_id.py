@@ -7,7 +7,8 @@ the rest, is fitted on them in closed form. Since features and regression are li
 into one matrix (n-gram by language), and batches of texts are scored by one matrix product each.
 
 Landmarks and training rows are a bounded sample: about `each` documents a language, at most `most` in all, of rows
-with a language whose crc32 modulo 5 isn't 0, chosen by hash.
+with a language whose crc32 modulo 5 isn't 0, chosen by hash. Where `most` cuts, it cuts all languages to about the same
+number of documents, and smaller ones stay whole.
 
 `und` with score 0: null text, or a text without a letter; and every text if nothing was learned. Repeated rows
 are predicted alike; ties go to the language that sorts first. An empty table gives no rows.
@@ -85,14 +86,15 @@ def train(docs: DataFrame, each: int = EACH, most: int = MOST, key: str = "doc_i
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & training_row(key))
     rows = known.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     share = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(most)
-    point = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) / (1 << 20)
+    point = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) + F.shiftrightunsigned(F.xxhash64("id", F.lit(3)), 20) / float(1 << 44)
+    point = point / (1 << 20)  # of all 64 bits, so that large languages have no ties
     chosen = rows.join(F.broadcast(share), "lang").where(point < each / F.col("n"))  # a row for each language, at most `most`
 
     def factory():
         return lambda texts: [[np.unique(bins_of(t)).astype(np.int32) for t in texts]]
 
-    found = map_rows(chosen.select("id", "lang", "text", point.alias("point")), ["text"], {"bins": "array<int>"}, factory)
-    table = found.select("id", "lang", "point", "bins").orderBy("point", "id", F.xxhash64("bins")).limit(most).toArrow()
+    found = map_rows(chosen.select("id", "lang", "text", (point * F.col("n")).alias("nth")), ["text"], {"bins": "array<int>"}, factory)
+    table = found.select("id", "lang", "nth", "bins").orderBy("nth", "id", F.xxhash64("bins")).limit(most).toArrow()
     return Model([np.asarray(x.values, dtype=np.int64) for x in table.column("bins")], table.column("lang").to_pylist())
 
 

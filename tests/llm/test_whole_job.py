@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline as p
 import numpy as np
-from hitloom.llm import ann, near_dup
+from hitloom.llm import ann, lang_id, near_dup
 from test_text_ops import classes_model
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -56,3 +56,16 @@ def test_neighbours_of_repeated_queries_and_rare_lengths(spark, monkeypatch):
         u = [(-float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), j) for j, w in rows if len(w) == len(v) and j != i]
         wanted += [(i, n + 1, j) for n, (_, j) in enumerate(sorted(u)[:5])]
     assert sorted(r[:3] for r in got) == sorted(wanted)
+
+
+def test_language_sample_keeps_small_languages(spark):
+    sizes = {f"l{i:02}": n for i, n in enumerate([6000, 5000, 4000, 3000, 2500, 2000, 1800, 1500, 1200, 1000, 800, 15])}
+    rows, rng = [], random.Random(6)
+    for i, (lang, n) in enumerate(sizes.items()):
+        letters = [chr(0x4E00 + 20 * i + k) for k in range(12)]
+        rows += [(len(rows) + k, "".join(rng.choice(letters) for _ in range(20)), lang) for k in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = lang_id.train(df, each=30, most=300)
+    assert model.langs == sorted(sizes)
+    small = lang_id.identify(df.where("lang = 'l11'"), model).collect()
+    assert len(small) == 15 and {r["lang_pred"] for r in small} == {"l11"}
