@@ -39,11 +39,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix uses it (0 to 2 times)."""
-    uses = mixing.mix_sources(docs).select(F.col("doc_id").alias("mixed_id"), (F.col("position").isNotNull().cast("int") + F.col("second_position").isNotNull().cast("int")).alias("uses"))
-    rows = docs.select(*COLUMNS)
-    joined = rows.join(uses.where("uses > 0"), rows["doc_id"].eqNullSafe(uses["mixed_id"]))
-    return joined.withColumn("use", F.explode(F.sequence(F.lit(1), "uses"))).select(*COLUMNS)
+    """Each row as often as the mix uses it (0 to 2 times), range-sorted by training position: so are the files it is written to."""
+    carry = ("text", "lang", "n_chars")
+    mixed = mixing.mix_sources(docs.select(*COLUMNS), carry=carry)
+    return mixing.training_order(mixed, carry).select(*COLUMNS)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

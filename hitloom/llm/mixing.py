@@ -55,20 +55,27 @@ def source_targets(sizes: DataFrame, share: float = 1.5, repeat: float = 2.0, we
     return full.select("source", "n_docs", "source_size", "slope", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix_sources(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, position: the mix, a row for each document.
+def mix_sources(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", carry: tuple[str, ...] = (), **options) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, position and the columns `carry`: the mix, a row for each document.
 
     position (0 to 1) is the training position of the document's first use, second_position of its second.
     """
-    sized = materialize(df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(key, text).alias("h")))
+    rows = df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(key, text).alias("h"), *carry)
+    sized = materialize(rows.drop(*carry))
+    rows = rows if carry else sized  # what is carried is not written once more
     sources = materialize(source_targets(sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size")), **options))
     # Ranges of the hash: a source has about n_docs / RANGE_ROWS of them.
     place = (F.shiftrightunsigned(F.col("h"), 33).cast("double") / float(1 << 31) * F.ceil(F.col("n_docs") / RANGE_ROWS)).cast("long")
-    docs = sized.join(F.broadcast(sources) if few(sources) else sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"]).withColumn("range", place)
-    ranges = docs.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    sent = F.broadcast(sources) if few(sources) else sources
+
+    def with_range(docs: DataFrame) -> DataFrame:
+        return docs.join(sent, docs["source"].eqNullSafe(sources["source"])).drop(sources["source"]).withColumn("range", place)
+
+    docs = with_range(rows)
+    ranges = with_range(sized).groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("range_start"))
-    within = Window.partitionBy("source", "range").orderBy("h", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = materialize(ranges.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("range_start")))
+    within = Window.partitionBy("source", "range").orderBy("h", F.col("doc_id").asc_nulls_first(), *carry).rowsBetween(Window.unboundedPreceding, -1)
     local = docs.withColumn("local_start", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = local.join(ranges, local["source"].eqNullSafe(ranges["s"]) & (local["range"] == ranges["r"]))
     start = F.col("range_start") + F.col("local_start")
@@ -89,6 +96,7 @@ def mix_sources(df: DataFrame, key: str = "doc_id", source: str = "source", text
         (first + second).alias("taken"),
         F.when(first > 0, position(start)).alias("position"),
         F.when(second > 0, position(start + F.col("source_size"))).alias("second_position"),
+        *carry,
     )
 
 
@@ -97,10 +105,10 @@ def few(sources: DataFrame, limit: int = 10_000) -> bool:
     return sources.limit(limit + 1).count() <= limit
 
 
-def training_order(mixed: DataFrame) -> DataFrame:
+def training_order(mixed: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """A row for each use of a document, range-sorted by position."""
     uses = F.filter(F.array("position", "second_position"), lambda p: p.isNotNull())
-    return mixed.select("doc_id", "source", F.posexplode(uses).alias("use", "position")).orderBy("position", F.col("source").asc_nulls_last(), "doc_id", "use")
+    return mixed.select("doc_id", "source", *carry, F.posexplode(uses).alias("use", "position")).orderBy("position", F.col("source").asc_nulls_last(), "doc_id", "use")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

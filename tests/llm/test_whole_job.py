@@ -1,10 +1,11 @@
 """Rows that an operator or a stage must not lose, against plain models."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline as p
 import numpy as np
-from hitloom.llm import ann, lang_id, near_dup
+from hitloom.llm import ann, lang_id, mixing, near_dup
 from test_text_ops import classes_model
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -69,3 +70,21 @@ def test_language_sample_keeps_small_languages(spark):
     assert model.langs == sorted(sizes)
     small = lang_id.identify(df.where("lang = 'l11'"), model).collect()
     assert len(small) == 15 and {r["lang_pred"] for r in small} == {"l11"}
+
+
+def test_mix_stage_uses_rows_in_training_order(spark):
+    texts = [prose(i, 5 + i % 30) for i in range(300)]
+    rows = [(i, t, "en", "abc"[i % 3], i) for i, t in enumerate(texts)]
+    got = [(r["doc_id"], r["n_chars"]) for r in p.mix_sources(spark, spark.createDataFrame(rows, DOCS), None).collect()]
+    mixed = mixing.mix_sources(spark.createDataFrame(rows, DOCS)).collect()
+    uses = [(t, r["source"], r["doc_id"]) for r in mixed for t in (r["position"], r["second_position"]) if t is not None]
+    assert got == [(i, i) for _, _, i in sorted(uses)]
+    # All ids null or equal: still at most two uses of a row, and the words that the targets say.
+    odd = spark.createDataFrame([(None if i % 2 else 7, *r[1:]) for i, r in enumerate(rows)], DOCS)
+    times = Counter(r["text"] for r in p.mix_sources(spark, odd, None).collect())
+    words = Counter()
+    for i, t in enumerate(texts):
+        words["abc"[i % 3]] += times[t] * (5 + i % 30)
+    assert max(times.values()) <= 2
+    for r in mixing.mix_sources(odd).select("source", "target").distinct().collect():
+        assert r["target"] - 1 <= words[r["source"]] <= r["target"] + 70  # the last document of each turn is used in part
