@@ -22,9 +22,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of no known language (null texts and texts without a letter)."""
+    """Gives each document the language predicted, and rejects null texts and texts without a letter. Where nothing was
+    learned (no row has a language), all texts with a letter stay as they are."""
     model = lang_id.train(docs)
-    return lang_id.identify(docs.select(*COLUMNS), model).where(F.col("lang_pred") != lang_id.UNKNOWN).select(*COLUMNS)
+    if not len(model.matrix):
+        return docs.select(*COLUMNS).where(F.col("text").rlike("\\p{L}"))
+    known = lang_id.identify(docs.select(*COLUMNS), model).where(F.col("lang_pred") != lang_id.UNKNOWN)
+    return known.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

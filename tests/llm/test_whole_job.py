@@ -88,3 +88,13 @@ def test_mix_stage_uses_rows_in_training_order(spark):
     assert max(times.values()) <= 2
     for r in mixing.mix_sources(odd).select("source", "target").distinct().collect():
         assert r["target"] - 1 <= words[r["source"]] <= r["target"] + 70  # the last document of each turn is used in part
+
+
+def test_language_stage(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(("der und die nicht", "the and with not")[i % 2].split()) for _ in range(20)), ("de", "en")[i % 2] if i < 180 else None, "s", 0) for i in range(200)]
+    odd = [(300, None, "de", "s", 0), (301, "12 !", "en", "s", 0), (302, "", None, "s", 0)]
+    got = p.language_id(spark, spark.createDataFrame(rows + odd, DOCS), None).collect()
+    assert sorted((r["doc_id"], r["lang"]) for r in got) == [(i, ("de", "en")[i % 2]) for i in range(200)]
+    none = spark.createDataFrame([(i, t, None, s, n) for i, t, _, s, n in rows + odd], DOCS)
+    assert sorted(tuple(r) for r in p.language_id(spark, none, None).collect()) == [(i, t, None, s, n) for i, t, _, s, n in rows]
