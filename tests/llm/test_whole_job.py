@@ -40,11 +40,22 @@ def test_neighbours_stop_late_enough():
     score = ann.unit(x[q]) @ ann.unit(x).T
     score[np.arange(len(q)), q] = -9
     best = np.argsort(-score, axis=1)[:, :5]
-    a, b, _ = ann.search_block(ids, x, q, x[q], np.full(len(q), np.inf), 5)
+    a, b, _, tried = ann.Block(ids, x).search(q, x[q], np.full(len(q), np.inf), 5)
+    assert 0 < tried < len(q) * len(x)
     found = set(zip(q[a].tolist(), b.tolist()))
     assert np.mean([(int(q[i]), int(v)) in found for i in range(len(q)) for v in best[i]]) >= 0.998
 
 
+def test_neighbours_in_clusters_verify_few_pairs():
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.standard_normal((200, 32)), 40, axis=0) + 0.05 * rng.standard_normal((8000, 32))
+    q = np.arange(0, 8000, 40)
+    a, b, score, tried = ann.Block(np.arange(8000), x).search(q, x[q], np.full(len(q), np.inf), 5)
+    true = ann.unit(x[q]) @ ann.unit(x).T
+    true[np.arange(len(q)), q] = -9
+    assert np.allclose(score.reshape(-1, 5), -np.sort(-true, axis=1)[:, :5]) and tried < 0.05 * len(q) * len(x)
+
+
 def test_neighbours_of_repeated_queries_and_rare_lengths(spark, monkeypatch):
     monkeypatch.setattr(ann, "LENGTHS", 1, raising=False)
     x = np.random.default_rng(7).standard_normal((300, 8))
