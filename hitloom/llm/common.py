@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -24,20 +24,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and all runs on this machine (tests),
+    a folder of our own; on a cluster that is an error, since executors couldn't read each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='hitloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def new_folder(spark: SparkSession, kind: str = "table") -> str:
+    """A name not yet used in the application's own folder, which is deleted when the application's JVM ends."""
+    own = f"{shared_dir(spark)}/hitloom-{spark.sparkContext.applicationId}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return f"{own}/{kind}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write a table to the shared folder and read it again. Survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/hitloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A key is hot from so many rows on, or from the HOT_KEYS-th part of all rows if that is more: so there are at most HOT_KEYS hot keys.
+HOT_ROWS, HOT_KEYS = 256, 10_000
+
+
+def hot_keys(df: DataFrame, key: str, rows: int, count: Column | None = None) -> DataFrame:
+    """hot, turns: hot keys of a table of `rows` rows (a bounded table, at most HOT_KEYS), and by how many tasks each is to be shared.
+
+    count: the number of rows that a row of df stands for."""
+    limit = max(HOT_ROWS, -(-rows // HOT_KEYS))
+    found = df.groupBy(F.col(key).alias("hot")).agg((F.count("*") if count is None else F.sum(count)).alias("n")).where(F.col("n") > limit)
+    return F.broadcast(found.select("hot", F.ceil(F.col("n") / limit).cast("int").alias("turns")))
+
+
+def join_spread(many: DataFrame, one: DataFrame, key: str, spread: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """many joined with one by key, hot keys shared among tasks by the hash of the column `spread`: `one` is repeated for each turn."""
+    dealt = many.join(hot, many[key] == hot["hot"], "left").withColumn("__turn", F.coalesce(F.pmod(F.xxhash64(spread), "turns"), F.lit(0).cast("long"))).drop("hot", "turns")
+    every = one.join(hot, one[key] == hot["hot"], "left").withColumn("__turn", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("turns", F.lit(1)).cast("long") - 1))).drop("hot", "turns")
+    return dealt.join(every, [key, "__turn"], how).drop("__turn")
 
 
 def map_rows(df: DataFrame, columns: list[str], outputs: dict[str, str], factory: Callable[[], Callable]) -> DataFrame:

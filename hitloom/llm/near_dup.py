@@ -16,6 +16,9 @@ links are verified exactly (Jaccard of the shingle sets >= threshold), and compo
 hold more than one component, every pair across components that lengths allow is verified too, so no link
 between different components is lost; pairs within one component would change nothing.
 
+Buckets, nodes and classes that hold many rows are shared among tasks at every join. Signatures weigh shingles by their number;
+links are defined, and verified, by the plain Jaccard similarity of the sets.
+
 Result: a row for each document with class_id, the least doc_id of its class. Null and empty texts have no shingle
 and are classes of their own row (class_id = doc_id). Null ids: class_id is the least non-null id, null if there is
 none. Nodes and shingles are 64- and 32-bit hashes. An empty table gives no rows.
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, map_rows, materialize, mix, table
+from .common import WordCache, hot_keys, join_spread, map_rows, materialize, mix, table
 
 BANDS, ROWS = 32, 6
 WORDS, THRESHOLD = 5, 0.8
@@ -116,27 +119,31 @@ def sign(df: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS
     return map_rows(df, [text], SIGNED, factory)
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, comp (the least node connected with it) for links (a, b): labels spread to neighbours, then jump to
-    their label's label, until nothing changes."""
+    their label's label, until nothing changes (a label can only fall, so that ends). Hubs and common labels are shared among tasks."""
     both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    hubs = hot_keys(both, "b", both.count())
     label = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
-    for _ in range(rounds):
-        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("comp").alias("near"))
+    n = label.count()
+    while True:
+        near = join_spread(both, label.withColumnRenamed("node", "b"), "b", "a", hubs).groupBy("a").agg(F.min("comp").alias("near"))
         spread = label.join(near, label["node"] == near["a"]).select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        up = label.select(F.col("node").alias("up"), F.col("comp").alias("up_comp"))
-        new = materialize(spread.join(up, spread["comp"] == up["up"], "left").select("node", "was", F.least("comp", F.coalesce("up_comp", "comp")).alias("comp")))
+        spread = materialize(spread)
+        up = label.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+        new = materialize(join_spread(spread, up, "comp", "node", hot_keys(spread, "comp", n), "left").select("node", "was", F.least("comp", F.coalesce("up", "comp")).alias("comp")))
         label = new.drop("was")
         if new.where("was <> comp").isEmpty():
             return label
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of pairs (a, b) whose shingle sets have at least this Jaccard similarity."""
+    """Those of pairs (a, b) whose shingle sets have at least this Jaccard similarity. A node of many pairs is shared among tasks."""
+    n = pairs.count()
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    joined = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
+    joined = join_spread(pairs, left, "a", "b", hot_keys(pairs, "a", n))
+    joined = join_spread(joined, right, "b", "a", hot_keys(pairs, "b", n)).where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
     common = F.size(F.array_intersect("sa", "sb"))
     return joined.where(common >= threshold * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
@@ -149,7 +156,8 @@ def linkable(sets: DataFrame, threshold: float) -> DataFrame:
     """
     held = sets.select("node", "n", F.explode("shingles").alias("s"))
     common = held.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
-    part = held.join(common, "s").groupBy("node").agg(
+    hot = hot_keys(common, "s", sets.agg(F.sum("n")).collect()[0][0] or 0, F.col("c"))
+    part = join_spread(held, common, "s", "node", hot).groupBy("node").agg(
         F.count("*").alias("shared"), F.sum("c").alias("holders"), F.max("n").alias("n"),
         F.array(*[F.count_if(F.pmod("s", F.lit(PARTS)) == i).cast("short") for i in range(PARTS)]).alias("parts"),
     )
@@ -165,9 +173,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     rank = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("rank")
     owners = materialize(with_words.groupBy("node").agg(F.min(rank).alias("rank")))
     banded = with_words.select("node", rank, "bands").join(owners, ["node", "rank"]).distinct()  # keyed by id too: groups of copies spread
-    in_bucket = banded.select("node", F.explode("bands").alias("bucket"))
-    shared = in_bucket.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1")
-    members = materialize(in_bucket.join(shared, "bucket"))
+    in_bucket = materialize(banded.select("node", F.explode("bands").alias("bucket")))
+    n_held = in_bucket.count()
+    shared = materialize(in_bucket.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1"))
+    hot = hot_keys(shared, "bucket", n_held, F.col("held"))
+    members = materialize(join_spread(in_bucket, shared, "bucket", "node", hot))
     involved = members.select("node").distinct().join(owners, "node")
     sets = materialize(with_words.withColumn("rank", rank).join(involved, ["node", "rank"]).dropDuplicates(["node"]).select("node", "n", "shingles"))
 
@@ -177,13 +187,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     large = sized.where(F.col("held") > LARGE).join(likely, "node")
     least_n = large.groupBy("bucket").agg(F.min("n").alias("least_n"))
     # In common at most `shared`; the other has as many shingles as the bucket's smallest at least.
-    large = large.join(least_n, "bucket").where(F.col("shared") * (1 + threshold) >= threshold * (F.col("n") + F.col("least_n")))
+    large = join_spread(large, least_n, "bucket", "node", hot).where(F.col("shared") * (1 + threshold) >= threshold * (F.col("n") + F.col("least_n")))
     small = sized.where(F.col("held") <= LARGE).withColumns({"shared": F.col("n").cast("long"), "holders": F.lit(0).cast("long"), "parts": F.lit(None).cast("array<smallint>")})
     members = materialize(small.unionByName(large.drop("least_n")).select("bucket", "node", "n", "shared", "holders", "parts"))
 
     # Each bucket's node whose shingles most others hold is compared with the others.
     middle = members.groupBy("bucket").agg(F.max(F.struct("holders", -F.col("node"), "node"))["node"].alias("middle"))
-    tried = members.join(middle, "bucket").where("middle <> node").select(F.least("middle", "node").alias("a"), F.greatest("middle", "node").alias("b")).distinct()
+    tried = join_spread(members, middle, "bucket", "node", hot).where("middle <> node").select(F.least("middle", "node").alias("a"), F.greatest("middle", "node").alias("b")).distinct()
     tried = materialize(tried)
     links = materialize(verify(tried, sets, threshold))
     comps = components(links)
@@ -191,12 +201,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     # Buckets that still hold several components.
     labelled = materialize(members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("bucket")
-    rest = labelled.join(mixed, "bucket")
+    rest = materialize(join_spread(labelled, mixed, "bucket", "node", hot))
     x = rest.select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("parts").alias("px"))
     y = rest.select("bucket", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("parts").alias("py"))
     # Two nodes have at most the lesser count of each part in common.
     most = F.coalesce(F.aggregate(F.zip_with("px", "py", lambda p, q: F.least(p, q).cast("int")), F.lit(0), lambda t, v: t + v), F.least("nx", "ny"))
-    across = x.join(y, "bucket").where((F.col("cx") < F.col("cy")) & (F.least("nx", "ny") >= F.greatest("nx", "ny") * threshold) & (most * (1 + threshold) >= threshold * (F.col("nx") + F.col("ny"))))
+    across = join_spread(x, y, "bucket", "x", hot_keys(rest, "bucket", rest.count())).where((F.col("cx") < F.col("cy")) & (F.least("nx", "ny") >= F.greatest("nx", "ny") * threshold) & (most * (1 + threshold) >= threshold * (F.col("nx") + F.col("ny"))))
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = materialize(verify(across, sets, threshold))
     if not more.isEmpty():
@@ -204,8 +214,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
 
     named = owners.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("rank").alias("class_rank"))
-    classes = named.join(least, "comp").select("node", F.nullif("class_rank", F.lit((1 << 63) - 1)).alias("class_id"))
-    return signed.select("doc_id", "node", *carry).join(classes, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), *carry)
+    n_docs = owners.count()
+    classes = join_spread(named, least, "comp", "node", hot_keys(named, "comp", n_docs)).select("node", F.nullif("class_rank", F.lit((1 << 63) - 1)).alias("class_id"))
+    docs = signed.select("doc_id", "node", F.monotonically_increasing_id().alias("__row"), *carry)
+    copies = hot_keys(with_words, "node", signed.count())
+    return join_spread(docs, classes, "node", "__row", copies, "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), *carry)
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
