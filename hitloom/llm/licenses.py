@@ -5,11 +5,17 @@ A notice may be found with up to k edits. Cut into k + 1 seeds, at least one see
 verifies the edits and gives the span. Works on words: A-Z lower-cased, cut at ASCII non-alphanumerics,
 joined by single blanks.
 
+A match begins and ends with whole words, and the notice's words of up to EXACT letters, which name the license ("mit", "cc by",
+"gnu"), stand in it unchanged. Matches of one notice don't overlap and are found from left to right, so every stretch of
+words within the notice's edits overlaps a reported match of it.
+
 Null and empty texts have no words, no labels, score 0. Every row gets exactly one result row.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import ahocorasick
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +39,8 @@ NOTICES = [
     ("licensed under cc by", "cc-by"),
     ("all rights reserved", "reserved"),
 ]
-#: Letters for each allowed edit.
-LETTERS_AN_EDIT = 9
+#: Letters for each allowed edit, and the longest words of a notice that must stand unchanged.
+LETTERS_AN_EDIT, EXACT = 9, 3
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -50,7 +56,8 @@ class Scanner:
         seeds: dict[str, list[tuple[int, int]]] = {}
         for k, (notice, label) in enumerate(notices):
             edits = max(1, len(notice) // LETTERS_AN_EDIT)
-            self.notices.append((regex.compile(b"(?be)(?:%s){e<=%d}" % (regex.escape(notice.encode(), special_only=True), edits)), label, len(notice), edits))
+            pattern = regex.compile(b"(?e)(?<= )(?:%s){e<=%d}(?= )" % (regex.escape(notice.encode(), special_only=True), edits))
+            self.notices.append((pattern, label, len(notice), edits, Counter(w for w in notice.encode().split() if len(w) <= EXACT)))
             cuts = [round(i * len(notice) / (edits + 1)) for i in range(edits + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 seeds.setdefault(notice[a:b], []).append((k, a))
@@ -75,30 +82,36 @@ class Scanner:
             highest = number(highest)
             first = lowest if first is None else min(first, lowest)
             last = highest if last is None else max(last, highest)
-        matches = self.fuzzy(joined, number)
+        matches = self.fuzzy(joined)
         labels = base_labels | {m["label"] for m in matches}
         score = 1.0 if base_labels else max((1.0 - m["edits"] / (m["end"] - m["start"] + m["edits"] + 1) for m in matches), default=0.0)
         return len(words), places, first, last, ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, matches
 
-    def fuzzy(self, joined: bytes, number) -> list[dict]:
-        windows: dict[int, list[list[int]]] = {}
+    def fuzzy(self, joined: bytes) -> list[dict]:
+        windows: dict[int, set[tuple[int, int]]] = {}
         for end, (size, uses) in self.finder.iter(joined.decode("latin-1")):
             for k, at in uses:
-                _, _, length, edits = self.notices[k]
-                low = max(0, end + 1 - size - at - edits)
-                high = min(len(joined), low + length + 3 * edits)
-                spans = windows.setdefault(k, [])
-                if spans and low <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], high)
-                else:
-                    spans.append([low, high])
+                _, _, length, edits, _ = self.notices[k]
+                start = end + 1 - size - at  # of the notice, if nothing before the seed was edited
+                windows.setdefault(k, set()).add((max(0, start - edits - 1), min(len(joined), start + length + 2 * edits + 1)))
         found = []
         for k, spans in windows.items():
-            pattern, label, _, _ = self.notices[k]
-            for low, high in spans:
-                for hit in pattern.finditer(joined, low, high):
-                    start = number(hit.start()) + (joined[hit.start()] == 32)
-                    found.append({"label": label, "start": max(0, start), "end": max(0, number(hit.end() - 1)), "edits": sum(hit.fuzzy_counts)})
+            pattern, label, _, _, exact = self.notices[k]
+            merged: list[list[int]] = []
+            for low, high in sorted(spans):
+                if merged and low <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], high)
+                else:
+                    merged.append([low, high])
+            at, first = 0, -1  # the blanks before `at`, less one, are the word's number
+            for low, high in merged:
+                while hit := pattern.search(joined, low, high):
+                    if exact - Counter(hit[0].split()):
+                        low = hit.start() + 1
+                        continue
+                    first, at = first + joined.count(b" ", at, hit.start()), hit.start()
+                    found.append({"label": label, "start": first, "end": first + hit[0].count(b" "), "edits": sum(hit.fuzzy_counts)})
+                    low = hit.end()
         return sorted(found, key=lambda m: (m["start"], m["label"]))
 
 
