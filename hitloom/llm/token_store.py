@@ -10,7 +10,8 @@ Files are written under a name of the attempt's own and renamed, so a repeated t
 The folder must be one that all executors reach (any that pyarrow.fs opens).
 
 Null text: the end id alone. Null id: sorted first, found under the key of null. Repeated ids are told apart by
-their occurrence number, repeated rows likewise. An empty table makes an empty store.
+their occurrence number, repeated rows likewise, also across shards. An empty table makes an empty store. Ids take 16 bits
+where the whole vocabulary fits, else 32; a width that is too small for the vocabulary is an error.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary_path
-from .common import STEP, materialize, mix, shared_dir, table
+from .common import STEP, materialize, mix, new_folder, table
 
 END_ID = 2
 #: A shard is closed at so many ids or documents; this bounds a task's memory.
@@ -39,6 +40,10 @@ SHARD_IDS, SHARD_DOCS = 8_000_000, 100_000
 MAGIC, HEAD = b"HLTS", struct.Struct("<4sIQQII")  # magic, bytes an id, documents, ids, levels, unused
 NULL_KEY = -(1 << 63)
 GAMMA = 1.6
+#: Documents less than so many bytes apart are read in one piece, up to PIECE bytes at once.
+GAP, PIECE = 1 << 16, 1 << 23
+#: Ranges of the store whose bounds are broadcast at most.
+MOST_PARTS = 100_000
 #: Words of a process whose ids are kept, in each of two generations: what was used lately outlives a change.
 KEPT_WORDS = 500_000
 #: Python's white space beyond the tokenizer's, and letters whose lower case depends on more than themselves.
@@ -209,12 +214,22 @@ class ShardWriter:
 MANIFEST = "part int, shard int, name string, first_key long, last_key long, n_docs long, n_ids long"
 
 
-def write_store(df: DataFrame, folder: str, path: str, key: str = "doc_id", text: str = "text", width: int = 2) -> DataFrame:
+def id_width(path: str, width: int | None) -> int:
+    """Bytes an id: the least of 2 and 4 that the vocabulary's largest id fits in."""
+    library = library_encoder(path).library
+    largest = max(library.get_vocab(with_added_tokens=True).values(), default=0)
+    need = 2 if max(largest, END_ID) < 1 << 16 else 4
+    if width is not None and (width not in (2, 4) or width < need):
+        raise ValueError(f"ids up to {largest} don't fit in {width} bytes")
+    return width or need
+
+
+def write_store(df: DataFrame, folder: str, path: str, key: str = "doc_id", text: str = "text", width: int | None = None) -> DataFrame:
     """Encode and write all documents; gives the manifest, a row for each shard with start (ids before it).
 
-    The texts are shuffled, not their ids, which are larger; order within an id is by the text's hash.
+    The texts are shuffled, not their ids, which are larger; order within an id is by the text's hash, then the row's place.
     """
-    kind = MANIFEST
+    kind, width = MANIFEST, id_width(path, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, rows = library_encoder(path), []
@@ -233,8 +248,8 @@ def write_store(df: DataFrame, folder: str, path: str, key: str = "doc_id", text
 
     files, at = open_store(folder)
     files.create_dir(at, recursive=True)
-    docs = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    order = (F.col("k"), F.xxhash64("t"))
+    docs = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.monotonically_increasing_id().alias("row"))
+    order = (F.col("k"), F.xxhash64("t"), F.col("row"))  # equal rows may part anywhere
     sent = docs.repartitionByRange(*order).sortWithinPartitions(*order)
     manifest = materialize(sent.mapInArrow(run, kind))
     before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard, not for each document
@@ -263,6 +278,7 @@ class Shard:
         bits = np.unpackbits(take(np.uint8, -(-int(sizes.sum()) // 8)), count=int(sizes.sum())).astype(bool)
         self.find = PerfectHash(np.split(bits, np.cumsum(sizes)[:-1]) if levels else [])
         self.marks, self.starts, self.sizes, self.keys = take(np.uint32, n), take(np.int64, n), take(np.uint32, n), take(np.int64, n)
+        self.in_order = np.sort(self.starts)
         self.file = files.open_input_file(f"{at}.ids")
 
     def lookup(self, keys: np.ndarray, repeats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,11 +286,24 @@ class Shard:
         hashes = hash_keys(keys, repeats)
         at = self.find(hashes)
         ok = (at >= 0) & (self.marks[at] == (hashes >> np.uint64(32)).astype(np.uint32)) if len(self.marks) else at >= 0
+        if len(self.marks):  # a fingerprint may agree by chance: the keys are stored in payload order
+            ok &= self.keys[np.searchsorted(self.in_order, self.starts[at])] == keys
         return ok, np.where(ok, self.starts[at], 0), np.where(ok, self.sizes[at].astype(np.int64), 0)
 
-    def ids(self, start: int, size: int) -> np.ndarray:
+    def slices(self, starts: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+        """Ids of each slice, in the order given, which must rise; neighbours are read in one piece."""
         kind = np.uint16 if self.width == 2 else np.uint32
-        return np.frombuffer(self.file.read_at(size * self.width, start * self.width), dtype=kind)
+        gap, most, at, n = GAP // self.width, PIECE // self.width, 0, len(starts)
+        ends = starts + sizes
+        while at < n:
+            last = at
+            while last + 1 < n and starts[last + 1] - ends[last] <= gap and ends[last + 1] - starts[at] <= most:
+                last += 1
+            low = int(starts[at])
+            piece = np.frombuffer(self.file.read_at(int(ends[last] - low) * self.width, low * self.width), dtype=kind)
+            for i in range(at, last + 1):
+                yield piece[starts[i] - low : ends[i] - low]
+            at = last + 1
 
 
 def read_store(manifest: DataFrame, folder: str) -> DataFrame:
@@ -288,7 +317,7 @@ def read_store(manifest: DataFrame, folder: str) -> DataFrame:
                 found, starts, sizes = shard.lookup(shard.keys, number_repeats(shard.keys))
                 if not found.all():
                     raise ValueError(f"{name}: a key is not found under its own fingerprint")
-                sums = [zlib.crc32(shard.ids(a, n).astype("<u4").tobytes()) for a, n in zip(starts.tolist(), sizes.tolist())]
+                sums = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in shard.slices(starts, sizes)]
                 keys = pa.array(shard.keys, mask=shard.keys == NULL_KEY)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(starts + base), pa.array(sizes), pa.array(sums, type=pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
@@ -296,31 +325,54 @@ def read_store(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def fetch(keys: DataFrame, manifest: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
-    """Keyed access: append ids (array<long>, null if the key isn't stored) to rows of keys.
+    """Keyed access: rows of keys with occurrence and ids (array<long>), once for each document stored under the key, or
+    with nulls where there is none.
 
-    A key's shard is the one whose bounds hold it (a key that is repeated across shards: the first).
+    The store's ranges (a row for each task that wrote it, a checked number) are broadcast; a key then meets the shards of its ranges alone.
     """
-    bounds = manifest.select("name", "first_key", "last_key")
     wanted = keys.withColumn("__k", F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)))
-    placed = wanted.select("__k").distinct().join(bounds, F.col("__k").between(F.col("first_key"), F.col("last_key")), "inner").groupBy("__k").agg(F.min("name").alias("name"))
+    bounds = manifest.groupBy("part").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high"))
+    if bounds.limit(MOST_PARTS + 1).count() > MOST_PARTS:
+        raise ValueError(f"the store has more than {MOST_PARTS} ranges")
+    ranged = wanted.select("__k").distinct().join(F.broadcast(bounds), F.col("__k").between(F.col("low"), F.col("high"))).select("__k", "part")
+    placed = ranged.join(manifest, "part").where(F.col("__k").between(F.col("first_key"), F.col("last_key"))).select("__k", "part", "shard", "name")
+    schema = pa.schema([("__k", pa.int64()), ("part", pa.int32()), ("shard", pa.int32()), ("nth", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, shard = None, None
         for batch in batches:
-            for k, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if at != name:
-                    name, shard = at, Shard(folder, at)
-                found, starts, sizes = shard.lookup(np.array([k], dtype=np.int64), np.zeros(1, dtype=np.int64))
-                if found[0]:
-                    ids = shard.ids(int(starts[0]), int(sizes[0])).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([k], type=pa.int64()), pa.array([ids], type=pa.list_(pa.int64()))], names=["__k", "ids"])
-
-    got = placed.repartition("name").sortWithinPartitions("name").select("__k", "name").mapInArrow(run, "__k long, ids array<long>")
+            for at in range(0, batch.num_rows, STEP):
+                for name_of, rows in by_name(batch.slice(at, STEP)):
+                    if name_of != name:
+                        name, shard = name_of, Shard(folder, name_of)
+                    asked, part, number = rows.column(0).to_numpy(), rows.column(1)[0].as_py(), rows.column(2)[0].as_py()
+                    nth = np.zeros(len(asked), dtype=np.int64)
+                    while len(asked):  # the next occurrence of those keys that had one
+                        found, starts, sizes = shard.lookup(asked, nth)
+                        asked, nth, starts, sizes = asked[found], nth[found], starts[found], sizes[found]
+                        order = np.argsort(starts)
+                        for i, ids in zip(order.tolist(), shard.slices(starts[order], sizes[order])):
+                            yield pa.RecordBatch.from_pylist([{"__k": int(asked[i]), "part": part, "shard": number, "nth": int(nth[i]), "ids": ids.astype(np.int64)}], schema=schema)
+                        nth = nth + 1
+
+    sent = placed.repartition("name").sortWithinPartitions("name", "__k").select("__k", "part", "shard", "name")
+    got = sent.mapInArrow(run, "__k long, part int, shard int, nth long, ids array<long>")
+    order = Window.partitionBy("__k").orderBy("part", "shard", "nth")
+    got = got.withColumn("occurrence", F.row_number().over(order) - 1).drop("part", "shard", "nth")
     return wanted.join(got, "__k", "left").drop("__k")
 
 
+def by_name(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """Runs of rows of one shard's name (column 3)."""
+    names, at = batch.column(3).to_pylist(), 0
+    for i in range(1, len(names) + 1):
+        if i == len(names) or names[i] != names[at]:
+            yield names[at], batch.slice(at, i - at)
+            at = i
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/hitloom-{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "store")
     manifest = write_store(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, vocabulary_path())
     return read_store(manifest, folder)
 

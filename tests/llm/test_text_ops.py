@@ -66,10 +66,37 @@ def test_token_store(spark, odd, library):
     keys = spark.createDataFrame([(2,), (8,), (99,), (None,)], "doc_id long")
     got = {r["doc_id"]: r["ids"] for r in token_store.fetch(keys, manifest, folder).collect()}
     assert got[2] == [2] and got[99] is None and got[8][-1] == 2 and len(got[None]) > 3
+    with pytest.raises(ValueError):
+        token_store.id_width(bpe.vocabulary_path(), 1)
     empty = token_store.write_store(odd.limit(0), f"{shared_dir(spark)}/store-none", bpe.vocabulary_path())
     assert token_store.read_store(empty, f"{shared_dir(spark)}/store-none").count() == 0
 
 
+def test_token_store_fetches_every_occurrence(spark, library):
+    rows = [(i // 7, f"text number {i}") for i in range(200)] + [(9, "the same")] * 150
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = Counter((k, tuple(library.encode(t, add_special_tokens=False).ids + [2])) for k, t in rows)
+    folder = f"{shared_dir(spark)}/store-repeats"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that several shards hold the key 9
+    manifest = token_store.write_store(df, folder, bpe.vocabulary_path(), width=4).cache()
+    assert manifest.count() > 1
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.where("first_key = 9 or last_key = 9").count() > 1
+    keys = spark.createDataFrame([(k, "x") for k in range(-1, 40)], "doc_id long, ids_of string")
+    found = token_store.fetch(keys, manifest, folder).collect()
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in found if r["ids"]) == want
+    assert sorted(r["doc_id"] for r in found if r["ids"] is None) == [-1, *range(29, 40)]
+    assert sorted(r["occurrence"] for r in found if r["doc_id"] == 9) == list(range(157))
+    want = {"doc_id": 1, "n": sum(len(t) for (_, t), n in want.items() for _ in range(n))}
+    assert token_store.read_store(manifest, folder).selectExpr("sum(n_tokens) n").collect()[0]["n"] == want["n"]
+
+
+def test_library_encoder_equals_library(library):
+    code, rng = token_store.LibraryEncoder(bpe.vocabulary_path()), random.Random(14)
+    texts = ["".join(rng.choice("ab'sdtre.,. mve \n\t09<|>é中ΣςİßÀ\x1c\x85 _-!?日本語endof text") for _ in range(rng.randrange(60))) for _ in range(3000)]
+    assert [np.frombuffer(x, dtype=np.uint32).tolist() for x in code(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_perfect_hash():
     h = token_store.hash_keys(np.arange(5000, dtype=np.int64), np.zeros(5000, dtype=np.int64))
     f = token_store.PerfectHash.build(h)
@@ -113,6 +140,50 @@ def test_licenses(spark, odd):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def edits_between(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def notice_model(text):
+    """(label, first word, last word) of every run of words within a notice's edits that holds its short words."""
+    words, out = licenses.words_of(text), set()
+    for notice, label in licenses.NOTICES:
+        need, size = notice.encode(), len(notice.split())
+        most = max(1, len(notice) // licenses.LETTERS_AN_EDIT)
+        exact = Counter(w for w in need.split() if len(w) <= licenses.EXACT)
+        for i in range(len(words)):
+            for j in range(i + 1, min(len(words), i + size + most) + 1):
+                run = b" ".join(words[i:j])
+                if abs(len(run) - len(need)) <= most and not exact - Counter(words[i:j]) and edits_between(run, need) <= most:
+                    out.add((label, i, j - 1))
+    return out
+
+
+def test_license_notices_against_all_runs_of_words():
+    scan, rng, fuzzy = licenses.Scanner(licenses.BASE, licenses.NOTICES), random.Random(12), 0
+    texts = ["Released undr the MIT license blah. Released under the MIT license", "all rights resrved all rights reserved", "licensed under cc0 by me", "all rights all rights reserved", "x" * 300 + " all rights reservd"]
+    for _ in range(150):
+        out = []
+        for _ in range(rng.randrange(1, 4)):
+            t = list(rng.choice(licenses.NOTICES)[0])
+            for _ in range(rng.randrange(4)):
+                i = rng.randrange(len(t))
+                t[i : i + rng.randrange(2)] = rng.choice(["", "x", "e", " "])
+            out += ["".join(t), *rng.sample("the a license rights under copy all".split(), rng.randrange(3))]
+        texts.append(" ".join(out))
+    for t in texts:
+        want, got = notice_model(t), [(m["label"], m["start"], m["end"]) for m in scan(t)[-1]]
+        assert set(got) <= want, t
+        assert all(any(g[0] == w[0] and g[1] <= w[2] and w[1] <= g[2] for g in got) for w in want), t
+        fuzzy += len(got)
+    assert fuzzy > 200
+
+
 def counts_model(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines, seen, dup = (text or "").split("\n"), set(), 0
