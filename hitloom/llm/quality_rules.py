@@ -1,19 +1,23 @@
 """Quality rules with adaptive thresholds.
 
-Each document's whole text gives counts (words, symbols, repeated lines and word windows). Thresholds are not
+Each document's whole text gives counts (words, symbols, marks, repeated lines and word windows). Thresholds are not
 fixed: for every language and source a mergeable quantile sketch of each ratio is built (counts of logarithmic
-buckets, so sketches merge by adding and quantiles have a bounded relative error), and a document fails
-where a ratio lies far outside its own group's quartiles. The thresholds are joined back and filter.
+buckets, so sketches merge by adding and quantiles have a bounded relative error) over the documents that pass the base rules,
+and a document fails where a ratio lies more than RANGES quartile ranges outside its group's quartiles. The thresholds are
+joined back and filter. There is no least distance: a ratio that most documents have at 0 (SOMETIMES) has its
+sketch over the documents that have it at all.
 
-Null text: no words, so base_failed. Null language or source: a group of its own. Groups of fewer than
-MIN_GROUP documents use the sketch merged over all sources of the language, and below that over everything.
+Quartiles of a group of n documents are drawn towards the quartiles of its language, and those towards the quartiles of
+all documents, with the weights n and PRIOR, so there is no size at which a rule changes.
+
+Null text: no words, so base_failed. Null language or source: a group of its own. A group without a document in a sketch has
+its language's quartiles, or those of all; where no document has the ratio, it has no threshold.
 Repeated rows are judged each for themselves. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from itertools import count
 
 import numpy as np
@@ -22,20 +26,26 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, materialize, table
 
-COUNTS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "n_lines": "long"}
-_SYMBOLS = re.compile("[#*$%&|<>]")
+COUNTS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "n_lines": "long", "n_marks": "long"}
 _NOT_SYMBOLS = bytes(b for b in range(256) if b not in b"#*$%&|<>")
+#: All but marks: ASCII characters of words that are no letters.
+_NOT_MARKS = bytes(b for b in range(256) if b >= 128 or b in b" \t\n\v\f\r" or chr(b).isalpha())
 #: Relative width of a sketch's buckets, and the value that separates buckets of small ratios.
-GAMMA, UNIT = 1.05, 0.01
-#: ratio -> (quartile ranges above the upper quartile that are allowed, least distance that counts as far)
-UPPER = {"symbols_a_word": (6.0, 0.25), "dup_line_share": (6.0, 0.3), "repeat_share": (6.0, 0.3), "chars_a_word": (6.0, 4.0)}
-LOWER = {"chars_a_word": (6.0, 2.0)}
-MIN_GROUP = 100
-
-
-def text_counts(text: str | None) -> tuple[int, int, int, int, int, int]:
+GAMMA, UNIT = 1.01, 0.01
+#: ratio -> its counts
+RATIOS = {
+    "symbols_a_word": ("n_symbols", "n_words"), "marks_a_char": ("n_marks", "word_chars"), "dup_line_share": ("n_dup_lines", "n_lines"),
+    "repeat_share": ("n_repeat_words", "n_words"), "chars_a_word": ("word_chars", "n_words"),
+}
+#: Ratios with a lower threshold too, and ratios that most documents have at 0.
+BOTH_SIDES, SOMETIMES = ("chars_a_word",), ("symbols_a_word", "dup_line_share", "repeat_share")
+#: Quartile ranges outside the quartiles that are allowed, and the documents that a wider group's quartiles count for.
+RANGES, PRIOR = 6.0, 100.0
+
+
+def text_counts(text: str | None) -> tuple[int, ...]:
     if not text:
-        return 0, 0, 0, 0, 0, 0
+        return (0,) * len(COUNTS)
     data = text.encode("utf-8", "surrogatepass")
     words = data.split()  # of bytes: cuts at blanks and \t to \r, nothing else
     n = len(words)
@@ -55,7 +65,7 @@ def text_counts(text: str | None) -> tuple[int, int, int, int, int, int]:
         for i in range(3):
             covered[i : n - 2 + i] |= hit
         repeated = int(covered.sum())
-    return n, chars, symbols, dup_lines, repeated, len(lines)
+    return n, chars, symbols, dup_lines, repeated, len(lines), len(data.translate(None, _NOT_MARKS))
 
 
 def count_texts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -63,12 +73,12 @@ def count_texts(df: DataFrame, text: str = "text") -> DataFrame:
     return map_rows(df, [text], COUNTS, lambda: (lambda texts: list(zip(*map(text_counts, texts))) if texts else [[]] * len(COUNTS)))
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def ratios(df: DataFrame) -> DataFrame:
-    per = lambda c, of: F.coalesce(F.col(c) / F.nullif(F.col(of), F.lit(0)), F.lit(0.0))
-    return df.withColumns({
-        "symbols_a_word": per("n_symbols", "n_words"), "dup_line_share": per("n_dup_lines", "n_lines"),
-        "repeat_share": per("n_repeat_words", "n_words"), "chars_a_word": per("word_chars", "n_words"),
-    })
+    return df.withColumns({k: F.coalesce(F.col(c) / F.nullif(F.col(of), F.lit(0)), F.lit(0.0)) for k, (c, of) in RATIOS.items()})
 
 
 def bucket(x: Column) -> Column:
@@ -80,10 +90,10 @@ def value_of(b: Column) -> Column:
 
 
 def sketches(rated: DataFrame) -> DataFrame:
-    """lang, source, ratio, bucket, n: the mergeable sketches, from all documents with words."""
-    names = list(dict.fromkeys([*UPPER, *LOWER]))
-    points = F.array(*[F.struct(F.lit(k).alias("ratio"), bucket(F.col(k)).alias("bucket")) for k in names])
-    return rated.where("n_words > 0").select("lang", "source", F.explode(points).alias("p")).groupBy("lang", "source", "p.ratio", "p.bucket").agg(F.count("*").alias("n"))
+    """lang, source, ratio, bucket, n: the mergeable sketches, from all documents that pass the base rules."""
+    points = F.array(*[F.when(F.lit(k not in SOMETIMES) | (F.col(k) > 0), F.struct(F.lit(k).alias("ratio"), bucket(F.col(k)).alias("bucket"))) for k in RATIOS])
+    held = rated.where(~base_failed()).select("lang", "source", F.explode(F.array_compact(points)).alias("p"))
+    return held.groupBy("lang", "source", "p.ratio", "p.bucket").agg(F.count("*").alias("n"))
 
 
 def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
@@ -96,28 +106,37 @@ def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
     return ranked.groupBy(*by, "ratio").agg(F.max("total").alias("n"), at(0.25).alias("q1"), at(0.75).alias("q3"))
 
 
-def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """A row for each group of `by`: its documents and, by ratio, the lowest and highest value that passes."""
+def of_group(sketch: DataFrame, by: list[str], prefix: str) -> DataFrame:
+    """A row for each group of `by`; <prefix><ratio> is a struct of n, q1 and q3."""
     q = quartiles(sketch, by)
-    spread = F.col("q3") - F.col("q1")
-    out = []
-    for k, (ranges, least) in UPPER.items():
-        out.append(F.max(F.when(F.col("ratio") == k, F.col("q3") + F.greatest(spread * ranges, F.lit(least)))).alias(f"{k}_max"))
-    for k, (ranges, least) in LOWER.items():
-        out.append(F.max(F.when(F.col("ratio") == k, F.col("q1") - F.greatest(spread * ranges, F.lit(least)))).alias(f"{k}_min"))
-    return q.groupBy(*by).agg(F.max("n").alias("n_group"), *out)
+    return q.groupBy(*by).agg(*[F.max(F.when(F.col("ratio") == k, F.struct("n", "q1", "q3"))).alias(prefix + k) for k in RATIOS])
+
+
+def drawn(own: Column, wide: Column) -> Column:
+    """q1 and q3 of a group, drawn towards those of a wider one."""
+    mean = lambda f: (own["n"] * own[f] + PRIOR * wide[f]) / (own["n"] + PRIOR)
+    both = F.struct(mean("q1").alias("q1"), mean("q3").alias("q3"))
+    plain = lambda c: F.struct(c["q1"].alias("q1"), c["q3"].alias("q3"))
+    return F.when(own.isNull(), plain(wide)).when(wide.isNull(), plain(own)).otherwise(both)
 
 
 def thresholds(rated: DataFrame) -> DataFrame:
-    """lang, source and the fences that hold for them: their own, or of the wider group where they are few."""
+    """t_lang, t_source and for each ratio the highest (<ratio>_max) and, of BOTH_SIDES, lowest value (<ratio>_min) that passes."""
     sketch = materialize(sketches(rated))
-    own, wide, all_ = fences(sketch, ["lang", "source"]), fences(sketch, ["lang"]), fences(sketch.withColumn("every", F.lit(1)), ["every"])
-    names = [c for c in own.columns if c.endswith(("_max", "_min"))]
-    wide = wide.select(F.col("lang").alias("w_lang"), F.col("n_group").alias("w_n"), *[F.col(c).alias(f"w_{c}") for c in names])
-    all_ = all_.select(*[F.col(c).alias(f"a_{c}") for c in names])
-    joined = own.join(wide, F.col("lang").eqNullSafe(F.col("w_lang")), "left").join(F.broadcast(all_), F.lit(True), "left")  # all_ is one row
-    pick = lambda c: F.when(F.col("n_group") >= MIN_GROUP, F.col(c)).when(F.col("w_n") >= MIN_GROUP, F.col(f"w_{c}")).otherwise(F.col(f"a_{c}"))
-    return joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[pick(c).alias(c) for c in names])
+    every = of_group(sketch.withColumn("one", F.lit(1)), ["one"], "a_").collect()  # one row at most
+    all_ = {k: every[0][f"a_{k}"] if every else None for k in RATIOS}
+    top = {k: F.struct(*[F.lit(v[f]).alias(f) for f in ("n", "q1", "q3")]) if v else F.lit(None).cast("struct<n:bigint,q1:double,q3:double>") for k, v in all_.items()}
+    groups = rated.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).distinct()
+    own, wide = of_group(sketch, ["lang", "source"], "o_"), of_group(sketch, ["lang"], "w_").withColumnRenamed("lang", "w_lang")
+    joined = groups.join(own, F.col("t_lang").eqNullSafe(F.col("lang")) & F.col("t_source").eqNullSafe(F.col("source")), "left").join(wide, F.col("t_lang").eqNullSafe(F.col("w_lang")), "left")
+    out = []
+    for k in RATIOS:
+        q = drawn(F.col(f"o_{k}"), drawn(F.col(f"w_{k}"), top[k]))
+        far = (q["q3"] - q["q1"]) * RANGES
+        out.append((q["q3"] + far).alias(f"{k}_max"))
+        if k in BOTH_SIDES:
+            out.append((q["q1"] - far).alias(f"{k}_min"))
+    return joined.select("t_lang", "t_source", *out)
 
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -127,13 +146,12 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     limits = materialize(thresholds(rated))
     few = limits.limit(20_001).count() <= 20_000
     joined = rated.join(F.broadcast(limits) if few else limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
-    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     passes = F.lit(True)
-    for k in UPPER:
+    for k in RATIOS:
         passes &= F.coalesce(F.col(k) <= F.col(f"{k}_max"), F.lit(True))
-    for k in LOWER:
+    for k in BOTH_SIDES:
         passes &= F.coalesce(F.col(k) >= F.col(f"{k}_min"), F.lit(True))
-    return joined.select("doc_id", "lang", "source", *COUNTS, base_failed.alias("base_failed"), (~base_failed & passes).alias("kept"), *dict.fromkeys([*UPPER, *LOWER]))
+    return joined.select("doc_id", "lang", "source", *COUNTS, base_failed().alias("base_failed"), (~base_failed() & passes).alias("kept"), *RATIOS)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

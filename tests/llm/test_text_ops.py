@@ -214,6 +214,57 @@ def test_quality_quantiles(spark):
     assert q["q1"] == pytest.approx(s[500], rel=0.06, abs=0.01) and q["q3"] == pytest.approx(s[1500], rel=0.06, abs=0.01)
 
 
+def kept_model(docs):
+    """docs: (lang, source, text). The whole rule by hand, from the values themselves and not from buckets' counts."""
+    q = quality_rules
+    rows = []
+    for lang, source, text in docs:
+        c = dict(zip(q.COUNTS, q.text_counts(text)))
+        r = {k: c[a] / c[b] if c[b] else 0.0 for k, (a, b) in q.RATIOS.items()}
+        rows.append((lang, source, r, c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"]))
+    step = np.log(q.GAMMA)
+    near = lambda x: (q.GAMMA ** np.floor(np.log1p(x / q.UNIT) / step + 0.5) - 1) * q.UNIT
+
+    def quartiles(k, match):
+        values = sorted(near(r[k]) for lang, source, r, bad in rows if not bad and match(lang, source) and (r[k] > 0 or k not in q.SOMETIMES))
+        n = len(values)
+        return (n, values[-(-n // 4) - 1], values[-(-3 * n // 4) - 1]) if n else None
+
+    def drawn(own, wide):
+        if own is None or wide is None:
+            return own or wide
+        return own[0], *((own[0] * own[i] + q.PRIOR * wide[i]) / (own[0] + q.PRIOR) for i in (1, 2))
+
+    out = []
+    for lang, source, r, bad in rows:
+        ok = not bad
+        for k in q.RATIOS:
+            wide = drawn(quartiles(k, lambda a, b: a == lang), quartiles(k, lambda a, b: True))
+            limits = drawn(quartiles(k, lambda a, b: (a, b) == (lang, source)), wide)
+            if limits:
+                far = q.RANGES * (limits[2] - limits[1])
+                ok &= r[k] <= limits[2] + far + 1e-12 and (k not in q.BOTH_SIDES or r[k] >= limits[1] - far - 1e-12)
+        out.append(ok)
+    return out
+
+
+def test_quality_kept_against_the_rule_by_hand(spark):
+    rng, vocab = random.Random(21), [f"{c}{'abcdefg'[i % 7] * (i % 5)}" for i, c in enumerate("the of and to in is was for on are with as at be this from".split() * 5)]
+    docs = []
+    for i in range(260):
+        words = [rng.choice(vocab) + rng.choice(["", "", ",", "."]) for _ in range(rng.randrange(20, 160))]
+        if i % 9 == 0:
+            words = [w + rng.choice("#*$%&|") * rng.randrange(4) for w in words]
+        if i % 11 == 0:
+            words = [w * 9 for w in words]
+        lines = [" ".join(words[j : j + 12]) for j in range(0, len(words), 12)]
+        docs.append((["en", "de", None][i % 3] if i % 50 else "xx", "abc"[i * i % 3] if i % 7 else None, "\n".join(lines + lines[: rng.randrange(3)])))
+    docs += [("en", "a", None), (None, None, ""), ("only", "base failed", "x y")]
+    df = spark.createDataFrame([(i, *d, 1) for i, d in enumerate(docs)], "doc_id long, lang string, source string, text string, t_lang int")
+    got = [r["kept"] for r in quality_rules.judge(df).orderBy("doc_id").collect()]
+    assert got == kept_model(docs) and 0.5 < sum(got) / len(got) < 0.95
+
+
 def test_models(spark, odd):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = quality_model.train(docs, labels)
