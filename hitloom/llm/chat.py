@@ -9,7 +9,10 @@ start the message's text anew. Messages are rendered as
 with control strings in roles and texts escaped: ~ as ~0, line feed in a role as ~1, <| as ~2. No <| is left
 inside, so the marks can be found again, and undoing ~2, ~1, ~0 in this order restores every string.
 
-Null role and null text count as empty. Null conversation ids form one conversation of their own. Ties in
+The loss mask is a list of spans of the formatted text (start and length in code points): the escaped text of each assistant
+message, without its mark and end. What the spans cover, unescaped, is what a model is trained on.
+
+An edit or regeneration with a role gives the message that role. Null role and null text count as empty. Null conversation ids form one conversation of their own. Ties in
 sequence are ordered by role and text; repeated rows of one place are repeated turns. An empty log gives no rows.
 One conversation is one output value, so its turns come together in one row, as the format asks.
 """
@@ -48,13 +51,13 @@ def fold(log: DataFrame) -> DataFrame:
         "filter(sequence(0, size(log) - 1), i -> i = 0 or log[i].kind = 'message' or not (log[i].message <=> log[i - 1].message))"
     ))
     log = log.withColumn("groups", F.expr(
-        "transform(starts, (s, k) -> slice(log, s + 1, if(k = size(starts) - 1, size(log), starts[k + 1]) - s))"
+        "transform(starts, (s, k) -> transform(slice(log, s + 1, if(k = size(starts) - 1, size(log), starts[k + 1]) - s), e -> named_struct('kind', e.kind, 'role', e.role, 'text', e.text, 'first_role', log[s].role)))"
     ))
     # The text of a message: all deltas since its last beginning.
     return log.select("conv_id", F.expr(
         """transform(
              transform(groups, g -> slice(g, 1 + array_max(transform(g, (e, j) -> if(e.kind = 'delta', 0, j))), size(g))),
-             g -> named_struct('role', g[0].role, 'text', array_join(transform(g, e -> e.text), '')))"""
+             g -> named_struct('role', if(g[0].role = '', g[0].first_role, g[0].role), 'text', array_join(transform(g, e -> e.text), '')))"""
     ).alias("turns"))
 
 
@@ -65,15 +68,32 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, formatted, turns (role, text): what the formatted text says, escapes undone."""
+    """conv_id, formatted, turns (role, text): what the formatted text says, escapes undone; loss_spans (start, length):
+    the loss mask, starts counted from 0."""
     parts = F.slice(F.split("formatted", "<\\|im_start\\|>"), 2, 1 << 30)
 
-    def turn(part: Column) -> Column:
+    def cut(part: Column) -> Column:
         head = F.substring_index(part, "\n", 1)
-        text = F.substring(part, F.length(head) + 2, F.length(part) - F.length(head) - 1 - len(END))
-        return F.struct(unescape(head).alias("role"), unescape(text).alias("text"))
+        return F.struct(head.alias("head"), F.length(part).alias("size"), (F.length(head) + 1).alias("at"), (F.length(part) - F.length(head) - 1 - len(END)).alias("length"), part.alias("part"))
+
+    def turn(c: Column) -> Column:
+        return F.struct(unescape(c["head"]).alias("role"), unescape(F.substring(c["part"], c["at"] + 1, c["length"])).alias("text"))
+
+    def place(state: Column, c: Column) -> Column:
+        """Where the next part starts, and the places found so far."""
+        start = state["next"] + len(START)
+        return F.struct((start + c["size"]).alias("next"), F.concat(state["places"], F.array(start)).alias("places"))
+
+    found = formatted.select("conv_id", "formatted", F.transform(parts, cut).alias("cuts"))
+    first = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("places"))
+    found = found.withColumn("places", F.aggregate("cuts", first, place, lambda state: state["places"]))
+    spans = F.filter(F.zip_with("cuts", "places", lambda c, p: F.when(unescape(c["head"]) == "assistant", F.struct((p + c["at"]).alias("start"), c["length"].alias("length")))), lambda x: x.isNotNull())
+    return found.select("conv_id", "formatted", F.transform("cuts", turn).alias("turns"), spans.alias("loss_spans"))
+
 
-    return formatted.select("conv_id", "formatted", F.transform(parts, turn).alias("turns"))
+def under_mask(formatted: str = "formatted", spans: str = "loss_spans") -> Column:
+    """All text under the loss mask, unescaped."""
+    return F.array_join(F.transform(spans, lambda x: unescape(F.substring(F.col(formatted), x["start"] + 1, x["length"]))), "")
 
 
 def messages_as_log(rows: DataFrame) -> DataFrame:
@@ -88,9 +108,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         "select -1L conv_id, i turn, if(i = 0, 'user', 'assistant') role, t text from (select explode(array(0L, 1L)) i, :said t)", args={"said": said}
     )
     out = read_back(render(fold(messages_as_log(rows.unionByName(more)))))
-    spoken = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
     every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), every.alias("every"), spoken.alias("spoken"), F.length("formatted").cast("long").alias("formatted_chars")).select(
+    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), every.alias("every"), under_mask().alias("spoken"), F.length("formatted").cast("long").alias("formatted_chars")).select(
         "conv_id",
         "n_turns",
         F.sha2(F.col("every").cast("binary"), 256).alias("turns_sha256"),
