@@ -10,7 +10,8 @@ source's stream of words is a point of that demand, and inverting the integral g
 
 The stream of a source is its documents in hash order, again and again; the last one is taken in part, so that the
 words taken are the target rounded down. Prefix sums run over hash ranges of a source, so that a hot source spreads:
-sizes per range first, then within ranges.
+sizes of spans of SPAN ranges first, then of ranges within a span, then within ranges; no task sums more than a source's spans,
+which are its documents divided by RANGE_ROWS x SPAN. A row for each source is what the targets are found from.
 
 Null text has size 0. Null source is a source of its own and the last. Documents of size 0 are taken 0 times and
 have no position. Repeated rows are documents of their own in any order of each other, equal rows having equal
@@ -29,6 +30,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SLOPES = (-0.5, 0.0, 0.5)
 #: Documents of one source that a prefix sum takes at once, on average.
 RANGE_ROWS = 500
+#: Ranges that the second prefix sum takes at once.
+SPAN = 1000
 
 
 def n_words(text: Column) -> Column:
@@ -73,8 +76,13 @@ def mix_sources(df: DataFrame, key: str = "doc_id", source: str = "source", text
 
     docs = with_range(rows)
     ranges = with_range(sized).groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = materialize(ranges.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("range_start")))
+    ranges = materialize(ranges.select(F.col("source").alias("s"), F.col("range").alias("r"), "range_size", F.floor(F.col("range") / SPAN).alias("span")))
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    spans = ranges.groupBy(F.col("s").alias("z"), F.col("span").alias("p")).agg(F.sum("range_size").alias("span_size"))
+    spans = spans.select("z", "p", F.coalesce(F.sum("span_size").over(upto("z").orderBy("p")), F.lit(0)).alias("span_start"))
+    ranges = ranges.join(spans, ranges["s"].eqNullSafe(spans["z"]) & (ranges["span"] == spans["p"]))
+    range_start = F.col("span_start") + F.coalesce(F.sum("range_size").over(upto("s", "span").orderBy("r")), F.lit(0))
+    ranges = materialize(ranges.select("s", "r", range_start.alias("range_start")))
     within = Window.partitionBy("source", "range").orderBy("h", F.col("doc_id").asc_nulls_first(), *carry).rowsBetween(Window.unboundedPreceding, -1)
     local = docs.withColumn("local_start", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = local.join(ranges, local["source"].eqNullSafe(ranges["s"]) & (local["range"] == ranges["r"]))

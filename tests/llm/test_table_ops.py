@@ -26,14 +26,18 @@ def test_chat_round_trip(spark):
         want[c].append((role or "", text or ""))
     assert {c: [tuple(t) for t in r["turns"]] for c, r in got.items()} == dict(want)
     assert chat.fold(chat.messages_as_log(df.limit(0))).count() == 0
+    for r in got.values():  # the mask covers the assistant's escaped texts and nothing else
+        texts = [r["formatted"][x["start"] : x["start"] + x["length"]] for x in r["loss_spans"]]
+        assert [t.replace("~2", "<|").replace("~0", "~") for t in texts] == [t["text"] for t in r["turns"] if t["role"] == "assistant"]
+        assert all(r["formatted"][: x["start"]].endswith("<|im_start|>assistant\n") and r["formatted"][x["start"] + x["length"] :].startswith("<|im_end|>\n") for x in r["loss_spans"])
     one = got[1]["formatted"]
     assert one.count("<|im_start|>") == one.count("<|im_end|>") == 3
 
 
 def test_chat_events(spark):
-    log = [(1, 0, 0, "message", "user", "hi"), (1, 1, 1, "delta", "assistant", "He"), (1, 1, 2, "delta", "assistant", "llo"), (1, 1, 3, "regenerate", "assistant", "G"), (1, 1, 4, "delta", "assistant", "ood"), (1, 0, 5, "edit", "user", "hey"), (1, 2, 6, "delta", "user", "bye")]
+    log = [(1, 0, 0, "message", "user", "hi"), (1, 1, 1, "delta", "assistant", "He"), (1, 1, 2, "delta", "assistant", "llo"), (1, 1, 3, "regenerate", "assistant", "G"), (1, 1, 4, "delta", "assistant", "ood"), (1, 0, 5, "edit", "user", "hey"), (1, 2, 6, "delta", "user", "bye"), (1, 3, 7, "message", "user", "a"), (1, 3, 8, "edit", "tool", "b"), (1, 3, 9, "delta", None, "c"), (1, 4, 10, "message", "user", "d"), (1, 4, 11, "edit", None, "e")]
     df = spark.createDataFrame(log, "conv_id long, message long, seq long, kind string, role string, text string")
-    assert [tuple(t) for t in chat.fold(df).collect()[0]["turns"]] == [("user", "hey"), ("assistant", "Good"), ("user", "bye")]
+    assert [tuple(t) for t in chat.fold(df).collect()[0]["turns"]] == [("user", "hey"), ("assistant", "Good"), ("user", "bye"), ("tool", "bc"), ("user", "e")]
 
 
 def targets_model(sizes):
@@ -75,6 +79,32 @@ def test_mixing(spark):
     places = [r["position"] for r in order]
     assert places == sorted(places) and 0 <= places[0] and places[-1] <= 1
     assert mixing.mix_sources(df.limit(0)).count() == 0
+    # Each position inverts the integral of its source's schedule: found again by halving.
+    slope = dict(zip(sorted(sizes, key=lambda s: (s is None, s or "")), mixing.SLOPES * 9))
+    by_source = defaultdict(list)
+    for r in got:
+        if r["size"]:
+            by_source[r["source"]].append(r)
+    for s, rows_of in by_source.items():
+        start, goal = 0, want[s]
+        for r in sorted(rows_of, key=lambda r: (r["position"] is None, r["position"])):
+            for place, said_at in ((start, r["position"]), (start + sizes[s], r["second_position"])):
+                assert (said_at is None) == (place >= int(goal + 1e-6))
+                if said_at is not None:
+                    low, high = 0.0, 1.0
+                    for _ in range(60):
+                        t = (low + high) / 2
+                        low, high = (t, high) if goal * (t + slope[s] * (t * t - t)) < place else (low, t)
+                    assert said_at == pytest.approx(low, abs=1e-6)
+            start += r["size"]
+
+
+def test_mixing_repeated_rows_long_texts_and_spans(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 2)
+    monkeypatch.setattr(mixing, "SPAN", 3)
+    rows = [(1, "a b c", "s")] * 40 + [(2, "w " * 100_000, "s"), (None, "x y", "s"), (None, "x y", "s"), (3, "", None), (4, None, "t")]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows) and sum(r["taken"] for r in got) == int(1.5 * (120 + 100_000 + 4)) and all(r["taken"] <= 2 * r["size"] for r in got)
 
 
 def test_neighbours(spark):
