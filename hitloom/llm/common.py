@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -145,3 +145,9 @@ def ngram_bins(points: np.ndarray, lengths: tuple[int, ...], bits: int) -> np.nd
 def training_row(key: str = "doc_id"):
     """True on rows that may be learned from: crc32 of the id as text, modulo 5, is not 0."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 != 0
+
+
+def within_bins(rows: DataFrame, most: int, *order) -> DataFrame:
+    """Of a bounded sample of rows (bins, ...), the first ones by `order` that hold `most` bins together at most."""
+    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("__held", F.sum(F.size("bins").cast("long")).over(upto)).where(F.col("__held") <= most).drop("__held")

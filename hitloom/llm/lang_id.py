@@ -6,8 +6,8 @@ in a landmark. Nystrom landmarks give explicit features; kernel ridge regression
 the rest, is fitted on them in closed form. Since features and regression are linear in a text's presence vector, both fold
 into one matrix (n-gram by language), and batches of texts are scored by one matrix product each.
 
-Landmarks and training rows are a bounded sample: about `each` documents a language, at most `most` in all, of rows
-with a language whose crc32 modulo 5 isn't 0, chosen by hash. Where `most` cuts, it cuts all languages to about the same
+Landmarks and training rows are a bounded sample: about `each` documents a language, at most `most` in all with at most
+MOST_BINS distinct n-grams together, of rows with a language whose crc32 modulo 5 isn't 0, chosen by hash. Where `most` cuts, it cuts all languages to about the same
 number of documents, and smaller ones stay whole.
 
 `und` with score 0: null text, or a text without a letter; and every text if nothing was learned. Repeated rows
@@ -21,10 +21,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import code_points, map_rows, ngram_bins, table, training_row
+from .common import code_points, map_rows, ngram_bins, table, training_row, within_bins
 
 BITS, LENGTHS = 20, (1, 2, 3)
-EACH, MOST, LANDMARKS = 300, 3000, 256
+EACH, MOST, LANDMARKS, MOST_BINS = 300, 3000, 256, 1 << 25
+#: Columns and rows of a presence matrix that stand in memory at once.
+WIDE, TALL = 1 << 15, 512
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -34,6 +36,24 @@ def bins_of(text: str | None) -> np.ndarray:
     return ngram_bins(code_points((text or "").lower()), LENGTHS, BITS)
 
 
+def shared(rows: list[np.ndarray], marks: list[np.ndarray], size: int) -> np.ndarray:
+    """How many places each row shares with each landmark (sorted places below `size`), block by block."""
+    out = np.zeros((len(rows), len(marks)))
+
+    def block(some: list[np.ndarray], low: int, high: int) -> np.ndarray:
+        held = np.zeros((len(some), high - low), dtype=np.float32)
+        for i, p in enumerate(some):
+            held[i, p[np.searchsorted(p, low) : np.searchsorted(p, high)] - low] = 1
+        return held
+
+    for low in range(0, size, WIDE):
+        high = min(size, low + WIDE)
+        right = block(marks, low, high).T
+        for i in range(0, len(rows), TALL):
+            out[i : i + TALL] += block(rows[i : i + TALL], low, high) @ right
+    return out
+
+
 class Model:
     def __init__(self, rows: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ridge: float = 1e-2):
         """rows: distinct bins of each training text."""
@@ -50,17 +70,20 @@ class Model:
         marks = [i for _, i in sorted(turn)[:landmarks]]
         words = np.unique(np.concatenate([rows[i] for i in marks]))
         self.place[words] = np.arange(len(words))
-        held = np.stack([self.presence(rows[i], len(words)) for i in marks])
-        held /= np.sqrt(np.maximum(held.sum(1, keepdims=True), 1))
-        value, vector = np.linalg.eigh((held @ held.T).astype(np.float64))
+        at = [np.sort(p[p >= 0]) for p in (self.place[r] for r in rows)]
+        held = [at[i] for i in marks]
+        own = np.sqrt(np.maximum([len(p) for p in at], 1))
+        common = shared(at, held, len(words)) / (own[:, None] * own[marks][None, :])
+        value, vector = np.linalg.eigh(common[marks])
         good = value > 1e-8 * value.max()
         root = vector[:, good] / np.sqrt(value[good])  # K_mm^(-1/2)
-        folded = held.T.astype(np.float64) @ root
-        features = np.stack([self.unit(self.presence(r, len(words))) @ folded for r in rows])
         goals = np.array([[1.0 if lang == k else -1.0 for k in self.langs] for lang in langs])
-        features = np.hstack([features, np.ones((len(rows), 1))])
+        features = np.hstack([common @ root, np.ones((len(rows), 1))])
         solved = np.linalg.solve(features.T @ features + ridge * np.eye(features.shape[1]), features.T @ goals)
-        self.matrix, self.bias = (folded @ solved[:-1]).astype(np.float32), solved[-1].astype(np.float32)
+        weight = root @ solved[:-1]  # landmark by language
+        self.matrix, self.bias = np.zeros((len(words), len(self.langs)), dtype=np.float32), solved[-1].astype(np.float32)
+        for places, row, size in zip(held, weight, own[marks]):
+            self.matrix[places] += (row / size).astype(np.float32)
 
     def presence(self, bins: np.ndarray, size: int | None = None) -> np.ndarray:
         out = np.zeros((len(self.matrix) if size is None else size) + 1, dtype=np.float32)
@@ -94,8 +117,9 @@ def train(docs: DataFrame, each: int = EACH, most: int = MOST, key: str = "doc_i
         return lambda texts: [[np.unique(bins_of(t)).astype(np.int32) for t in texts]]
 
     found = map_rows(chosen.select("id", "lang", "text", (point * F.col("n")).alias("nth")), ["text"], {"bins": "array<int>"}, factory)
-    table = found.select("id", "lang", "nth", "bins").orderBy("nth", "id", F.xxhash64("bins")).limit(most).toArrow()
-    return Model([np.asarray(x.values, dtype=np.int64) for x in table.column("bins")], table.column("lang").to_pylist())
+    order = ("nth", "id", F.xxhash64("bins"))
+    table = within_bins(found.select("id", "lang", "nth", "bins").orderBy(*order).limit(most), MOST_BINS, *order).orderBy(*order).toArrow()
+    return Model([np.asarray(x.values, dtype=np.int32) for x in table.column("bins")], table.column("lang").to_pylist())
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

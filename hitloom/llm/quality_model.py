@@ -5,8 +5,8 @@ run, a digit run, other characters as they are, and whether the word repeats the
 They are scaled by the log-count ratio of the two classes; a linear hinge-loss model is fitted on them by dual
 coordinate descent, and a sigmoid, fitted on a fifth of the sample that the model didn't see, gives scores 0 to 1.
 
-The model is fitted on a bounded sample: at most `sample` labelled rows (the least hashes of their ids), of those
-whose crc32 modulo 5 isn't 0. Scoring reads every whole text. A text without characters scores as the sigmoid of
+The model is fitted on a bounded sample: at most `sample` labelled rows (the least hashes of their ids) with at most MOST_BINS
+present bins together, of those whose crc32 modulo 5 isn't 0. Scoring reads every whole text. A text without characters scores as the sigmoid of
 the model's bias; so does every text if there is no labelled row of each class (score 0.5 then). Repeated rows score
 alike. Null labels are left out; of repeated labels of one id the largest counts. An empty table gives no rows.
 """
@@ -20,12 +20,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, code_points, map_rows, ngram_bins, table, training_row
+from .common import WordCache, code_points, map_rows, ngram_bins, table, training_row, within_bins
 
 CHAR_BITS, SHAPE_BITS = 17, 15
 BINS = (1 << CHAR_BITS) + (1 << SHAPE_BITS)
 CHAR_LENGTHS, SHAPE_LENGTHS = (1, 2, 3), (1, 2, 3, 4)
-SAMPLE = 4000
+SAMPLE, MOST_BINS = 4000, 1 << 25
 THRESHOLD = 0.3
 _RUNS = [(re.compile("[A-ZÀ-ÖØ-Þ]+"), "U"), (re.compile("[a-zß-öø-ÿ]+"), "l"), (re.compile("[0-9]+"), "d"), (re.compile(r"(.)\1+"), r"\1")]
 
@@ -64,7 +64,7 @@ def fit_hinge(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarr
     """Dual coordinate descent for the L2-regularised hinge loss over sparse rows; labels are -1 and 1."""
     rng, n = np.random.default_rng(7), len(rows)
     w, bias, alpha = np.zeros(BINS), 0.0, np.zeros(n)
-    square = np.array([v @ v + 1.0 for v in values])
+    square = np.array([float(v @ v) + 1.0 for v in values])
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(n):
@@ -109,8 +109,8 @@ class Model:
         for i in fit:
             counts[labels[i], rows[i]] += 1
         ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-        scaled = [ratio[r] / max(1e-9, np.sqrt((ratio[r] ** 2).sum())) for r in rows]
-        w, self.bias = fit_hinge([rows[i] for i in fit], [scaled[i] for i in fit], labels[fit] * 2 - 1, cost)
+        scaled = [(ratio[r] / max(1e-9, np.sqrt((ratio[r] ** 2).sum()))).astype(np.float32) for r in (rows[i] for i in fit)]
+        w, self.bias = fit_hinge([rows[i] for i in fit], scaled, labels[fit] * 2 - 1, cost)
         self.ratio, self.weights = ratio.astype(np.float32), (w * ratio).astype(np.float32)
         test = [i for i in range(len(rows)) if place[i]] or fit
         self.a, self.b = fit_sigmoid(np.array([self.margin(rows[i]) for i in test]), labels[test])
@@ -135,9 +135,10 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: i
         bins = Features()
         return lambda texts: [[bins(t).astype(np.int32) for t in texts]]
 
-    found = map_rows(rows, ["text"], {"bins": "array<int>"}, factory).select("id", "label", "bins").orderBy(F.xxhash64("id"), "id", F.xxhash64("bins")).limit(sample)
-    table = found.toArrow()
-    return Model([np.asarray(x.values, dtype=np.int64) for x in table.column("bins")], np.array(table.column("label").to_pylist(), dtype=np.int64).clip(0, 1))
+    order = (F.xxhash64("id"), "id", F.xxhash64("bins"))
+    found = map_rows(rows, ["text"], {"bins": "array<int>"}, factory).select("id", "label", "bins").orderBy(*order).limit(sample)
+    table = within_bins(found, MOST_BINS, *order).orderBy(*order).toArrow()
+    return Model([np.asarray(x.values, dtype=np.int32) for x in table.column("bins")], np.array(table.column("label").to_pylist(), dtype=np.int64).clip(0, 1))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -284,6 +284,46 @@ def test_models(spark, odd):
     assert {r["score"] for r in quality_model.score(odd, none).collect()} == {0.5}
 
 
+def test_hinge_model_against_a_plain_one():
+    """Log-count ratios by counting; the fit by plain dual descent over a dense matrix until it rests."""
+    rng = np.random.default_rng(3)
+    n, labels = 60, np.arange(60) % 2
+    rows = [np.unique(np.concatenate([rng.integers(0, 30, 6), rng.integers(30 + 10 * y, 50 + 10 * y, 5)])).astype(np.int32) for y in labels]
+    m = quality_model.Model(rows, labels)
+    fit = [i for i in range(n) if i % 5]
+    seen = [Counter(b for i in fit if labels[i] == y for b in rows[i].tolist()) for y in (0, 1)]
+    total = [sum(c.values()) + quality_model.BINS for c in seen]
+    ratio = np.array([np.log((seen[1][b] + 1) / total[1]) - np.log((seen[0][b] + 1) / total[0]) for b in range(80)])
+    x = np.zeros((n, 81))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.sqrt((ratio[r] ** 2).sum())
+    x[:, 80] = 1  # the bias
+    y, alpha = labels * 2.0 - 1, np.zeros(n)
+    for i in fit * 500:
+        w = (alpha * y) @ x
+        alpha[i] = min(max(alpha[i] - (y[i] * (w @ x[i]) - 1) / (x[i] @ x[i]), 0.0), 1.0)
+    w = (alpha * y) @ x
+    assert np.abs([m.margin(r) - x[i] @ w for i, r in enumerate(rows)]).max() < 0.02
+
+
+def test_language_model_is_kernel_ridge_where_all_rows_are_landmarks():
+    rng, langs = random.Random(5), ["de", "en", "fr"]
+    texts = ["".join(rng.choice(["aäbcdß ", "abcdefg ", "abcéèç "][i % 3]) for _ in range(40)) for i in range(45)]
+    bins = [np.unique(lang_id.bins_of(t)) for t in texts]
+    m = lang_id.Model([b.astype(np.int32) for b in bins], [langs[i % 3] for i in range(45)])
+    known = set().union(*[b.tolist() for b in bins])
+    sets = [set(b.tolist()) for b in bins]
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b)) + 1.0  # noqa: E731  with the bias
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    dual = np.linalg.solve(k + 1e-2 * np.eye(45), np.array([[1.0 if i % 3 == j else -1.0 for j in range(3)] for i in range(45)]))
+    new = ["".join(rng.choice("abcdeéfgßz ") for _ in range(30)) for _ in range(20)]
+    names, scores = m.predict(new)
+    for t, name, score in zip(new, names, scores):
+        own = set(lang_id.bins_of(t).tolist()) & known
+        f = np.array([kernel(own, b) for b in sets]) @ dual
+        assert name == langs[int(f.argmax())] and abs(score - min(1, max(0, (f.max() + 1) / 2))) < 1e-3
+
+
 def classes_model(rows, threshold=0.8):
     sets = {}
     for i, t in rows:
@@ -341,6 +381,9 @@ def test_probminhash_estimates():
     assert abs((sa == sb).mean() - jp) < 0.04 and ta > 0 and tb > 0
 
 
-def test_digest_query(spark):
-    rows = bpe.op1_bpe_roundtrip(spark, SF).limit(3).collect()
-    assert all(len(r["ids_sha256"]) == 64 for r in rows) and hashlib.sha256(b"").hexdigest()
+def test_digest_query(spark, library):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in bpe.op1_bpe_roundtrip(spark, SF).collect():
+        ids = library.encode(docs[r["doc_id"]], add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
