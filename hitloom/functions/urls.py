@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ def let(value: Column, body) -> Column:
 
 def decode(c: Column, plus: bool = True) -> Column:
     """Percent-decoded; null if malformed. plus: + stands for a blank."""
-    return F.try_url_decode(c if plus else F.replace(c, F.lit("+"), F.lit("%2B")))
+    return F.when(c.rlike("[%+]" if plus else "%"), F.try_url_decode(c if plus else F.replace(c, F.lit("+"), F.lit("%2B")))).otherwise(c)
 
 
 def host(url: Column) -> Column:
@@ -55,8 +57,10 @@ def parse_query(q: Column) -> Column:
     pairs = F.filter(pairs, lambda x: x["k"].isNotNull() & x["v"].isNotNull())
 
     def grouped(p: Column) -> Column:
-        keys = F.array_distinct(F.transform(p, lambda x: x["k"]))
-        return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.transform(F.filter(p, lambda x: x["k"] == k), lambda x: x["v"]))))
+        every = F.transform(p, lambda x: x["k"])
+        repeated = F.map_from_entries(F.transform(F.array_distinct(every), lambda k: F.struct(k, F.transform(F.filter(p, lambda x: x["k"] == k), lambda x: x["v"]))))
+        plain = F.map_from_arrays(every, F.transform(p, lambda x: F.array(x["v"])))
+        return F.when(F.size(F.array_distinct(every)) == F.size(every), plain).otherwise(repeated)
 
     return let(pairs, grouped)
 
@@ -66,6 +70,11 @@ def first_value(params: Column, name: str) -> Column:
     return F.when(params.isNotNull() & (F.size(params) > 0), F.coalesce(F.get(F.try_element_at(params, F.lit(name)), F.lit(0)), F.lit("")))
 
 
+def first_value_sql(params: str, name: str) -> str:
+    """The same as SQL text over the column `params`."""
+    return f"case when {params} is not null and size({params}) > 0 then coalesce(get(try_element_at({params}, '{name}'), 0), '') end"
+
+
 def strip_params(url: Column, names: tuple[str, ...] = EXCLUDED_PARAMS) -> Column:
     """Without the named parameters; the rest sorted by key and re-encoded. Unchanged if none of them is there."""
     text_of = lambda p: F.coalesce(decode(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise(F.lit(""))), F.lit(""))
@@ -78,7 +87,9 @@ def strip_params(url: Column, names: tuple[str, ...] = EXCLUDED_PARAMS) -> Colum
         text = F.array_join(F.transform(kept, lambda x: F.concat(F.url_encode(x["k"]), F.lit("="), F.url_encode(x["v"]))), "&")
         return F.when(F.exists(p, lambda x: x["k"].isin(*names)), F.concat(base, F.when(text != "", F.concat(F.lit("?"), text)).otherwise(F.lit("")), tail)).otherwise(url)
 
-    return F.when(F.contains(url, F.lit("?")), let(parts, rebuilt)).otherwise(url)
+    # One search of the text tells most addresses apart that hold none of the names.
+    may = url.rlike("[?&](" + "|".join(re.escape(n) for n in names) + ")=|%") if names else F.lit(False)
+    return F.when(F.contains(url, F.lit("?")) & may, let(parts, rebuilt)).otherwise(url)
 
 
 def without_www(name: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,37 +41,70 @@ def suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
-def matched_hosts(hosts: DataFrame, table: DataFrame) -> DataFrame:
-    """host, found (map of kind -> struct of name, terms) for distinct referrer hosts.
+#: Patterns of a referrer table that are kept at most: the table is sent with the plan, as one constant.
+MOST_PATTERNS = 20_000
+_ENTRY = "struct<length:int,kind:string,name:string,terms:string>"
+
+
+def read_referrers(spark: SparkSession, files: dict[str, str]) -> DataFrame:
+    """A referrer table from YAML lists of the public form (kind -> file): a name with hosts, or with groups of urls and params."""
+    import yaml
+
+    rows = []
+    for kind, file in files.items():
+        with open(file, encoding="utf-8") as text:
+            for name, groups in (yaml.safe_load(text) or {}).items():
+                for g in groups or ():
+                    urls_of, terms = (g.get("urls", ()), g.get("params", ())) if isinstance(g, dict) else ((g,), ())
+                    rows += [(str(u), kind, str(name), ",".join(t for t in terms if not str(t).startswith("/"))) for u in urls_of]
+    return referrer_table(spark, rows)
+
 
-    Plain patterns are an equi-join on host suffixes; patterns with {} compare with all suffixes with one label less:
-    `google.{}` is `google.` before the last one or two labels. The longest pattern wins within a kind, then the name.
+def constant_table(table: DataFrame) -> Column:
+    """The table as a map of pattern -> entries, folded to one constant when the plan is optimised."""
+    rows = table.limit(MOST_PATTERNS + 1).collect()
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} referrer patterns")
+    held: dict[str, list] = {}
+    for r in rows:
+        pattern = r["pattern"].lower().removeprefix("www.").removeprefix("{}.")
+        held.setdefault(pattern, []).append({"length": -len(pattern), "kind": r["kind"], "name": r["name"], "terms": r["terms"] or ""})
+    return F.from_json(F.lit(json.dumps(held)), f"map<string,array<{_ENTRY}>>")
+
+
+def found_kinds(host: Column, table: DataFrame) -> Column:
+    """map of kind -> entry for a host without www. The longest pattern wins within a kind, then the name.
+
+    A pattern is a host or a suffix of one at a dot; a {} in it stands for one label or two at its end.
     """
-    exploded = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("suffix"))
-    # A {} stands for the last one or two labels of the suffix: both are looked up as the pattern itself.
-    labels = F.split("suffix", r"\.")
-    wild = lambda n: F.when(F.size(labels) > n, F.concat(F.array_join(F.slice(labels, F.lit(1), F.greatest(F.size(labels) - n, F.lit(1))), "."), F.lit(".{}")))
-    keys = exploded.select("host", F.explode(F.array_compact(F.array("suffix", wild(1), wild(2)))).alias("pattern"))
-    hits = keys.join(F.broadcast(table), "pattern")  # a list of patterns that a person maintains: a few hundred rows
-    best = hits.groupBy("host", "kind").agg(F.min(F.struct((-F.length("pattern")).alias("l"), "name", "terms")).alias("b"))
-    return best.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("kind", F.struct("b.name", "b.terms")))).alias("found"))
+    known = constant_table(table)
+    labels = lambda t: F.split(t, r"\.")
+    wild = lambda t, n: F.when(F.size(labels(t)) > n, F.concat(F.array_join(F.slice(labels(t), F.lit(1), F.greatest(F.size(labels(t)) - n, F.lit(1))), "."), F.lit(".{}")))
+    keys = F.array_compact(F.flatten(F.transform(suffixes(host), lambda t: F.array(t, wild(t, 1), wild(t, 2)))))
+    hits = F.flatten(F.array_compact(F.transform(keys, lambda k: F.try_element_at(known, k))))
+    kinds = [k for k in KINDS if k != "mail"]
+
+    def best(held: Column, kind: str) -> Column:
+        return F.get(F.array_sort(F.filter(held, lambda e: e["kind"] == kind)), F.lit(0))
+
+    return urls.let(hits, lambda held: F.map_from_arrays(F.array(*map(F.lit, kinds)), F.array(*[best(held, k) for k in kinds])))
 
 
-def attribute(df: DataFrame, table: DataFrame, page: str = "original_page_location", referrer: str = "page_referrer", ignore: str = "ignore_referrer", utm: dict[str, str] | None = None, hosts: DataFrame | None = None) -> DataFrame:
+def attribute(df: DataFrame, table: DataFrame, page: str = "original_page_location", referrer: str = "page_referrer", ignore: str = "ignore_referrer", utm: dict[str, str] | None = None, first: Column | None = None) -> DataFrame:
     """Append session_source, session_medium, session_term to rows of first events.
 
-    hosts: distinct referrer hosts (column host), if they can be had from a cheaper place than df itself.
+    first: if given, rows on which it is false get nulls and cost nothing.
 
     Click ids of the page address, then referrer lists by kind, then a foreign referrer host, then direct; UTM values of the
     page's columns override field by field; labels are normalised.
     """
     utm = utm or {"source": "utm_source", "medium": "utm_medium", "term": "utm_term"}
+    on = F.lit(True) if first is None else first
     raw = F.when(F.coalesce(F.col(ignore), F.lit(False)), F.lit("")).otherwise(F.coalesce(F.col(referrer), F.lit("")))
-    df = df.withColumn("_ref", raw).withColumn("_ref_host", urls.without_www(urls.host(F.col("_ref")))).withColumn("_page_host", urls.without_www(urls.host(F.coalesce(F.col(page), F.lit("")))))
-    hosts = df.where("_ref_host <> ''").select(F.col("_ref_host").alias("host")).distinct() if hosts is None else hosts
-    lookup = matched_hosts(hosts, table).withColumnRenamed("host", "_lk_host")
-    df = df.join(lookup, df["_ref_host"] == lookup["_lk_host"], "left")
-    df = df.withColumn("_pq", urls.parse_query(urls.query(F.coalesce(F.col(page), F.lit("")))))
+    df = df.withColumn("_on", on).withColumn("_ref", F.when(F.col("_on"), raw).otherwise(F.lit("")))
+    df = df.withColumn("_ref_host", urls.without_www(urls.host(F.col("_ref")))).withColumn("_page_host", urls.without_www(urls.host(F.coalesce(F.col(page), F.lit("")))))
+    df = df.withColumn("found", F.when(F.col("_ref_host") != "", found_kinds(F.col("_ref_host"), table)))
+    df = df.withColumn("_pq", F.when(F.col("_on") & F.contains(F.col(page), F.lit("?")), urls.parse_query(urls.query(F.col(page)))))
     has = lambda name: F.coalesce(urls.first_value(F.col("_pq"), name) != "", F.lit(False))
     out = lambda s, m, t=None: F.struct(s.alias("source"), F.lit(m).alias("medium"), (F.lit(None).cast("string") if t is None else t).alias("term"))
     rule = None
@@ -88,8 +123,8 @@ def attribute(df: DataFrame, table: DataFrame, page: str = "original_page_locati
             rule = rule.when(found(kind).isNotNull(), out(found(kind)["name"], kind))
     foreign = (F.col("_ref_host") != "") & (F.col("_page_host") != "") & (F.col("_ref_host") != F.col("_page_host"))
     rule = rule.when(foreign, out(F.col("_ref_host"), "referral")).otherwise(out(F.lit("direct"), "none"))
-    df = df.withColumn("_smt", rule)
+    df = df.withColumn("_smt", F.when(F.col("_on"), rule))
     for field, column in utm.items():
         value = F.nullif(F.col(column), F.lit("")) if column in df.columns else F.lit(None).cast("string")
-        df = df.withColumn(f"session_{field}", urls.normalize_label(F.coalesce(value, F.col("_smt")[field])))
-    return df.drop("_ref", "_ref_host", "_page_host", "_lk_host", "found", "_smt", "_pq")
+        df = df.withColumn(f"session_{field}", F.when(F.col("_on"), urls.normalize_label(F.coalesce(value, F.col("_smt")[field]))))
+    return df.drop("_on", "_ref", "_ref_host", "_page_host", "found", "_smt", "_pq")

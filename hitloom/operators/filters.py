@@ -1,20 +1,14 @@
-"""Traffic filters: conditions in a small expression language, turned into SQL text that Spark parses and optimises."""
+"""Traffic filters: conditions as Spark SQL text over an event's fields."""
 
 from __future__ import annotations
 
-import re
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.addresses import in_cidr
-
-_STRING = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'"
-_TOKEN = re.compile(rf"\s*({_STRING}|==|!=|<=|>=|&&|\|\||[-+*/%<>!?:(),\[\]]|[0-9]+(?:\.[0-9]+)?|[A-Za-z_]\w*)")
-_WORD_OPS = {"startsWith": "startswith", "endsWith": "endswith", "contains": "contains", "matches": "regexp_like"}
-_PLAIN = {"==": "=", "&&": "and", "||": "or", "!": "not ", "and": "and", "or": "or", "not": "not ", "in": "in", "true": "true", "false": "false", "nil": "null"}
-_FUNCTIONS = {"lower": "lower", "upper": "upper", "trim": "trim", "len": "length"}
+from ..functions import addresses
 
 
 @dataclass(frozen=True)
@@ -27,75 +21,46 @@ class Condition:
     test_mode: bool = False
 
 
-def to_sql(expression: str, fields: list[str]) -> tuple[str, dict[str, Column]]:
-    """SQL text over helper columns, and those columns: fields as strings (null: "<nil>"), networks as booleans.
-
-    Word operators (startsWith, endsWith, contains, matches) take a field or a string on either side; inCidr(ip, "net").
-    A name that is no field is "".
-    """
-    tokens, at, text = [], 0, expression.strip()
-    while at < len(text):
-        m = _TOKEN.match(text, at)
-        if not m:
-            raise ValueError(f"filter: can't read {text[at:]!r}")
-        tokens.append(m[1])
-        at = m.end()
-    helpers: dict[str, Column] = {}
-
-    def operand(t: str) -> str:
-        if t[0] in "\"'":
-            return "'" + t[1:-1].replace('\\"', '"').replace("'", "\\'") + "'"
-        if not re.fullmatch(r"[A-Za-z_]\w*", t):
-            return t
-        if t not in fields:
-            return "''"
-        helpers[f"_f_{t}"] = F.coalesce(F.col(t).cast("string"), F.lit("<nil>"))
-        return f"_f_{t}"
-
-    out, i = [], 0
-    while i < len(tokens):
-        t, following = tokens[i], tokens[i + 1] if i + 1 < len(tokens) else ""
-        if t == "inCidr" and following == "(":
-            if len(tokens) < i + 6 or tokens[i + 3] != "," or tokens[i + 5] != ")":
-                raise ValueError("filter: inCidr takes an address and a network")
-            label = f"_cidr_{len(helpers)}_{abs(hash(tokens[i + 4])) % 10_000}"
-            helpers[label] = in_cidr(F.coalesce(F.col(tokens[i + 2]).cast("string"), F.lit("")), tokens[i + 4][1:-1])
-            out.append(label)
-            i += 6
-        elif following in _WORD_OPS and i + 2 < len(tokens):
-            out.append(f"{_WORD_OPS[following]}({operand(t)}, {operand(tokens[i + 2])})")
-            i += 3
-        elif t in _FUNCTIONS and following == "(":
-            out.append(_FUNCTIONS[t])
-            i += 1
-        else:
-            out.append({"[": "(", "]": ")"}.get(t) or _PLAIN.get(t) or operand(t))
-            i += 1
-    return " ".join(out), helpers
+@contextmanager
+def nulls_for_errors(spark: SparkSession):
+    """Expressions resolved inside give null where they would fail on a row (a text that is no number, a division by 0)."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
 
 
-def apply_filters(df: DataFrame, conditions: list[Condition], fields: list[str]) -> DataFrame:
+def apply_filters(df: DataFrame, conditions: list[Condition], fields: list[str], functions: dict[str, tuple[str, str, str]] | None = None) -> DataFrame:
     """Drop excluded events; where an allow condition exists, keep only what matches one; exclude beats allow.
 
-    Test-mode matches only tag: traffic_filter_name is the last of them. A condition that isn't true or false (null) is skipped;
-    text that Spark can't parse fails when the plan is built.
+    An expression sees the fields, as strings (null: "<nil>"; a field that df lacks: ""), and Spark's functions: startswith, endswith,
+    contains, rlike, in_cidr(address, network) and those given (name -> parameters, result, body, of SQL functions).
+    Test-mode matches only tag: traffic_filter_name is the last of them. A condition that isn't true or false, or fails on an event, is
+    skipped for it; text that Spark can't parse or resolve fails when the plan is built.
     """
     if not conditions:
         return df.withColumn("traffic_filter_name", F.lit(None).cast("string"))
-    plain = df.columns
-    matched, drop, allow, tags = [], F.lit(False), None, []
+    spark, plain = df.sparkSession, df.columns
+    addresses.register(spark)
+    for name, (parameters, result, body) in (functions or {}).items():
+        spark.sql(f"create or replace temporary function {name}({parameters}) returns {result} return {body}")
+    # The expressions see nothing but the fields; the event itself travels beside them.
+    view = {f: F.coalesce(F.col(f).cast("string"), F.lit("<nil>")) if f in plain else F.lit("") for f in fields}
+    seen = df.select(F.struct(*[F.col(f"`{c}`") for c in plain]).alias("_event"), *[c.alias(f) for f, c in view.items()])
+    drop, allow, tags = F.lit(False), None, []
+    with nulls_for_errors(spark):
+        for k, c in enumerate(conditions):
+            seen = seen.withColumn(f"_hit_{k}", F.coalesce(F.expr(c.expression).try_cast("boolean"), F.lit(False)))
     for k, c in enumerate(conditions):
-        sql, helpers = to_sql(c.expression, fields)
-        df = df.withColumns(helpers) if helpers else df
-        hit = F.coalesce(F.expr(sql).cast("boolean"), F.lit(False))
-        df = df.withColumn(f"_hit_{k}", hit).drop(*helpers)
-        matched.append(F.col(f"_hit_{k}"))
+        matched = F.col(f"_hit_{k}")
         if c.test_mode:
-            tags.append(F.when(matched[-1], F.lit(c.name)))
+            tags.append(F.when(matched, F.lit(c.name)))
         elif c.kind == "exclude":
-            drop |= matched[-1]
+            drop |= matched
         else:
-            allow = matched[-1] if allow is None else allow | matched[-1]
+            allow = matched if allow is None else allow | matched
     name = F.coalesce(*reversed(tags)) if tags else F.lit(None).cast("string")
-    kept = df.where(~drop & (F.lit(True) if allow is None else allow))
-    return kept.withColumn("traffic_filter_name", name).select(*plain, "traffic_filter_name")
+    kept = seen.where(~drop & (F.lit(True) if allow is None else allow))
+    return kept.select(*[F.col("_event")[c].alias(c) for c in plain], name.alias("traffic_filter_name"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.addresses import ipv4_number
+from ..functions.addresses import V4_PREFIX, ip_key
 from ..functions.casts import bankers_round
 
 #: A lookup table is broadcast up to so many rows, which are counted first; beyond that Spark joins by shuffle.
@@ -20,14 +21,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def with_property(hits: DataFrame, settings: DataFrame, default: bool = False) -> DataFrame:
-    """property_name and the settings of each hit's property; hits of unknown properties go (or keep nulls, with default)."""
-    return hits.join(small(settings), "property_id", "left" if default else "inner")
+def with_property(hits: DataFrame, settings: DataFrame, default: bool = False, key: str = "property_id") -> DataFrame:
+    """property_name and the settings of each hit's property, by its id or another key; hits of unknown properties go (or keep nulls, with default)."""
+    return hits.join(small(settings), key, "left" if default else "inner")
 
 
 def latest_rates(snapshots: DataFrame) -> DataFrame:
     """base, quote, rate of the newest snapshot (created_at, rates: map of base to map of quote to rate)."""
-    newest = snapshots.orderBy(F.desc("created_at")).limit(1)
+    valid = snapshots.where(F.col("created_at").isNotNull() & (F.size("rates") > 0))
+    newest = valid.orderBy(F.desc("created_at")).limit(1)
     return newest.select(F.explode("rates").alias("base", "quotes")).select(F.lower(F.trim("base")).alias("base"), F.explode("quotes").alias("quote", "rate")).withColumn("quote", F.lower(F.trim("quote")))
 
 
@@ -40,59 +42,115 @@ def convert(df: DataFrame, rates: DataFrame, value: str, currency: str, to: str,
     return joined.withColumn(out, F.when(F.col(value).isNotNull() & F.col(currency).isNotNull(), amount)).drop("_base", "_rate")
 
 
-def ip_ranges(df: DataFrame, ranges: DataFrame, ip: str = "ip_address", bits: int = 16) -> DataFrame:
-    """Append a range's columns to rows whose IPv4 address it holds (lo to hi, numbers); the narrowest range wins.
+def ip_ranges(df: DataFrame, ranges: DataFrame, ip: str = "ip_address") -> DataFrame:
+    """Append a range's columns to rows whose address it holds; the narrowest range wins. lo and hi: numbers of IPv4 addresses, or texts of
+    addresses of either family; other columns are the range's values.
 
-    Ranges are cut at /16 borders, so that the join is an equi-join on the address's upper half with a residual
-    comparison, not a nested loop, and each side spreads.
+    Ranges are cut at the borders of networks (IPv4: /16, IPv6: /24), so that the join is an equi-join with a comparison left
+    over. Where no two ranges overlap, which is found out from the ranges, each row meets one range at most and the join is
+    all; else the distinct addresses are joined, and the narrowest range of each.
     """
-    shift = 32 - bits
-    span = ranges.withColumn("_b", F.explode(F.sequence(F.shiftright("lo", shift), F.shiftright("hi", shift))))
+    numbers = dict(ranges.dtypes)["lo"] != "string"
+    end = lambda c: F.concat(F.lit(V4_PREFIX), F.lpad(F.lower(F.hex(F.col(c).cast("bigint"))), 8, "0")) if numbers else ip_key(F.col(c))
+    digits = lambda k: F.when(k.startswith(V4_PREFIX), F.lit(28)).otherwise(F.lit(6))
+    head = lambda k: F.substring(k, F.lit(1), digits(k))
     values = [c for c in ranges.columns if c not in ("lo", "hi")]
-    left = df.withColumn("_n", ipv4_number(F.col(ip))).withColumn("_b", F.shiftright("_n", shift))
-    addresses = left.select("_n", "_b").where("_n is not null").distinct()
-    hits = addresses.join(span, "_b").where(F.col("_n").between(F.col("lo"), F.col("hi")))
-    best = hits.groupBy("_n").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("w"), "lo", *values)).alias("_r"))
-    return left.drop("_b").join(best, "_n", "left").select(*df.columns, *[F.col(f"_r.{v}").alias(v) for v in values])
-
-
-#: A short list of our own; a deployment passes its own parser.
-_BROWSERS = [("Edge", r"Edg(?:e|A|iOS)?/([\d.]+)"), ("Opera", r"OPR/([\d.]+)"), ("Samsung Browser", r"SamsungBrowser/([\d.]+)"), ("Firefox", r"(?:Firefox|FxiOS)/([\d.]+)"), ("Chrome", r"(?:Chrome|CriOS)/([\d.]+)"), ("Safari", r"Version/([\d.]+).*Safari/")]
-_SYSTEMS = [("iOS", r"(?:iPhone|iPad|iPod).*? OS ([\d_]+)"), ("Android", r"Android ([\d.]+)"), ("Windows", r"Windows NT ([\d.]+)"), ("Mac", r"Mac OS X ([\d_.]+)"), ("GNU/Linux", r"Linux()")]
-_BOT = re.compile(r"bot|crawl|spider|slurp|headless", re.I)
-_MODEL = re.compile(r"Android [\d.]+; ([^;)]+?)(?: Build|\))")
-DEVICE = "device_category string, device_mobile_brand_name string, device_mobile_model_name string, device_operating_system string, device_operating_system_version string, device_web_browser string, device_web_browser_version string"
-
-
-def parse_agent(agent: str | None) -> dict:
-    names = [x.split()[0] for x in DEVICE.split(", ")]
-    out = dict.fromkeys(names)
+    span = ranges.withColumns({"_lo": end("lo"), "_hi": end("hi")}).where("_lo <= _hi")
+    part = lambda c: F.conv(F.when(F.col("_lo").startswith(V4_PREFIX), F.substring(c, 25, 4)).otherwise(F.substring(c, 1, 6)), 16, 10).cast("bigint")
+    cut = F.when(F.col("_lo").startswith(V4_PREFIX), F.concat(F.lit(V4_PREFIX), F.lpad(F.lower(F.hex("_at")), 4, "0"))).otherwise(F.lpad(F.lower(F.hex("_at")), 6, "0"))
+    span = span.withColumn("_at", F.explode(F.sequence(part("_lo"), part("_hi")))).select(cut.alias("_b"), "_lo", "_hi", *values)
+    before = Window.partitionBy("_b").orderBy("_lo", "_hi").rowsBetween(Window.unboundedPreceding, -1)
+    overlapping = not span.select((F.max("_hi").over(before) >= F.col("_lo")).alias("o")).where("o").isEmpty()
+    left = df.withColumn("_k", ip_key(F.col(ip)))
+    if not overlapping:
+        span = small(span).withColumnsRenamed({v: f"_v_{v}" for v in values})
+        joined = left.withColumn("_a", head(F.col("_k"))).join(span, (F.col("_a") == F.col("_b")) & F.col("_k").between(F.col("_lo"), F.col("_hi")), "left")
+        return joined.select(*df.columns, *[F.col(f"_v_{v}").alias(v) for v in values])
+    addresses = left.select("_k").where("_k is not null").distinct().withColumn("_b", head(F.col("_k")))
+    hits = addresses.join(small(span), "_b").where(F.col("_k").between(F.col("_lo"), F.col("_hi")))
+    width = F.struct(*[(F.conv(F.substring("_hi", i, 8), 16, 10).cast("bigint") - F.conv(F.substring("_lo", i, 8), 16, 10).cast("bigint")).alias(f"w{i}") for i in (1, 9, 17, 25)])
+    best = hits.groupBy("_k").agg(F.min(F.struct(width.alias("w"), "_lo", *values)).alias("_r"))
+    return left.join(best, "_k", "left").select(*df.columns, *[F.col(f"_r.{v}").alias(v) for v in values])
+
+
+#: Patterns of our own, the first that fits decides; a deployment may pass its own parser. Names are the public ones of browsers and systems.
+_BROWSERS = [
+    ("Facebook", r"FBAV/([\d.]+)"), ("Instagram App", r"Instagram ([\d.]+)"), ("Microsoft Edge", r"Edg(?:e|A|iOS)?/([\d.]+)"), ("Opera Mini", r"Opera Mini/([\d.]+)"), ("Opera GX", r"OPX/([\d.]+)"),
+    ("Opera", r"(?:OPR|OPT|Opera)[/ ]([\d.]+)"), ("Samsung Browser", r"SamsungBrowser/([\d.]+)"), ("Yandex Browser", r"YaBrowser/([\d.]+)"), ("Vivaldi", r"Vivaldi/([\d.]+)"), ("UC Browser", r"UC ?Browser/([\d.]+)"),
+    ("MIUI Browser", r"MiuiBrowser/([\d.]+)"), ("Huawei Browser", r"HuaweiBrowser/([\d.]+)"), ("DuckDuckGo Privacy Browser", r"(?:DuckDuckGo|Ddg)/([\d.]+)"), ("Mobile Silk", r"Silk/([\d.]+)"), ("Brave", r"Brave/([\d.]+)"),
+    ("Firefox Focus", r"(?:Focus|Klar)/([\d.]+)"), ("Firefox Mobile iOS", r"FxiOS/([\d.]+)"), ("Firefox Mobile", r"(?:Mobile|Tablet); rv.*Firefox/([\d.]+)"), ("Firefox", r"Firefox/([\d.]+)"), ("Internet Explorer", r"(?:MSIE |Trident/.*rv:)([\d.]+)"),
+    ("Google Search App", r"GSA/([\d.]+)"), ("Chrome Mobile iOS", r"CriOS/([\d.]+)"), ("Headless Chrome", r"HeadlessChrome/([\d.]+)"), ("Chrome Webview", r"; wv\).*Chrome/([\d.]+)"), ("Chrome Mobile", r"Android.*Chrome/([\d.]+)"), ("Chrome", r"Chrom(?:e|ium)/([\d.]+)"),
+    ("Android Browser", r"Android.*Version/([\d.]+)"), ("Mobile Safari", r"(?:iPhone|iPad|iPod).*Version/([\d.]+).*Safari/"), ("Safari", r"Version/([\d.]+).*Safari/"),
+]
+_SYSTEMS = [
+    ("Windows Phone", r"Windows Phone(?: OS)? ([\d.]+)"), ("iPadOS", r"iPad.*? OS (1[3-9][\d_]*|[2-9]\d[\d_]*)"), ("iOS", r"(?:iPhone|iPad|iPod).*? OS ([\d_]+)"), ("HarmonyOS", r"HarmonyOS[/ ]?([\d.]*)"), ("KaiOS", r"KAIOS/([\d.]+)"),
+    ("Fire OS", r"Android ([\d.]+).*(?:KF[A-Z]{2,}|Silk)"), ("Android TV", r"Android ([\d.]+).*(?:TV|BRAVIA)"), ("Android", r"Android ?([\d.]*)"), ("Tizen", r"Tizen ([\d.]+)"), ("webOS", r"Web0?S"), ("Windows", r"Windows NT ([\d.]+)"), ("Windows", r"Windows"),
+    ("Mac", r"Mac OS X ([\d_.]+)"), ("Mac", r"Macintosh"), ("Chrome OS", r"CrOS \S+ ([\d.]+)"), ("Ubuntu", r"Ubuntu(?:/([\d.]+))?"), ("Fedora", r"Fedora(?:/([\d.]+))?"), ("GNU/Linux", r"Linux|X11"),
+]
+#: Versions of Windows by kernel (fixed values).
+_WINDOWS = {"10.0": "10", "6.3": "8.1", "6.2": "8", "6.1": "7", "6.0": "Vista", "5.2": "XP", "5.1": "XP"}
+_BRANDS = [
+    ("Samsung", r"SM-|SAMSUNG|GT-[A-Z]\d"), ("Google", r"Pixel|Nexus"), ("Xiaomi", r"Redmi|POCO|\bMi |M20\d\d|2\d{7,9}[A-Z]"), ("Huawei", r"HUAWEI|Huawei|[A-Z]{3}-(?:L|AL|TL|LX)\d+"), ("OnePlus", r"ONEPLUS|OnePlus"), ("OPPO", r"OPPO|CPH\d{4}"), ("Vivo", r"\bvivo|V\d{4}[A-Z]?"),
+    ("Motorola", r"moto|Moto|motorola|XT\d{4}"), ("LG", r"LG-|LM-"), ("Sony", r"Xperia|Sony|SO-\d|XQ-"), ("Nokia", r"Nokia|TA-\d{4}"), ("Realme", r"RMX\d{4}|realme"), ("Asus", r"ASUS|ZenFone"), ("Lenovo", r"Lenovo"), ("HTC", r"HTC"), ("ZTE", r"ZTE"), ("Honor", r"HONOR|Honor"), ("Amazon", r"\bKF[A-Z]{2,}"),
+]
+_BOT = re.compile(r"([\w.-]*(?:bot|crawler|spider|slurp|preview|monitor|scraper)[\w.-]*)|HeadlessChrome|Lighthouse|curl/|wget/|python-requests|Go-http-client|facebookexternalhit", re.I)
+_TV = re.compile(r"SMART-TV|SmartTV|HbbTV|AppleTV|BRAVIA|Android TV|GoogleTV|Roku|NetCast|Web0S", re.I)
+_CONSOLE = re.compile(r"PlayStation|Xbox|Nintendo")
+_MODEL = re.compile(r"Android[ \d.]*; (?:[a-z]{2}[-_][A-Za-z]{2}; )?([^;)]+?)(?: Build|\))")
+DEVICE = ("device_category", "device_mobile_brand_name", "device_mobile_model_name", "device_operating_system", "device_operating_system_version", "device_web_browser", "device_web_browser_version")
+_HINTS = {"model": "Sec-Ch-Ua-Model", "system": "Sec-Ch-Ua-Platform", "version": "Sec-Ch-Ua-Platform-Version", "mobile": "Sec-Ch-Ua-Mobile"}
+
+
+def parse_agent(agent: str | None, model: str | None = None, system: str | None = None, version: str | None = None, mobile: str | None = None) -> dict:
+    """Device columns of a user agent and its client hints, which come first where they say something."""
+    out = dict.fromkeys(DEVICE)
     if not agent:
         return out
     for field, table in (("device_web_browser", _BROWSERS), ("device_operating_system", _SYSTEMS)):
         for name, pattern in table:
             if m := re.search(pattern, agent):
-                out[field], out[f"{field}_version"] = name, m[1].replace("_", ".") or None
+                found = next((g for g in m.groups() if g), None)
+                out[field], out[f"{field}_version"] = name, found and found.replace("_", ".")
                 break
-    tablet = "iPad" in agent or ("Android" in agent and "Mobile" not in agent)
-    phone = "iPhone" in agent or ("Android" in agent and "Mobile" in agent)
-    out["device_category"] = "bot" if _BOT.search(agent) else "tablet" if tablet else "smartphone" if phone else "desktop"
-    if "iPhone" in agent or "iPad" in agent:
-        out["device_mobile_brand_name"], out["device_mobile_model_name"] = "Apple", "iPad" if "iPad" in agent else "iPhone"
-    elif m := _MODEL.search(agent):
-        out["device_mobile_model_name"] = m[1]
+    if out["device_operating_system"] == "Windows":
+        out["device_operating_system_version"] = _WINDOWS.get(out["device_operating_system_version"], out["device_operating_system_version"])
+    hint = lambda v: (v or "").strip().strip('"')
+    if hint(system):
+        out["device_operating_system"] = {"macOS": "Mac", "Linux": "GNU/Linux", "Chromium OS": "Chrome OS"}.get(hint(system), hint(system))
+        out["device_operating_system_version"] = hint(version) or out["device_operating_system_version"]
+    tablet = "iPad" in agent or "Tablet" in agent or ("Android" in agent and "Mobile" not in agent)
+    phone = "iPhone" in agent or "iPod" in agent or "Windows Phone" in agent or "Mobile" in agent or hint(mobile) == "?1"
+    bot = _BOT.search(agent)
+    kinds = ((bot, "bot"), (_TV.search(agent), "tv"), (_CONSOLE.search(agent), "console"), (tablet, "tablet"), (phone, "smartphone"))
+    out["device_category"] = next((kind for on, kind in kinds if on), "desktop")
+    if bot:
+        out["device_mobile_brand_name"] = bot[1]
+    elif m := re.search("iPhone|iPad|iPod", agent):
+        out["device_mobile_brand_name"], out["device_mobile_model_name"] = "Apple", m[0]
+    else:
+        m = _MODEL.search(agent)
+        found = hint(model) or (m[1] if m and m[1] not in ("K", "wv") and not m[1].startswith("rv:") else None)
+        out["device_mobile_model_name"] = found
+        out["device_mobile_brand_name"] = next((name for name, pattern in _BRANDS if found and re.search(pattern, found)), None)
     return out
 
 
-def with_device(df: DataFrame, agent: str = "user_agent") -> DataFrame:
-    """Append the device columns: each distinct user agent is parsed once and joined back."""
+@lru_cache(maxsize=100_000)
+def _parsed(agent: str | None, *hints: str | None) -> tuple:
+    return tuple(parse_agent(agent, *hints).values())
+
+
+def with_device(df: DataFrame, headers: str = "headers") -> DataFrame:
+    """Append the device columns. An agent is parsed once in each Python process (bounded memory of the latest ones); no shuffle."""
 
-    @F.pandas_udf(DEVICE)
-    def parse(agents: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse_agent(a) for a in agents], columns=[x.split()[0] for x in DEVICE.split(", ")])
+    @F.pandas_udf(", ".join(f"{c} string" for c in DEVICE))
+    def parse(agents: pd.Series, model: pd.Series, system: pd.Series, version: pd.Series, mobile: pd.Series) -> pd.DataFrame:
+        rows = [_parsed(*(None if x is None or x != x else x for x in row)) for row in zip(agents, model, system, version, mobile)]
+        return pd.DataFrame(rows, columns=list(DEVICE))
 
-    parsed = df.select(agent).where(F.col(agent).isNotNull()).distinct().select(F.col(agent).alias("_agent"), parse(F.col(agent)).alias("_d"))
-    return df.join(parsed, df[agent] == parsed["_agent"], "left").select(*[df[c] for c in df.columns], "_d.*")
+    header = lambda name: F.get(F.try_element_at(headers, F.lit(name)), F.lit(0))
+    made = df.withColumn("_d", parse(header("User-Agent"), *map(header, _HINTS.values())))
+    return made.select(*df.columns, "_d.*")
 
 
 def nested_lookup(array: Column, match_field: str, match_equals: str, value_field: str, cast: str = "string") -> Column:

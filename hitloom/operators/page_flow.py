@@ -55,7 +55,8 @@ def add_page_flow(df, w: SessionWindows | None = None, location: str = "page_loc
     for part in ("location", "title"):
         chain = F.col(f"_c_{part}")
         steps[f"_lag_{part}"], steps[f"_lead_{part}"] = F.lag(F.struct(chain.alias("x"))).over(w.ordered), F.lead(F.struct(chain.alias("x"))).over(w.ordered)
-    steps["_seg"] = F.sum(F.when((F.col("_rn") == 0) | w.is_page, 1).otherwise(0)).over(w.upto)
+    starts = F.when((F.col("_rn") == 0) | w.is_page, F.col(w.ts))
+    steps["_start"] = F.last(starts, ignorenulls=True).over(w.upto)
     df = df.withColumns(steps)
     out = {"session_hit_number": F.col("_rn"), "session_page_number": w.page_number(location).cast("bigint")}
     for part in ("location", "title"):
@@ -63,9 +64,7 @@ def add_page_flow(df, w: SessionWindows | None = None, location: str = "page_loc
         out[f"previous_page_{part}"] = F.last(F.when(before.isNotNull() & ~chain.eqNullSafe(before["x"]), before), ignorenulls=True).over(w.upto)["x"]
         out[f"next_page_{part}"] = F.first(F.when(after.isNotNull() & ~chain.eqNullSafe(after["x"]), after), ignorenulls=True).over(w.onward)["x"]
     out["session_is_entry_page"], out["session_is_exit_page"], out["page_is_bounce"] = w.entry_page(), w.exit_page(), w.page_bounce()
-    by_segment = Window.partitionBy(*w.keys).orderBy("_seg").rangeBetween(1, 1)
-    out["_start"] = F.min(w.ts).over(Window.partitionBy(*w.keys, "_seg"))
-    out["_end"] = F.coalesce(F.min(w.ts).over(by_segment), F.max(w.ts).over(w.every))
+    out["_end"] = F.coalesce(F.min(starts).over(w.ordered.rowsBetween(1, Window.unboundedFollowing)), F.max(w.ts).over(w.every))
     df = df.withColumns(out)
     df = df.withColumn("time_on_page", F.floor((F.unix_micros("_end") - F.unix_micros("_start")) / 1_000_000).cast("bigint"))
-    return df.drop(*[c for c in df.columns if c in {"_rn", "_prev_location", "_seg", "_start", "_end"} or c.startswith(("_c_", "_lag_", "_lead_"))])
+    return df.drop("_rn", "_prev_location", "_start", "_end", *[f"{step}_{part}" for step in ("_c", "_lag", "_lead") for part in ("location", "title")])

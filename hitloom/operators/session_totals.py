@@ -147,9 +147,14 @@ def on_every_event(df: DataFrame, protocol: str = "ga4", keys: list[str] = SESSI
     return add_numbers(df, keys).withColumns(session_values(set(df.columns), protocol, every)).drop("_nth")
 
 
-def mode_values_on_every_event(df: DataFrame, columns: tuple[str, ...] = OF_MODE_CLIENT, client: str = "auth_client_id", keys: list[str] = SESSION) -> DataFrame:
-    """session_<column> by windows: the first event's value of the most frequent client (ties: the one that came first)."""
+def mode_values_on_every_event(df: DataFrame, columns: tuple[str, ...] = OF_MODE_CLIENT, client: str = "auth_client_id", keys: list[str] = SESSION, several: bool = True) -> DataFrame:
+    """session_<column> by windows: the first event's value of the most frequent client (ties: the one that came first).
+
+    several: can a session have several clients? If not, the session's first event has the values."""
     columns = tuple(c for c in columns if c in df.columns)
+    if not several:
+        ordered = Window.partitionBy(*keys).orderBy("ts", "id")
+        return df.withColumns({f"session_{c}": F.first(c).over(ordered) for c in columns})
     own = Window.partitionBy(*keys, client)
     df = df.withColumns({"_n": F.count("*").over(own), "_at": F.min(F.struct("ts", "id", F.struct(*columns).alias("v"))).over(own)})
     best = F.min(F.struct((-F.col("_n")).alias("n"), "_at")).over(Window.partitionBy(*keys))
@@ -173,6 +178,15 @@ def merged_by_key(df: DataFrame, array: str, key: str, value: str, out: str, key
     return last.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(key, value))).alias(out))
 
 
+def merged_on_every_event(df: DataFrame, array: str, key: str, value: str, out: str, keys: list[str] = SESSION) -> DataFrame:
+    """The same on each event row by a window: the arrays of a session in order, then the last value of each key."""
+    ordered = Window.partitionBy(*keys).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    every = F.flatten(F.collect_list(array).over(ordered))  # a split session is bounded
+    last = lambda k, all_: F.try_element_at(F.filter(all_, lambda x: x[key] == k), F.lit(-1))[value]
+    merged = F.transform(F.array_sort(F.array_distinct(F.transform(F.col("_all"), lambda x: x[key]))), lambda k: F.struct(k.alias(key), last(k, F.col("_all")).alias(value)))
+    return df.withColumn("_all", every).withColumn(out, F.when(F.size("_all") > 0, merged)).drop("_all")
+
+
 def embed(df: DataFrame, sessions: DataFrame, prefix: str = "", keys: list[str] = SESSION, how: str = "inner") -> DataFrame:
     """Session values on every event row. Both sides hash on the same keys, so the events' exchange is reused."""
     right = sessions.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(c).alias(f"{prefix}{c}") for c in sessions.columns if c not in keys])

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 CLIENT = ["property_id", "client_id"]
 
@@ -44,6 +46,25 @@ def session_stamp(headers: list[str], ip: str = "ip_address", prop: str = "prope
     return daily if explicit is None else F.when(F.coalesce(F.col(explicit), F.lit("")) != "", isolated_id(explicit, prop)).otherwise(daily)
 
 
+#: Headers that tell visitors apart, in the order in which they enter a stamp (fixed values).
+STAMP_HEADERS = (
+    "Accept", "Accept-Encoding", "Accept-Language", "User-Agent", "Sec-Ch-Ua", "Sec-Ch-Ua-Mobile", "Sec-Ch-Ua-Platform", "Sec-Ch-Ua-Platform-Version", "Sec-Ch-Ua-Model", "Sec-Ch-Ua-Full-Version",
+)
+#: Parameter by which a request brings a stamp of its own (fixed value).
+STAMP_PARAM = "fss"
+
+
+def request_stamp(headers: tuple[str, ...] = STAMP_HEADERS, explicit: str | None = STAMP_PARAM) -> Column:
+    """session_stamp of a hit: of the request's own parameter, else of the first values of the headers, the address and the UTC day."""
+    first = lambda m, k: F.coalesce(F.get(F.try_element_at(m, F.lit(k)), F.lit(0)), F.lit(""))
+    parts = [first("headers", h) for h in headers] + [F.coalesce("ip_address", F.lit("")), F.coalesce("property_id", F.lit("")), F.date_format("ts", "yyyy-MM-dd")]
+    daily = F.sha2(F.concat_ws("|", *parts), 256)
+    if explicit is None:
+        return daily
+    own = first("query_params", explicit)
+    return F.when(own != "", F.sha2(F.concat(F.lit(f"{explicit}="), own, F.lit("|"), F.coalesce("property_id", F.lit(""))), 256)).otherwise(daily)
+
+
 #: Entries of the fold's state at which keys of closed sessions are cleared out first.
 STITCH_STATE = 100_000
 
@@ -115,13 +136,13 @@ def stitch_by_stamp(events: DataFrame, timeout_s: int = 1800) -> DataFrame:
 SPLIT_CAUSES = ("max_time_since_first_event_reached", "max_events_reached", "user_id_changed", "utm_campaign_changed")
 
 
-def _split_rows(batches: Iterator[pa.RecordBatch], width: int, max_s: int, max_events: int, by_user: bool, by_campaign: bool) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group and time. The state is one session's, so memory doesn't grow with it; the rows' own
-    columns (the first `width`) pass through as they are, only the helper columns after them are read."""
+def _cuts(batches: Iterator[tuple[pd.Series, ...]], max_s: int, max_events: int, by_user: bool, by_campaign: bool) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by group and time. The state is one session's, so memory doesn't grow with it. Rows without a key need no cut."""
     held = None
-    for batch in batches:
-        index, causes = [], []
-        for key, ts, user, campaign in zip(*(batch.column(width + i).to_pylist() for i in range(4))):
+    for keys, times, users, campaigns in batches:
+        index, causes = np.zeros(len(keys), dtype=np.int64), np.full(len(keys), None, dtype=object)
+        asked = np.flatnonzero(keys.notna().to_numpy())
+        for i, key, ts, user, campaign in zip(asked.tolist(), *(c.iloc[asked].tolist() for c in (keys, times, users, campaigns))):
             cause = None
             if held is None or held[0] != key:
                 held = [key, 0, ts, 0, None, None]
@@ -139,23 +160,31 @@ def _split_rows(batches: Iterator[pa.RecordBatch], width: int, max_s: int, max_e
             held[3] += 1
             held[4] = held[4] if user is None else user
             held[5] = held[5] if campaign is None else campaign
-            index.append(held[1])
-            causes.append(cause)
-        arrays = [batch.column(i) for i in range(width)] + [pa.array(index, pa.int64()), pa.array(causes, pa.string())]
-        yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:width], "split_idx", "_split_cause"])
+            index[i], causes[i] = held[1], cause
+        yield pd.DataFrame({"split_idx": index, "cause": causes})
 
 
 def split(events: DataFrame, max_s: int = 43_200, max_events: int = 1000, by_user: bool = True, by_campaign: bool = True, group: list[str] = [*CLIENT, "proto_seq"]) -> DataFrame:  # noqa: B006
     """Append split_idx and _split_cause (on a part's first event): sessions cut by the four conditions, first match wins.
 
-    Where a cut falls depends on where the last one fell, so rows are streamed in order through a small fold.
+    Windows find the sessions in which any condition can hold at all. Where a cut falls there depends on where the last one fell, so
+    their keys, times, users and campaigns (no other columns) are streamed in order through a small fold; the rest is 0.
     """
-    schema = StructType([*events.schema.fields, StructField("split_idx", LongType()), StructField("_split_cause", StringType())])
+    whole = Window.partitionBy(*group).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # the fold's order
+    user, campaign, micros = F.nullif(F.col("user_id").cast("string"), F.lit("")), F.col("utm_campaign").cast("string"), F.unix_micros("ts")
+    may = (F.max(micros).over(whole) - F.min(micros).over(whole) >= max_s * 1_000_000) | (F.count("*").over(whole) > max_events)
+    for on, value in ((by_user, user), (by_campaign, campaign)):
+        may |= F.coalesce(F.min(value).over(whole) < F.max(value).over(whole), F.lit(False)) if on else F.lit(False)
     key = F.concat_ws("\u0001", *[F.coalesce(F.col(g).cast("string"), F.lit("\u0002")) for g in group])
-    helpers = [key.alias("_k"), F.unix_micros("ts").alias("_t"), F.nullif(F.col("user_id").cast("string"), F.lit("")).alias("_u"), F.col("utm_campaign").cast("string").alias("_c")]
-    ordered = events.repartition(*group[:2]).sortWithinPartitions(*group, "ts", "id").select("*", *helpers)
-    width = len(events.columns)
-    return ordered.mapInArrow(lambda batches: _split_rows(batches, width, max_s, max_events, by_user, by_campaign), schema)
+    # The window above has brought each group to one task; the sort is free where the input has it already.
+    ordered = events.withColumn("_may", may).sortWithinPartitions(*group, "ts", "id")
+
+    @F.pandas_udf("split_idx long, cause string")
+    def cuts(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        return _cuts(batches, max_s, max_events, by_user, by_campaign)
+
+    cut = cuts.asNondeterministic()(F.when(F.col("_may"), key), micros, user, campaign)  # its place in the order counts
+    return ordered.withColumn("_cut", cut).withColumns({"split_idx": F.col("_cut.split_idx"), "_split_cause": F.col("_cut.cause")}).drop("_may", "_cut")
 
 
 def split_on_change(events: DataFrame, column: str, group: list[str] = [*CLIENT, "proto_seq"]) -> DataFrame:  # noqa: B006

@@ -7,11 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import casts, urls
+from ..functions import addresses, casts, urls
 from ..operators import attribution, filters, lookups, page_flow, session_totals, sessionize
+from ..sources import ga4, matomo, requests
+from . import pipeline
+from .columns import ColumnDef, Registry, in_one_layout
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEYS = ["property_id", "client_id", "proto_seq", "split_idx"]
@@ -159,9 +162,9 @@ def split_on_change(spark, sf_dir):
 
 
 CONDITIONS = [
-    filters.Condition("no errors", "exclude", "name == 'error' && page_location startsWith '/p/1'"),
-    filters.Condition("some clients", "allow", "client_id matches '^[0-9]*[02468]$' || name == \"signup\""),
-    filters.Condition("watch", "exclude", "page_location endsWith '7' or !(name contains 'i')", test_mode=True),
+    filters.Condition("no errors", "exclude", "name = 'error' and startswith(page_location, '/p/1')"),
+    filters.Condition("some clients", "allow", "client_id rlike '^[0-9]*[02468]$' or name = 'signup'"),
+    filters.Condition("watch", "exclude", "endswith(page_location, '7') or not contains(name, 'i')", test_mode=True),
 ]
 
 
@@ -177,7 +180,7 @@ def cidr_filter(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     ip = F.concat(F.lit("10."), F.pmod("event_id", F.lit(5)), F.lit(".0."), F.pmod("user_id", F.lit(256)))
     rows = e.select("event_id", ip.alias("ip"))
-    return filters.apply_filters(rows, [filters.Condition("in", "exclude", 'inCidr(ip, "10.1.0.0/16")', test_mode=True)], ["ip"]).select("event_id", "ip", F.col("traffic_filter_name").isNotNull().alias("internal"))
+    return filters.apply_filters(rows, [filters.Condition("in", "exclude", "in_cidr(ip, '10.1.0.0/16')", test_mode=True)], ["ip"]).select("event_id", "ip", F.col("traffic_filter_name").isNotNull().alias("internal"))
 
 
 @query("""with t as (select event_id, case event_id % 6 when 0 then cast(event_id as varchar) when 1 then ' 5' when 2 then '-7' when 3 then '1.5e2' when 4 then 'yes' else '' end as v from events)
@@ -237,13 +240,220 @@ def attribution_rules(spark, sf_dir):
 @query("""select l_orderkey, round(sum(l_extendedprice * l_quantity), 2) as revenue, count(distinct l_partkey) as unique_items, cast(sum(cast(l_quantity as bigint)) as bigint) as total_quantity from lineitem group by l_orderkey""")
 def items_revenue(spark, sf_dir):
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    item = F.struct("l_linenumber", F.col("l_partkey").cast("string").alias("item_id"), F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") * F.col("l_quantity")).alias("item_revenue"))
-    orders = t.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("ecommerce_items"))
-    return orders.select(
-        "l_orderkey", F.round(F.aggregate("ecommerce_items", F.lit(0.0), lambda a, x: a + F.coalesce(x["item_revenue"], F.lit(0.0))), 2).alias("revenue"),
-        F.size(F.array_distinct(F.transform("ecommerce_items", lambda x: x["item_id"]))).cast("bigint").alias("unique_items"),
-        F.aggregate("ecommerce_items", F.lit(0).cast("bigint"), lambda a, x: a + x["quantity"].cast("bigint")).alias("total_quantity"),
+    item = F.concat(F.lit("pr"), "l_linenumber", F.lit("=id"), "l_partkey", F.lit("~pr"), "l_extendedprice", F.lit("~qt"), "l_quantity")
+    orders = parsed(t.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(item)), "&").alias("q")), F.col("q")).withColumn("name", F.lit("purchase"))
+    wanted = ("ecommerce_purchase_revenue", "ecommerce_unique_items", "ecommerce_items_total_quantity")
+    made = projected(orders, ga4.columns(), *wanted)
+    return made.select("l_orderkey", F.round("ecommerce_purchase_revenue", 2).alias("revenue"), F.col("ecommerce_unique_items").alias("unique_items"), F.col("ecommerce_items_total_quantity").alias("total_quantity"))
+
+
+def projected(df: DataFrame, columns: list[ColumnDef], *names: str) -> DataFrame:
+    """Some columns of a registry, with those they depend on."""
+    registry = Registry(columns, given=pipeline.GIVEN)
+    only, todo = set(), list(names)
+    while todo:
+        if (n := todo.pop()) in registry.columns and n not in only:
+            only.add(n)
+            todo += registry.columns[n].depends_on
+    return registry.project(df, only=only)
+
+
+def parsed(df: DataFrame, text: Column) -> DataFrame:
+    """df with query_params from a query string."""
+    return df.withColumn("query_params", urls.parse_query(text))
+
+
+#: Half-even rounding to cents, for the oracles; {x} is the amount.
+_CENTS = "case when {x} * 100 - trunc({x} * 100) = 0.5 then case when trunc({x} * 100) % 2 = 0 then trunc({x} * 100) else trunc({x} * 100) + 1 end when {x} * 100 - trunc({x} * 100) >= 0.5 then trunc({x} * 100) + 1 else trunc({x} * 100) end / 100"
+
+
+@query(f"""with t as (select l_orderkey, l_linenumber, l_partkey, case l_linenumber % 3 when 0 then 'refund' when 1 then 'purchase' else 'add_to_cart' end as name, l_extendedprice as price,
+  case when l_linenumber % 2 = 0 then 0 else l_quantity end as quantity, case l_orderkey % 4 when 0 then 'EUR' when 1 then 'usd' when 2 then 'xyz' end as currency from lineitem),
+u as (select *, price * quantity as amount, case lower(currency) when 'eur' then 1.1e0 end as rate from t)
+select l_orderkey, l_linenumber, 'P' || l_partkey as item_id, case when l_linenumber % 3 = 0 then 'own' when l_orderkey % 5 = 0 then 'list' end as item_list_id, price, quantity,
+case when name = 'refund' then 0e0 else amount end as item_revenue, case when name = 'refund' then amount else 0e0 end as item_refund,
+case when lower(currency) = 'usd' then price else {_CENTS.format(x='(price * rate)')} end as price_in_usd,
+case when lower(currency) = 'usd' then case when name = 'refund' then 0e0 else amount end else {_CENTS.format(x="((case when name = 'refund' then 0e0 else amount end) * rate)")} end as item_revenue_in_usd,
+case when name = 'purchase' then amount else 0e0 end as revenue, case when name = 'refund' then amount else 0e0 end as refund from u""")
+def ga4_items(spark, sf_dir):
+    """Item fields with dollars, refunds, missing quantities and fallbacks to the event's parameters."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    n, o = F.col("l_linenumber"), F.col("l_orderkey")
+    item = F.concat(F.lit("prx=id"), F.concat(F.lit("P"), "l_partkey"), F.lit("~pr"), "l_extendedprice", F.when(n % 2 == 0, "").otherwise(F.concat(F.lit("~qt"), "l_quantity")), F.when(n % 3 == 0, "~liown").otherwise(""), F.lit("&pr2=brNoName"))
+    event = F.concat(item, F.when(o % 5 == 0, "&ep.item_list_id=list").otherwise(""), F.when(o % 4 == 0, "&ep.currency=EUR").when(o % 4 == 1, "&ep.currency=usd").when(o % 4 == 2, "&ep.currency=xyz").otherwise(""))
+    hits = parsed(t.select("l_orderkey", "l_linenumber", F.when(n % 3 == 0, "refund").when(n % 3 == 1, "purchase").otherwise("add_to_cart").alias("name"), event.alias("q")), F.col("q"))
+    hits = hits.withColumn("_usd_rate", F.when(o % 4 == 0, F.lit(1.1)))
+    made = projected(hits, ga4.columns(with_rates=True), "ecommerce_items", "ecommerce_purchase_revenue", "ecommerce_refund_value")
+    made = made.select("l_orderkey", "l_linenumber", F.explode("ecommerce_items").alias("x"), F.col("ecommerce_purchase_revenue").alias("revenue"), F.col("ecommerce_refund_value").alias("refund"))
+    names = ("item_id", "item_list_id", "price", "quantity", "item_revenue", "item_refund", "price_in_usd", "item_revenue_in_usd")
+    return made.select("l_orderkey", "l_linenumber", *[F.col(f"x.{c}").alias(c) for c in names], "revenue", "refund")
+
+
+@query(SESSIONS + """select property_id, client_id, proto_seq, count(*) filter (where pv) >= 2 or count(*) filter (where name = 'purchase') >= 1 or bool_or(cast(id as bigint) % 7 = 0) as session_is_engaged from n group by all""")
+def engaged_seg(spark, sf_dir):
+    """The engagement flag of the request, through page flow and session values."""
+    rows = parsed(sessions(spark, sf_dir), F.concat(F.lit("seg="), (F.col("id").cast("bigint") % 7 == 0).cast("int").cast("string")))
+    rows = projected(rows, [c for c in ga4.columns() if c.name == "_seg"], "_seg")
+    return session_totals.session_rows(page_flow.add_page_flow(rows)).select(*KEYS[:3], "session_is_engaged")
+
+
+@query(SESSIONS + """select id, case when value < 10 then 'low' end as traffic_filter_name from n where not value > 60 and (cast(id as bigint) % 3 = 0 or name = 'view' or value >= 5)""")
+def traffic_filter_numeric(spark, sf_dir):
+    """Comparisons with numbers; conditions that fail on an event are skipped for it."""
+    conditions = [
+        filters.Condition("high", "exclude", "value > 60D"), filters.Condition("no number", "exclude", "name > 5"), filters.Condition("no boolean", "exclude", "page_location"),
+        filters.Condition("third", "allow", "id % 3 = 0"), filters.Condition("rest", "allow", "name = 'view' or value >= 5D"), filters.Condition("low", "exclude", "value < 10D", test_mode=True),
+        filters.Condition("never", "exclude", "1 / (id - id) > 0", test_mode=True),
+    ]
+    return filters.apply_filters(hits(spark, sf_dir), conditions, ["id", "name", "value", "page_location"]).select("id", "traffic_filter_name")
+
+
+@query("""with recursive h as (select cast(event_id as varchar) as id, user_id % 30 as g, epoch_us(ts) as us, case when event_id % 3 = 0 then 'u' || (event_id % 2) end as u, case when event_id % 4 = 0 then 'c' || (event_id % 5) end as c,
+  row_number() over (partition by user_id % 30 order by ts, cast(event_id as varchar)) as i from events),
+r as (select id, g, i, us as first, 1 as n, u, c, 0 as split_idx, cast(null as varchar) as cause from h where i = 1
+union all select x.id, x.g, x.i, case when x.cause is null then x.first else x.us end, case when x.cause is null then x.n + 1 else 1 end,
+  case when x.cause is null then coalesce(x.u, x.pu) else x.u end, case when x.cause is null then coalesce(x.c, x.pc) else x.c end, x.split_idx + case when x.cause is null then 0 else 1 end, x.cause
+from (select h.id, h.g, h.i, h.us, h.u, h.c, r.first, r.n, r.u as pu, r.c as pc, r.split_idx,
+  case when h.us - r.first >= 7200000000 then 'max_time_since_first_event_reached' when r.n >= 9 then 'max_events_reached' when h.u <> r.u then 'user_id_changed' when h.c <> r.c then 'utm_campaign_changed' end as cause
+  from r join h on h.g = r.g and h.i = r.i + 1) x)
+select id, cast(split_idx as bigint) as split_idx, cause as session_split_cause from r""")
+def split_user_campaign(spark, sf_dir):
+    """All four conditions together, each part with a context of its own."""
+    i = F.col("id").cast("bigint")
+    rows = hits(spark, sf_dir).withColumns({"g": F.pmod(F.col("user_id").cast("bigint"), F.lit(30)), "user_id": F.when(i % 3 == 0, F.concat(F.lit("u"), i % 2)), "utm_campaign": F.when(i % 4 == 0, F.concat(F.lit("c"), i % 5))})
+    cut = sessionize.split(rows, max_s=7_200, max_events=9, group=["g"])
+    return cut.select("id", "split_idx", F.col("_split_cause").alias("session_split_cause"))
+
+
+def matomo_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of a Matomo tracker: two of three carry one hit in the address, the others two hits in a bulk body."""
+    i = F.col("event_id")
+    k = F.get_json_object("props", "$.k").cast("int")
+    base = F.concat(F.lit("idsite=7&_id=v"), "user_id", F.lit("&url="), F.url_encode(F.concat(F.lit("https://shop.example/p/"), k)), F.lit("&action_name=T+"), k)
+    kind = F.when(k % 8 == 0, "&idgoal=0&ec_id=O1&revenue=12.5").when(k % 8 == 1, "&idgoal=3").when(k % 8 == 2, "&search=").when(k % 8 == 3, "&e_c=c&e_a=a&e_v=1.5").when(k % 8 == 4, "&c_n=n").when(k % 8 == 5, "&ma_id=1&ma_mt=video").when(k % 8 == 6, "&e_c=c").otherwise("&c_n=n&c_i=x")
+    one = F.concat(base, kind, F.when(i % 2 == 0, "&uid=u1").otherwise("&uid="))
+    bulk = F.concat(F.lit('{"requests":["?'), one, F.lit('","?'), base, F.lit('&link=https%3A%2F%2Fx.example"]}'))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select(
+        i.cast("string").alias("request_id"), F.col("ts").cast("timestamp").alias("server_received_time"), F.when(i % 3 == 0, "").otherwise(one).alias("query"), F.when(i % 3 == 0, bulk).otherwise("").alias("body"),
+        F.lit("shop.example").alias("host"), F.lit("/matomo.php").alias("path"), F.lit("POST").alias("method"), F.lit("10.0.0.1").alias("ip_address"), F.create_map(F.lit("User-Agent"), F.array(F.lit("x"))).alias("headers"),
+    )
+
+
+@query("""with e as (select event_id, user_id, cast(json_extract_string(props, '$.k') as int) as k from events),
+h as (select *, 0 as line from e union all select *, 1 as line from e where event_id % 3 = 0)
+select sha256(event_id || '|' || line) as id, 'v' || user_id as client_id, 'shop' as property_id, case when line = 0 and event_id % 2 = 0 then 'u1' end as user_id,
+case when line = 1 then 'outlink' else case k % 8 when 0 then 'ecommerce_order' when 1 then 'goal_conversion' when 2 then 'site_search' when 3 then 'custom_event' when 4 then 'content_impression' when 5 then 'video_play' when 6 then 'page_view' else 'content_interaction' end end as name,
+'https://shop.example/p/' || k as page_location, 'T ' || k as page_title, case when line = 0 and k % 8 = 0 then 12.5e0 end as ecommerce_purchase_revenue, case when line = 0 and k % 8 = 3 then 1.5e0 end as params_value from h""")
+def matomo_events(spark, sf_dir):
+    """Bulk explode, keys, property by site id, event names and typed parameters."""
+    settings = spark.createDataFrame([("7", "shop", "Shop", "matomo"), ("8", "other", "Other", "ga4")], "site_id string, property_id string, property_name string, property_protocol string")
+    rows = pipeline.hits_from_requests(matomo_requests(spark, sf_dir), "matomo", settings)
+    wanted = ("page_location", "page_title", "ecommerce_purchase_revenue", "params_value")
+    return projected(rows, matomo.columns(), *wanted).select("id", "client_id", "property_id", "user_id", "name", *wanted)
+
+
+@query("""select l_orderkey, l_linenumber, case when l_linenumber = 4 then 'true' else cast(l_partkey as varchar) end as item_id, case when l_linenumber = 3 then '' else 'N' end as item_name,
+case when l_linenumber = 2 then '' else 'a' end as item_category, case when l_linenumber % 2 = 1 then 'b' end as item_category2, case when l_linenumber = 5 then 0e0 else l_extendedprice end as price, case when l_linenumber = 6 then 1e0 else l_quantity end as quantity
+from lineitem where l_linenumber < 7""")
+def matomo_items(spark, sf_dir):
+    """Orders' items of mixed types in one JSON array; items without a sku, and events with bad JSON, are left out."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    n = F.col("l_linenumber")
+    sku = F.when(n == 1, F.concat(F.lit('"'), "l_partkey", F.lit('"'))).when(n == 4, "true").when(n == 7, '""').otherwise(F.col("l_partkey").cast("string"))
+    name = F.when(n == 3, "5").otherwise('"N"')
+    category = F.when(n == 2, "null").when(n % 2 == 1, '["a", "b", 3]').otherwise('"a"')
+    price, quantity = F.when(n == 5, '"9.5"').otherwise(F.col("l_extendedprice").cast("string")), F.when(n == 6, "null").otherwise(F.col("l_quantity").cast("string"))
+    text = F.concat(F.lit("[["), F.concat_ws(",", sku, name, category, price, quantity), F.lit('],[],"x"]'))
+    rows = t.withColumn("query_params", F.create_map(F.lit("ec_items"), F.array(text)))
+    bad = t.where("l_linenumber = 1").withColumn("query_params", F.create_map(F.lit("ec_items"), F.array(F.lit("[[1,"))))
+    made = projected(rows.unionByName(bad), matomo.columns(), "ecommerce_items", "_items_readable").where("_items_readable")
+    names = ("item_id", "item_name", "item_category", "item_category2", "price", "quantity")
+    return made.select("l_orderkey", "l_linenumber", F.explode("ecommerce_items").alias("x")).select("l_orderkey", "l_linenumber", *[F.col(f"x.{c}").alias(c) for c in names])
+
+
+@query("""select event_id, 'a=1;b=' || user_id as variables, '2=last;10=ten' as dimensions, case when event_id % 2 = 0 then 'x' end as category1, case when event_id % 2 = 0 then 'y' else null end as category2 from events""")
+def matomo_variables(spark, sf_dir):
+    """Custom variables, dimensions and page categories; pairs in the order of their slots."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    pairs = F.concat(F.lit('{"10":["b","'), "user_id", F.lit('"],"9":["a","1"],"3":["only"]}'))
+    even = F.col("event_id") % 2 == 0
+    more = F.when(even, F.map_from_arrays(F.array(F.lit("_pkc")), F.array(F.array(F.lit('["x","y"]'))))).otherwise(F.map_from_arrays(F.array(F.lit("_pkc")), F.array(F.array(F.lit("")))))
+    given = F.map_from_arrays(F.array(F.lit("cvar"), F.lit("dimension10"), F.lit("dimension2"), F.lit("dimension3"), F.lit("dimensionx")), F.array(F.array(pairs), F.array(F.lit("ten")), F.array(F.lit("first"), F.lit("last")), F.array(F.lit("")), F.array(F.lit("z"))))
+    made = projected(e.withColumn("query_params", F.map_concat(given, more)), matomo.columns(), "custom_variables", "custom_dimensions", "params_product_category_1", "params_product_category_2")
+    return made.select(
+        "event_id", F.array_join(F.transform("custom_variables", lambda x: F.concat_ws("=", x["name"], x["value"])), ";").alias("variables"), F.array_join(F.transform("custom_dimensions", lambda x: F.concat_ws("=", x["slot"].cast("string"), x["value"])), ";").alias("dimensions"),
+        F.col("params_product_category_1").alias("category1"), F.col("params_product_category_2").alias("category2"),
+    )
+
+
+@query("""select event_id, concat_ws(',', case when event_id % 2 = 0 then 'client_id' end, case when event_id % 3 = 0 then 'name' end, case when event_id % 5 = 0 then 'headers' end, case when event_id % 7 = 0 then 'body' end, case when event_id % 11 = 0 then 'size' end, case when event_id % 13 = 0 then 'protocol' end) as errors from events""")
+def validate_hits(spark, sf_dir):
+    i = F.col("event_id")
+    none = F.lit(None).cast("map<string,array<string>>")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        "event_id", F.when(i % 2 == 0, "").otherwise("c").alias("client_id"), F.lit("p").alias("property_id"), F.when(i % 3 != 0, "n").alias("name"), F.lit("h").alias("host"), F.lit("/").alias("path"), F.lit("GET").alias("method"),
+        F.when(i % 5 == 0, none).otherwise(F.create_map(F.lit("A"), F.array(F.lit("b")))).alias("headers"), F.create_map(F.lit("q"), F.array(F.when(i % 11 == 0, F.repeat(F.lit("x"), 3000)).otherwise("x"))).alias("query_params"),
+        F.when(i % 7 != 0, "").alias("body"), F.when(i % 13 == 0, "matomo").otherwise("ga4").alias("property_protocol"),
     )
+    return requests.with_errors(rows, 2000, "ga4").select("event_id", F.array_join("errors", ",").alias("errors"))
+
+
+@query("""select event_id, '10.' || (user_id % 256) || '.' || (event_id % 256) || '.0' as m1, '10.' || (user_id % 256) || '.0.0' as m2, '10.0.0.0' as m3, '0.0.0.0' as m4, '10.' || (user_id % 256) || '.' || (event_id % 256) || '.7' as m9,
+'2001:db8:' || lower(to_hex(event_id % 65535 + 1)) || '::' as six from events""")
+def mask_ip(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ip = F.concat(F.lit("10."), F.col("user_id") % 256, F.lit("."), F.col("event_id") % 256, F.lit(".7"))
+    six = F.concat(F.lit("2001:db8:"), F.lower(F.hex(F.col("event_id") % 65535 + 1)), F.lit("::1:2"))
+    return e.select("event_id", *[addresses.mask_ip(ip, n).alias(f"m{n}") for n in (1, 2, 3, 4, 9)], addresses.mask_ip(six, 1).alias("six"))
+
+
+@query("""select event_id, case when event_id % 2 = 1 then 'peer' when event_id % 3 = 0 then 'real' when event_id % 5 = 0 then 'cf' when event_id % 7 = 0 then 'first' else 'peer' end as client from events""")
+def real_ip(spark, sf_dir):
+    i = F.col("event_id")
+    head = lambda name, on, text: F.when(on, F.map_from_arrays(F.array(F.lit(name)), F.array(F.array(F.lit(text))))).otherwise(F.map_from_arrays(F.array(F.lit(name)), F.array(F.array(F.lit("")))))
+    headers = F.map_concat(head("X-Real-IP", i % 3 == 0, "real"), head("CF-Connecting-IP", i % 5 == 0, "cf"), head("X-Forwarded-For", i % 7 == 0, " , first, second"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", addresses.real_ip(headers, F.lit("peer"), i % 2 == 0).alias("client"))
+
+
+@query("""select event_id, 'a:x,a:y,b:' || case when event_id % 2 = 0 then '' else '1.5' end || ',z:' || user_id as params from events where event_id % 2 = 1 union all select event_id, 'a:x,a:y,z:' || user_id as params from events where event_id % 2 = 0""")
+def params_array(spark, sf_dir):
+    """Every ep. and numeric epn. parameter, all values, by name."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = parsed(e, F.concat(F.lit("ep.z="), "user_id", F.lit("&ep.a=x&v=2&ep.a=y&epn.b="), F.when(F.col("event_id") % 2 == 0, "no").otherwise("1.5")))
+    made = projected(rows, ga4.columns(), "params")
+    return made.select("event_id", F.array_join(F.transform("params", lambda p: F.concat(p["name"], F.lit(":"), F.coalesce(p["value_string"], p["value_number"].cast("string")))), ",").alias("params"))
+
+
+@query(SESSIONS + """, d as (select property_id, client_id, proto_seq, rn, cast(id as bigint) % 4 as slot, id as v from n where cast(id as bigint) % 3 <> 0),
+l as (select property_id, client_id, proto_seq, slot, arg_max(v, rn) as v from d group by all), m as (select property_id, client_id, proto_seq, string_agg(slot || '=' || v, ';' order by slot) as merged from l group by all)
+select n.id, m.merged from n left join m using (property_id, client_id, proto_seq)""")
+def merged_dimensions(spark, sf_dir):
+    """The last value of each slot in a session, on every event of it."""
+    i = F.col("id").cast("bigint")
+    rows = sessions(spark, sf_dir).withColumn("d", F.when(i % 3 != 0, F.array(F.struct((i % 4).alias("slot"), F.col("id").alias("value")))).otherwise(F.array().cast("array<struct<slot:bigint,value:string>>")))
+    made = session_totals.merged_on_every_event(rows, "d", "slot", "value", "m")
+    return made.select("id", F.when(F.col("m").isNotNull(), F.array_join(F.transform("m", lambda x: F.concat(x["slot"].cast("string"), F.lit("="), x["value"])), ";")).alias("merged"))
+
+
+@query("""select lower(n_name) as base, 'usd' as quote, n_nationkey + 1.5 as rate from nation where n_nationkey < 7""")
+def latest_rates(spark, sf_dir):
+    """The newest snapshot that holds rates."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey < 7")
+    rates = lambda add: n.agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit(" "), "n_name"), F.map_from_arrays(F.array(F.lit("USD ")), F.array((F.col("n_nationkey") + add).cast("double")))))).alias("rates"))
+    old, new = rates(0.5).withColumn("created_at", F.lit("2024-01-01").cast("timestamp")), rates(1.5).withColumn("created_at", F.lit("2024-02-01").cast("timestamp"))
+    empty = new.select(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<map<string,double>>")).alias("rates"), F.lit("2024-03-01").cast("timestamp").alias("created_at"))
+    return lookups.latest_rates(old.unionByName(new).unionByName(empty))
+
+
+@query("""with t as (select event_id, event_id % 4 as m, user_id % 16 as u from events) select event_id, case when m = 0 then 'wide' when m = 1 then 'narrow' when m = 2 then 'v4' end as geo_city from t""")
+def ip_range_both_families(spark, sf_dir):
+    """Ranges of both families given as addresses, one inside another."""
+    ranges = spark.createDataFrame([("2001:db8::", "2001:db8:ffff:ffff:ffff:ffff:ffff:ffff", "wide"), ("2001:db8:5::", "2001:db8:5:ffff:ffff:ffff:ffff:ffff", "narrow"), ("10.0.0.0", "10.0.0.255", "v4")], "lo string, hi string, geo_city string")
+    u = F.lower(F.hex(F.col("user_id") % 16))
+    ip = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("2001:db8:9::"), u)).when(F.col("event_id") % 4 == 1, F.concat(F.lit("2001:DB8:5:1:2:3:4:"), u)).when(F.col("event_id") % 4 == 2, F.concat(F.lit("10.0.0."), F.col("user_id") % 16)).otherwise("fe80::1")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", ip.alias("ip_address"))
+    return lookups.ip_ranges(e, ranges).select("event_id", "geo_city")
 
 
 @query("""with r(b, r) as (values ('eur', 1.1), ('pln', 0.25)), t as (select o_orderkey, o_totalprice as v, case o_orderkey % 4 when 0 then ' EUR' when 1 then 'usd' when 2 then 'PLN' else 'xyz' end as c from orders),
@@ -283,9 +493,10 @@ def embedded_layout(spark, sf_dir):
 
 @query("""select n_nationkey as k, n_name as name, cast(null as varchar) as segment from nation union all by name select c_nationkey as k, cast(null as varchar) as name, c_mktsegment as segment from customer""")
 def schema_union(spark, sf_dir):
+    """Rows of two layouts brought to the union of their columns."""
     n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("segment"))
-    return n.unionByName(c, allowMissingColumns=True)
+    return in_one_layout(n, c)
 
 
 @query("""with t as (select event_id, user_id % 3 as property_id, cast(floor(epoch_us(ts) / 1000000) as bigint) as s, event_id as arrival from events),
@@ -341,18 +552,13 @@ def ga4_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 case when name = 'purchase' then 5e0 else 0e0 end as ecommerce_purchase_revenue from n""")
 def wide_events(spark, sf_dir):
     """The whole way: requests, hits, event columns, sessions, page flow, session values, attribution."""
-    from . import pipeline
-
     rows = pipeline.hits_from_requests(ga4_requests(spark, sf_dir))
     wide = pipeline.build_events(rows, pipeline.Options(), attribution.referrer_table(spark))
     return wide.select("id", "session_hit_number", "session_total_events", "page_location", "page_title", "session_source", F.col("params_value"), "device_web_browser", "ecommerce_purchase_revenue")
 
 
-def entry(spark: SparkSession) -> DataFrame:
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query: the wide row of each event."""
-    from . import pipeline
-
-    sf_dir = "/root/testdata/sf0.001"
     rows = pipeline.hits_from_requests(ga4_requests(spark, sf_dir))
     return pipeline.build_events(rows, pipeline.Options(), attribution.referrer_table(spark))
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from graphlib import CycleError, TopologicalSorter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
 SCOPES = ("event", "session_event", "session")
@@ -62,10 +64,11 @@ class Registry:
             sorter.done(*ready)
         return out
 
-    def project(self, df: DataFrame, scope: str = "event", only: set[str] | None = None) -> DataFrame:
-        """Append a scope's columns, one projection a layer."""
+    def project(self, df: DataFrame, scope: str = "event", only: set[str] | None = None, over: WindowSpec | None = None) -> DataFrame:
+        """Append a scope's columns, one projection a layer. over: the window of a session, for aggregates of session scope."""
         for layer in self.layers(scope):
-            made = {c.name: c.build().cast(c.type) for c in layer if only is None or c.name in only}
+            chosen = [c for c in layer if only is None or c.name in only]
+            made = {c.name: (c.build() if over is None else c.build().over(over)).cast(c.type) for c in chosen}
             if made:
                 df = df.withColumns(made)
         return df
@@ -109,3 +112,36 @@ def missing_columns(expected: StructType, found: StructType, relaxed: bool = Fal
     missing = [f for f in expected if f.name not in have]
     wrong = [TypeMismatch(f.name, f.dataType.simpleString(), have[f.name].dataType.simpleString()) for f in expected if f.name in have and not same_type(f.dataType, have[f.name].dataType, relaxed)]
     return missing, wrong
+
+
+def session_column(name: str, kind: str, build: Callable[[], Column], *deps: str, doc: str = "") -> ColumnDef:
+    """A column of session scope: build gives an aggregate over the session's events in their order."""
+    return ColumnDef(name, kind, build, f"sessions/{name}", "session", deps, doc=doc)
+
+
+def last_of_session(name: str, kind: str, value: Callable[[], Column], *deps: str) -> ColumnDef:
+    """The last non-null value in the session: custom columns of session scope, and parameters taken from the last event that has one."""
+    return session_column(name, kind, lambda: F.last(value(), ignorenulls=True), *deps)
+
+
+def custom_columns(config: list[dict], build: Callable[..., ColumnDef]) -> list[ColumnDef]:
+    """Declared columns: each entry has name, scope (event or session) and the arguments of `build`; names must differ."""
+    out = []
+    for entry in config:
+        entry = dict(entry)
+        name, scope = entry.pop("name"), entry.pop("scope", "event")
+        if scope not in ("event", "session"):
+            raise ValueError(f"column {name}: no scope {scope}")
+        if name in {c.name for c in out}:
+            raise ValueError(f"column {name} is declared twice")
+        own = build(name, **entry)
+        out.append(own if scope == "event" else last_of_session(name, own.type, own.build, *own.depends_on))
+    return out
+
+
+def in_one_layout(*frames: DataFrame) -> DataFrame:
+    """Rows of several layouts in one, columns matched by name, nulls where a layout lacks one. A column of two types is an error."""
+    for one in frames[1:]:
+        if wrong := missing_columns(frames[0].schema, one.schema)[1]:
+            raise ValueError("; ".join(f"{w.name} is {w.expected} and {w.found}" for w in wrong))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import casts, urls
+from ..functions import addresses, casts, urls
 from ..operators import attribution, filters, lookups, page_flow, session_totals, sessionize
 from ..sources import ga4, matomo, requests
 from .columns import ColumnDef, Registry
 
-GIVEN = ("id", "name", "ts", "property_id", "client_id", "user_id", "ip_address", "headers", "query_params")
+GIVEN = ("id", "name", "ts", "property_id", "property_name", "client_id", "user_id", "ip_address", "headers", "query_params")
 
 
 @dataclass
@@ -27,69 +28,117 @@ class Options:
     custom: list[ColumnDef] = field(default_factory=list)
     join_by_stamp: bool = False
     join_by_user: bool = False
+    isolate: bool = False
+    excluded_params: tuple[str, ...] = urls.EXCLUDED_PARAMS
     with_device: bool = True
 
 
 def registry(options: Options, with_rates: bool = False) -> Registry:
-    own = matomo.columns() if options.protocol == "matomo" else ga4.columns("d8a" if options.protocol == "native" else "ga4_gtag")
-    return Registry(own, ga4.usd_columns() if with_rates and options.protocol != "matomo" else [], options.custom, given=GIVEN)
+    if options.protocol == "matomo":
+        own, usd = matomo.columns(excluded=options.excluded_params), []
+    else:
+        native = options.protocol == "native"
+        own = ga4.columns("d8a" if native else "ga4_gtag", "d8a" if native else "ga4", with_rates, options.excluded_params)
+        usd = ga4.usd_columns() if with_rates else []
+    return Registry(own, usd, options.custom, given=GIVEN)
 
 
 def event_columns(hits: DataFrame, options: Options, rates: DataFrame | None = None, geo: DataFrame | None = None) -> DataFrame:
     """Event-scope columns. Lookups join before the columns that need them."""
-    columns = registry(options, rates is not None)
-    usd = {c.name for c in ga4.usd_columns()} if rates is not None else set()
-    df = columns.project(hits, "event", only={n for n in columns.columns if n not in usd})
+    df = hits if "property_name" in hits.columns else hits.withColumn("property_name", F.lit(""))
     if rates is not None and options.protocol != "matomo":
         dollars = rates.where("quote = 'usd'").select(F.col("base").alias("_base"), F.col("rate").alias("_usd_rate"))
-        df = df.join(lookups.small(dollars), F.lower("params_currency") == F.col("_base"), "left").drop("_base")
-        df = columns.project(df, "event", only=usd).drop("_usd_rate")
+        df = df.join(lookups.small(dollars), F.lower(F.trim(casts.str_or_null(requests.value("ep.currency")))) == F.col("_base"), "left").drop("_base")
+    df = registry(options, rates is not None).project(df, "event").drop("_usd_rate")
     if geo is not None:
         df = lookups.ip_ranges(df, geo)
-    if options.with_device:
-        df = df.withColumn("user_agent", F.get(F.try_element_at("headers", F.lit("User-Agent")), F.lit(0)))
-        df = lookups.with_device(df).drop("user_agent")
-    return df
+    return lookups.with_device(df) if options.with_device else df
+
+
+def isolated(hits: DataFrame, stamp_headers: tuple[str, ...] = sessionize.STAMP_HEADERS) -> DataFrame:
+    """Client and user ids hashed with their property, so that properties never meet; session_stamp, unless there is one."""
+    out = hits.withColumn("auth_client_id", sessionize.isolated_id("property_id", "client_id"))
+    out = out.withColumn("user_key", F.when(F.coalesce("user_id", F.lit("")) != "", sessionize.isolated_id("property_id", "user_id")))
+    return out if "session_stamp" in hits.columns else out.withColumn("session_stamp", sessionize.request_stamp(stamp_headers))
 
 
 def build_events(hits: DataFrame, options: Options | None = None, referrers: DataFrame | None = None, rates: DataFrame | None = None, geo: DataFrame | None = None) -> DataFrame:
     """hits: id, name, ts, property_id, client_id, user_id, ip_address, headers, query_params, with keys extracted.
 
-    Order: identity, sessions, event columns, split, filter, session-scoped columns, session values, attribution; rows with a
-    broken event go last, so they count in their session.
+    Order: identity, sessions, split, event columns, filter, session-scoped columns, session values, attribution. Broken events go
+    last, so they count in their session; a session with an event whose page address is broken goes whole.
+
+    The input is read once: all lookups are broadcast constants or tables, and the windows of a session share one exchange and order.
     """
     o = options or Options()
-    hits = hits.withColumn("auth_client_id", F.col("client_id"))
-    if o.join_by_stamp or o.join_by_user:
-        hits = hits.withColumn("session_stamp", sessionize.isolated_id("ip_address", F.to_json("headers"), "property_id", F.date_format("ts", "yyyy-MM-dd"))) if "session_stamp" not in hits.columns else hits
-        hits = sessionize.stitch(hits, o.timeout_s, o.join_by_stamp, o.join_by_user).withColumn("client_id", F.col("stitched_client_id")).drop("stitched_client_id")
-    # Sessions are cut on the raw hits, so that only those pass through the fold; event columns come after, pruned to what is asked for.
+    joined = o.join_by_stamp or o.join_by_user
+    if joined or o.isolate:
+        hits = isolated(hits)
+    else:
+        hits = hits.withColumn("auth_client_id", F.col("client_id"))
+    key = ["property_id", "client_id"]
+    if joined:
+        keyed = hits.withColumnsRenamed({"user_id": "_user_id", "client_id": "_client_id"}).withColumnsRenamed({"user_key": "user_id", "auth_client_id": "client_id"})
+        stitched = sessionize.stitch(keyed, o.timeout_s, o.join_by_stamp, o.join_by_user)
+        hits = stitched.withColumnsRenamed({"user_id": "user_key", "client_id": "auth_client_id"}).withColumnsRenamed({"_user_id": "user_id", "_client_id": "client_id"})
+    elif o.isolate:
+        hits = hits.withColumn("stitched_client_id", F.col("auth_client_id"))
+    if joined or o.isolate:
+        key = ["property_id", "stitched_client_id"]
+    session = [*key, *page_flow.SESSION[2:]]
     hits = hits.withColumn("utm_campaign", casts.str_or_null(urls.query_param(requests.value("url" if o.protocol == "matomo" else "dl"), "utm_campaign")))
-    df = sessionize.sessionize(hits, o.timeout_s)
-    df = sessionize.split(df, o.max_session_s, o.max_session_events) if o.split else df.withColumn("split_idx", F.lit(0).cast("bigint")).withColumn("_split_cause", F.lit(None).cast("string"))
+    df = sessionize.sessionize(hits, o.timeout_s, key)
+    df = sessionize.split(df, o.max_session_s, o.max_session_events, group=[*key, "proto_seq"]) if o.split else df.withColumn("split_idx", F.lit(0).cast("bigint")).withColumn("_split_cause", F.lit(None).cast("string"))
     df = event_columns(df.drop("utm_campaign"), o, rates, geo)
     df = filters.apply_filters(df, o.conditions, o.filter_fields)
     protocol = "matomo" if o.protocol == "matomo" else "ga4"
-    df = session_totals.on_every_event(page_flow.add_page_flow(df), protocol)
-    df = session_totals.mode_values_on_every_event(df)
-    if protocol == "matomo":
-        for array, key, out in (("_session_variables", "name", "session_custom_variables"), ("custom_dimensions", "slot", "session_custom_dimensions")):
-            df = session_totals.embed(df, session_totals.merged_by_key(df, array, key, "value", out), how="left")
+    windows = page_flow.SessionWindows(session)
+    df = page_flow.add_page_flow(df, windows)
     if referrers is not None:
-        raw = requests.value("urlref" if protocol == "matomo" else "dr")
-        hosts = hits.select(urls.without_www(urls.host(raw)).alias("host")).where("host <> ''").distinct()
-        df = attribution.attribute(df, referrers, hosts=hosts)
-        first = Window.partitionBy(*page_flow.SESSION).orderBy("ts", "id")
-        df = df.withColumns({c: F.first(c).over(first) for c in ("session_source", "session_medium", "session_term")})
-    wide = df
-    broken = (F.coalesce("name", F.lit("")) == "") | F.col("page_location").isNull()
+        df = attribution.attribute(df, referrers, first=F.col("session_hit_number") == 0)
+        df = df.withColumns({c: F.first(c).over(windows.ordered) for c in ("session_source", "session_medium", "session_term")})
+    df = session_totals.on_every_event(df, protocol, session)
+    df = session_totals.mode_values_on_every_event(df, keys=session, several=joined)
+    if protocol == "matomo":
+        for array, name, out in (("_session_variables", "name", "session_custom_variables"), ("custom_dimensions", "slot", "session_custom_dimensions")):
+            df = session_totals.merged_on_every_event(df, array, name, "value", out, session)
+    df = registry(o, rates is not None).project(df.withColumn("_session", F.lit(True)), "session", over=Window.partitionBy(*session).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    # Broken: what a column says that must not be null, and an empty name; an address that can't be read breaks the session.
+    must = [F.col(c.name).isNull() for c in registry(o, rates is not None).columns.values() if c.breaks]
+    bad_event = reduce(lambda a, b: a | b, must, F.coalesce("name", F.lit("")) == "")
+    bad_session = F.bool_or(F.col("page_location").isNull()).over(windows.every)
+    wide = df.withColumn("_bad", bad_event | bad_session).where(~F.col("_bad"))
     hidden = [c for c in wide.columns if c.startswith("_")]
-    return wide.where(~broken).drop(*hidden, "query_params", "headers", "proto_seq", "split_idx", "auth_client_id")
+    return wide.drop(*hidden, "query_params", "headers", "proto_seq", "split_idx", "auth_client_id", "stitched_client_id", "user_key", "session_stamp", "errors")
+
 
+def hits_from_requests(raw: DataFrame, protocol: str = "ga4", settings: DataFrame | None = None, mask_level: int = 0, trusted_proxy: bool = False, max_bytes: int | None = None) -> DataFrame:
+    """Requests to hits with keys, in the order of intake: explode, client address, mask, keys, property, validation.
 
-def hits_from_requests(raw: DataFrame, protocol: str = "ga4") -> DataFrame:
-    """Requests to hits with keys; id is derived from the request's id and the line."""
+    id is derived from the request's id and the line. settings: measurement_id (site_id for Matomo), property_id, property_name,
+    property_protocol; hits without a known property go to the rejects. max_bytes: judge hits by the validation rules.
+    Hits that aren't valid have their errors in the column errors; see rejects().
+    """
     rows = requests.explode_matomo(raw) if protocol == "matomo" else requests.explode_ga4(raw)
     rows = rows.withColumn("id", F.sha2(F.concat_ws("|", "request_id", F.coalesce("_line_no", F.lit(0))), 256)).drop("_line_no")
+    if trusted_proxy:
+        rows = rows.withColumn("ip_address", addresses.real_ip(F.col("headers"), F.col("ip_address"), F.lit(True)))
+    if mask_level:
+        rows = rows.withColumn("ip_address", addresses.mask_ip(F.col("ip_address"), mask_level))
     rows = requests.keys_matomo(rows) if protocol == "matomo" else requests.keys_ga4(rows)
-    return rows.withColumn("ts", F.col("server_received_time"))
+    if settings is not None:
+        rows = lookups.with_property(rows.drop("property_id"), settings, default=True, key="site_id" if protocol == "matomo" else "measurement_id")
+    rows = rows.withColumn("ts", F.col("server_received_time"))
+    if max_bytes is not None:
+        return requests.with_errors(rows, max_bytes, protocol if settings is not None else None)
+    known = F.col("property_id").isNotNull()
+    return rows.where(requests.has_keys(protocol) & known)
+
+
+def accepted(judged: DataFrame) -> DataFrame:
+    return judged.where(F.size("errors") == 0).drop("errors")
+
+
+def rejects(judged: DataFrame) -> DataFrame:
+    """Hits that broke a rule, with all their errors: for a dead-letter sink."""
+    return judged.where(F.size("errors") > 0)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..functions.casts import CASTS, float_or_null
+from ..functions.casts import CASTS, bankers_round, float_or_null
 from ..operators.lookups import nested_lookup
 from ..plans.columns import ColumnDef
 from .requests import value
@@ -52,49 +54,71 @@ def params_array() -> Column:
     return F.array_sort(rows)
 
 
-def item_struct(text: Column, usd_rate: Column | None = None) -> Column:
-    """An item's fields from its ~-separated parts; the last part of a code counts."""
-    return urls.let(F.split(text, "~"), lambda parts: _item(parts, usd_rate))
+#: Item fields in the order of the stored array (fixed values).
+ITEM_FIELDS = (
+    "item_id item_name affiliation coupon discount index item_brand item_category item_category2 item_category3 item_category4 item_category5 item_list_id item_list_name item_variant location_id "
+    "price price_in_usd quantity item_refund item_refund_in_usd item_revenue item_revenue_in_usd promotion_id promotion_name creative_name creative_slot"
+).split()
+ITEM_DOUBLES = {"discount", "index", "price", "price_in_usd", "quantity", "item_refund", "item_refund_in_usd", "item_revenue", "item_revenue_in_usd"}
+ITEM_TYPE = "struct<" + ",".join(f"{n}:{'double' if n in ITEM_DOUBLES else 'string'}" for n in ITEM_FIELDS) + ">"
+
+
+def item_struct(text: Column, to_usd: Callable[[Column], Column] | None = None) -> Column:
+    """An item's fields from its ~-separated parts. The last part of a code counts, of a number's code the last that is a number.
 
+    Price and quantity are 0 where they are missing; their product is the refund of a refund event, else the revenue, and
+    the other is 0. Fields of lists, creatives and promotions fall back to the event's. to_usd turns an amount into dollars.
+    """
+    return urls.let(F.split(text, "~"), lambda parts: _item(parts, to_usd))
 
-def _item(parts: Column, usd_rate: Column | None) -> Column:
-    def code(c: str) -> Column:
-        return F.substring(F.try_element_at(F.filter(parts, lambda p: p.startswith(c)), F.lit(-1)), 3, 1 << 20)
+
+def _item(parts: Column, to_usd: Callable[[Column], Column] | None) -> Column:
+    def texts(code: str) -> Column:
+        return F.transform(F.filter(parts, lambda p: p.startswith(code)), lambda p: F.substring(p, 3, 1 << 20))
 
     fields = {}
-    for c, name in ITEM_CODES.items():
-        v = F.nullif(code(c), F.lit(""))
-        v = float_or_null(v) if name in ITEM_NUMBERS else v
-        fields[name] = F.coalesce(v, F.col(f"params_{name}")) if name in ITEM_FALLBACKS else v
-    amount = fields["price"] * F.coalesce(fields["quantity"], F.lit(1.0))
-    fields["item_refund"] = F.when(F.col("name") == "refund", amount).otherwise(F.lit(0.0))
-    fields["item_revenue"] = F.when(F.col("name") == "purchase", amount).otherwise(F.lit(0.0))
-    rate = F.lit(None).cast("double") if usd_rate is None else usd_rate
-    for name in ("price", "item_refund", "item_revenue"):
-        fields[f"{name}_in_usd"] = fields[name] * rate
-    return F.struct(*[c.alias(n) for n, c in fields.items()])
-
-
-def items_array() -> Column:
-    """Items of every pr* parameter, in the order of the keys; kept if they have an id or a name."""
-    entries = F.array_sort(F.map_entries(F.map_filter(F.coalesce("query_params", F.expr("map()")), lambda k, _: k.rlike("^pr[0-9]"))))
-    texts = F.flatten(F.transform(entries, lambda e: e["value"]))
-    return F.filter(F.transform(texts, item_struct), lambda x: x["item_id"].isNotNull() | x["item_name"].isNotNull())
+    for code, name in ITEM_CODES.items():
+        if name in ITEM_NUMBERS:
+            numbers = F.filter(F.transform(texts(code), float_or_null), lambda v: v.isNotNull())
+            fields[name] = F.try_element_at(numbers, F.lit(-1))
+        else:
+            fields[name] = F.try_element_at(texts(code), F.lit(-1))
+    for name in ITEM_FALLBACKS:
+        fields[name] = F.coalesce(fields[name], F.col(f"params_{name}"))
+    plain = F.struct(*[c.alias(n) for n, c in fields.items()])
+
+    def priced(x: Column) -> Column:
+        price, quantity = F.coalesce(x["price"], F.lit(0.0)), F.coalesce(x["quantity"], F.lit(0.0))
+        refund = F.coalesce(F.col("name") == "refund", F.lit(False))
+        amounts = {"price": price, "quantity": quantity, "item_refund": F.when(refund, price * quantity).otherwise(0.0), "item_revenue": F.when(refund, 0.0).otherwise(price * quantity)}
+        dollars = {f"{n}_in_usd": F.lit(None).cast("double") if to_usd is None else to_usd(amounts[n]) for n in ("price", "item_refund", "item_revenue")}
+        return F.struct(*[(amounts | dollars).get(n, x[n] if n in fields else None).alias(n) for n in ITEM_FIELDS])
+
+    return urls.let(plain, priced)
+
+
+def items_array(to_usd: Callable[[Column], Column] | None = None) -> Column:
+    """Items of every parameter whose name begins with pr, in the order of the names; kept if they have an id or a name."""
+    entries = F.array_sort(F.map_entries(F.map_filter(F.coalesce("query_params", F.expr("map()")), lambda k, _: k.startswith("pr"))))
+    texts = F.filter(F.flatten(F.transform(entries, lambda e: e["value"])), lambda t: t != "")
+    made = F.filter(F.transform(texts, lambda t: item_struct(t, to_usd)), lambda x: x["item_id"].isNotNull() | x["item_name"].isNotNull())
+    none = F.array().cast(f"array<{ITEM_TYPE}>")
+    return F.when(F.exists(F.map_keys(F.coalesce("query_params", F.expr("map()"))), lambda k: k.startswith("pr")), made).otherwise(none)
 
 
 def items_sum(field: str) -> Column:
     return F.aggregate("ecommerce_items", F.lit(0.0), lambda a, x: a + F.coalesce(x[field], F.lit(0.0)))
 
 
-def in_usd(column: str) -> Column:
-    """Needs _usd_rate, the rate of the event's currency (1 for dollars), which the pipeline joins."""
-    from ..functions.casts import bankers_round
-
-    return F.when(F.lower("params_currency") == "usd", F.col(column)).otherwise(bankers_round(F.col(column) * F.col("_usd_rate")))
+def usd_amount(amount: Column) -> Column:
+    """Needs _usd_rate, the rate of the event's currency, which the pipeline joins: as it is in dollars, else rounded half to even,
+    null where the currency or its rate is not known."""
+    return F.when(F.lower(F.trim("params_currency")) == "usd", amount).otherwise(bankers_round(amount * F.col("_usd_rate")))
 
 
-def columns(protocol: str = "ga4_gtag", domain: str = "ga4") -> list[ColumnDef]:
-    out = shared("dl", "dt", "dr", protocol, "ul", "sr")
+def columns(protocol: str = "ga4_gtag", domain: str = "ga4", with_rates: bool = False, excluded: tuple[str, ...] = urls.EXCLUDED_PARAMS) -> list[ColumnDef]:
+    """with_rates: the hits carry _usd_rate, see usd_amount; else amounts in dollars are null."""
+    out = shared("dl", "dt", "dr", protocol, "ul", "sr", excluded)
     out += [
         param("params_ignore_referrer", "ir", "bool"), param("ignore_referrer", "ir", "bool"), param("params_engagement_time_ms", "_et", "int"), param("client_session_id", "sid"),
         param("client_session_number", "sct", "int"), param("_seg", "seg", "int"), page_param("gtm_debug", "gtm_debug"),
@@ -106,11 +130,9 @@ def columns(protocol: str = "ga4_gtag", domain: str = "ga4") -> list[ColumnDef]:
     for (prefix, cast), names in EVENT_PARAMS.items():
         out += [param(f"params_{n}", f"{prefix}.{n}", cast, f"{domain}.protocols/event/params_{n}") for n in names.split()]
     item_deps = tuple(f"params_{n}" for n in ITEM_FALLBACKS)
-    text_fields = [n for n in ITEM_CODES.values()]
-    item_type = "array<struct<" + ",".join(f"{n}:{'double' if n in ITEM_NUMBERS else 'string'}" for n in text_fields) + ",item_refund:double,item_revenue:double,price_in_usd:double,item_refund_in_usd:double,item_revenue_in_usd:double>>"
     items = "ecommerce_items"
     out += [
-        computed(items, item_type, items_array, *item_deps),
+        computed(items, f"array<{ITEM_TYPE}>", lambda: items_array(usd_amount if with_rates else None), *item_deps, "params_currency"),
         computed("ecommerce_purchase_revenue", "double", lambda: F.when(F.col("name") == "purchase", items_sum("item_revenue")).otherwise(0.0), items),
         computed("ecommerce_refund_value", "double", lambda: F.when(F.col("name") == "refund", items_sum("item_refund")).otherwise(0.0), items),
         computed("ecommerce_unique_items", "bigint", lambda: F.size(F.array_distinct(F.filter(F.transform(items, lambda x: x["item_id"]), lambda v: v.isNotNull()))).cast("bigint"), items),
@@ -124,7 +146,7 @@ def columns(protocol: str = "ga4_gtag", domain: str = "ga4") -> list[ColumnDef]:
 def usd_columns() -> list[ColumnDef]:
     """Amounts in dollars; they need the rates to be joined."""
     pairs = {"ecommerce_purchase_revenue_in_usd": "ecommerce_purchase_revenue", "ecommerce_refund_value_in_usd": "ecommerce_refund_value", "ecommerce_shipping_value_in_usd": "ecommerce_shipping_value", "ecommerce_tax_value_in_usd": "ecommerce_tax_value"}
-    return [computed(out, "double", lambda source=source: in_usd(source), source, "params_currency") for out, source in pairs.items()]
+    return [computed(out, "double", lambda source=source: usd_amount(F.col(source)), source, "params_currency") for out, source in pairs.items()]
 
 
 def custom_param(name: str, parameter: str, kind: str = "string") -> ColumnDef:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.casts import float_or_null
+from ..functions.urls import EXCLUDED_PARAMS, first_value_sql
 from ..operators.lookups import nested_lookup
 from ..plans.columns import ColumnDef
 from .requests import value
@@ -39,19 +39,37 @@ def custom_dimensions() -> Column:
     return F.array_sort(F.filter(rows, lambda r: r["slot"].isNotNull() & (r["value"] != "")))
 
 
+#: The order's items as SQL text over a JSON text {raw}; what a slot holds counts only if it has the slot's type.
+_ITEMS = "try_variant_get(try_parse_json({raw}), '$', 'array<variant>')"
+_IS_NUMBER = "schema_of_variant({x}) rlike '^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)'"
+_SLOT = "get(a, {i})"
+_TEXT = "case when schema_of_variant({x}) = 'STRING' then try_variant_get({x}, '$', 'string') end"
+
+
+def _item_sql() -> str:
+    slot = [_SLOT.format(i=i) for i in range(5)]
+    text = lambda x: _TEXT.format(x=x)
+    number = lambda x, default: f"case when {_IS_NUMBER.format(x=x)} then coalesce(try_variant_get({x}, '$', 'double'), {default}D) else {default}D end"
+    sku = f"case when schema_of_variant({slot[0]}) = 'STRING' or schema_of_variant({slot[0]}) = 'BOOLEAN' or {_IS_NUMBER.format(x=slot[0])} then try_variant_get({slot[0]}, '$', 'string') end"
+    several = f"transform(try_variant_get({slot[2]}, '$', 'array<variant>'), v -> {text('v')})"
+    cats = f"case when schema_of_variant({slot[2]}) = 'STRING' then array({text(slot[2])}) when schema_of_variant({slot[2]}) like 'ARRAY%' then {several} end"
+    category = [f"nullif(get({cats}, {i}), '')" for i in range(5)]
+    fields = [f"{sku} as item_id", f"coalesce({text(slot[1])}, '') as item_name", f"coalesce({category[0]}, '') as item_category"]
+    fields += [f"{c} as item_category{i}" for i, c in enumerate(category[1:], 2)]
+    return "struct(" + ", ".join([*fields, f"{number(slot[3], 0.0)} as price", f"{number(slot[4], 1.0)} as quantity"]) + ")"
+
+
 def order_items() -> Column:
-    """[[sku, name, category or categories, price, quantity], ...] with mixed types; items without a sku go."""
-    raw = F.from_json(value("ec_items"), "array<array<string>>")
+    """[[sku, name, category or up to five categories, price, quantity], ...] with mixed types. A sku may be a text, number or boolean, items
+    without one go; a slot of another type counts as missing: name and first category are "", price 0, quantity 1."""
+    arrays = f"transform({_ITEMS.format(raw=first_value_sql('query_params', 'ec_items'))}, x -> try_variant_get(x, '$', 'array<variant>'))"
+    return F.expr(f"filter(transform(filter({arrays}, a -> size(a) > 0), a -> {_item_sql()}), r -> coalesce(r.item_id, '') <> '')")
 
-    def item(x: Column) -> Column:
-        at = lambda i: F.get(x, F.lit(i))
-        cats = F.coalesce(F.from_json(at(2), "array<string>"), F.array(at(2)))
-        cat = lambda i: F.nullif(F.get(cats, F.lit(i)), F.lit(""))
-        fields = [at(0).alias("item_id"), F.coalesce(at(1), F.lit("")).alias("item_name"), cat(0).alias("item_category")]
-        fields += [cat(i).alias(f"item_category{i + 1}") for i in range(1, 5)]
-        return F.struct(*fields, F.coalesce(float_or_null(at(3)), F.lit(0.0)).alias("price"), F.coalesce(float_or_null(at(4)), F.lit(1.0)).alias("quantity"))
 
-    return F.filter(F.transform(raw, item), lambda r: F.coalesce(r["item_id"], F.lit("")) != "")
+def items_readable() -> Column:
+    """True, or null for an event whose items are no JSON array: such an event is broken."""
+    raw = first_value_sql("query_params", "ec_items")
+    return F.expr(f"case when coalesce({raw}, '') = '' or {_ITEMS.format(raw=raw)} is not null then true end")
 
 
 def category(i: int) -> Column:
@@ -59,15 +77,15 @@ def category(i: int) -> Column:
     return F.nullif(F.get(F.coalesce(F.from_json(raw, "array<string>"), F.array(raw)), F.lit(i)), F.lit(""))
 
 
-def columns() -> list[ColumnDef]:
-    out = shared("url", "action_name", "urlref", "matomo", "lang", "res")
+def columns(excluded: tuple[str, ...] = EXCLUDED_PARAMS) -> list[ColumnDef]:
+    out = shared("url", "action_name", "urlref", "matomo", "lang", "res", excluded)
     out += [param(name, source, cast) for name, (source, cast) in PARAMS.items()]
     out += [
         computed("ignore_referrer", "boolean", lambda: F.coalesce(F.lower(value("ignore_referrer")).isin("1", "true"), F.lit(False))),
         computed("custom_variables", PAIRS, lambda: custom_variables("cvar")),
         computed("_session_variables", PAIRS, lambda: custom_variables("_cvar")),
         computed("custom_dimensions", "array<struct<slot:bigint,value:string>>", custom_dimensions),
-        computed("ecommerce_items", ITEM, order_items),
+        computed("ecommerce_items", ITEM, order_items), computed("_items_readable", "boolean", items_readable, breaks=True),
         computed("ecommerce_items_total_quantity", "bigint", lambda: F.aggregate("ecommerce_items", F.lit(0).cast("bigint"), lambda a, x: a + x["quantity"].cast("bigint")), "ecommerce_items"),
         computed("_idn", "string", lambda: value("_idn")),
     ]

@@ -3,6 +3,8 @@ method, query (raw query string), headers (map of arrays), body (string)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ MAX_BYTES = 128 * 1024
 
 
 def value(name: str) -> Column:
-    return urls.first_value(F.col("query_params"), name)
+    return F.expr(urls.first_value_sql("query_params", name))
 
 
 def _merged(base: Column, over: Column) -> Column:
@@ -21,25 +23,32 @@ def _merged(base: Column, over: Column) -> Column:
 
 
 def explode_ga4(requests: DataFrame) -> DataFrame:
-    """One hit for each non-blank body line, whose parameters replace the address's; an empty body gives one hit."""
+    """One hit for each non-blank body line, whose parameters replace the address's; an empty body gives one hit.
+
+    Parameters are parsed inside the explode, so that they are parsed once, whatever filters follow."""
     lines = F.filter(F.split(F.coalesce("body", F.lit("")), "\r?\n"), lambda x: F.trim(x) != "")
-    rows = requests.select("*", F.posexplode(F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit("")))).alias("_line_no", "_line"))
-    return rows.withColumn("query_params", _merged(urls.parse_query(F.col("query")), urls.parse_query(F.col("_line")))).drop("_line")
+    address = urls.parse_query(F.col("query"))
+    hits = lambda a: F.when(F.size(lines) > 0, F.transform(lines, lambda x: _merged(a, urls.parse_query(x)))).otherwise(F.array(a))
+    return requests.select("*", F.posexplode(urls.let(address, hits)).alias("_line_no", "query_params"))
 
 
 def explode_matomo(requests: DataFrame) -> DataFrame:
     """A body that is a JSON object holds bulk requests as query strings; else the address is the one hit."""
     bulk = F.from_json("body", "requests array<string>")["requests"]
     is_bulk = F.coalesce(F.ltrim("body").startswith("{"), F.lit(False))
-    rows = requests.select("*", F.posexplode_outer(F.when(is_bulk, F.transform(bulk, lambda r: F.regexp_replace(r, r"^\?", "")))).alias("_line_no", "_line"))
-    rows = rows.where(~is_bulk | F.col("_line").isNotNull())
-    return rows.withColumn("query_params", urls.parse_query(F.coalesce("_line", "query"))).drop("_line")
+    texts = F.when(is_bulk, F.transform(F.coalesce(bulk, F.array().cast("array<string>")), lambda r: F.regexp_replace(r, r"^\?", ""))).otherwise(F.array("query"))
+    return requests.select("*", F.posexplode(F.transform(texts, urls.parse_query)).alias("_line_no", "query_params"))
 
 
 def keys_ga4(hits: DataFrame) -> DataFrame:
-    """client_id, measurement_id, user_id and name; hits without the required ones go."""
-    found = hits.withColumns({"client_id": value("cid"), "measurement_id": value("tid"), "user_id": F.nullif(value("uid"), F.lit("")), "name": value("en")})
-    return found.where((F.coalesce("client_id", F.lit("")) != "") & (F.coalesce("measurement_id", F.lit("")) != "") & (F.coalesce("name", F.lit("")) != ""))
+    """client_id, measurement_id, user_id and name."""
+    return hits.withColumns({"client_id": value("cid"), "measurement_id": value("tid"), "user_id": F.nullif(value("uid"), F.lit("")), "name": value("en")})
+
+
+def has_keys(protocol: str) -> Column:
+    """Does the hit have the keys that its protocol asks for?"""
+    names = ("client_id", "name") if protocol == "matomo" else ("client_id", "measurement_id", "name")
+    return reduce(lambda a, b: a & b, [F.coalesce(F.col(n), F.lit("")) != "" for n in names])
 
 
 def matomo_event_name() -> Column:
@@ -68,18 +77,24 @@ def keys_matomo(hits: DataFrame) -> DataFrame:
 
 
 #: Rule name -> what a valid hit satisfies.
-def validation_rules(max_bytes: int = MAX_BYTES) -> dict[str, Column]:
+def validation_rules(max_bytes: int = MAX_BYTES, protocol: str | None = None) -> dict[str, Column]:
+    """protocol: that of the endpoint; the hits must carry property_protocol, that of their property's settings."""
     filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
-    return {
+    rules = {
         "client_id": filled("client_id"), "property_id": filled("property_id"), "name": filled("name"), "host": filled("host"), "path": filled("path"), "method": filled("method"),
         "headers": F.col("headers").isNotNull() & (F.size("headers") > 0), "query_params": F.col("query_params").isNotNull(), "body": F.col("body").isNotNull(),
-        "size": F.octet_length(F.coalesce("body", F.lit(""))) + F.octet_length(F.to_json("query_params")) + F.octet_length(F.to_json("headers")) <= max_bytes,
+        "size": reduce(lambda a, b: a + b, [F.octet_length(F.coalesce(x, F.lit(""))) for x in (F.col("body"), F.to_json("query_params"), F.to_json("headers"))]) <= max_bytes,
     }
+    return rules | ({"protocol": F.col("property_protocol") == protocol} if protocol else {})
+
+
+def with_errors(hits: DataFrame, max_bytes: int = MAX_BYTES, protocol: str | None = None) -> DataFrame:
+    """Append errors, the names of all rules that the hit breaks; valid hits have none."""
+    rules = validation_rules(max_bytes, protocol)
+    return hits.withColumn("errors", F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()])))
 
 
-def validate(hits: DataFrame, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+def validate(hits: DataFrame, max_bytes: int = MAX_BYTES, protocol: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Valid hits, and rejected ones with all their errors (for a dead-letter sink)."""
-    rules = validation_rules(max_bytes)
-    errors = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
-    judged = hits.withColumn("errors", errors)
+    judged = with_errors(hits, max_bytes, protocol)
     return judged.where(F.size("errors") == 0).drop("errors"), judged.where(F.size("errors") > 0)

@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..functions.casts import CASTS, TYPES
+from ..functions.casts import CAST_SQL, CASTS, TYPES
 from ..plans.columns import ColumnDef
 from .requests import value
 
@@ -18,11 +18,14 @@ NULL_COLUMNS = ("geo_metro", "geo_sub_continent")
 
 def param(name: str, source: str, cast: str = "str", interface: str = "", breaks: bool = False) -> ColumnDef:
     """A request parameter with a cast."""
-    return ColumnDef(name, TYPES[cast], lambda: CASTS[cast](value(source)), interface or name, breaks=breaks, doc=f"request parameter {source}")
+    sql = CAST_SQL[cast].format(v=urls.first_value_sql("query_params", source))
+    return ColumnDef(name, TYPES[cast], lambda: F.expr(sql), interface or name, breaks=breaks, doc=f"request parameter {source}")
 
 
 def page_param(name: str, source: str) -> ColumnDef:
-    return ColumnDef(name, "string", lambda: CASTS["str"](urls.first_value(F.col("_page_query"), source)), f"events/{name}", depends_on=("_page_query",), doc=f"page parameter {source}")
+    """A parameter of the page's original address."""
+    sql = CAST_SQL["str"].format(v=urls.first_value_sql("_page_query", source))
+    return ColumnDef(name, "string", lambda: F.expr(sql), f"events/{name}", depends_on=("_page_query",), doc=f"page parameter {source}")
 
 
 def computed(name: str, kind: str, build, *deps: str, **more) -> ColumnDef:
@@ -40,8 +43,8 @@ def gcs_flag(index: int) -> Column:
 def shared(page: str, title: str, referrer: str, protocol: str, lang: str, resolution: str, excluded=urls.EXCLUDED_PARAMS) -> list[ColumnDef]:
     out = [
         computed("original_page_location", "string", lambda: value(page)),
-        computed("_page_query", "map<string,array<string>>", lambda: urls.parse_query(urls.query(F.col("original_page_location"))), "original_page_location"),
-        computed("page_location", "string", lambda: urls.strip_params(value(page), tuple(excluded))),
+        computed("_page_query", "map<string,array<string>>", lambda: urls.parse_query(urls.query(F.coalesce(F.nullif("original_page_location", F.lit("")), F.col("page_location")))), "original_page_location", "page_location"),
+        computed("page_location", "string", lambda: urls.strip_params(F.coalesce(F.col("original_page_location"), F.lit("")), tuple(excluded)), "original_page_location"),
         computed("page_hostname", "string", lambda: urls.host(F.col("page_location")), "page_location"),
         computed("page_path", "string", lambda: urls.path(F.col("page_location")), "page_location"),
         computed("page_title", "string", lambda: value(title)),

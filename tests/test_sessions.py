@@ -127,9 +127,13 @@ def test_windows_equal_aggregation(spark):
 
 def test_filters(spark):
     df = spark.createDataFrame([("1", "10.1.2.3", "a"), ("2", "8.8.8.8", None), ("3", "2001:db8::1", "b")], "id string, ip string, v string")
-    run = lambda *c: [r["id"] for r in filters.apply_filters(df, list(c), ["id", "ip", "v"]).orderBy("id").collect()]
-    assert run(filters.Condition("x", "exclude", 'inCidr(ip, "10.0.0.0/8") || inCidr(ip, "2001:db8::/32")')) == ["2"]
-    assert run(filters.Condition("x", "allow", "v == '<nil>' || missing == 'y'")) == ["2"]
-    assert run(filters.Condition("x", "exclude", "v == 'a'"), filters.Condition("y", "allow", "true")) == ["2", "3"]
+    run = lambda *c: [r["id"] for r in filters.apply_filters(df, list(c), ["id", "ip", "v", "missing"]).orderBy("id").collect()]
+    assert run(filters.Condition("x", "exclude", "in_cidr(ip, '10.0.0.0/8') or in_cidr(ip, '2001:db8::/32')")) == ["2"]
+    assert run(filters.Condition("x", "allow", "v = '<nil>' or missing = 'y'")) == ["2"]
+    assert run(filters.Condition("x", "exclude", "v = 'a'"), filters.Condition("y", "allow", "true")) == ["2", "3"]
+    # What fails on an event, or is neither true nor false, is skipped for it.
+    assert run(filters.Condition("x", "exclude", "v > 5")) == run(filters.Condition("x", "exclude", "1 / (id - 2) > 0 and v > 5")) == run(filters.Condition("x", "exclude", "v")) == ["1", "2", "3"]
+    assert run(filters.Condition("x", "exclude", "id >= 2")) == ["1"] and run(filters.Condition("x", "exclude", "v = 'it''s'")) == ["1", "2", "3"]
+    assert [r["id"] for r in filters.apply_filters(df, [filters.Condition("x", "allow", "is_local(ip)")], ["ip"], {"is_local": ("ip string", "boolean", "startswith(ip, '10.')")}).collect()] == ["1"]
     with pytest.raises(Exception):
         run(filters.Condition("x", "exclude", "v == == 'a'"))
