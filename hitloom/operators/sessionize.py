@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+
+from .components import components
+from .lookups import small
 
 CLIENT = ["property_id", "client_id"]
 
@@ -25,14 +27,25 @@ def sessionize(events: DataFrame, timeout_s: int = 1800, key: list[str] = CLIENT
     return events.withColumn("_new", new).withColumn("proto_seq", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def drop_late(events: DataFrame, timeout_s: int = 1800, arrival: str = "arrival", ts: str = "ts", tie: str = "id") -> DataFrame:
+#: Ranges of arrival by which a property's hits are dealt out.
+RANGES = 128
+
+
+def drop_late(events: DataFrame, timeout_s: int = 1800, arrival: str = "arrival", ts: str = "ts", tie: str = "id", ranges: int = RANGES) -> DataFrame:
     """Append is_late: the session that the hit would belong to closed before it arrived (its time-out lies behind the clock).
 
-    The clock is the largest time seen in earlier arrivals of the property.
+    The clock is the largest time seen in earlier arrivals of the property: the largest of the ranges of arrival before the hit's own,
+    and of what came before it in its own. So a property with most of the hits is shared by `ranges` tasks.
     """
-    w = Window.partitionBy("property_id").orderBy(arrival, tie).rowsBetween(Window.unboundedPreceding, -1)
-    clock = F.max(F.unix_seconds(ts)).over(w)
-    return events.withColumn("is_late", F.coalesce(F.unix_seconds(ts) + timeout_s <= clock, F.lit(False)))
+    seconds = F.unix_seconds(ts)
+    cuts = events.groupBy(F.col("property_id").alias("_p")).agg(F.percentile_approx(arrival, [i / ranges for i in range(1, ranges)]).alias("_cuts"))
+    dealt = events.join(small(cuts), events["property_id"].eqNullSafe(F.col("_p")), "left").withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(arrival)))).drop("_p", "_cuts")
+    top = dealt.groupBy(F.col("property_id").alias("_p"), F.col("_range").alias("_r")).agg(F.max(seconds).alias("_top"))
+    before = Window.partitionBy("_p").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    top = top.select("_p", "_r", F.max("_top").over(before).alias("_before"))
+    own = Window.partitionBy("property_id", "_range").orderBy(arrival, tie).rowsBetween(Window.unboundedPreceding, -1)
+    seen = dealt.withColumn("_seen", F.max(seconds).over(own)).join(small(top), F.col("property_id").eqNullSafe(F.col("_p")) & (F.col("_range") == F.col("_r")), "left")
+    return seen.withColumn("is_late", F.coalesce(seconds + timeout_s <= F.greatest("_seen", "_before"), F.lit(False))).drop("_range", "_seen", "_p", "_r", "_before")
 
 
 def isolated_id(*parts: str):
@@ -69,12 +82,13 @@ def request_stamp(headers: tuple[str, ...] = STAMP_HEADERS, explicit: str | None
 STITCH_STATE = 100_000
 
 
-def _stitch_rows(batches: Iterator[pa.RecordBatch], width: int, timeout_s: int, stamps: bool, users: bool) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by property and time: each key's first owner keeps it until the owner's session is over.
+def _owners(batches: Iterator[tuple[pd.Series, ...]], timeout_s: int, stamps: bool, users: bool) -> Iterator[pd.Series]:
+    """Rows (group, time, client, stamp, user) come sorted by group and time: each key's first owner keeps it until the owner's
+    session is over. Rows without a group keep their client.
 
     The state is the open sessions and their keys, so memory doesn't grow with the hits.
     """
-    gap, prop, limit = timeout_s * 1_000_000, None, STITCH_STATE
+    gap, now, limit = timeout_s * 1_000_000, None, STITCH_STATE
     owner: dict[tuple, tuple] = {}  # key -> client and start of the client's session
     spans: dict[str, list] = {}  # client -> start and latest hit of its session
 
@@ -86,11 +100,13 @@ def _stitch_rows(batches: Iterator[pa.RecordBatch], width: int, timeout_s: int,
     def is_open(client: str, start: int, ts: int) -> bool:
         return client in spans and spans[client][0] == start and ts - spans[client][1] <= gap
 
-    for batch in batches:
-        out = []
-        for p, ts, client, stamp, user in zip(*(batch.column(width + i).to_pylist() for i in range(5))):
-            if p != prop:
-                prop, owner, spans = p, {}, {}
+    for groups, times, clients, stamp_of, user_of in batches:
+        out = clients.tolist()
+        asked = np.flatnonzero(groups.notna().to_numpy())
+        for i, g, ts, stamp, user in zip(asked.tolist(), *(c.iloc[asked].tolist() for c in (groups, times, stamp_of, user_of))):
+            client = out[i]
+            if g != now:
+                now, owner, spans = g, {}, {}
             found = client
             for on, kind, value in ((stamps, "stamp", stamp), (users, "user", user)):
                 if not on or not value:
@@ -101,27 +117,63 @@ def _stitch_rows(batches: Iterator[pa.RecordBatch], width: int, timeout_s: int,
                 elif held[0] != client:
                     found = held[0]
             span(found, ts)[1] = ts
-            out.append(found)
+            out[i] = found
             if len(owner) + len(spans) > limit:
                 owner = {k: h for k, h in owner.items() if is_open(*h, ts)}
                 spans = {c: s for c, s in spans.items() if ts - s[1] <= gap}
                 limit = max(STITCH_STATE, 2 * (len(owner) + len(spans)))
-        arrays = [batch.column(i) for i in range(width)] + [pa.array(out, pa.string())]
-        yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:width], "stitched_client_id"])
+        yield pd.Series(out, dtype=object)
+
+
+def _node(kind: str, *columns: str) -> Column:
+    return F.xxhash64(F.lit(kind), *columns)
+
+
+def stitching_groups(events: DataFrame, timeout_s: int, by_stamp: bool, by_user: bool, rounds: int = 2) -> DataFrame:
+    """Append _group: hits that can bear on each other's owners have the same one; null for clients that share no key.
+
+    Clients are joined by the stamps and user ids that they share (connected components); a component is cut where
+    none of its hits falls into a whole time-out, since all its sessions are closed there. Clients are then joined anew within
+    each piece, and pieces cut again. Two values with one hash only make a group larger.
+    """
+    keys = [c for on, c in ((by_stamp, "_stamp"), (by_user, "_user")) if on]
+    df = events.withColumns({"_slot": F.floor(F.unix_micros("ts") / (timeout_s * 1_000_000)), "_piece": F.lit(0).cast("bigint"), "_p": F.col("property_id").cast("string"), "_c": F.col("client_id").cast("string")})
+    for _ in range(rounds):
+        client = _node("client", "_p", "_piece", "_c")
+        edges = [df.where(F.col(k).isNotNull()).select(client.alias("a"), _node(k, "_p", "_piece", k).alias("b")) for k in keys]
+        comps = components(reduce(DataFrame.union, edges).distinct()) if edges else None
+        if comps is None:
+            break
+        df = df.withColumn("_node", client)
+        df = df.join(comps.select(F.col("node").alias("_node"), F.col("comp").alias("_comp")), "_node", "left")
+        slots = df.where("_comp is not null").select("_comp", "_slot").distinct()
+        order = Window.partitionBy("_comp").orderBy("_slot")
+        fresh = F.coalesce((F.col("_slot") - F.lag("_slot").over(order) > 1).cast("int"), F.lit(0))
+        pieces = slots.withColumn("_new", fresh).withColumn("_nth", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        pieces = pieces.select("_comp", "_slot", F.xxhash64("_comp", "_nth").alias("_next"))
+        df = df.join(pieces, ["_comp", "_slot"], "left").withColumn("_piece", F.coalesce("_next", "_piece")).drop("_next", "_node")
+        df = df.withColumnRenamed("_comp", "_last").drop("_group").withColumn("_group", F.when(F.col("_last").isNotNull(), F.col("_piece"))).drop("_last")
+    return df.drop("_slot", "_piece", "_p", "_c") if keys else df.withColumn("_group", F.lit(None).cast("bigint")).drop("_slot", "_piece", "_p", "_c")
 
 
 def stitch(events: DataFrame, timeout_s: int = 1800, by_stamp: bool = True, by_user: bool = True) -> DataFrame:
     """Append stitched_client_id: the client that first held the hit's session stamp or user id.
 
-    First owner wins, chains aren't followed, keys are free again once their owner's session is over. Keys of a
-    property can meet in any order, so the general rule folds a property's hits in time order, streamed through one task
-    a property with the open sessions as state; stitch_by_stamp spreads further.
+    First owner wins, chains aren't followed, keys are free again once their owner's session is over. The rule is a fold over
+    hits in time order; it runs within each of stitching_groups, so that a large property spreads, and takes only keys and times
+    with it. stitch_by_stamp needs no fold.
     """
-    schema = StructType([*events.schema.fields, StructField("stitched_client_id", StringType())])
-    helpers = [F.col("property_id").cast("string").alias("_p"), F.unix_micros("ts").alias("_t"), *[F.col(c).cast("string").alias(f"_{c}") for c in ("client_id", "session_stamp", "user_id")]]
-    ordered = events.repartition("property_id").sortWithinPartitions("property_id", "ts", "id").select("*", *helpers)
-    width = len(events.columns)
-    return ordered.mapInArrow(lambda batches: _stitch_rows(batches, width, timeout_s, by_stamp, by_user), schema)
+    names = events.columns
+    keyed = events.withColumns({"_stamp": F.nullif(F.col("session_stamp").cast("string"), F.lit("")), "_user": F.nullif(F.col("user_id").cast("string"), F.lit(""))})
+    grouped = stitching_groups(keyed, timeout_s, by_stamp, by_user)
+    ordered = grouped.repartition(F.coalesce("_group", _node("client", "property_id", "client_id"))).sortWithinPartitions("_group", "ts", "id")
+
+    @F.pandas_udf("string")
+    def owners(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        return _owners(batches, timeout_s, by_stamp, by_user)
+
+    found = owners.asNondeterministic()("_group", F.unix_micros("ts"), F.col("client_id").cast("string"), "_stamp", "_user")  # its place in the order counts
+    return ordered.withColumn("stitched_client_id", found).select(*names, "stitched_client_id")
 
 
 def stitch_by_stamp(events: DataFrame, timeout_s: int = 1800) -> DataFrame:

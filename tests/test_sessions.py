@@ -3,9 +3,10 @@
 import datetime as dt
 import random
 
-import pyarrow as pa
+import pandas as pd
 import pytest
 from hitloom.operators import filters, page_flow, session_totals, sessionize
+from pyspark.sql import functions as F
 
 T0 = dt.datetime(2024, 1, 1, 12)
 
@@ -45,14 +46,26 @@ def test_stitching(spark, rows, want):
 def test_stitching_with_little_state(spark, monkeypatch):
     rng = random.Random(8)
     rows = sorted((rng.randrange(40_000), rng.choice("abcdefgh"), rng.choice(["s", "t", "x", None]), rng.choice(["u", "v", None])) for _ in range(200))
-    cols = [[*c] for c in zip(*[("p", t * 1_000_000, c, s, u) for t, c, s, u in rows])]
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in [cols[0], *cols]], names=list("zptcsu"))
-    run = lambda: next(sessionize._stitch_rows(iter([batch]), 1, 1800, True, True)).column("stitched_client_id").to_pylist()
+    batch = tuple(pd.Series(list(c), dtype=object) for c in zip(*[("g", t * 1_000_000, c, s, u) for t, c, s, u in rows]))
+    run = lambda: next(sessionize._owners(iter([batch]), 1800, True, True)).tolist()
     want = run()
     monkeypatch.setattr(sessionize, "STITCH_STATE", 2)
     assert run() == want and want == owners(sessionize.stitch(hits(spark, rows)))
 
 
+def test_stitching_in_groups_equals_the_fold_over_a_property(spark):
+    rng = random.Random(19)
+    rows = sorted((rng.randrange(400_000), rng.choice([f"c{i}" for i in range(40)]), rng.choice([f"s{i}" for i in range(60)] + [None] * 60), rng.choice([f"u{i}" for i in range(20)] + [None] * 80)) for _ in range(600))
+    rows = [(t * 1.0, *r) for t, *r in rows]
+    batch = tuple(pd.Series(list(c), dtype=object) for c in zip(*[("g", int(t * 1_000_000), c, s, u) for t, c, s, u in rows]))
+    want = next(sessionize._owners(iter([batch]), 1800, True, True)).tolist()
+    df = hits(spark, rows)
+    assert owners(sessionize.stitch(df)) == want and any(w != r[1] for w, r in zip(want, rows))
+    grouped = sessionize.stitching_groups(df.withColumnsRenamed({"session_stamp": "_stamp", "user_id": "_user"}), 1800, True, True)
+    n = [r["n"] for r in grouped.where("_group is not null").groupBy("_group").agg(F.count("*").alias("n")).collect()]
+    assert len(n) > 20 and max(n) < 300  # one property, many groups
+
+
 def test_stamp_runs_agree_with_the_fold(spark):
     rng = random.Random(3)
     rows = sorted((rng.randrange(20_000), rng.choice("abc"), rng.choice(["s", "t", None]), None) for _ in range(40))
