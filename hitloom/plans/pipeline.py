@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -16,10 +17,43 @@ from .columns import ColumnDef, Registry
 GIVEN = ("id", "name", "ts", "property_id", "property_name", "client_id", "user_id", "ip_address", "headers", "query_params")
 
 
+@dataclass(frozen=True)
+class Protocol:
+    """What a tracking protocol brings; pass one of your own as Options.protocol."""
+
+    name: str
+    explode: Callable[[DataFrame], DataFrame]
+    keys: Callable[[DataFrame], DataFrame]
+    columns: Callable[[bool, tuple[str, ...]], list[ColumnDef]]  # with rates?, parameters to strip
+    property_key: str = "measurement_id"
+    required: tuple[str, ...] = ("client_id", "measurement_id", "name")
+    page: str = "dl"
+    totals: str = "ga4"
+    merged: tuple[tuple[str, str, str], ...] = ()  # array, its key, the session's column
+
+
+def _ga4(tracking: str, domain: str) -> Callable[[bool, tuple[str, ...]], list[ColumnDef]]:
+    return lambda rates, excluded: ga4.columns(tracking, domain, rates, excluded) + (ga4.usd_columns() if rates else [])
+
+
+PROTOCOLS = {
+    "ga4": Protocol("ga4", requests.explode_ga4, requests.keys_ga4, _ga4("ga4_gtag", "ga4")),
+    "native": Protocol("native", requests.explode_ga4, requests.keys_ga4, _ga4("d8a", "d8a")),
+    "matomo": Protocol(
+        "matomo", requests.explode_matomo, requests.keys_matomo, lambda _, excluded: matomo.columns(excluded), "site_id", ("client_id", "name"), "url", "matomo",
+        (("_session_variables", "name", "session_custom_variables"), ("custom_dimensions", "slot", "session_custom_dimensions")),
+    ),
+}
+
+
+def protocol_of(named: str | Protocol) -> Protocol:
+    return named if isinstance(named, Protocol) else PROTOCOLS[named]
+
+
 @dataclass
 class Options:
     timeout_s: int = 1800
-    protocol: str = "ga4"
+    protocol: str | Protocol = "ga4"
     split: bool = True
     max_session_s: int = 43_200
     max_session_events: int = 1000
@@ -34,19 +68,13 @@ class Options:
 
 
 def registry(options: Options, with_rates: bool = False) -> Registry:
-    if options.protocol == "matomo":
-        own, usd = matomo.columns(excluded=options.excluded_params), []
-    else:
-        native = options.protocol == "native"
-        own = ga4.columns("d8a" if native else "ga4_gtag", "d8a" if native else "ga4", with_rates, options.excluded_params)
-        usd = ga4.usd_columns() if with_rates else []
-    return Registry(own, usd, options.custom, given=GIVEN)
+    return Registry(protocol_of(options.protocol).columns(with_rates, options.excluded_params), options.custom, given=GIVEN)
 
 
 def event_columns(hits: DataFrame, options: Options, rates: DataFrame | None = None, geo: DataFrame | None = None) -> DataFrame:
     """Event-scope columns. Lookups join before the columns that need them."""
     df = hits if "property_name" in hits.columns else hits.withColumn("property_name", F.lit(""))
-    if rates is not None and options.protocol != "matomo":
+    if rates is not None and protocol_of(options.protocol).totals == "ga4":
         dollars = rates.where("quote = 'usd'").select(F.col("base").alias("_base"), F.col("rate").alias("_usd_rate"))
         df = df.join(lookups.small(dollars), F.lower(F.trim(casts.str_or_null(requests.value("ep.currency")))) == F.col("_base"), "left").drop("_base")
     df = registry(options, rates is not None).project(df, "event").drop("_usd_rate")
@@ -71,6 +99,7 @@ def build_events(hits: DataFrame, options: Options | None = None, referrers: Dat
     The input is read once: all lookups are broadcast constants or tables, and the windows of a session share one exchange and order.
     """
     o = options or Options()
+    p = protocol_of(o.protocol)
     joined = o.join_by_stamp or o.join_by_user
     if joined or o.isolate:
         hits = isolated(hits)
@@ -86,22 +115,20 @@ def build_events(hits: DataFrame, options: Options | None = None, referrers: Dat
     if joined or o.isolate:
         key = ["property_id", "stitched_client_id"]
     session = [*key, *page_flow.SESSION[2:]]
-    hits = hits.withColumn("utm_campaign", casts.str_or_null(urls.query_param(requests.value("url" if o.protocol == "matomo" else "dl"), "utm_campaign")))
+    hits = hits.withColumn("utm_campaign", casts.str_or_null(urls.query_param(requests.value(p.page), "utm_campaign")))
     df = sessionize.sessionize(hits, o.timeout_s, key)
     df = sessionize.split(df, o.max_session_s, o.max_session_events, group=[*key, "proto_seq"]) if o.split else df.withColumn("split_idx", F.lit(0).cast("bigint")).withColumn("_split_cause", F.lit(None).cast("string"))
     df = event_columns(df.drop("utm_campaign"), o, rates, geo)
     df = filters.apply_filters(df, o.conditions, o.filter_fields)
-    protocol = "matomo" if o.protocol == "matomo" else "ga4"
     windows = page_flow.SessionWindows(session)
     df = page_flow.add_page_flow(df, windows)
     if referrers is not None:
         df = attribution.attribute(df, referrers, first=F.col("session_hit_number") == 0)
         df = df.withColumns({c: F.first(c).over(windows.ordered) for c in ("session_source", "session_medium", "session_term")})
-    df = session_totals.on_every_event(df, protocol, session)
+    df = session_totals.on_every_event(df, p.totals, session)
     df = session_totals.mode_values_on_every_event(df, keys=session, several=joined)
-    if protocol == "matomo":
-        for array, name, out in (("_session_variables", "name", "session_custom_variables"), ("custom_dimensions", "slot", "session_custom_dimensions")):
-            df = session_totals.merged_on_every_event(df, array, name, "value", out, session)
+    for array, name, out in p.merged:
+        df = session_totals.merged_on_every_event(df, array, name, "value", out, session)
     df = registry(o, rates is not None).project(df.withColumn("_session", F.lit(True)), "session", over=Window.partitionBy(*session).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     # Broken: what a column says that must not be null, and an empty name; an address that can't be read breaks the session.
     must = [F.col(c.name).isNull() for c in registry(o, rates is not None).columns.values() if c.breaks]
@@ -112,27 +139,27 @@ def build_events(hits: DataFrame, options: Options | None = None, referrers: Dat
     return wide.drop(*hidden, "query_params", "headers", "proto_seq", "split_idx", "auth_client_id", "stitched_client_id", "user_key", "session_stamp", "errors")
 
 
-def hits_from_requests(raw: DataFrame, protocol: str = "ga4", settings: DataFrame | None = None, mask_level: int = 0, trusted_proxy: bool = False, max_bytes: int | None = None) -> DataFrame:
+def hits_from_requests(raw: DataFrame, protocol: str | Protocol = "ga4", settings: DataFrame | None = None, mask_level: int = 0, trusted_proxy: bool = False, max_bytes: int | None = None) -> DataFrame:
     """Requests to hits with keys, in the order of intake: explode, client address, mask, keys, property, validation.
 
     id is derived from the request's id and the line. settings: measurement_id (site_id for Matomo), property_id, property_name,
     property_protocol; hits without a known property go to the rejects. max_bytes: judge hits by the validation rules.
     Hits that aren't valid have their errors in the column errors; see rejects().
     """
-    rows = requests.explode_matomo(raw) if protocol == "matomo" else requests.explode_ga4(raw)
+    p = protocol_of(protocol)
+    rows = p.explode(raw)
     rows = rows.withColumn("id", F.sha2(F.concat_ws("|", "request_id", F.coalesce("_line_no", F.lit(0))), 256)).drop("_line_no")
     if trusted_proxy:
         rows = rows.withColumn("ip_address", addresses.real_ip(F.col("headers"), F.col("ip_address"), F.lit(True)))
     if mask_level:
         rows = rows.withColumn("ip_address", addresses.mask_ip(F.col("ip_address"), mask_level))
-    rows = requests.keys_matomo(rows) if protocol == "matomo" else requests.keys_ga4(rows)
+    rows = p.keys(rows)
     if settings is not None:
-        rows = lookups.with_property(rows.drop("property_id"), settings, default=True, key="site_id" if protocol == "matomo" else "measurement_id")
+        rows = lookups.with_property(rows.drop("property_id"), settings, default=True, key=p.property_key)
     rows = rows.withColumn("ts", F.col("server_received_time"))
     if max_bytes is not None:
-        return requests.with_errors(rows, max_bytes, protocol if settings is not None else None)
-    known = F.col("property_id").isNotNull()
-    return rows.where(requests.has_keys(protocol) & known)
+        return requests.with_errors(rows, max_bytes, p.name if settings is not None else None)
+    return rows.where(requests.has_keys(p.required) & (F.col("property_id").isNotNull() if "property_id" in rows.columns else F.lit(True)))
 
 
 def accepted(judged: DataFrame) -> DataFrame:

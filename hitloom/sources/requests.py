@@ -45,9 +45,8 @@ def keys_ga4(hits: DataFrame) -> DataFrame:
     return hits.withColumns({"client_id": value("cid"), "measurement_id": value("tid"), "user_id": F.nullif(value("uid"), F.lit("")), "name": value("en")})
 
 
-def has_keys(protocol: str) -> Column:
+def has_keys(names: tuple[str, ...]) -> Column:
     """Does the hit have the keys that its protocol asks for?"""
-    names = ("client_id", "name") if protocol == "matomo" else ("client_id", "measurement_id", "name")
     return reduce(lambda a, b: a & b, [F.coalesce(F.col(n), F.lit("")) != "" for n in names])
 
 

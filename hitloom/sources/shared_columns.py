@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.casts import CAST_SQL, CASTS, TYPES
-from ..plans.columns import ColumnDef
+from ..plans.columns import ColumnDef, session_column
 from .requests import value
 
 CAMPAIGN_PARAMS = ("utm_campaign", "utm_source", "utm_medium", "utm_content", "utm_term", "utm_id", "utm_source_platform", "utm_creative_format", "utm_marketing_tactic")
@@ -28,6 +28,12 @@ def page_param(name: str, source: str) -> ColumnDef:
     return ColumnDef(name, "string", lambda: F.expr(sql), f"events/{name}", depends_on=("_page_query",), doc=f"page parameter {source}")
 
 
+def session_param(name: str, source: str, cast: str = "str") -> ColumnDef:
+    """A request parameter of the session's last event, null included."""
+    sql = CAST_SQL[cast].format(v=urls.first_value_sql("query_params", source))
+    return session_column(name, TYPES[cast], lambda: F.last(F.expr(sql)), doc=f"request parameter {source} of the last event")
+
+
 def computed(name: str, kind: str, build, *deps: str, **more) -> ColumnDef:
     return ColumnDef(name, kind, build, f"events/{name}", depends_on=deps, **more)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import re
 
@@ -17,9 +18,30 @@ def read_queue(spark: SparkSession, path: str, schema: StructType | str, fmt: st
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).option("latestFirst", "false").format(fmt).load(path)
 
 
-def table_path(template: str, name: str, schema: StructType) -> str:
-    """{table} and {schema} of a path template; the name is escaped."""
-    return template.format(table=escape_name(name), schema=fingerprint(schema))
+def table_path(template: str, name: str, schema: StructType, sealed: datetime.datetime | None = None, segment: str = "", extension: str = "") -> str:
+    """{table}, {schema}, {year}, {month}, {day} of the sealing time (UTC), {segment} and {extension} of a path template; the name is escaped."""
+    at = sealed or datetime.datetime.now(datetime.UTC)
+    return template.format(table=escape_name(name), schema=fingerprint(schema), year=f"{at:%Y}", month=f"{at:%m}", day=f"{at:%d}", segment=segment, extension=extension)
+
+
+def tap_requests(requests: DataFrame, path: str, checkpoint: str, every: str = "1 minute"):
+    """A second sink beside the pipeline: a stream's raw requests as they came, by day."""
+    dated = requests.withColumn("day", F.to_date("server_received_time"))
+    return dated.writeStream.partitionBy("day").format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def segment_rows(df: DataFrame, segment_bytes: int, sample: int = 10_000) -> int:
+    """Rows that make a segment of about so many bytes, judged by the JSON size of the first rows."""
+    size = df.limit(sample).select(F.avg(F.octet_length(F.to_json(F.struct("*"))))).collect()[0][0]
+    return max(1, int(segment_bytes / size)) if size else 1
+
+
+def in_table_order(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df's columns in the table's order; a differing set of columns is an error that lists both sides."""
+    missing, more = [c for c in columns if c not in df.columns], [c for c in df.columns if c not in columns]
+    if missing or more:
+        raise ValueError(f"the rows lack {missing or 'nothing'}, the table lacks {more or 'nothing'}")
+    return df.select(*columns)
 
 
 def escape_name(name: str) -> str:
@@ -41,6 +63,7 @@ def with_partition(df: DataFrame, stamp=None) -> DataFrame:
 
 
 def write_parquet(df: DataFrame, path: str, codec: str = "zstd", rows_a_file: int = 5_000_000, partitioned: bool = False) -> None:
+    """Segments end at rows_a_file (see segment_rows for a size); in a stream the trigger's interval ends them by age."""
     df = with_partition(df) if partitioned else df
     order = [c for c in ("property_id", "date_utc", "session_id") if c in df.columns]
     df = df.sortWithinPartitions(*order) if order else df
@@ -61,7 +84,8 @@ def write_csv(df: DataFrame, path: str, gzip: bool = False) -> None:
 
 def write_jdbc(df: DataFrame, url: str, table: str, **options: str) -> None:
     """Append to a warehouse table, columns in the table's own order by name; a differing set of columns is an error."""
-    flat(df).write.mode("append").options(**options).jdbc(url, table)
+    columns = df.sparkSession.read.options(**options).jdbc(url, table).columns
+    in_table_order(flat(df), columns).write.mode("append").options(**options).jdbc(url, table)
 
 
 def write_json(df: DataFrame, path: str) -> None:

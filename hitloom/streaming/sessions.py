@@ -8,17 +8,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
-HIT = "id string, name string, page_location string, ts timestamp"
-OUT = "property_id string, client_id string, session_id string, id string, name string, page_location string, ts timestamp, session_hit_number long, session_total_events long, session_duration long"
+HIT = "id string, name string, page_location string, ts timestamp, payload string"
+OUT = "property_id string, client_id string, session_id string, id string, name string, page_location string, ts timestamp, payload string, session_hit_number long, session_total_events long, session_duration long, is_late boolean"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FIELDS = ["id", "name", "page_location", "ts", "payload"]
 
 
 class SessionProcessor(StatefulProcessor):
-    """State of a key: its open hits and the expiry. An expired session is emitted whole, in time order."""
+    """State of a key: its open hits and the expiry. An expired session is emitted whole, in time order; a hit whose session is
+    over by the clock comes out at once, marked as late.
 
-    def __init__(self, timeout_s: int = 1800):
-        self.timeout_ms = timeout_s * 1000
+    The clock is the largest time seen: the watermark trails it by behind_s, so that late hits still reach the processor."""
+
+    def __init__(self, timeout_s: int = 1800, behind_s: int = 88_200):
+        self.timeout_ms, self.behind_ms = timeout_s * 1000, behind_s * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -26,27 +31,31 @@ class SessionProcessor(StatefulProcessor):
         self.expiry = handle.getValueState("expiry", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        clock = timerValues.getCurrentWatermarkInMs()
-        latest = 0
+        mark = timerValues.getCurrentWatermarkInMs()
+        clock = mark + self.behind_ms if mark > 0 else 0
+        latest, late = 0, []
         for batch in rows:
-            for r in batch.itertuples(index=False):
-                at = int(pd.Timestamp(r.ts).value // 1_000_000)
-                if at + self.timeout_ms <= clock:
-                    continue  # its session is over
-                self.hits.appendValue((r.id, r.name, r.page_location, r.ts))
-                latest = max(latest, at)
+            at = batch["ts"].astype("datetime64[ms]").astype("int64")
+            over = at + self.timeout_ms <= clock
+            if over.any():
+                late.append(batch.loc[over, FIELDS])
+            held = batch.loc[~over, FIELDS]
+            if len(held):
+                self.hits.appendList([tuple(r) for r in held.astype(object).where(held.notna(), None).itertuples(index=False)])
+                latest = max(latest, int(at[~over].max()))
         if latest:
             before = self.expiry.get()[0] if self.expiry.exists() else 0
-            expiry = max(before, latest + self.timeout_ms + 1)
+            expiry = max(before, latest + self.timeout_ms + 1 - self.behind_ms)  # on the watermark's scale
             if expiry > before:
                 if before:
                     self.handle.deleteTimer(before)
                 self.handle.registerTimer(expiry)
                 self.expiry.update((expiry,))
-        return iter(())
+        for some in late:
+            yield some.assign(property_id=key[0], client_id=key[1], session_id=None, session_hit_number=0, session_total_events=0, session_duration=0, is_late=True)[[c.split()[0] for c in OUT.split(", ")]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(list(self.hits.get()), columns=["id", "name", "page_location", "ts"]).sort_values(["ts", "id"], kind="stable").reset_index(drop=True)
+        held = pd.DataFrame(list(self.hits.get()), columns=FIELDS).sort_values(["ts", "id"], kind="stable").reset_index(drop=True)
         self.hits.clear()
         self.expiry.clear()
         if held.empty:
@@ -56,23 +65,45 @@ class SessionProcessor(StatefulProcessor):
         for _, one in held.groupby(seq):
             n, first, last = len(one), one["ts"].iloc[0], one["ts"].iloc[-1]
             yield pd.DataFrame({
-                "property_id": key[0], "client_id": key[1], "session_id": one["id"].iloc[0], "id": one["id"], "name": one["name"], "page_location": one["page_location"], "ts": one["ts"],
-                "session_hit_number": range(n), "session_total_events": n, "session_duration": int(last.timestamp()) - int(first.timestamp()),
+                "property_id": key[0], "client_id": key[1], "session_id": one["id"].iloc[0], "id": one["id"], "name": one["name"], "page_location": one["page_location"], "ts": one["ts"], "payload": one["payload"],
+                "session_hit_number": range(n), "session_total_events": n, "session_duration": int(last.timestamp()) - int(first.timestamp()), "is_late": False,
             })
 
     def close(self) -> None:
         pass
 
 
-def stream_sessions(hits: DataFrame, timeout_s: int = 1800, delay: str = "0 seconds") -> DataFrame:
-    """Closed sessions of a stream of hits (property_id, client_id, id, name, page_location, ts), a row for each event.
+def stream_sessions(hits: DataFrame, timeout_s: int = 1800, grace_s: int = 86_400) -> DataFrame:
+    """Closed sessions of a stream of hits (property_id, client_id, id, name, page_location, ts and any other columns, which pass through),
+    a row for each event; late hits come out with is_late, for a sink of their own, by the same clock that closes the sessions. Hits that are
+later than that by more than grace_s are dropped by Spark, which counts them.
 
     Needs the RocksDB state store. Heartbeats (rows with a null id) only move the clock; union them in to close idle sessions.
     """
     spark = hits.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    stamped = hits.withWatermark("ts", delay)
-    return stamped.where("id is not null").groupBy("property_id", "client_id").transformWithStateInPandas(SessionProcessor(timeout_s), OUT, "Append", "EventTime")
+    more = [f for f in hits.schema.fields if f.name not in {"property_id", "client_id", "id", "name", "page_location", "ts"}]
+    payload = F.to_json(F.struct(*[f.name for f in more])) if more else F.lit(None).cast("string")
+    stamped = hits.withColumn("payload", payload).select("property_id", "client_id", *FIELDS).withWatermark("ts", f"{timeout_s + grace_s} seconds")
+    out = stamped.where("id is not null").groupBy("property_id", "client_id").transformWithStateInPandas(SessionProcessor(timeout_s, timeout_s + grace_s), OUT, "Append", "EventTime")
+    if not more:
+        return out.drop("payload")
+    return out.withColumn("payload", F.from_json("payload", StructType(more))).select("*", *[F.col(f"payload.{f.name}").alias(f.name) for f in more]).drop("payload")
+
+
+def write_wide(options, write_events, write_late, **lookups):
+    """foreachBatch function over stream_sessions: every closed session of the batch becomes wide rows by the batch plan (the sessions are
+    whole), late hits go to write_late. The hits need the columns that build_events asks for."""
+    from ..plans.pipeline import build_events
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        closed = batch.where("not is_late").drop("session_id", "session_hit_number", "session_total_events", "session_duration", "is_late")
+        write_events(build_events(closed, options, **lookups), number)
+        write_late(batch.where("is_late"), number)
+        batch.unpersist()
+
+    return write
 
 
 def stream_counts(hits: DataFrame, gap: str = "30 minutes", delay: str = "0 seconds") -> DataFrame:

@@ -1,13 +1,14 @@
 """Scalar functions, column registry, requests, protocols, lookups, sinks, streaming."""
 
+import dataclasses
 import datetime as dt
 
 import pytest
 from hitloom.functions import addresses, casts, urls
-from hitloom.operators import lookups
-from hitloom.plans import pipeline
+from hitloom.operators import attribution, lookups
+from hitloom.plans import columns, pipeline
 from hitloom.plans.columns import ColumnDef, Registry, missing_columns
-from hitloom.sources import ga4, matomo, requests, sinks
+from hitloom.sources import ga4, matomo, requests, shared_columns, sinks
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -166,3 +167,61 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r["client_id"], r["id"], r["session_hit_number"], r["session_total_events"], r["session_duration"]) for r in spark.table("closed").collect()}
     assert got == {("a", "1", 0, 2, 600), ("a", "2", 1, 2, 600), ("b", "3", 0, 1, 0)}
+    late = [*rows, ("p", "a", "7", "click", "/x", t + dt.timedelta(minutes=1))]
+    keep = schema + ", value double, tags map<string,array<string>>"
+    for i, some in enumerate((late[:3], later, late[3:], [("p", "y", "10", "page_view", "/z", t + dt.timedelta(hours=9))])):
+        spark.createDataFrame([(*r, 1.5, {"k": ["v"]}) for r in some], keep).coalesce(1).write.parquet(str(tmp_path / f"in2/{i}"))
+    src = spark.readStream.schema(keep).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in2"))
+    q = sessions.stream_sessions(src).writeStream.format("memory").queryName("more").outputMode("append").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {r["id"]: (r["is_late"], r["value"], r["tags"]) for r in spark.table("more").collect()}
+    assert got["1"] == (False, 1.5, {"k": ["v"]}) and got["7"][0] is True and got["7"][1] == 1.5 and got["9"][0] is False
+
+
+def requests_of(spark, *queries, headers=None):
+    rows = [(f"r{i}", q, "", dt.datetime(2024, 1, 1, 0, i)) for i, q in enumerate(queries)]
+    df = spark.createDataFrame(rows, "request_id string, query string, body string, server_received_time timestamp")
+    heads = F.create_map(*[x for k, v in (headers or {"User-Agent": "x"}).items() for x in (F.lit(k), F.array(F.lit(v)))])
+    return df.select("*", F.lit("h").alias("host"), F.lit("/").alias("path"), F.lit("GET").alias("method"), F.lit("10.1.2.3").alias("ip_address"), heads.alias("headers"))
+
+
+def test_intake_with_properties_masks_and_rejects(spark):
+    settings = spark.createDataFrame([("G-1", "p1", "Shop", "ga4"), ("G-2", "p2", "Blog", "matomo")], "measurement_id string, property_id string, property_name string, property_protocol string")
+    raw_rows = requests_of(spark, "cid=a&tid=G-1&en=page_view&dl=https%3A%2F%2Fs.example%2F", "cid=a&tid=G-2&en=x", "cid=b&tid=G-9&en=x", "cid=&tid=G-1&en=", headers={"X-Real-IP": "192.0.2.77"})
+    judged = pipeline.hits_from_requests(raw_rows, "ga4", settings, mask_level=1, trusted_proxy=True, max_bytes=10_000)
+    bad = {r["request_id"]: set(r["errors"]) for r in pipeline.rejects(judged).collect()}
+    assert bad == {"r1": {"protocol"}, "r2": {"property_id", "protocol"}, "r3": {"client_id", "name"}}
+    good = pipeline.accepted(judged)
+    wide = pipeline.build_events(good, pipeline.Options(isolate=True)).collect()
+    assert [(r["property_id"], r["property_name"], r["ip_address"], r["client_id"]) for r in wide] == [("p1", "Shop", "192.0.2.0", "a")]
+
+
+def test_broken_sessions_and_session_columns(spark):
+    q = ["cid=a&tid=G&en=page_view&dl=https%3A%2F%2Fs.example%2F1&ep.plan=x&seg=1", "cid=a&tid=G&en=click&dl=https%3A%2F%2Fs.example%2F1&ep.plan=y", "cid=a&tid=G&en=click", "cid=b&tid=G&en=click&dl=d"]
+    hits = pipeline.hits_from_requests(requests_of(spark, *q)).withColumn("property_id", F.lit("p"))
+    plan = [{"name": "plan", "parameter": "plan"}, {"name": "session_plan", "scope": "session", "parameter": "plan"}]
+    custom = [*columns.custom_columns(plan, ga4.custom_param), shared_columns.session_param("last_event_plan", "ep.plan"), columns.ColumnDef("needed", "string", lambda: F.when(F.col("client_id") == "a", "x"), breaks=True)]
+    rows = pipeline.build_events(hits, pipeline.Options(custom=custom, join_by_user=True)).orderBy("ts").collect()
+    assert [(r["client_id"], r["plan"], r["session_plan"], r["last_event_plan"], r["session_is_engaged"]) for r in rows] == [("a", "x", "y", None, True), ("a", "y", "y", None, True), ("a", None, "y", None, True)]
+    # An address that can't be read breaks the whole session.
+    broken = columns.ColumnDef("page_location", "string", lambda: F.when(F.col("id") != hits.orderBy("ts").first()["id"], "x"))
+    own = dataclasses.replace(pipeline.PROTOCOLS["ga4"], columns=lambda rates, excluded: [broken if c.name == "page_location" else c for c in ga4.columns()])
+    assert {r["client_id"] for r in pipeline.build_events(hits, pipeline.Options(protocol=own)).collect()} == {"b"}
+
+
+def test_sinks_layout_and_order(spark):
+    df = spark.createDataFrame([(1, "a")], "b int, a string")
+    assert sinks.in_table_order(df, ["a", "b"]).columns == ["a", "b"]
+    with pytest.raises(ValueError):
+        sinks.in_table_order(df, ["a"])
+    path = sinks.table_path("{table}/y={year}/m={month}/d={day}/{segment}{extension}", "e v", df.schema, dt.datetime(2024, 5, 6), "s1", ".parquet")
+    assert path == "e_v/y=2024/m=05/d=06/s1.parquet" and sinks.segment_rows(df, 1000) > 10
+
+
+def test_referrer_lists_from_files(spark, tmp_path):
+    (tmp_path / "search.yaml").write_text("Foo:\n  -\n    urls:\n      - 'foo.{}'\n      - '{}.foo.example'\n    params:\n      - '/x/'\n      - q\n")
+    (tmp_path / "social.yaml").write_text("Bar:\n  - bar.example\n")
+    table = attribution.read_referrers(spark, {"search": str(tmp_path / "search.yaml"), "social": str(tmp_path / "social.yaml")})
+    first = spark.createDataFrame([("https://www.foo.co.uk/s?q=Red+Shoe",), ("https://m.bar.example/x",), ("https://a.foo.example/?q=",), ("",)], "page_referrer string").withColumns({"original_page_location": F.lit("https://s.example/"), "ignore_referrer": F.lit(False)})
+    got = [tuple(r)[-3:] for r in attribution.attribute(first, table).collect()]
+    assert got == [("foo", "organic", "red-shoe"), ("bar", "social", None), ("foo", "organic", None), ("direct", "none", None)]
