@@ -446,6 +446,40 @@ def latest_rates(spark, sf_dir):
     return lookups.latest_rates(old.unionByName(new).unionByName(empty))
 
 
+#: A user agent with its Sec-Ch-Ua-Platform hint, and what is told from them: kind, brand, model, system, its version, browser, its version.
+_AGENTS = [
+    ("Mozilla/5.0 (iPhone; CPU iPhone OS 16_5 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/16.5 Mobile/15E148 Safari/604.1", None, ("smartphone", "Apple", "iPhone", "iOS", "16.5", "Mobile Safari", "16.5")),
+    ("Mozilla/5.0 (Linux; Android 13; SM-S911B Build/TP1A) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/116.0.0.0 Mobile Safari/537.36", None, ("smartphone", "Samsung", "SM-S911B", "Android", "13", "Chrome Mobile", "116.0.0.0")),
+    ("Mozilla/5.0 (Windows NT 6.1; Win64; x64; rv:115.0) Gecko/20100101 Firefox/115.0", None, ("desktop", None, None, "Windows", "7", "Firefox", "115.0")),
+    ("Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/141.0.0.0 Safari/537.36", '"macOS"', ("desktop", None, None, "Mac", None, "Chrome", "141.0.0.0")),
+    ("Mozilla/5.0 (compatible; Examplebot/2.1; +http://bot.example/)", None, ("bot", "Examplebot", None, None, None, None, None)),
+    ("Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36 Edg/120.0.2210.91", None, ("desktop", None, None, "Mac", "10.15.7", "Microsoft Edge", "120.0.2210.91")),
+]
+_DEVICE_SQL = ", ".join(f"case event_id % 6 {' '.join(f'when {i} then ' + repr(a[2][k]) for i, a in enumerate(_AGENTS) if a[2][k])} end as {name}" for k, name in enumerate(lookups.DEVICE))
+
+
+@query(f"select event_id, {_DEVICE_SQL} from events")
+def device_columns(spark, sf_dir):
+    """Devices, systems and browsers of user agents and client hints."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % 6 + 1).cast("int"))
+    agent, hint = pick([a for a, _, _ in _AGENTS]), pick([h or "" for _, h, _ in _AGENTS])
+    rows = e.withColumn("headers", F.map_from_arrays(F.array(F.lit("User-Agent"), F.lit("Sec-Ch-Ua-Platform")), F.array(F.array(agent), F.array(hint))))
+    return lookups.with_device(rows).drop("headers")
+
+
+@query("""select event_id, 'd8a' as tracking_protocol, 'web' as platform, 'https://n.example/p' || (event_id % 3) || '?k=1' as page_location, 'n.example' as page_hostname, '/p' || (event_id % 3) as page_path,
+case when event_id % 2 = 0 then 'spring' end as utm_campaign, case when event_id % 2 = 1 then 'g1' end as click_id_gclid, case when event_id % 2 = 0 then true else false end as privacy_analytics_storage, 'pl' as device_language from events""")
+def native_events(spark, sf_dir):
+    """The native protocol: the columns of GA4 under its own name; campaign and click ids from the page's original address."""
+    i = F.col("event_id")
+    page = F.concat(F.lit("https://n.example/p"), i % 3, F.lit("?k=1"), F.when(i % 2 == 0, "&utm_campaign=spring").otherwise("&gclid=g1"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.concat(F.lit("cid=1&tid=D-1&en=page_view&ul=&gcs=G1"), F.when(i % 2 == 0, "11").otherwise("10"), F.lit("&dl="), F.url_encode(page)).alias("q"))
+    rows = parsed(e, F.col("q")).withColumn("headers", F.create_map(F.lit("Accept-Language"), F.array(F.lit("pl"))))
+    wanted = ("tracking_protocol", "platform", "page_location", "page_hostname", "page_path", "utm_campaign", "click_id_gclid", "privacy_analytics_storage", "device_language")
+    return projected(rows, pipeline.protocol_of("native").columns(False, urls.EXCLUDED_PARAMS), *wanted).select("event_id", *wanted)
+
+
 @query("""with t as (select event_id, event_id % 4 as m, user_id % 16 as u from events) select event_id, case when m = 0 then 'wide' when m = 1 then 'narrow' when m = 2 then 'v4' end as geo_city from t""")
 def ip_range_both_families(spark, sf_dir):
     """Ranges of both families given as addresses, one inside another."""
