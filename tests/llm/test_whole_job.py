@@ -5,7 +5,8 @@ from collections import Counter
 
 import corpus_pipeline as p
 import numpy as np
-from hitloom.llm import ann, lang_id, mixing, near_dup
+from hitloom.llm import ann, bpe, lang_id, mixing, near_dup, quality_model
+from pyspark.sql import functions as F
 from test_text_ops import classes_model
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -109,3 +110,50 @@ def test_language_stage(spark):
     assert sorted((r["doc_id"], r["lang"]) for r in got) == [(i, ("de", "en")[i % 2]) for i in range(200)]
     none = spark.createDataFrame([(i, t, None, s, n) for i, t, _, s, n in rows + odd], DOCS)
     assert sorted(tuple(r) for r in p.language_id(spark, none, None).collect()) == [(i, t, None, s, n) for i, t, _, s, n in rows]
+
+
+def clash(df):
+    """df with columns of names that the operators use themselves."""
+    return df.withColumns({name: F.lit("x") for name in ("score", "row", "order", "bins", "lang_pred", "ids", "label", "position", "size")})
+
+
+def odd_rows():
+    rng = random.Random(31)
+    good = lambda: " ".join(rng.choice("the house and garden were quiet in the evening light".split()) for _ in range(60))
+    bad = lambda: " ".join(rng.choice(["$#|", "zz%%", "@@@", "x<>"]) for _ in range(60))
+    rows = [(i, good() if i % 3 else bad(), "en", "ab"[i % 2], 0) for i in range(120)]
+    return rows + [(3, rows[4][1], "en", None, 0), (None, rows[5][1], "en", "a", 0), (None, None, None, None, None), (7, "", "en", "a", 0), rows[8], rows[8], (500, good() * 400, "en", "a", 0), (501, bad() * 400, None, "b", 0)]
+
+
+def test_quality_stage_against_scoring_each_row_by_hand(spark, tmp_path):
+    rows = odd_rows()
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = [(i, int(i % 3 > 0), 0) for i in range(120)] + [(None, 1, 0), (5, None, 0), (9999, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    model, bins = quality_model.train(docs, spark.read.parquet(str(tmp_path / "labels.parquet"))), quality_model.Features()
+    want = [r for r in rows if model.score(bins(r[1])) >= quality_model.THRESHOLD]
+    got = [tuple(r) for r in p.quality_classifier(spark, clash(docs), str(tmp_path)).collect()]
+    assert Counter(map(str, got)) == Counter(map(str, want)) and 60 < len(want) < len(rows)
+    kept = {r[0] for r in want}
+    assert 500 in kept and 501 not in kept
+
+
+def test_bpe_stage_against_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library, rows = Tokenizer.from_file(bpe.vocabulary_path()), odd_rows()
+    got = p.bpe_encoding(spark, clash(spark.createDataFrame(rows, DOCS)), None).collect()
+    want = [(i, source, library.encode(t or "", add_special_tokens=False).ids) for i, t, _, source, _ in rows]
+    assert Counter(str((r["doc_id"], r["source"], np.frombuffer(r["ids"], dtype=np.uint32).tolist())) for r in got) == Counter(map(str, want))
+    assert all(r["n_tokens"] == len(r["ids"]) // 4 for r in got)
+
+
+def test_stages_on_clashing_columns_and_empty_tables(spark, tmp_path):
+    docs = clash(spark.createDataFrame(odd_rows(), DOCS))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in p.STAGES:
+        columns = list(p.COLUMNS) if stage is not p.bpe_encoding else ["doc_id", "source", "n_tokens", "ids"]
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.columns == columns and none.count() == 0, name
+        if stage in (p.near_duplicates, p.language_id, p.mix_sources):
+            assert stage(spark, docs, str(tmp_path)).columns == columns, name
