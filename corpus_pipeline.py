@@ -2,6 +2,10 @@
 
 run(spark, sf_dir) applies them to the table documents. Every stage's result is written as Parquet in the shared folder
 and read again, so a lost executor costs at most one stage.
+
+For every stage: whole texts are read, however long; rows are judged one by one, so repeated rows and repeated or null ids are
+rows of their own; columns beyond those of documents are left out, whatever their names; an empty table gives an empty table
+with the stage's columns. What a stage adds to that is said in its docstring.
 """
 
 from __future__ import annotations
@@ -16,14 +20,15 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents scored under the classifier's threshold."""
+    """Rejects documents scored under the classifier's threshold. A null text is scored as an empty one; where no label of each class is
+    known, every score is 0.5 and nothing is rejected. Equal texts share their score, and a score at the threshold is kept."""
     model = quality_model.train(docs, table(spark, sf_dir, "labels"))
     return quality_model.score(docs.select(*COLUMNS), model).where(F.col("score") >= quality_model.THRESHOLD).select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Gives each document the language predicted, and rejects null texts and texts without a letter. Where nothing was
-    learned (no row has a language), all texts with a letter stay as they are."""
+    learned (no row has a language), all texts with a letter stay as they are. Ties go to the language that sorts first."""
     model = lang_id.train(docs)
     if not len(model.matrix):
         return docs.select(*COLUMNS).where(F.col("text").rlike("\\p{L}"))
@@ -34,7 +39,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each class: that with the least id (null ids last), of rows with one id that with the least hash.
 
-    Rows are told apart by a key of their own, so rows with null or repeated ids are judged by their texts alone."""
+    Rows are told apart by a key of their own, so rows with null or repeated ids are judged by their texts alone. Null texts and texts
+    without words have no copies and stay. Rows that are equal in everything are one class like other copies."""
     rows = materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*COLUMNS).alias("hash"), "row")
     classes = near_dup.near_duplicates(rows.select("row", "text", order.alias("order")), key="row", carry=("order",))
@@ -43,14 +49,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix uses it (0 to 2 times), range-sorted by training position: so are the files it is written to."""
+    """Each row as often as the mix uses it (0 to 2 times), range-sorted by training position: so are the files it is written to.
+
+    Null texts and texts without words have size 0 and are used 0 times; a null source is one of its own. Rows of one position are
+    ordered by source, id and use."""
     carry = ("text", "lang", "n_chars")
     mixed = mixing.mix_sources(docs.select(*COLUMNS), carry=carry)
     return mixing.training_order(mixed, carry).select(*COLUMNS)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and ids (little-endian unsigned 32-bit integers) of each use of a document."""
+    """doc_id, source, n_tokens and ids (little-endian unsigned 32-bit integers) of each use of a document; a null text has no ids."""
     coded = bpe.encode(docs.select("doc_id", "source", "text"), bpe.vocabulary_path()).drop("text")
     return coded.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
