@@ -129,21 +129,27 @@ def _node(kind: str, *columns: str) -> Column:
     return F.xxhash64(F.lit(kind), *columns)
 
 
-def stitching_groups(events: DataFrame, timeout_s: int, by_stamp: bool, by_user: bool, rounds: int = 2) -> DataFrame:
+#: Hits of one group that a single task may fold.
+FOLD_ROWS = 1_000_000
+
+
+def stitching_groups(events: DataFrame, timeout_s: int, by_stamp: bool, by_user: bool, fold_rows: int = FOLD_ROWS, rounds: int = 3) -> DataFrame:
     """Append _group: hits that can bear on each other's owners have the same one; null for clients that share no key.
 
     Clients are joined by the stamps and user ids that they share (connected components); a component is cut where
     none of its hits falls into a whole time-out, since all its sessions are closed there. Clients are then joined anew within
-    each piece, and pieces cut again. Two values with one hash only make a group larger.
+    each piece, and pieces cut again, as long as a group has more than fold_rows hits; where no property has so many, it is one
+    group. Two values with one hash only make a group larger.
     """
     keys = [c for on, c in ((by_stamp, "_stamp"), (by_user, "_user")) if on]
     df = events.withColumns({"_slot": F.floor(F.unix_micros("ts") / (timeout_s * 1_000_000)), "_piece": F.lit(0).cast("bigint"), "_p": F.col("property_id").cast("string"), "_c": F.col("client_id").cast("string")})
-    for _ in range(rounds):
+    df = df.withColumn("_group", F.xxhash64("_p") if keys else F.lit(None).cast("bigint"))
+    for _ in range(rounds if keys else 0):
+        if df.where("_group is not null").groupBy("_group").count().where(F.col("count") > fold_rows).isEmpty():
+            break
         client = _node("client", "_p", "_piece", "_c")
         edges = [df.where(F.col(k).isNotNull()).select(client.alias("a"), _node(k, "_p", "_piece", k).alias("b")) for k in keys]
-        comps = components(reduce(DataFrame.union, edges).distinct()) if edges else None
-        if comps is None:
-            break
+        comps = components(reduce(DataFrame.union, edges).distinct())
         df = df.withColumn("_node", client)
         df = df.join(comps.select(F.col("node").alias("_node"), F.col("comp").alias("_comp")), "_node", "left")
         slots = df.where("_comp is not null").select("_comp", "_slot").distinct()
@@ -153,10 +159,10 @@ def stitching_groups(events: DataFrame, timeout_s: int, by_stamp: bool, by_user:
         pieces = pieces.select("_comp", "_slot", F.xxhash64("_comp", "_nth").alias("_next"))
         df = df.join(pieces, ["_comp", "_slot"], "left").withColumn("_piece", F.coalesce("_next", "_piece")).drop("_next", "_node")
         df = df.withColumnRenamed("_comp", "_last").drop("_group").withColumn("_group", F.when(F.col("_last").isNotNull(), F.col("_piece"))).drop("_last")
-    return df.drop("_slot", "_piece", "_p", "_c") if keys else df.withColumn("_group", F.lit(None).cast("bigint")).drop("_slot", "_piece", "_p", "_c")
+    return df.drop("_slot", "_piece", "_p", "_c")
 
 
-def stitch(events: DataFrame, timeout_s: int = 1800, by_stamp: bool = True, by_user: bool = True) -> DataFrame:
+def stitch(events: DataFrame, timeout_s: int = 1800, by_stamp: bool = True, by_user: bool = True, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Append stitched_client_id: the client that first held the hit's session stamp or user id.
 
     First owner wins, chains aren't followed, keys are free again once their owner's session is over. The rule is a fold over
@@ -165,7 +171,7 @@ def stitch(events: DataFrame, timeout_s: int = 1800, by_stamp: bool = True, by_u
     """
     names = events.columns
     keyed = events.withColumns({"_stamp": F.nullif(F.col("session_stamp").cast("string"), F.lit("")), "_user": F.nullif(F.col("user_id").cast("string"), F.lit(""))})
-    grouped = stitching_groups(keyed, timeout_s, by_stamp, by_user)
+    grouped = stitching_groups(keyed, timeout_s, by_stamp, by_user, fold_rows)
     ordered = grouped.repartition(F.coalesce("_group", _node("client", "property_id", "client_id"))).sortWithinPartitions("_group", "ts", "id")
 
     @F.pandas_udf("string")

@@ -284,7 +284,7 @@ def ga4_items(spark, sf_dir):
     hits = parsed(t.select("l_orderkey", "l_linenumber", F.when(n % 3 == 0, "refund").when(n % 3 == 1, "purchase").otherwise("add_to_cart").alias("name"), event.alias("q")), F.col("q"))
     hits = hits.withColumn("_usd_rate", F.when(o % 4 == 0, F.lit(1.1)))
     made = projected(hits, ga4.columns(with_rates=True), "ecommerce_items", "ecommerce_purchase_revenue", "ecommerce_refund_value")
-    made = made.select("l_orderkey", "l_linenumber", F.explode("ecommerce_items").alias("x"), F.col("ecommerce_purchase_revenue").alias("revenue"), F.col("ecommerce_refund_value").alias("refund"))
+    made = made.select("l_orderkey", "l_linenumber", F.explode_outer("ecommerce_items").alias("x"), F.col("ecommerce_purchase_revenue").alias("revenue"), F.col("ecommerce_refund_value").alias("refund")).where("x is not null")
     names = ("item_id", "item_list_id", "price", "quantity", "item_revenue", "item_refund", "price_in_usd", "item_revenue_in_usd")
     return made.select("l_orderkey", "l_linenumber", *[F.col(f"x.{c}").alias(c) for c in names], "revenue", "refund")
 
@@ -369,7 +369,7 @@ def matomo_items(spark, sf_dir):
     bad = t.where("l_linenumber = 1").withColumn("query_params", F.create_map(F.lit("ec_items"), F.array(F.lit("[[1,"))))
     made = projected(rows.unionByName(bad), matomo.columns(), "ecommerce_items", "_items_readable").where("_items_readable")
     names = ("item_id", "item_name", "item_category", "item_category2", "price", "quantity")
-    return made.select("l_orderkey", "l_linenumber", F.explode("ecommerce_items").alias("x")).select("l_orderkey", "l_linenumber", *[F.col(f"x.{c}").alias(c) for c in names])
+    return made.select("l_orderkey", "l_linenumber", F.explode_outer("ecommerce_items").alias("x")).where("x is not null").select("l_orderkey", "l_linenumber", *[F.col(f"x.{c}").alias(c) for c in names])
 
 
 @query("""select event_id, 'a=1;b=' || user_id as variables, '2=last;10=ten' as dimensions, case when event_id % 2 = 0 then 'x' end as category1, case when event_id % 2 = 0 then 'y' else null end as category2 from events""")

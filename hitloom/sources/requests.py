@@ -29,7 +29,8 @@ def explode_ga4(requests: DataFrame) -> DataFrame:
     lines = F.filter(F.split(F.coalesce("body", F.lit("")), "\r?\n"), lambda x: F.trim(x) != "")
     address = urls.parse_query(F.col("query"))
     hits = lambda a: F.when(F.size(lines) > 0, F.transform(lines, lambda x: _merged(a, urls.parse_query(x)))).otherwise(F.array(a))
-    return requests.select("*", F.posexplode(urls.let(address, hits)).alias("_line_no", "query_params"))
+    # The outer kind: for the inner one Spark would parse everything once more, to filter by size.
+    return requests.select("*", F.posexplode_outer(urls.let(address, hits)).alias("_line_no", "query_params"))
 
 
 def explode_matomo(requests: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def explode_matomo(requests: DataFrame) -> DataFrame:
     bulk = F.from_json("body", "requests array<string>")["requests"]
     is_bulk = F.coalesce(F.ltrim("body").startswith("{"), F.lit(False))
     texts = F.when(is_bulk, F.transform(F.coalesce(bulk, F.array().cast("array<string>")), lambda r: F.regexp_replace(r, r"^\?", ""))).otherwise(F.array("query"))
-    return requests.select("*", F.posexplode(F.transform(texts, urls.parse_query)).alias("_line_no", "query_params"))
+    return requests.select("*", F.posexplode_outer(F.transform(texts, urls.parse_query)).alias("_line_no", "query_params")).where("_line_no is not null")
 
 
 def keys_ga4(hits: DataFrame) -> DataFrame:
