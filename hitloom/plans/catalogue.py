@@ -468,7 +468,7 @@ def device_columns(spark, sf_dir):
     return lookups.with_device(rows).drop("headers")
 
 
-@query("""select event_id, 'd8a' as tracking_protocol, 'web' as platform, 'https://n.example/p' || (event_id % 3) || '?k=1' as page_location, 'n.example' as page_hostname, '/p' || (event_id % 3) as page_path,
+@query(f"""select event_id, '{pipeline.NATIVE}' as tracking_protocol, 'web' as platform, 'https://n.example/p' || (event_id % 3) || '?k=1' as page_location, 'n.example' as page_hostname, '/p' || (event_id % 3) as page_path,
 case when event_id % 2 = 0 then 'spring' end as utm_campaign, case when event_id % 2 = 1 then 'g1' end as click_id_gclid, case when event_id % 2 = 0 then true else false end as privacy_analytics_storage, 'pl' as device_language from events""")
 def native_events(spark, sf_dir):
     """The native protocol: the columns of GA4 under its own name; campaign and click ids from the page's original address."""

@@ -36,9 +36,11 @@ def _ga4(tracking: str, domain: str) -> Callable[[bool, tuple[str, ...]], list[C
     return lambda rates, excluded: ga4.columns(tracking, domain, rates, excluded) + (ga4.usd_columns() if rates else [])
 
 
+#: What rows of the native protocol say of it (fixed value).
+NATIVE = "d8a"
 PROTOCOLS = {
     "ga4": Protocol("ga4", requests.explode_ga4, requests.keys_ga4, _ga4("ga4_gtag", "ga4")),
-    "native": Protocol("native", requests.explode_ga4, requests.keys_ga4, _ga4("d8a", "d8a")),
+    "native": Protocol("native", requests.explode_ga4, requests.keys_ga4, _ga4(NATIVE, NATIVE)),
     "matomo": Protocol(
         "matomo", requests.explode_matomo, requests.keys_matomo, lambda _, excluded: matomo.columns(excluded), "site_id", ("client_id", "name"), "url", "matomo",
         (("_session_variables", "name", "session_custom_variables"), ("custom_dimensions", "slot", "session_custom_dimensions")),
