@@ -47,7 +47,17 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write a table to the shared folder and read it again. Survives lost executors."""
     path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.folder = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing needs any more."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(t.folder)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: A key is hot from so many rows on, or from the HOT_KEYS-th part of all rows if that is more: so there are at most HOT_KEYS hot keys.

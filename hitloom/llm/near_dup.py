@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, hot_keys, join_spread, map_rows, materialize, mix, table
+from .common import WordCache, discard, hot_keys, join_spread, map_rows, materialize, mix, table
 
 BANDS, ROWS = 32, 6
 WORDS, THRESHOLD = 5, 0.8
@@ -127,13 +127,16 @@ def components(links: DataFrame) -> DataFrame:
     label = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
     n = label.count()
     while True:
-        near = join_spread(both, label.withColumnRenamed("node", "b"), "b", "a", hubs).groupBy("a").agg(F.min("comp").alias("near"))
-        spread = label.join(near, label["node"] == near["a"]).select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
+        near = join_spread(both, label.select(F.col("node").alias("b"), "comp"), "b", "a", hubs).groupBy("a").agg(F.min("comp").alias("near"))
+        spread = label.select("node", "comp").join(near, F.col("node") == F.col("a")).select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
         spread = materialize(spread)
         up = label.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
         new = materialize(join_spread(spread, up, "comp", "node", hot_keys(spread, "comp", n), "left").select("node", "was", F.least("comp", F.coalesce("up", "comp")).alias("comp")))
-        label = new.drop("was")
-        if new.where("was <> comp").isEmpty():
+        settled = new.where("was <> comp").isEmpty()
+        discard(spread, label)
+        label = new
+        if settled:
+            discard(both)
             return label
 
 
@@ -177,7 +180,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     n_held = in_bucket.count()
     shared = materialize(in_bucket.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1"))
     hot = hot_keys(shared, "bucket", n_held, F.col("held"))
-    members = materialize(join_spread(in_bucket, shared, "bucket", "node", hot))
+    held = members = materialize(join_spread(in_bucket, shared, "bucket", "node", hot))
+    discard(in_bucket)
     involved = members.select("node").distinct().join(owners, "node")
     sets = materialize(with_words.withColumn("rank", rank).join(involved, ["node", "rank"]).dropDuplicates(["node"]).select("node", "n", "shingles"))
 
@@ -210,14 +214,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = materialize(verify(across, sets, threshold))
     if not more.isEmpty():
-        comps = components(links.union(more))
+        old, comps = comps, components(links.union(more))
+        discard(old)
+    discard(sets, likely, held, members, tried, links, labelled, rest, more)
 
-    named = owners.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = owners.join(comps.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("rank").alias("class_rank"))
     n_docs = owners.count()
     classes = join_spread(named, least, "comp", "node", hot_keys(named, "comp", n_docs)).select("node", F.nullif("class_rank", F.lit((1 << 63) - 1)).alias("class_id"))
-    docs = signed.select("doc_id", "node", F.monotonically_increasing_id().alias("__row"), *carry)
-    copies = hot_keys(with_words, "node", signed.count())
+    # What the result is read from: ids and nodes alone, so that signatures and shingles need not stay on disk.
+    classes, docs = materialize(classes), materialize(signed.select("doc_id", "node", F.monotonically_increasing_id().alias("__row"), *carry))
+    discard(signed, owners, comps, shared)
+    copies = hot_keys(docs.where("node is not null"), "node", docs.count())
     return join_spread(docs, classes, "node", "__row", copies, "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), *carry)
 
 
