@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, filter_audit, lang_id, licenses, mixing, near_dup, quality_model, quality_rules, source_audit, token_store
+from . import ann, bpe, chat, filter_audit, lang_id, licenses, mixing, near_dup, quality_model, quality_rules, repeats, source_audit, token_store
 
-_MODULES = (bpe, licenses, chat, token_store, ann, quality_rules, quality_model, near_dup, mixing, lang_id, source_audit, filter_audit)
+_MODULES = (bpe, licenses, chat, token_store, ann, quality_rules, quality_model, near_dup, mixing, lang_id, repeats, source_audit, filter_audit)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
