@@ -87,13 +87,13 @@ class Batch:
         return self.within[:n] + size <= self.sizes[self.doc[:n]]
 
 
-def batches_of(rows: Iterator[pa.RecordBatch], code: WordCache) -> Iterator[tuple[Batch, pa.RecordBatch]]:
+def batches_of(rows: Iterator[pa.RecordBatch], code: WordCache, most: int = BATCH_DOCS) -> Iterator[tuple[Batch, pa.RecordBatch]]:
     """Rows id, hash, text, ... by batches; documents of fewer words than a window stay out."""
     for rb in rows:
         sizes = pc.fill_null(pc.binary_length(rb.column(2)), 0).to_numpy(zero_copy_only=False)
         low = 0
         while low < rb.num_rows:
-            high = low + max(1, int(np.searchsorted(np.cumsum(sizes[low : low + BATCH_DOCS]), BATCH_BYTES, "right")))
+            high = low + max(1, int(np.searchsorted(np.cumsum(sizes[low : low + most]), BATCH_BYTES, "right")))
             part = rb.slice(low, high - low)
             low = high
             found = [np.fromiter(map(code.__getitem__, w), dtype=np.uint64, count=len(w)) for w in map(words_of, part.column(2).to_pylist())]
@@ -207,7 +207,7 @@ def record(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
-def exchange(docs: DataFrame, bins: int, rows_of: Callable, answers: Callable) -> DataFrame:
+def exchange(docs: DataFrame, bins: int, rows_of: Callable, answers: Callable, most: int = BATCH_DOCS) -> DataFrame:
     """__key (id, hash of the text) and at (places in the text, array<int>): the answers to what rows_of makes of each batch.
 
     docs: __id, __hash, text and maybe at. One shuffle takes the packed rows to their bins, another the answers back to their batch, where
@@ -217,7 +217,7 @@ def exchange(docs: DataFrame, bins: int, rows_of: Callable, answers: Callable) -
 
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, task, nth = WordCache(xxhash.xxh3_64_intdigest), TaskContext.get().partitionId(), 0
-        for batch, part in batches_of(rows, code):
+        for batch, part in batches_of(rows, code, most):
             if part.num_columns > 3:
                 hits = part.column(3)
                 owner = np.repeat(np.arange(part.num_rows), np.diff(hits.offsets.to_numpy()))
@@ -307,8 +307,10 @@ def bins_for(n: int, size: int, spark: SparkSession) -> int:
     return 1 << (max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // size)) - 1).bit_length()
 
 
-def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and spans (start and end in words, the end not included) of every row."""
+def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", batch_docs: int = BATCH_DOCS) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and spans (start and end in words, the end not included) of every row.
+
+    batch_docs: documents that are hashed together at most."""
     spark = df.sparkSession
     plain = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     docs = plain.withColumn("__key", F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("__id"), F.xxhash64("text").alias("__hash")))
@@ -322,11 +324,11 @@ def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     discard(rows, same)
 
     parts = lambda d: d.select("__key.__id", "__key.__hash", "text")
-    anchored = exchange(parts(docs), bins_for(n_words, BIN_WORDS, spark), anchors, answer_anchors)
+    anchored = exchange(parts(docs), bins_for(n_words, BIN_WORDS, spark), anchors, answer_anchors, batch_docs)
     copies = rows_known.where("copy").select("__key").distinct()
     anchored = materialize(anchored.join(copies, "__key", "left_anti"))
     n_windows = anchored.agg(F.coalesce(F.sum(F.size("at").cast("long")), F.lit(0))).collect()[0][0]
-    covered = materialize(exchange(keyed(docs, anchored), bins_for(n_windows, BIN_WINDOWS, spark), windows, answer_windows))
+    covered = materialize(exchange(keyed(docs, anchored), bins_for(n_windows, BIN_WINDOWS, spark), windows, answer_windows, batch_docs))
     spans = "array<struct<start:int,end:int>>"
     cleaned = keyed(docs, covered).mapInArrow(remove, f"__id long, __hash long, spans {spans}, n_removed long, kept_sha256 string")
     cleaned = materialize(cleaned.select(F.struct("__id", "__hash").alias("__key"), "spans", "n_removed", "kept_sha256"))

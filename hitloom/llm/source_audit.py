@@ -41,7 +41,7 @@ def terms_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TERMS).split()
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
+def term_counts(docs: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
     """lang, source, term, n, docs: counts of each task, not yet added up."""
     small = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "text")
     names = ["lang", "source", "term", "n", "docs"]
@@ -65,7 +65,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 counts.update(terms)
                 there.update(set(terms))
                 entries += len(counts) - before
-                if entries > MOST_ENTRIES:
+                if entries > most:
                     yield from flush(times, held)
                     times.clear(), held.clear()
                     entries = 0
@@ -91,7 +91,7 @@ def term_value(p: str, q: str) -> Column:
     return F.expr(f"((`{p}` - `{q}`) * (`{p}` - `{q}`)) div `{q}`")
 
 
-def joint_histogram(kept: DataFrame) -> DataFrame:
+def joint_histogram(kept: DataFrame, most: int = MOST_PAIRS) -> DataFrame:
     """lang, a, b (a < b), ca, cb, n: how many kept terms have these counts above 0 in the sources a and b."""
     names = ["lang", "a", "b", "ca", "cb", "n"]
 
@@ -127,7 +127,7 @@ def joint_histogram(kept: DataFrame) -> DataFrame:
                 for at in range(k - 1):  # a row of the triangle at a time, so that a term of many sources takes little memory
                     parts[lang].append((np.full(k - 1 - at, ids[at]), ids[at + 1 :], np.full(k - 1 - at, own[at]), own[at + 1 :]))
                     pairs[lang] += k - 1 - at
-                    if pairs[lang] > MOST_PAIRS:
+                    if pairs[lang] > most:
                         yield from flush(lang, known, parts.pop(lang))
                         pairs[lang] = 0
         for lang, some in parts.items():
