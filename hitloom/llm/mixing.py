@@ -14,8 +14,8 @@ sizes of spans of SPAN ranges first, then of ranges within a span, then within r
 which are its documents divided by RANGE_ROWS x SPAN. A row for each source is what the targets are found from.
 
 Null text has size 0. Null source is a source of its own and the last. Documents of size 0 are taken 0 times and
-have no position. Repeated rows are documents of their own in any order of each other, equal rows having equal
-places up to exchange. Empty tables give no rows.
+have no position. Repeated rows are documents of their own, one after the other; they are one row with a number until the end.
+Carried columns may have any names; one with a name of the result's is left out. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -58,53 +58,67 @@ def source_targets(sizes: DataFrame, share: float = 1.5, repeat: float = 2.0, we
     return full.select("source", "n_docs", "source_size", "slope", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+#: What mix_sources gives; a carried column of one of these names is left out.
+OUT = ("doc_id", "source", "size", "source_size", "target", "taken", "position", "second_position")
+
+
 def mix_sources(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", carry: tuple[str, ...] = (), **options) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, position and the columns `carry`: the mix, a row for each document.
+    """OUT and the columns `carry` (but those of OUT's names): the mix, a row for each document.
 
-    position (0 to 1) is the training position of the document's first use, second_position of its second.
+    position (0 to 1) is the training position of the document's first use, second_position of its second. All columns that
+    the work itself needs have names that start with two underscores.
     """
-    rows = df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(key, text).alias("h"), *carry)
-    sized = materialize(rows.drop(*carry))
-    rows = rows if carry else sized  # what is carried is not written once more
-    sources = materialize(source_targets(sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size")), **options))
+    carry = tuple(c for c in carry if c.lower() not in OUT)
+    named = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    own = [named(key).alias("__id"), named(source).alias("__source"), n_words(named(text)).alias("__size")]
+    whole = [named(c) for c in (key, text, source, *carry)]
+    rows = df.select(*own, F.xxhash64(*whole[:2]).alias("__h"), F.xxhash64(F.lit(1), *whole).alias("__g"), *[named(c).alias(f"__c{i}") for i, c in enumerate(carry)])
+    carried = [f"__c{i}" for i in range(len(carry))]
+    # Equal rows (by 128 bits of hash) are one, with their number, so they are no hot range.
+    alike = ["__h", "__g", "__source", "__id", "__size"]
+    sized = materialize(rows.groupBy(*alike).agg(F.count("*").alias("__n")))
+    size_of = F.sum(F.col("__size") * F.col("__n"))
+    totals = sized.groupBy(F.col("__source").alias("source")).agg(F.sum("__n").alias("n_docs"), size_of.alias("source_size"))
+    found = materialize(source_targets(totals, **options))
+    sources = found.select(*[F.col(c).alias(f"__s_{c}") for c in found.columns])
     # Ranges of the hash: a source has about n_docs / RANGE_ROWS of them.
-    place = (F.shiftrightunsigned(F.col("h"), 33).cast("double") / float(1 << 31) * F.ceil(F.col("n_docs") / RANGE_ROWS)).cast("long")
-    sent = F.broadcast(sources) if few(sources) else sources
-
-    def with_range(docs: DataFrame) -> DataFrame:
-        return docs.join(sent, docs["source"].eqNullSafe(sources["source"])).drop(sources["source"]).withColumn("range", place)
-
-    docs = with_range(rows)
-    ranges = with_range(sized).groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    ranges = materialize(ranges.select(F.col("source").alias("s"), F.col("range").alias("r"), "range_size", F.floor(F.col("range") / SPAN).alias("span")))
+    place = (F.shiftrightunsigned(F.col("__h"), 33).cast("double") / float(1 << 31) * F.ceil(F.col("__s_n_docs") / RANGE_ROWS)).cast("long")
+    ranged = sized.join(F.broadcast(sources) if few(sources) else sources, F.col("__source").eqNullSafe(F.col("__s_source"))).withColumn("__range", place)
+    ranges = ranged.groupBy("__source", "__range").agg(size_of.alias("__range_size"))
+    ranges = materialize(ranges.select(F.col("__source").alias("__rs"), F.col("__range").alias("__r"), "__range_size", F.floor(F.col("__range") / SPAN).alias("__span")))
     upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    spans = ranges.groupBy(F.col("s").alias("z"), F.col("span").alias("p")).agg(F.sum("range_size").alias("span_size"))
-    spans = spans.select("z", "p", F.coalesce(F.sum("span_size").over(upto("z").orderBy("p")), F.lit(0)).alias("span_start"))
-    ranges = ranges.join(spans, ranges["s"].eqNullSafe(spans["z"]) & (ranges["span"] == spans["p"]))
-    range_start = F.col("span_start") + F.coalesce(F.sum("range_size").over(upto("s", "span").orderBy("r")), F.lit(0))
-    ranges = materialize(ranges.select("s", "r", range_start.alias("range_start")))
-    within = Window.partitionBy("source", "range").orderBy("h", F.col("doc_id").asc_nulls_first(), *carry).rowsBetween(Window.unboundedPreceding, -1)
-    local = docs.withColumn("local_start", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = local.join(ranges, local["source"].eqNullSafe(ranges["s"]) & (local["range"] == ranges["r"]))
-    start = F.col("range_start") + F.col("local_start")
-    goal = F.floor("target")
+    spans = ranges.groupBy(F.col("__rs").alias("__z"), F.col("__span").alias("__p")).agg(F.sum("__range_size").alias("__span_size"))
+    spans = spans.select("__z", "__p", F.coalesce(F.sum("__span_size").over(upto("__z").orderBy("__p")), F.lit(0)).alias("__span_start"))
+    starts = ranges.join(spans, F.col("__rs").eqNullSafe(F.col("__z")) & (F.col("__span") == F.col("__p")))
+    range_start = F.col("__span_start") + F.coalesce(F.sum("__range_size").over(upto("__rs", "__span").orderBy("__r")), F.lit(0))
+    starts = materialize(starts.select("__rs", "__r", range_start.alias("__range_start")))
+    within = upto("__source", "__range").orderBy("__h", "__g")
+    local = ranged.withColumn("__local", F.coalesce(size_of.over(within), F.lit(0)))
+    placed = local.join(starts, F.col("__source").eqNullSafe(F.col("__rs")) & (F.col("__range") == F.col("__r"))).withColumn("__start", F.col("__range_start") + F.col("__local"))
+    placed = placed.select(*alike, "__n", "__start", *[c for c in sources.columns if c != "__s_source"])
+    if carry:  # one row of each group of equal ones brings what is carried
+        alone = rows.groupBy("__h", "__g").agg(*[F.first(c).alias(c) for c in carried])
+        placed = alone.join(materialize(placed), ["__h", "__g"])
+    each = placed.withColumn("__nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    start, size, total, target = F.col("__start") + F.col("__nth") * F.col("__size"), F.col("__size"), F.col("__s_source_size"), F.col("__s_target")
+    goal = F.floor(target)
 
     def part(goal: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(F.col("size"), goal - start))
+        return F.greatest(F.lit(0), F.least(size, goal - start))
 
     def position(at: Column) -> Column:
         """t with t + slope (t^2 - t) = at / target."""
-        u, a = at / F.col("target"), F.col("slope")
+        u, a = at / target, F.col("__s_slope")
         root = F.sqrt(F.greatest(F.lit(0.0), (1 - a) * (1 - a) + 4 * a * u))
         return F.when(a == 0, u).otherwise(2 * u / (1 - a + root))
 
-    first, second = part(goal), part(goal - F.col("source_size"))
-    return placed.select(
-        "doc_id", "source", "size", "source_size", "target",
+    first, second = part(goal), part(goal - total)
+    return each.select(
+        F.col("__id").alias("doc_id"), F.col("__source").alias("source"), size.alias("size"), total.alias("source_size"), target.alias("target"),
         (first + second).alias("taken"),
         F.when(first > 0, position(start)).alias("position"),
-        F.when(second > 0, position(start + F.col("source_size"))).alias("second_position"),
-        *carry,
+        F.when(second > 0, position(start + total)).alias("second_position"),
+        *[F.col(made).alias(c) for made, c in zip(carried, carry)],
     )
 
 

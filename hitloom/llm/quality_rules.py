@@ -2,8 +2,9 @@
 
 Each document's whole text gives counts (words, symbols, marks, repeated lines and word windows). Thresholds are not
 fixed: for every language and source a mergeable quantile sketch of each ratio is built (counts of logarithmic
-buckets, so sketches merge by adding and quantiles have a bounded relative error) over the documents that pass the base rules,
-and a document fails where a ratio lies more than RANGES quartile ranges outside its group's quartiles. The thresholds are
+buckets, so sketches merge by adding and quantiles have a bounded relative error) over the documents that pass the base rules.
+A quartile is known to lie within its bucket: the upper one is taken at the bucket's upper edge, the lower one at its lower edge, so a
+document that equals its group's quartile is never outside it. A document fails where a ratio lies more than RANGES quartile ranges outside its group's quartiles. The thresholds are
 joined back and filter. There is no least distance: a ratio that most documents have at 0 (SOMETIMES) has its
 sketch over the documents that have it at all.
 
@@ -85,8 +86,9 @@ def bucket(x: Column) -> Column:
     return F.round(F.log1p(x / UNIT) / math.log(GAMMA)).cast("int")
 
 
-def value_of(b: Column) -> Column:
-    return (F.pow(F.lit(GAMMA), b) - 1) * UNIT
+def edge(b: Column, side: int) -> Column:
+    """The value at the lower (-1) or upper (1) edge of a bucket, and a little beyond, since logarithms are rounded."""
+    return F.greatest(F.lit(0.0), (F.pow(F.lit(GAMMA), b + side * (0.5 + 1e-6)) - 1) * UNIT)
 
 
 def sketches(rated: DataFrame) -> DataFrame:
@@ -102,8 +104,8 @@ def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
     every = Window.partitionBy(*by, "ratio")
     upto = every.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranked = merged.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(every))
-    at = lambda q: value_of(F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("bucket"))))
-    return ranked.groupBy(*by, "ratio").agg(F.max("total").alias("n"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+    at = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("bucket")))
+    return ranked.groupBy(*by, "ratio").agg(F.max("total").alias("n"), edge(at(0.25), -1).alias("q1"), edge(at(0.75), 1).alias("q3"))
 
 
 def of_group(sketch: DataFrame, by: list[str], prefix: str) -> DataFrame:

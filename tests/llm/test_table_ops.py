@@ -106,6 +106,21 @@ def test_mixing_repeated_rows_long_texts_and_spans(spark, monkeypatch):
     assert len(got) == len(rows) and sum(r["taken"] for r in got) == int(1.5 * (120 + 100_000 + 4)) and all(r["taken"] <= 2 * r["size"] for r in got)
 
 
+def test_mixing_carries_columns_of_any_name(spark):
+    names = ["h", "s", "r", "slope", "range", "z", "p", "span", "n_docs", "level", "local_start", "__h", "__n", "a`b", "c d"]
+    rows = [(i // 2, "w " * (i % 9), "ab"[i % 2], -1.0, "no", *[i * 100 + k for k in range(len(names))]) for i in range(60)]
+    rows += [rows[5]] * 30 + [rows[6]]
+    kind = ", ".join(["doc_id long", "text string", "source string", "position double", "Size string", *[f"`{n.replace('`', '``')}` long" for n in names]])
+    df = spark.createDataFrame(rows, kind)
+    mixed = mixing.mix_sources(df, carry=(*names, "position", "Size"))
+    assert mixed.columns == [*mixing.OUT, *names]
+    got, plain = mixed.collect(), mixing.mix_sources(df).collect()
+    want = sorted((r[0], r[2], len(r[1].split()), *r[5:]) for r in rows)
+    assert sorted((r[0], r[1], r[2], *r[len(mixing.OUT) :]) for r in got) == want
+    total = lambda rows_of: {s: sum(r["taken"] for r in rows_of if r["source"] == s) for s in "ab"}
+    assert total(got) == total(plain) and len(plain) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in got)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((3000, 24)).astype(np.float32)
