@@ -14,11 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitloom.llm import bpe, lang_id, mixing, near_dup, quality_model
-from hitloom.llm.common import materialize, table
+from hitloom.llm.common import discard, materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Tables of texts that a stage's result is read from, until the next stage finds that its documents no longer are.
+_HELD: list[DataFrame] = []
+
+
+def release(docs: DataFrame) -> None:
+    """Delete the tables that earlier stages kept for their results, but those that docs is read from."""
+    read = docs.inputFiles() if _HELD else []
+    for kept in list(_HELD):
+        if kept.sparkSession is not docs.sparkSession or not any(kept.folder.rpartition("/")[2] in f for f in read):
+            _HELD.remove(kept)
+            if kept.sparkSession is docs.sparkSession:
+                discard(kept)
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents scored under the classifier's threshold. A null text is scored as an empty one; where no label of each class is
     known, every score is 0.5 and nothing is rejected. Equal texts share their score, and a score at the threshold is kept."""
@@ -42,6 +56,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are told apart by a key of their own, so rows with null or repeated ids are judged by their texts alone. Null texts and texts
     without words have no copies and stay. Rows that are equal in everything are one class like other copies."""
     rows = materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    _HELD.append(rows)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*COLUMNS).alias("hash"), "row")
     classes = near_dup.near_duplicates(rows.select("row", "text", order.alias("order")), key="row", carry=("order",))
     kept = classes.groupBy("class_id").agg(F.min("order")["row"].alias("row"))
@@ -53,6 +68,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts and texts without words have size 0 and are used 0 times; a null source is one of its own. Rows of one position are
     ordered by source, id and use."""
+    release(docs)
     carry = ("text", "lang", "n_chars")
     mixed = mixing.mix_sources(docs.select(*COLUMNS), carry=carry)
     return mixing.training_order(mixed, carry).select(*COLUMNS)
@@ -79,5 +95,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        if hasattr(before, "folder"):
+            discard(before)  # the stage's result is written; nothing reads what it was made from
     return STAGES[-1][1](spark, docs, sf_dir)
