@@ -301,8 +301,8 @@ def engaged_seg(spark, sf_dir):
 def traffic_filter_numeric(spark, sf_dir):
     """Comparisons with numbers; conditions that fail on an event are skipped for it."""
     conditions = [
-        filters.Condition("high", "exclude", "value > 60D"), filters.Condition("no number", "exclude", "name > 5"), filters.Condition("no boolean", "exclude", "page_location"),
-        filters.Condition("third", "allow", "id % 3 = 0"), filters.Condition("rest", "allow", "name = 'view' or value >= 5D"), filters.Condition("low", "exclude", "value < 10D", test_mode=True),
+        filters.Condition("high", "exclude", "value > 60"), filters.Condition("no number", "exclude", "name > 5"), filters.Condition("no boolean", "exclude", "page_location"),
+        filters.Condition("third", "allow", "id % 3 = 0"), filters.Condition("rest", "allow", "name = 'view' or value >= 5"), filters.Condition("low", "exclude", "value < 10", test_mode=True),
         filters.Condition("never", "exclude", "1 / (id - id) > 0", test_mode=True),
     ]
     return filters.apply_filters(hits(spark, sf_dir), conditions, ["id", "name", "value", "page_location"]).select("id", "traffic_filter_name")

@@ -150,3 +150,16 @@ def test_filters(spark):
     assert [r["id"] for r in filters.apply_filters(df, [filters.Condition("x", "allow", "is_local(ip)")], ["ip"], {"is_local": ("ip string", "boolean", "startswith(ip, '10.')")}).collect()] == ["1"]
     with pytest.raises(Exception):
         run(filters.Condition("x", "exclude", "v == == 'a'"))
+
+
+def test_filters_with_numbers_and_patterns(spark):
+    df = spark.createDataFrame([("1", "60.5", "a 60"), ("2", "60", "b"), ("3", "7", "60"), ("4", "x", None)], "id string, v string, t string")
+    run = lambda text, kind="exclude": [r["id"] for r in filters.apply_filters(df, [filters.Condition("x", kind, text)], ["id", "v", "t"]).orderBy("id").collect()]
+    assert run("v > 60") == ["2", "3", "4"] and run("60 < v") == ["2", "3", "4"] and run("v >= 60") == ["3", "4"] and run("v > 6.9 and v < 8") == ["1", "2", "4"]
+    assert run("v = 60") == ["1", "3", "4"] and run("v = 60.5") == ["2", "3", "4"] and run("v in (60, 7)") == ["1", "4"] and run("v between 60 and 61") == ["3", "4"]
+    assert run("t = '60'") == run("t = 60") == ["1", "2", "4"] and run("t = 'a 60'") == ["2", "3", "4"]  # numbers in text stay text
+    assert run("substring(t, 1, 1) = 'a'") == ["2", "3", "4"] and run("split(t, ' ')[1] = '60'") == ["2", "3", "4"] and run("`v` % 2 = 0", "allow") == ["2"]
+    assert run("length(v) = 4 and t rlike '^a [0-9]{2}$'") == ["2", "3", "4"]
+    for bad in ("t rlike '('", "v = 'nothing' and t rlike '[a'", "regexp_replace(t, '*', '') = ''", "not (v = 'x' or regexp_count(t, '(?<') > 0)"):
+        with pytest.raises(ValueError):
+            filters.apply_filters(df, [filters.Condition("x", "exclude", bad)], ["v", "t"])
