@@ -34,14 +34,15 @@ def nulls_for_errors(spark: SparkSession):
         spark.conf.set("spark.sql.ansi.enabled", before)
 
 
-#: Quoted text and names, which stay as they are; whole numbers, but not array places.
-_WORDS = re.compile(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`)|(?<![\w.\[])(\d+)(?![\w.])""", re.S)
+#: Quoted text and names, which stay as they are; whole numbers beside a comparison or in BETWEEN.
+_QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`"""
+_COMPARED = re.compile(rf"({_QUOTED})|((?<=[<>=])\s*|\bbetween\s+|\band\s+)?(?<![\w.])(\d+)(?![\w.])(?=(\s*[<>=!]|\s+and\b)?)", re.S | re.I)
 
 
 def as_numbers(expression: str) -> str:
-    """The expression with its whole numbers as decimals: Spark then compares text with them as numbers and doesn't cut the text to a
-    whole number first."""
-    return _WORDS.sub(lambda m: m[1] or f"{m[2]}BD", expression)
+    """The expression with the whole numbers that something is compared with as doubles: Spark then compares text with them as a number
+    and doesn't cut the text to a whole number first."""
+    return _COMPARED.sub(lambda m: f"{m[2] or ''}{m[3]}D" if m[3] and (m[2] is not None or m[4]) else m[0], expression)
 
 
 def check_patterns(df: DataFrame) -> None:
