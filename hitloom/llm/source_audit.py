@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -113,23 +114,28 @@ def joint_histogram(kept: DataFrame, most: int = MOST_PAIRS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, parts, pairs = defaultdict(dict), defaultdict(list), Counter()
         for batch in batches:
-            held = batch.column(1)
-            ends, values = held.offsets.to_numpy(), held.values
-            sources, counts = values.field(0).to_pylist(), values.field(1).to_numpy(zero_copy_only=False)
-            for i, lang in enumerate(batch.column(0).to_pylist()):
-                low, high = int(ends[i]), int(ends[i + 1])
-                k = high - low
-                if k < 2:
-                    continue
+            langs = batch.column(0).dictionary_encode()
+            for lang_at, lang in enumerate(langs.dictionary.to_pylist()):
+                held = batch.column(1).filter(pc.equal(langs.indices, lang_at))
+                sizes = np.diff(held.offsets.to_numpy())
+                found = held.flatten()
+                named, own = found.field(0).dictionary_encode(), found.field(1).to_numpy(zero_copy_only=False)
                 known = numbers[lang]
-                ids = np.array([known.setdefault(s, len(known)) for s in sources[low:high]], dtype=np.int64)
-                own = counts[low:high]
-                for at in range(k - 1):  # a row of the triangle at a time, so that a term of many sources takes little memory
-                    parts[lang].append((np.full(k - 1 - at, ids[at]), ids[at + 1 :], np.full(k - 1 - at, own[at]), own[at + 1 :]))
-                    pairs[lang] += k - 1 - at
-                    if pairs[lang] > most:
-                        yield from flush(lang, known, parts.pop(lang))
-                        pairs[lang] = 0
+                ids = np.array([known.setdefault(s, len(known)) for s in named.dictionary.to_pylist()], dtype=np.int64)[named.indices.to_numpy()]
+                starts = np.cumsum(sizes) - sizes
+                for k in np.unique(sizes).tolist():  # terms of k sources are the rows of a matrix
+                    rows = starts[sizes == k]
+                    for at in range(k - 1):
+                        step = max(1, most // (k - 1))
+                        for low in range(0, len(rows), step):
+                            left = rows[low : low + step] + at
+                            right = (left[:, None] + np.arange(1, k - at)).ravel()
+                            left = np.repeat(left, k - 1 - at)
+                            parts[lang].append((ids[left], ids[right], own[left], own[right]))
+                            pairs[lang] += len(left)
+                            if pairs[lang] > most:
+                                yield from flush(lang, known, parts.pop(lang))
+                                pairs[lang] = 0
         for lang, some in parts.items():
             yield from flush(lang, numbers[lang], some)
 
