@@ -10,21 +10,56 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, settled
 from .lookups import small
 
 CLIENT = ["property_id", "client_id"]
 
 
-def sessionize(events: DataFrame, timeout_s: int = 1800, key: list[str] = CLIENT, ts: str = "ts", tie: str = "id") -> DataFrame:
+#: Hits of one client from which on its sessions are found by ranges of time, and the ranges that it is dealt to.
+HOT_HITS, CLIENT_RANGES = 1_000_000, 64
+
+
+def hot_clients(events: DataFrame, key: list[str], ts: str = "ts", hot_hits: int = HOT_HITS, ranges: int = CLIENT_RANGES) -> DataFrame | None:
+    """The clients with more than hot_hits hits and the times that cut each of them into ranges of about equal hits; None if there are none.
+    One row for each hot_hits hits at most."""
+    many = events.groupBy(*key).count().where(F.col("count") > hot_hits).select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(key)])
+    if many.isEmpty():
+        return None
+    same = [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(key)]
+    own = events.join(small(many), same, "left_semi").withColumn("_us", F.unix_micros(ts))
+    cuts = own.groupBy(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(key)]).agg(F.percentile_approx("_us", [i / ranges for i in range(1, ranges)]).alias("_cuts"))
+    return settled(cuts)
+
+
+def sessionize(events: DataFrame, timeout_s: int = 1800, key: list[str] = CLIENT, ts: str = "ts", tie: str = "id", hot_hits: int | None = HOT_HITS) -> DataFrame:
     """Append proto_seq, the number from 0 of the session of its key: a new one where more than timeout_s passed.
 
-    One exchange on the key; every later window over key and proto_seq reuses it.
+    One exchange on the key; every later window over key and proto_seq reuses it. A client with more than hot_hits hits (None: don't
+    look for them) is dealt to tasks by ranges of time: its sessions are numbered within each range, and a range's bounds and number of
+    sessions tell, by a prefix over the ranges, where the numbers go on and whether a session runs across the border.
     """
-    w = Window.partitionBy(*key).orderBy(ts, tie)
     micros = F.unix_micros(ts)
+    hot = None if hot_hits is None else hot_clients(events, key, ts, hot_hits)
+    if hot is None:
+        w = Window.partitionBy(*key).orderBy(ts, tie)
+        new = F.coalesce((micros - F.lag(micros).over(w) > timeout_s * 1_000_000).cast("int"), F.lit(0))
+        return events.withColumn("_new", new).withColumn("proto_seq", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    own = [f"_h{i}" for i in range(len(key))]
+    same = [F.col(k).eqNullSafe(F.col(h)) for k, h in zip(key, own)]
+    dealt = events.join(small(hot), same, "left").withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < micros)), F.lit(0))).drop(*own)
+    w = Window.partitionBy(*key, "_range").orderBy(ts, tie)
     new = F.coalesce((micros - F.lag(micros).over(w) > timeout_s * 1_000_000).cast("int"), F.lit(0))
-    return events.withColumn("_new", new).withColumn("proto_seq", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    flagged = dealt.withColumn("_new", new)
+    # Of the hot clients alone: a row for each range.
+    borders = flagged.where("_cuts is not null").groupBy(*[F.col(k).alias(h) for k, h in zip(key, own)], F.col("_range").alias("_r")).agg(F.min(micros).alias("_first"), F.max(micros).alias("_last"), F.sum("_new").alias("_news"))
+    by_range = Window.partitionBy(*own).orderBy("_r")
+    opens = F.coalesce((F.col("_first") - F.lag("_last").over(by_range) > timeout_s * 1_000_000).cast("int"), F.lit(0))
+    borders = borders.withColumn("_opens", opens).withColumn("_start", F.sum(F.col("_opens") + F.col("_news")).over(by_range.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_news"))
+    borders = small(settled(borders.select(*own, "_r", "_start")))
+    numbered = flagged.withColumn("_local", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = numbered.join(borders, [*same, F.col("_range") == F.col("_r")], "left")
+    return joined.withColumn("proto_seq", F.coalesce("_start", F.lit(0)) + F.col("_local")).drop(*own, "_r", "_start", "_range", "_cuts", "_new", "_local")
 
 
 #: Ranges of arrival by which a property's hits are dealt out.

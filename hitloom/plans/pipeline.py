@@ -98,28 +98,33 @@ def build_events(hits: DataFrame, options: Options | None = None, referrers: Dat
     Order: identity, sessions, split, event columns, filter, session-scoped columns, session values, attribution. Broken events go
     last, so they count in their session; a session with an event whose page address is broken goes whole.
 
+    Hits that bring proto_seq, split_idx and _split_cause keep them: their sessions were made by a stream.
+
     The input is read once: all lookups are broadcast constants or tables, and the windows of a session share one exchange and order.
     """
     o = options or Options()
     p = protocol_of(o.protocol)
     joined = o.join_by_stamp or o.join_by_user
-    if joined or o.isolate:
+    closed = {"proto_seq", "split_idx", "_split_cause"} <= set(hits.columns)  # a stream has joined clients, made the sessions and cut them
+    if closed and joined:
+        hits = hits.withColumnsRenamed({"client_id": "stitched_client_id", "own_client_id": "client_id"})
+    elif joined or o.isolate:
         hits = isolated(hits)
     else:
         hits = hits.withColumn("auth_client_id", F.col("client_id"))
     key = ["property_id", "client_id"]
-    if joined:
+    if joined and not closed:
         keyed = hits.withColumnsRenamed({"user_id": "_user_id", "client_id": "_client_id"}).withColumnsRenamed({"user_key": "user_id", "auth_client_id": "client_id"})
         stitched = sessionize.stitch(keyed, o.timeout_s, o.join_by_stamp, o.join_by_user)
         hits = stitched.withColumnsRenamed({"user_id": "user_key", "client_id": "auth_client_id"}).withColumnsRenamed({"_user_id": "user_id", "_client_id": "client_id"})
-    elif o.isolate:
+    elif o.isolate and not closed:
         hits = hits.withColumn("stitched_client_id", F.col("auth_client_id"))
-    if joined or o.isolate:
+    if joined or (o.isolate and not closed):
         key = ["property_id", "stitched_client_id"]
     session = [*key, *page_flow.SESSION[2:]]
     hits = hits.withColumn("utm_campaign", casts.str_or_null(urls.query_param(requests.value(p.page), "utm_campaign")))
-    df = sessionize.sessionize(hits, o.timeout_s, key)
-    df = sessionize.split(df, o.max_session_s, o.max_session_events, group=[*key, "proto_seq"]) if o.split else df.withColumn("split_idx", F.lit(0).cast("bigint")).withColumn("_split_cause", F.lit(None).cast("string"))
+    df = hits if closed else sessionize.sessionize(hits, o.timeout_s, key)
+    df = df if closed else sessionize.split(df, o.max_session_s, o.max_session_events, group=[*key, "proto_seq"]) if o.split else df.withColumn("split_idx", F.lit(0).cast("bigint")).withColumn("_split_cause", F.lit(None).cast("string"))
     df = event_columns(df.drop("utm_campaign"), o, rates, geo)
     df = filters.apply_filters(df, o.conditions, o.filter_fields)
     windows = page_flow.SessionWindows(session)

@@ -1,105 +1,200 @@
-"""Streaming sessions: hits of a key are held in state until its session's time-out passes on the event-time clock."""
+"""Streaming sessions: hits of a key are held in state until their session's time-out passes on the event-time clock.
+
+A session, or a part of one that a limit has cut off, leaves as soon as nothing can change it any more: the session when the clock has passed
+its last hit by the time-out, the part when it has passed the first hit of the next part by the time-out, since every hit that would come
+before that one is late by then. So a client that never rests holds no more than its open part and one time-out.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-HIT = "id string, name string, page_location string, ts timestamp, payload string"
-OUT = "property_id string, client_id string, session_id string, id string, name string, page_location string, ts timestamp, payload string, session_hit_number long, session_total_events long, session_duration long, is_late boolean"
+from ..operators.sessionize import SPLIT_CAUSES
+
+KEY, FIELDS = ["property_id", "client_id"], ["id", "name", "page_location", "ts", "user_id", "utm_campaign", "payload"]
+HIT = "id string, name string, page_location string, ts timestamp, user_id string, utm_campaign string, payload string"
+MORE = "session_id string, proto_seq long, split_idx long, session_split_cause string, session_hit_number long, session_total_events long, session_duration long, is_late boolean"
+OUT = f"property_id string, client_id string, {HIT}, {MORE}"
+_COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-FIELDS = ["id", "name", "page_location", "ts", "payload"]
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What cuts an open session into parts; as operators.sessionize.split has it."""
+
+    max_s: int = 43_200
+    max_events: int = 1000
+    by_user: bool = True
+    by_campaign: bool = True
+
+
+def first_cut(times: np.ndarray, users: list, campaigns: list, limits: Limits) -> tuple[int, str | None]:
+    """How many hits the first part of a session has, and why the next part begins there."""
+    n = len(times)
+    found = [(min(int(np.searchsorted(times, times[0] + limits.max_s * 1_000_000)), n), 0), (min(limits.max_events, n), 1)]
+    for on, values, cause in ((limits.by_user, users, 2), (limits.by_campaign, campaigns, 3)):
+        if on:
+            known = [(i, v) for i, v in enumerate(values) if v is not None]
+            found.append((next((i for i, v in known if v != known[0][1]), n), cause))
+    at, cause = min(found)
+    return at, SPLIT_CAUSES[cause] if at < n else None
+
+
+def parts_of(times: np.ndarray, users: list, campaigns: list, timeout_s: int, limits: Limits | None, before: tuple[int, int, int, str | None] | None) -> Iterator[tuple[int, int, int, int, str | None]]:
+    """start, end, number of the session, of its part, and why the part begins, of a key's hits in order. before: the last hit that has left,
+    its session's number, and the number and cause of the part that comes next there."""
+    last, seq, index, cause = before or (None, -1, 0, None)
+    at = 0
+    while at < len(times):
+        if last is None or times[at] - last > timeout_s * 1_000_000:
+            seq, index, cause = seq + 1, 0, None
+        rest = np.flatnonzero(np.diff(times[at:]) > timeout_s * 1_000_000)
+        end = at + int(rest[0]) + 1 if len(rest) else len(times)
+        size, then = first_cut(times[at:end], users[at:end], campaigns[at:end], limits) if limits else (end - at, None)
+        yield at, at + size, seq, index, cause
+        last, index, cause, at = times[at + size - 1], index + 1, then, at + size
 
 
 class SessionProcessor(StatefulProcessor):
-    """State of a key: its open hits and the expiry. An expired session is emitted whole, in time order; a hit whose session is
-    over by the clock comes out at once, marked as late.
+    """State of a key: the hits of its open sessions, the time for which its timer stands, and where the last part that left ended.
 
+    A part comes out whole, in time order, when its time has come; a hit whose session is over by the clock comes out at once, marked as late.
     The clock is the largest time seen: the watermark trails it by behind_s, so that late hits still reach the processor."""
 
-    def __init__(self, timeout_s: int = 1800, behind_s: int = 88_200):
-        self.timeout_ms, self.behind_ms = timeout_s * 1000, behind_s * 1000
+    def __init__(self, timeout_s: int = 1800, behind_s: int = 88_200, limits: Limits | None = None):
+        self.timeout_s, self.behind_ms, self.limits = timeout_s, behind_s * 1000, limits
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.hits = handle.getListState("hits", HIT)
-        self.expiry = handle.getValueState("expiry", "at long")
+        self.due = handle.getValueState("due", "at long")
+        self.left = handle.getValueState("left", "last long, seq long, next long, cause string")
+
+    def wake(self, at_ms: int) -> None:
+        """A timer for this time of the clock, unless an earlier one stands."""
+        at = at_ms - self.behind_ms  # on the watermark's scale
+        now = self.due.get()[0] if self.due.exists() else None
+        if now is None or at < now:
+            if now is not None:
+                self.handle.deleteTimer(now)
+            self.handle.registerTimer(at)
+            self.due.update((at,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
         clock = mark + self.behind_ms if mark > 0 else 0
-        latest, late = 0, []
+        first, late = None, []
         for batch in rows:
+            batch = batch[batch["id"].notna()]
             at = batch["ts"].astype("datetime64[ms]").astype("int64")
-            over = at + self.timeout_ms <= clock
+            over = at + self.timeout_s * 1000 <= clock
             if over.any():
                 late.append(batch.loc[over, FIELDS])
             held = batch.loc[~over, FIELDS]
             if len(held):
-                self.hits.appendList([tuple(r) for r in held.astype(object).where(held.notna(), None).itertuples(index=False)])
-                latest = max(latest, int(at[~over].max()))
-        if latest:
-            before = self.expiry.get()[0] if self.expiry.exists() else 0
-            expiry = max(before, latest + self.timeout_ms + 1 - self.behind_ms)  # on the watermark's scale
-            if expiry > before:
-                if before:
-                    self.handle.deleteTimer(before)
-                self.handle.registerTimer(expiry)
-                self.expiry.update((expiry,))
+                self.hits.appendList(list(held.astype(object).where(held.notna(), None).itertuples(index=False, name=None)))
+                first = min(int(at[~over].min()), first) if first is not None else int(at[~over].min())
+        if first is not None:
+            self.wake(first + self.timeout_s * 1000 + 1)  # nothing of these can leave before that
         for some in late:
-            yield some.assign(property_id=key[0], client_id=key[1], session_id=None, session_hit_number=0, session_total_events=0, session_duration=0, is_late=True)[[c.split()[0] for c in OUT.split(", ")]]
+            yield some.assign(property_id=key[0], client_id=key[1], session_id=None, proto_seq=None, split_idx=None, session_split_cause=None, session_hit_number=0, session_total_events=0, session_duration=0, is_late=True)[_COLUMNS]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.due.clear()
+        clock_us = (timerValues.getCurrentWatermarkInMs() + self.behind_ms) * 1000
         held = pd.DataFrame(list(self.hits.get()), columns=FIELDS).sort_values(["ts", "id"], kind="stable").reset_index(drop=True)
-        self.hits.clear()
-        self.expiry.clear()
         if held.empty:
+            self.left.clear()
             return
-        # A long batch may hold several sessions of the key.
-        seq = (held["ts"].diff() > pd.Timedelta(milliseconds=self.timeout_ms)).cumsum()
-        for _, one in held.groupby(seq):
-            n, first, last = len(one), one["ts"].iloc[0], one["ts"].iloc[-1]
+        times = held["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+        plain = lambda c: [None if v is None or v != v or v == "" and c == "user_id" else v for v in held[c]]
+        before = tuple(self.left.get()) if self.left.exists() else None
+        gap, gone, wake = self.timeout_s * 1_000_000, 0, None
+        parts = list(parts_of(times, plain("user_id"), plain("utm_campaign"), self.timeout_s, self.limits, before))
+        for k, (start, end, seq, index, cause) in enumerate(parts):
+            follows = k + 1 < len(parts) and parts[k + 1][2] == seq
+            final = times[end] + gap if follows else times[end - 1] + gap + 1000  # a part: by the next one's first hit; a session: by its last
+            if final > clock_us:
+                wake = int(final // 1000) + 1
+                break
+            one, gone = held.iloc[start:end], end
             yield pd.DataFrame({
-                "property_id": key[0], "client_id": key[1], "session_id": one["id"].iloc[0], "id": one["id"], "name": one["name"], "page_location": one["page_location"], "ts": one["ts"], "payload": one["payload"],
-                "session_hit_number": range(n), "session_total_events": n, "session_duration": int(last.timestamp()) - int(first.timestamp()), "is_late": False,
-            })
+                "property_id": key[0], "client_id": key[1], **{c: one[c] for c in FIELDS}, "session_id": one["id"].iloc[0], "proto_seq": seq, "split_idx": index, "session_split_cause": cause,
+                "session_hit_number": range(end - start), "session_total_events": end - start, "session_duration": int(times[end - 1] // 1_000_000 - times[start] // 1_000_000), "is_late": False,
+            })[_COLUMNS]
+            then = parts[k + 1] if follows else None
+            self.left.update((int(times[end - 1]), seq, then[3] if then else 0, then[4] if then else None))
+        if gone:
+            rest = held.iloc[gone:]
+            self.hits.clear()
+            if len(rest):
+                self.hits.appendList(list(rest.astype(object).where(rest.notna(), None).itertuples(index=False, name=None)))
+        if wake is not None:
+            self.wake(wake)
+        elif self.left.exists():
+            self.wake(int(self.left.get()[0] // 1000) + 2 * self.timeout_s * 1000 + 1)  # then the key can be forgotten
 
     def close(self) -> None:
         pass
 
 
-def stream_sessions(hits: DataFrame, timeout_s: int = 1800, grace_s: int = 86_400) -> DataFrame:
-    """Closed sessions of a stream of hits (property_id, client_id, id, name, page_location, ts and any other columns, which pass through),
-    a row for each event; late hits come out with is_late, for a sink of their own, by the same clock that closes the sessions. Hits that are
+def real_hit():
+    """Not a heartbeat. It asks for the time too, else Spark would leave heartbeats out before it has seen their time."""
+    return F.col("id").isNotNull() | F.col("ts").isNull()
+
+
+def stream_sessions(hits: DataFrame, timeout_s: int = 1800, grace_s: int = 86_400, limits: Limits | None = None, join_by_stamp: bool = False, join_by_user: bool = False) -> DataFrame:
+    """Closed sessions of a stream of hits (property_id, client_id, id, name, page_location, ts, for limits user_id and utm_campaign, to join
+    clients session_stamp and user_id, and any other columns, which pass through), a row for each event; with limits, the parts of sessions as
+    they are cut. Late hits come out with is_late, for a sink of their own, by the same clock that closes the sessions. Hits that are
 later than that by more than grace_s are dropped by Spark, which counts them.
 
     Needs the RocksDB state store. Heartbeats (rows with a null id) only move the clock; union them in to close idle sessions.
     """
     spark = hits.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    more = [f for f in hits.schema.fields if f.name not in {"property_id", "client_id", "id", "name", "page_location", "ts"}]
-    payload = F.to_json(F.struct(*[f.name for f in more])) if more else F.lit(None).cast("string")
-    stamped = hits.withColumn("payload", payload).select("property_id", "client_id", *FIELDS).withWatermark("ts", f"{timeout_s + grace_s} seconds")
-    out = stamped.where("id is not null").groupBy("property_id", "client_id").transformWithStateInPandas(SessionProcessor(timeout_s, timeout_s + grace_s), OUT, "Append", "EventTime")
+    marked = hits.withWatermark("ts", f"{timeout_s + grace_s} seconds")
+    joined = join_by_stamp or join_by_user
+    if joined:
+        from .identity import stitched
+
+        marked = stitched(marked.where(real_hit()), timeout_s, timeout_s + grace_s, join_by_stamp, join_by_user).withColumnsRenamed({"client_id": "own_client_id", "stitched_client_id": "client_id"})
+    more = [f for f in marked.schema.fields if f.name not in {*KEY, *(set(FIELDS) - {"user_id", "utm_campaign"})}]
+    payload = F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in more])) if more else F.lit(None).cast("string")
+    text = {c: F.col(c).cast("string") if c in marked.columns else F.lit(None).cast("string") for c in ("user_id", "utm_campaign")}
+    stamped = marked.withColumn("payload", payload).withColumns(text).select(*KEY, *FIELDS)
+    stamped = stamped if joined else stamped.where(real_hit())
+    out = stamped.groupBy(*KEY).transformWithStateInPandas(SessionProcessor(timeout_s, timeout_s + grace_s, limits), OUT, "Append", "EventTime")
+    given = {f.name for f in more}
+    out = out.drop(*[c for c in ("user_id", "utm_campaign") if c not in marked.columns or c in given])
     if not more:
         return out.drop("payload")
-    return out.withColumn("payload", F.from_json("payload", StructType(more))).select("*", *[F.col(f"payload.{f.name}").alias(f.name) for f in more]).drop("payload")
+    return out.withColumn("payload", F.from_json("payload", StructType(more))).select("*", *[F.col(f"payload.`{f.name}`").alias(f.name) for f in more]).drop("payload")
 
 
 def write_wide(options, write_events, write_late, **lookups):
-    """foreachBatch function over stream_sessions: every closed session of the batch becomes wide rows by the batch plan (the sessions are
-    whole), late hits go to write_late. The hits need the columns that build_events asks for."""
+    """foreachBatch function over stream_sessions: every closed session, or part of one, of the batch becomes wide rows by the batch plan (they
+    are whole), late hits go to write_late. The hits need the columns that build_events asks for.
+
+    lookups: tables for build_events, or functions that give one; a function is asked in each batch, so a new version of the table is
+    used from the next batch on (see operators.lookups.Snapshots).
+    """
     from ..plans.pipeline import build_events
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         closed = batch.where("not is_late").drop("session_id", "session_hit_number", "session_total_events", "session_duration", "is_late")
-        write_events(build_events(closed, options, **lookups), number)
+        tables = {name: t() if callable(t) else t for name, t in lookups.items()}
+        write_events(build_events(closed.withColumnRenamed("session_split_cause", "_split_cause"), options, **tables), number)
         write_late(batch.where("is_late"), number)
         batch.unpersist()
 

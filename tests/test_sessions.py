@@ -26,6 +26,27 @@ def test_gap_is_kept_at_the_time_out(spark):
     assert [r["proto_seq"] for r in rows] == [0, 0, 1]
 
 
+def test_a_hot_client_is_shared_by_ranges_of_time(spark):
+    rng = random.Random(12)
+    rows = [(rng.randrange(400_000), "hot", None, None) for _ in range(1500)] + [(rng.randrange(400_000), f"c{i % 40}", None, None) for i in range(1500)]
+    rows += [(rng.randrange(20) * 1800, None, None, None) for _ in range(200)] + [(7, "hot", None, None)] * 40
+    df = hits(spark, rows)
+    seq = lambda d: {r["id"]: r["proto_seq"] for r in d.collect()}
+    shared = sessionize.sessionize(df, 600, hot_hits=100)
+    assert shared.columns == [*df.columns, "proto_seq"] and seq(shared) == seq(sessionize.sessionize(df, 600, hot_hits=None)) and max(seq(shared).values()) > 100
+    cuts = sessionize.hot_clients(df, sessionize.CLIENT, hot_hits=100)
+    assert {r["_h1"] for r in cuts.collect()} == {"hot", None} and sessionize.hot_clients(df, sessionize.CLIENT, hot_hits=5000) is None
+    # Half of all hits spread over at least 32 tasks.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        spread = sessionize.sessionize(df, 600, hot_hits=100).where("client_id = 'hot'").withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count("proto_seq").alias("count"), F.max("proto_seq")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(spread) >= 32 and max(r["count"] for r in spread) < 200
+
+
 @pytest.mark.parametrize(
     "rows,want",
     [
