@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import addresses, casts, urls
 from ..operators import attribution, filters, lookups, page_flow, session_totals, sessionize
+from ..operators.components import scratch_folder
 from ..sources import ga4, matomo, requests
+from ..streaming import sessions as streaming
 from . import pipeline
 from .columns import ColumnDef, Registry, in_one_layout
 
@@ -237,6 +239,58 @@ def attribution_rules(spark, sf_dir):
     return attribution.attribute(first, attribution.referrer_table(spark)).select("event_id", "session_source", "session_medium", "session_term")
 
 
+_KINDS = "['video', 'email', 'referral', 'social', 'ai', 'search']"
+
+
+@query(f"""with t as (select event_id, event_id % 100 + 1 as k, event_id % 4 as m, {_KINDS}[(event_id % 100 + 1) % 6 + 1] as kind from events),
+u as (select *, m < 2 or (m = 3 and k % 7 = 3) as found from t)
+select event_id, case when m = 2 then 'mail.c' || k || '.test' when m = 3 and not found then 'x.s' || k || '.co.uk' when m = 3 then 's' || k when m = 1 and k % 10 = 0 then 'd' || k else 'n' || k end as session_source,
+case when m = 2 then 'email' when not found then 'referral' when kind = 'search' then 'organic' else kind end as session_medium,
+case when kind = 'search' and m = 0 then 'term-' || k when kind = 'search' and m = 1 then 't' end as session_term from u""")
+def referrer_kinds(spark, sf_dir):
+    """All kinds of referrers, by a list with a pattern or more for each customer: hosts, deeper hosts, and any ending."""
+    k = F.col("c_custkey")
+    kind = lambda k: F.get(F.array(*map(F.lit, ("video", "email", "referral", "social", "ai", "search"))), F.pmod(k, F.lit(6)).cast("int"))
+    entry_of = lambda pattern, name, on: F.when(on, F.struct(pattern.alias("pattern"), kind(k).alias("kind"), name.alias("name"), F.lit("q").alias("terms")))
+    of_customer = F.array(
+        entry_of(F.concat(F.lit("c"), k, F.lit(".example")), F.concat(F.lit("n"), k), F.lit(True)), entry_of(F.concat(F.lit("deep.c"), k, F.lit(".example")), F.concat(F.lit("d"), k), k % 10 == 0),
+        entry_of(F.concat(F.lit("s"), k, F.lit(".{}")), F.concat(F.lit("s"), k), k % 7 == 3),
+    )
+    table = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.inline(F.array_compact(of_customer)))
+    i, n = F.col("event_id"), F.pmod("event_id", F.lit(100)) + 1
+    m = F.pmod(i, F.lit(4))
+    address = F.when(m == 0, F.concat(F.lit("https://www.c"), n, F.lit(".example/x?q=Term+"), n)).when(m == 1, F.concat(F.lit("https://deep.c"), n, F.lit(".example/?q=t"))).when(m == 2, F.concat(F.lit("https://mail.c"), n, F.lit(".test/"))).otherwise(F.concat(F.lit("https://x.s"), n, F.lit(".co.uk/")))
+    first = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", address.alias("page_referrer"), F.lit("https://shop.example/p").alias("original_page_location"), F.lit(False).alias("ignore_referrer"))
+    return attribution.attribute(first, table).select("event_id", "session_source", "session_medium", "session_term")
+
+
+@query("""with hits as (select cast(event_id as varchar) as id, 'p' || (user_id % 3) as property_id, cast(user_id as varchar) as client_id, epoch_us(ts) as us from events),
+marked as (select *, case when us - lag(us) over (partition by property_id, client_id order by us, id) > 43200000000 then 1 else 0 end as new from hits),
+s as (select *, sum(new) over (partition by property_id, client_id order by us, id rows unbounded preceding) as seq from marked),
+r as (select *, (row_number() over (partition by property_id, client_id, seq order by us, id) - 1) // 3 as part from s),
+w as (select *, row_number() over z - 1 as n, count(*) over (partition by property_id, client_id, seq, part) as total, first_value(id) over z as first, first_value(us) over z as a, max(us) over (partition by property_id, client_id, seq, part) as b from r
+  window z as (partition by property_id, client_id, seq, part order by us, id))
+select id, property_id, client_id, cast(part as bigint) as split_idx, case when part > 0 then 'max_events_reached' end as session_split_cause, first as session_id, cast(n as bigint) as session_hit_number, total as session_total_events,
+  cast(floor(b / 1000000) - floor(a / 1000000) as bigint) as session_duration from w""")
+def stream_sessions(spark, sf_dir):
+    """The hits as a stream of files, in time order: sessions leave it when they close, and in parts of three hits."""
+    rows = hits(spark, sf_dir)
+    bounds = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    folder = scratch_folder(spark, "stream")
+    parts = 5
+    placed = rows.join(F.broadcast(bounds)).withColumn("part", F.least(F.lit(parts - 1), F.floor((F.unix_micros("ts") - F.unix_micros("a")) * parts / (F.unix_micros("b") - F.unix_micros("a") + 1)))).drop("a", "b")
+    beats = bounds.select(F.explode(F.sequence(F.lit(2), F.lit(6), F.lit(2))).alias("days"), "b").select(F.lit("p0").alias("property_id"), F.lit("clock").alias("client_id"), F.timestamp_micros(F.unix_micros("b") + F.col("days") * 86_400_000_000).alias("ts"), (F.col("days") / 2 + parts - 1).cast("int").alias("part"))
+    placed = placed.withColumn("part", F.col("part").cast("int")).unionByName(beats, allowMissingColumns=True)
+    for i in range(parts + 3):  # one batch each
+        placed.where(F.col("part") == i).drop("part").coalesce(1).write.parquet(f"{folder}/in/{i}")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    out = streaming.stream_sessions(source.drop("user_id", "value", "page_title"), 43_200, 0, streaming.Limits(10**9, 3))
+    q = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    closed = spark.read.schema(out.schema).parquet(f"{folder}/out").where("not is_late")
+    return closed.select("id", "property_id", "client_id", "split_idx", "session_split_cause", "session_id", "session_hit_number", "session_total_events", "session_duration")
+
+
 @query("""select l_orderkey, round(sum(l_extendedprice * l_quantity), 2) as revenue, count(distinct l_partkey) as unique_items, cast(sum(cast(l_quantity as bigint)) as bigint) as total_quantity from lineitem group by l_orderkey""")
 def items_revenue(spark, sf_dir):
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")

@@ -130,7 +130,8 @@ def build_events(hits: DataFrame, options: Options | None = None, referrers: Dat
     windows = page_flow.SessionWindows(session)
     df = page_flow.add_page_flow(df, windows)
     if referrers is not None:
-        df = attribution.attribute(df, referrers, first=F.col("session_hit_number") == 0)
+        alone = registry(o).project(hits.withColumn("property_name", F.lit("")), "event", only={"page_referrer"})
+        df = attribution.attribute(df, referrers, first=F.col("session_hit_number") == 0, referrers=alone)
         df = df.withColumns({c: F.first(c).over(windows.ordered) for c in ("session_source", "session_medium", "session_term")})
     df = session_totals.on_every_event(df, p.totals, session)
     df = session_totals.mode_values_on_every_event(df, keys=session, several=joined)
