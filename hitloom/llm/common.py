@@ -70,7 +70,10 @@ def hot_keys(df: DataFrame, key: str, rows: int, count: Column | None = None) ->
     count: the number of rows that a row of df stands for."""
     limit = max(HOT_ROWS, -(-rows // HOT_KEYS))
     found = df.groupBy(F.col(key).alias("hot")).agg((F.count("*") if count is None else F.sum(count)).alias("n")).where(F.col("n") > limit)
-    return F.broadcast(found.select("hot", F.ceil(F.col("n") / limit).cast("int").alias("turns")))
+    found = found.select("hot", F.ceil(F.col("n") / limit).cast("int").alias("turns"))
+    # A row that meets nothing, so that plans are the same with hot keys and without.
+    nothing = df.sparkSession.range(1).select(F.lit(None).cast(found.schema["hot"].dataType).alias("hot"), F.lit(1).alias("turns"))
+    return F.broadcast(found.union(nothing))
 
 
 def join_spread(many: DataFrame, one: DataFrame, key: str, spread: str, hot: DataFrame, how: str = "inner") -> DataFrame:
