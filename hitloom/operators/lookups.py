@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.addresses import V4_PREFIX, ip_key
@@ -21,6 +22,30 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+class Snapshots:
+    """A lookup table in versions: <path>/version=<number>, each written whole by Spark (so it ends with _SUCCESS).
+
+    Called, it gives the newest finished version, through `build` if that is given. Where it stands for a table in a stream
+    (streaming.sessions.write_wide), each micro-batch asks anew, so a version that is added counts from the next batch on.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame] | None = None, fmt: str = "parquet"):
+        self.spark, self.path, self.build, self.format = spark, path.rstrip("/"), build, fmt
+
+    def versions(self) -> list[int]:
+        context = self.spark.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/version=*/_SUCCESS")
+        found = at.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(at) or []
+        return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+    def __call__(self) -> DataFrame:
+        known = self.versions()
+        if not known:
+            raise ValueError(f"{self.path} has no finished version")
+        table = self.spark.read.format(self.format).load(f"{self.path}/version={known[-1]}")
+        return self.build(table) if self.build else table
+
+
 def with_property(hits: DataFrame, settings: DataFrame, default: bool = False, key: str = "property_id") -> DataFrame:
     """property_name and the settings of each hit's property, by its id or another key; hits of unknown properties go (or keep nulls, with default)."""
     return hits.join(small(settings), key, "left" if default else "inner")
