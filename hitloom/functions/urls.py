@@ -92,6 +92,24 @@ def strip_params(url: Column, names: tuple[str, ...] = EXCLUDED_PARAMS) -> Colum
     return F.when(F.contains(url, F.lit("?")) & may, let(parts, rebuilt)).otherwise(url)
 
 
+_HEX2 = "%[0-9A-Fa-f]{2}"
+_SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*+:"
+_PATH = rf"[^%?#]*+(?:{_HEX2}[^%?#]*+)*+"
+_USER = rf"(?:(?:[A-Za-z0-9\-._:~!$&'()*+,;=@]|{_HEX2})*@)?"
+_HOST = r"""(?:\[[^\]/?#]*\](?::[0-9]*)?|(?:[A-Za-z0-9\-_.~!$&'()*+,;=<>"\u0080-\uffff]|%[89A-Fa-f][0-9A-Fa-f]|%25)*+(?::[0-9]*)?)"""
+#: What counts as an address: no control characters, whole escapes in path and fragment, a host of allowed characters with a port of digits, no
+#: colon in the first part of a path unless it ends a scheme. The query is not looked at.
+_READABLE = (
+    rf"^(?![\s\S]*[\x00-\x1f\x7f])(?:{_SCHEME}(?!/)[^#]*+|(?:(?:{_SCHEME})?//{_USER}{_HOST}(?=[/?#]|$)|(?:{_SCHEME})?(?=/(?!/))|(?=///)|(?=[^:/?#]*+(?:[/?#]|$)))"
+    rf"{_PATH}(?:\?[^#]*+)?)(?:#[^%]*+(?:{_HEX2}[^%]*+)*+)?$"
+)
+
+
+def readable(url: Column) -> Column:
+    """Can the address be parsed at all?"""
+    return url.rlike(_READABLE)
+
+
 def without_www(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), r"^www\.", "")
 

@@ -95,6 +95,8 @@ def isolated(hits: DataFrame, stamp_headers: tuple[str, ...] = sessionize.STAMP_
 def build_events(hits: DataFrame, options: Options | None = None, referrers: DataFrame | None = None, rates: DataFrame | None = None, geo: DataFrame | None = None) -> DataFrame:
     """hits: id, name, ts, property_id, client_id, user_id, ip_address, headers, query_params, with keys extracted.
 
+    An event whose page address can't be parsed is broken.
+
     Order: identity, sessions, split, event columns, filter, session-scoped columns, session values, attribution. Broken events go
     last, so they count in their session; a session with an event whose page address is broken goes whole.
 

@@ -69,20 +69,22 @@ def item_struct(text: Column, to_usd: Callable[[Column], Column] | None = None)
     Price and quantity are 0 where they are missing; their product is the refund of a refund event, else the revenue, and
     the other is 0. Fields of lists, creatives and promotions fall back to the event's. to_usd turns an amount into dollars.
     """
-    return urls.let(F.split(text, "~"), lambda parts: _item(parts, to_usd))
+    return urls.let(F.concat(F.lit("~"), text), lambda whole: _item(whole, to_usd))
 
 
-def _item(parts: Column, to_usd: Callable[[Column], Column] | None) -> Column:
-    def texts(code: str) -> Column:
-        return F.transform(F.filter(parts, lambda p: p.startswith(code)), lambda p: F.substring(p, 3, 1 << 20))
+def _item(whole: Column, to_usd: Callable[[Column], Column] | None) -> Column:
+    def last(code: str) -> Column:
+        mark = f"~{code}"
+        return F.when(F.contains(whole, F.lit(mark)), F.substring_index(F.substring_index(whole, mark, -1), "~", 1))
+
+    def numbers(code: str) -> Column:
+        """Looked at only where the last part of the code is no number."""
+        parts = F.transform(F.filter(F.split(whole, "~"), lambda p: p.startswith(code)), lambda p: float_or_null(F.substring(p, 3, 1 << 20)))
+        return F.try_element_at(F.filter(parts, lambda v: v.isNotNull()), F.lit(-1))
 
     fields = {}
     for code, name in ITEM_CODES.items():
-        if name in ITEM_NUMBERS:
-            numbers = F.filter(F.transform(texts(code), float_or_null), lambda v: v.isNotNull())
-            fields[name] = F.try_element_at(numbers, F.lit(-1))
-        else:
-            fields[name] = F.try_element_at(texts(code), F.lit(-1))
+        fields[name] = F.coalesce(float_or_null(last(code)), F.when(F.contains(whole, F.lit(f"~{code}")), numbers(code))) if name in ITEM_NUMBERS else last(code)
     for name in ITEM_FALLBACKS:
         fields[name] = F.coalesce(fields[name], F.col(f"params_{name}"))
     plain = F.struct(*[c.alias(n) for n, c in fields.items()])

@@ -49,6 +49,7 @@ def gcs_flag(index: int) -> Column:
 def shared(page: str, title: str, referrer: str, protocol: str, lang: str, resolution: str, excluded=urls.EXCLUDED_PARAMS) -> list[ColumnDef]:
     out = [
         computed("original_page_location", "string", lambda: value(page)),
+        computed("_page_readable", "boolean", lambda: F.when(urls.readable(F.coalesce("original_page_location", F.lit(""))), True), "original_page_location", breaks=True),
         computed("_page_query", "map<string,array<string>>", lambda: urls.parse_query(urls.query(F.coalesce(F.nullif("original_page_location", F.lit("")), F.col("page_location")))), "original_page_location", "page_location"),
         computed("page_location", "string", lambda: urls.strip_params(F.coalesce(F.col("original_page_location"), F.lit("")), tuple(excluded)), "original_page_location"),
         computed("page_hostname", "string", lambda: urls.host(F.col("page_location")), "page_location"),

@@ -39,6 +39,29 @@ def test_urls(spark, u, host, path, a):
     assert one(spark, u, lambda c: urls.query_param(c, "a")) == a
 
 
+@pytest.mark.parametrize("u,ok", [
+    ("", True), ("https://h.example/a%20b?x=%zz#f", True), ("/only/path?a=b:c", True), ("a/b:c", True), ("http://[2001:db8::1]:80/x", True), ("mailto:x y%zz", True), ("https://u:p%40@h:8080/", True), ("//h.example/x", True), ("http://bücher.example/", True), ("x" * 20_000 + "%41" * 3000, True),
+    ("https://h/%zz", False), ("https://h/a%2", False), ("https://h:8a/", False), ("https://h h/", False), ("1:b/c", False), (":x", False), ("https://h/x\ty", False), ("https://h/#%q", False), ("http://[::1/x", False), ("https://%41.example/", False), ("https://u^@h/", False),
+])
+def test_readable_addresses(spark, u, ok):
+    assert one(spark, u, lambda c: urls.readable(c), "string") is ok
+
+
+def test_an_address_that_cannot_be_read_breaks_its_event(spark):
+    q = ["cid=a&tid=G&en=page_view&dl=https%3A%2F%2Fs.example%2F1", "cid=a&tid=G&en=click&dl=https%3A%2F%2Fs.example%2F%25zz", "cid=a&tid=G&en=click"]
+    hits = pipeline.hits_from_requests(requests_of(spark, *q)).withColumn("property_id", F.lit("p"))
+    rows = pipeline.build_events(hits, pipeline.Options(with_device=False)).orderBy("session_hit_number").collect()
+    assert [(r["session_hit_number"], r["name"], r["session_total_events"]) for r in rows] == [(0, "page_view", 3), (2, "click", 3)]
+
+
+def test_items_with_repeated_and_odd_codes(spark):
+    text = "idA~nmShoe~id~pr2.5~prx~qt2~qt~k0note~v0x~brB~br~caC"
+    df = spark.createDataFrame([("view", text), ("refund", "nm~pr1~pr3~qt4")], "name string, t string").withColumns({f"params_{n}": F.lit(None).cast("string") for n in ga4.ITEM_FALLBACKS})
+    a, b = (r["i"] for r in df.select(ga4.item_struct(F.col("t")).alias("i")).collect())
+    assert (a["item_id"], a["item_name"], a["price"], a["quantity"], a["item_revenue"], a["item_refund"], a["item_brand"], a["item_category"], a["coupon"]) == ("", "Shoe", 2.5, 2.0, 5.0, 0.0, "", "C", None)
+    assert (b["item_name"], b["price"], b["quantity"], b["item_refund"], b["item_revenue"], b["item_id"]) == ("", 3.0, 4.0, 12.0, 0.0, None)
+
+
 def test_parse_query(spark):
     assert one(spark, "a=1&b=x%20y&a=2&&c", urls.parse_query) == {"a": ["1", "2"], "b": ["x y"], "c": [""]}
     assert one(spark, None, urls.parse_query) == {}
