@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import addresses, casts, urls
 from ..operators import attribution, filters, lookups, page_flow, session_totals, sessionize
 from ..operators.components import scratch_folder
-from ..sources import ga4, matomo, requests
+from ..sources import ga4, matomo, requests, shared_columns
 from ..streaming import sessions as streaming
-from . import pipeline
+from . import columns, pipeline
 from .columns import ColumnDef, Registry, in_one_layout
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -645,6 +645,37 @@ def wide_events(spark, sf_dir):
     return wide.select("id", "session_hit_number", "session_total_events", "page_location", "page_title", "session_source", F.col("params_value"), "device_web_browser", "ecommerce_purchase_revenue")
 
 
+@query(SESSIONS + """, x as (select *, cast(substr(page_location, 4) as int) as k from n),
+v as (select *, case when k % 4 > 0 then 'pl' || (k % 4) end as plan, 'c' || (k % 5) as campaign from x),
+w as (select *, last_value(plan ignore nulls) over z as session_plan, last_value(plan) over z as last_plan, bool_or(k % 3 >= 2) over z as returning_user, count(*) over z as total,
+  first_value(case when pv then campaign end ignore nulls) over z as session_campaign, first_value(case when pv then id end ignore nulls) over z as page_id
+  from v window z as (partition by property_id, client_id, proto_seq order by us, id rows between unbounded preceding and unbounded following))
+select sha256(id || '|0') as id, cast(rn as bigint) as session_hit_number, total as session_total_events, cast(floor(us / 1000000) as bigint) as timestamp_s, strftime(make_timestamp(us), '%Y-%m-%d') as date_utc,
+  'Shop ' || property_id as property_name, cast(floor(us / 1000000) as bigint) as page_load_s, returning_user as session_returning_user, session_plan, last_plan as last_event_plan, session_campaign as session_utm_campaign,
+  cast(null as varchar) as geo_metro, 'en-gb' as device_language, plan, k % 2 = 0 as consent from w where k % 11 > 0""")
+def wide_sessions(spark, sf_dir):
+    """Columns of all scopes from requests: custom ones, first and last values, returning users, dates, properties; broken events go, and
+    count in their session."""
+    h = hits(spark, sf_dir)
+    k = F.substring("page_location", 4, 9).cast("int")
+    page = F.concat(F.lit("https://shop.example/p"), F.when(k % 11 == 0, "/%zz").otherwise(""), F.lit("?utm_campaign=c"), k % 5)
+    plan = F.when(k % 4 > 0, F.concat(F.lit("&ep.plan=pl"), k % 4)).otherwise("")
+    q = F.concat(F.lit("v=2&ul=en-gb&tid=G-"), "property_id", F.lit("&cid="), "client_id", F.lit("&en="), "name", F.lit("&dl="), F.url_encode(page), F.lit("&sct="), k % 3, F.lit("&_p="), F.unix_millis("ts"), plan, F.lit("&gcs=G1"), (1 - k % 2), F.lit("1"))
+    raw = h.select(
+        F.col("id").alias("request_id"), F.col("ts").alias("server_received_time"), q.alias("query"), F.lit("").alias("body"), F.lit("shop.example").alias("host"), F.lit("/g/collect").alias("path"), F.lit("POST").alias("method"),
+        F.lit("10.0.0.1").alias("ip_address"), F.create_map(F.lit("User-Agent"), F.array(F.lit("x"))).alias("headers"),
+    )
+    settings = h.select(F.concat(F.lit("G-"), "property_id").alias("measurement_id"), "property_id", F.concat(F.lit("Shop "), "property_id").alias("property_name"), F.lit("ga4").alias("property_protocol")).distinct()
+    wanted = [{"name": "plan", "parameter": "plan"}, {"name": "session_plan", "scope": "session", "parameter": "plan"}]
+    custom = [*columns.custom_columns(wanted, ga4.custom_param), shared_columns.session_param("last_event_plan", "ep.plan")]
+    good = pipeline.accepted(pipeline.hits_from_requests(raw, "ga4", settings, max_bytes=131_072))
+    wide = pipeline.build_events(good, pipeline.Options(custom=custom, with_device=False, split=False))
+    return wide.select(
+        "id", "session_hit_number", "session_total_events", F.unix_seconds("timestamp_utc").alias("timestamp_s"), F.date_format("date_utc", "yyyy-MM-dd").alias("date_utc"), "property_name", F.unix_seconds("page_load_hash").alias("page_load_s"),
+        "session_returning_user", "session_plan", "last_event_plan", "session_utm_campaign", "geo_metro", "device_language", "plan", F.col("privacy_ads_storage").alias("consent"),
+    )
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query: the wide row of each event."""
     rows = pipeline.hits_from_requests(ga4_requests(spark, sf_dir))
