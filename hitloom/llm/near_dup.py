@@ -170,20 +170,21 @@ def linkable(sets: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighted: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, class_id and the columns `carry` for every row."""
     threshold -= 1e-9  # a similarity that equals the threshold counts, whatever its last bit
-    signed = materialize(sign(df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *carry), "text", bands, rows, weighted).drop("text"))
+    signed = materialize(sign(df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *carry), "text", bands, rows, weighted).drop("text").withColumn("__row", F.monotonically_increasing_id()))
     with_words = signed.where("node is not null")
-    # One row stands for each node: the least id (null ids last).
+    # One row stands for each node: that with the least id (null ids last). It is found by its own number, so rows of one id are no hot key.
     rank = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("rank")
-    owners = materialize(with_words.groupBy("node").agg(F.min(rank).alias("rank")))
-    banded = with_words.select("node", rank, "bands").join(owners, ["node", "rank"]).distinct()  # keyed by id too: groups of copies spread
+    first = with_words.groupBy("node").agg(F.min(F.struct(rank, "__row")).alias("o"))
+    owners = materialize(first.select("node", "o.rank", "o.__row"))
+    banded = with_words.join(owners.select("__row"), "__row", "left_semi").select("node", "bands")
     in_bucket = materialize(banded.select("node", F.explode("bands").alias("bucket")))
     n_held = in_bucket.count()
     shared = materialize(in_bucket.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1"))
-    hot = hot_keys(shared, "bucket", n_held, F.col("held"))
+    hot = hot_keys(shared, "bucket", n_held, F.col("held"), steady=True)
     held = members = materialize(join_spread(in_bucket, shared, "bucket", "node", hot))
     discard(in_bucket)
-    involved = members.select("node").distinct().join(owners, "node")
-    sets = materialize(with_words.withColumn("rank", rank).join(involved, ["node", "rank"]).dropDuplicates(["node"]).select("node", "n", "shingles"))
+    involved = members.select("node").distinct().join(owners, "node").select("__row")
+    sets = materialize(with_words.join(involved, "__row", "left_semi").select("node", "n", "shingles"))
 
     # Large buckets: a node whose shingles are mostly its own there can have no link there.
     likely = materialize(linkable(sets.join(members.where(F.col("held") > LARGE).select("node").distinct(), "node"), threshold))
@@ -223,7 +224,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     n_docs = owners.count()
     classes = join_spread(named, least, "comp", "node", hot_keys(named, "comp", n_docs)).select("node", F.nullif("class_rank", F.lit((1 << 63) - 1)).alias("class_id"))
     # What the result is read from: ids and nodes alone, so that signatures and shingles need not stay on disk.
-    classes, docs = materialize(classes), materialize(signed.select("doc_id", "node", F.monotonically_increasing_id().alias("__row"), *carry))
+    classes, docs = materialize(classes), materialize(signed.select("doc_id", "node", "__row", *carry))
     discard(signed, owners, comps, shared)
     copies = hot_keys(docs.where("node is not null"), "node", docs.count())
     return join_spread(docs, classes, "node", "__row", copies, "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), *carry)

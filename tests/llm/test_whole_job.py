@@ -35,6 +35,14 @@ def test_near_duplicates_with_a_repeated_line(spark):
     assert got == classes_model(rows) and got[1] == 0
 
 
+def test_near_duplicates_of_rows_without_ids(spark):
+    texts = [prose(i, 60) for i in range(8)]
+    rows = [(None, texts[i % 4]) for i in range(400)] + [(5, texts[4])] * 300 + [(5, texts[5]), (6, texts[4] + " more"), (None, texts[6]), (7, texts[6] + " x y")]
+    got = near_dup.near_duplicates(spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k long"), carry=("k",)).collect()
+    want = [None] * 400 + [5] * 300 + [5, 5, 7, 7]
+    assert [r["class_id"] for r in sorted(got, key=lambda r: r["k"])] == want and len(got) == len(rows)
+
+
 def test_neighbours_stop_late_enough():
     x = np.random.default_rng(5).standard_normal((8000, 16))
     ids, q = np.arange(8000), np.arange(0, 8000, 20)
