@@ -9,7 +9,7 @@ start the message's text anew. Messages are rendered as
 with control strings in roles and texts escaped: ~ as ~0, line feed in a role as ~1, <| as ~2. No <| is left
 inside, so the marks can be found again, and undoing ~2, ~1, ~0 in this order restores every string.
 
-The loss mask is a list of spans of the formatted text (start and length in code points): the escaped text of each assistant
+The loss mask is a list of spans of the formatted text (start and length in code points, and the turn): the escaped text of each assistant
 message, without its mark and end. What the spans cover, unescaped, is what a model is trained on.
 
 An edit or regeneration with a role gives the message that role. Null role and null text count as empty. Null conversation ids form one conversation of their own. Ties in
@@ -67,33 +67,64 @@ def render(messages: DataFrame) -> DataFrame:
     return messages.select("conv_id", F.array_join(F.transform("turns", turn), "").alias("formatted"))
 
 
+#: Values that one step of a running total adds up in a row; so a long conversation takes little more than one pass.
+RUN = 128
+
+
+def running_total(values: Column) -> Column:
+    """Of an array of numbers, the sum of those before each: within runs of RUN, over the sums of the runs before."""
+    def before(of: Column, start: Column) -> Column:
+        state = F.struct(start.alias("sum"), F.array().cast("array<long>").alias("before"))
+        return F.aggregate(of, state, lambda s, v: F.struct((s["sum"] + v).alias("sum"), F.concat(s["before"], F.array(s["sum"])).alias("before")), lambda s: s["before"])
+
+    zero = F.lit(0).cast("long")
+    count = F.ceil(F.size(values) / RUN).cast("int")
+    runs = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.slice(values, i * RUN + 1, F.lit(RUN)))).otherwise(F.array(values))
+    sums = before(F.transform(runs, lambda r: F.aggregate(r, zero, lambda t, v: t + v)), zero)
+    return F.flatten(F.zip_with(runs, sums, before))
+
+
+def parts_of(formatted: str) -> Column:
+    """What follows each start mark."""
+    return F.slice(F.split(formatted, "<\\|im_start\\|>"), 2, 1 << 30)
+
+
+def starts_of(parts: str) -> Column:
+    """Where each part starts in the formatted text, from 0."""
+    sizes = F.transform(parts, lambda p: F.length(p).cast("long") + len(START))
+    return F.transform(running_total(sizes), lambda t: t + len(START))
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, formatted, turns (role, text): what the formatted text says, escapes undone; loss_spans (start, length):
-    the loss mask, starts counted from 0."""
-    parts = F.slice(F.split("formatted", "<\\|im_start\\|>"), 2, 1 << 30)
+    """conv_id, formatted, turns (role, text): what the formatted text says, escapes undone; loss_spans (start, length, turn):
+    the loss mask, starts and turns counted from 0."""
+
+    def turn(part: Column) -> Column:
+        head = F.length(F.substring_index(part, "\n", 1))
+        return F.struct(unescape(F.substring_index(part, "\n", 1)).alias("role"), unescape(F.substring(part, head + 2, F.length(part) - head - 1 - len(END))).alias("text"))
 
-    def cut(part: Column) -> Column:
-        head = F.substring_index(part, "\n", 1)
-        return F.struct(head.alias("head"), F.length(part).alias("size"), (F.length(head) + 1).alias("at"), (F.length(part) - F.length(head) - 1 - len(END)).alias("length"), part.alias("part"))
+    def span(part: Column, start: Column) -> Column:
+        head = F.length(F.substring_index(part, "\n", 1))
+        return F.struct((start + head + 1).alias("start"), (F.length(part) - head - 1 - len(END)).cast("long").alias("length"))
 
-    def turn(c: Column) -> Column:
-        return F.struct(unescape(c["head"]).alias("role"), unescape(F.substring(c["part"], c["at"] + 1, c["length"])).alias("text"))
+    found = formatted.select("conv_id", "formatted", parts_of("formatted").alias("parts"))
+    found = found.select("*", F.transform("parts", turn).alias("turns"), F.zip_with("parts", starts_of("parts"), span).alias("spans"))
+    spoken = F.zip_with(F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), i.alias("turn"))), "spans", lambda t, s: F.struct(s["start"].alias("start"), s["length"].alias("length"), t["turn"].alias("turn"), t["role"].alias("role")))
+    spans = F.transform(F.filter(spoken, lambda s: s["role"] == "assistant"), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"), s["turn"].alias("turn")))
+    return found.select("conv_id", "formatted", "turns", spans.alias("loss_spans"))
 
-    def place(state: Column, c: Column) -> Column:
-        """Where the next part starts, and the places found so far."""
-        start = state["next"] + len(START)
-        return F.struct((start + c["size"]).alias("next"), F.concat(state["places"], F.array(start)).alias("places"))
 
-    found = formatted.select("conv_id", "formatted", F.transform(parts, cut).alias("cuts"))
-    first = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("places"))
-    found = found.withColumn("places", F.aggregate("cuts", first, place, lambda state: state["places"]))
-    spans = F.filter(F.zip_with("cuts", "places", lambda c, p: F.when(unescape(c["head"]) == "assistant", F.struct((p + c["at"]).alias("start"), c["length"].alias("length")))), lambda x: x.isNotNull())
-    return found.select("conv_id", "formatted", F.transform("cuts", turn).alias("turns"), spans.alias("loss_spans"))
+def under_mask(df: DataFrame, out: str = "under_mask", formatted: str = "formatted", spans: str = "loss_spans") -> DataFrame:
+    """Append all text under the loss mask, unescaped. A span is cut from its turn's part, so the text is walked once."""
+    cut = df.withColumn("__parts", parts_of(formatted)).withColumn("__starts", starts_of("__parts"))
+    # One element that holds both arrays: a lambda's own variable is not computed anew for each span.
+    held = F.array(F.struct(F.col("__parts").alias("parts"), F.col("__starts").alias("starts"), F.col(spans).alias("spans")))
 
+    def text(h: Column) -> Column:
+        one = lambda x: unescape(F.substring(F.get(h["parts"], x["turn"]), (x["start"] - F.get(h["starts"], x["turn"])).cast("int") + 1, x["length"].cast("int")))
+        return F.array_join(F.transform(h["spans"], one), "")
 
-def under_mask(formatted: str = "formatted", spans: str = "loss_spans") -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda x: unescape(F.substring(F.col(formatted), x["start"] + 1, x["length"]))), "")
+    return cut.withColumn(out, F.get(F.transform(held, text), F.lit(0))).drop("__parts", "__starts")
 
 
 def messages_as_log(rows: DataFrame) -> DataFrame:
@@ -107,9 +138,9 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.sql(
         "select -1L conv_id, i turn, if(i = 0, 'user', 'assistant') role, t text from (select explode(array(0L, 1L)) i, :said t)", args={"said": said}
     )
-    out = read_back(render(fold(messages_as_log(rows.unionByName(more)))))
+    out = under_mask(read_back(render(fold(messages_as_log(rows.unionByName(more))))), "spoken")
     every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), every.alias("every"), under_mask().alias("spoken"), F.length("formatted").cast("long").alias("formatted_chars")).select(
+    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), every.alias("every"), "spoken", F.length("formatted").cast("long").alias("formatted_chars")).select(
         "conv_id",
         "n_turns",
         F.sha2(F.col("every").cast("binary"), 256).alias("turns_sha256"),

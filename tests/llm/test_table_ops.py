@@ -33,6 +33,25 @@ def test_chat_round_trip(spark):
     assert one.count("<|im_start|>") == one.count("<|im_end|>") == 3
 
 
+def test_chat_of_many_turns(spark):
+    """More turns than runs of the running total, so that spans lie in the right place, in about one pass."""
+    import time
+
+    rows = [(1, i, "assistant" if i % 2 else "user", f"é~{'x' * (i % 7)}<|{i}") for i in range(6000)] + [(2, 0, "assistant", "a"), (3, 0, "user", "u")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    began = time.time()
+    got = {r["conv_id"]: r for r in chat.under_mask(chat.read_back(chat.render(chat.fold(chat.messages_as_log(df))))).collect()}
+    assert time.time() - began < 20
+    for c in (1, 2, 3):
+        said = [t for k, _, role, t in rows if k == c and role == "assistant"]
+        r = got[c]
+        assert r["under_mask"] == "".join(said) and len(r["loss_spans"]) == len(said)
+        for s, text in zip(r["loss_spans"], said):
+            assert r["formatted"][s["start"] : s["start"] + s["length"]].replace("~2", "<|").replace("~0", "~") == text and r["turns"][s["turn"]]["text"] == text
+    sums = df.limit(1).select(chat.running_total(F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda v: v.cast("long"))).alias("s")).collect()[0]["s"]
+    assert sums == [i * (i + 1) // 2 for i in range(1000)]
+
+
 def test_chat_events(spark):
     log = [(1, 0, 0, "message", "user", "hi"), (1, 1, 1, "delta", "assistant", "He"), (1, 1, 2, "delta", "assistant", "llo"), (1, 1, 3, "regenerate", "assistant", "G"), (1, 1, 4, "delta", "assistant", "ood"), (1, 0, 5, "edit", "user", "hey"), (1, 2, 6, "delta", "user", "bye"), (1, 3, 7, "message", "user", "a"), (1, 3, 8, "edit", "tool", "b"), (1, 3, 9, "delta", None, "c"), (1, 4, 10, "message", "user", "d"), (1, 4, 11, "edit", None, "e")]
     df = spark.createDataFrame(log, "conv_id long, message long, seq long, kind string, role string, text string")
