@@ -14,7 +14,8 @@ Vectors that are null, empty, zero or hold null or non-finite components, and ro
 of different lengths never meet; the LENGTHS most frequent lengths are searched by tree, rows of all others exactly. Rows
 with the query's id are no candidates of it; other repeated rows are. Rows of one id with equal vectors are one query; each
 different vector of an id is a query with k neighbours and ranks of its own. Scores are
-computed in double precision, component by component, on the original vectors, so equal vectors tie exactly.
+computed in double precision, component by component, on the original vectors, so equal vectors tie exactly, and
+ties go to the smaller id. Only the id and vector columns are read, whatever others are called. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ in the word, and the result equals the merge order's result exactly.
 Decoder: one blob with the texts of all tokens and a table of offsets into it.
 
 Words are cut at white space first; each distinct word is encoded once per Python process (bounded cache).
-Null text counts as empty: no tokens, empty decoded text. Repeated rows are encoded each for themselves.
+Null text counts as empty: no tokens, empty decoded text. Repeated rows are encoded each for themselves. Very long texts and words are
+encoded whole. All other columns pass through; one that has a name of the result's is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations

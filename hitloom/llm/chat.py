@@ -13,7 +13,8 @@ The loss mask is a list of spans of the formatted text (start and length in code
 message, without its mark and end. What the spans cover, unescaped, is what a model is trained on.
 
 An edit or regeneration with a role gives the message that role. Null role and null text count as empty. Null conversation ids form one conversation of their own. Ties in
-sequence are ordered by role and text; repeated rows of one place are repeated turns. An empty log gives no rows.
+sequence are ordered by role and text; repeated rows of one place are repeated turns. An empty log gives no rows; columns that
+a log doesn't need are left out, whatever their names; texts are rendered whole.
 One conversation is one output value, so its turns come together in one row, as the format asks.
 """
 

@@ -11,7 +11,8 @@ MOST_BINS distinct n-grams together, of rows with a language whose crc32 modulo
 number of documents, and smaller ones stay whole.
 
 `und` with score 0: null text, or a text without a letter; and every text if nothing was learned. Repeated rows
-are predicted alike; ties go to the language that sorts first. An empty table gives no rows.
+are predicted alike; ties go to the language that sorts first. Texts are read whole. All other columns pass through; one with a name of the result's is
+replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ A match begins and ends with whole words, and the notice's words of up to EXACT
 "gnu"), stand in it unchanged. Matches of one notice don't overlap and are found from left to right, so every stretch of
 words within the notice's edits overlaps a reported match of it.
 
-Null and empty texts have no words, no labels, score 0. Every row gets exactly one result row.
+Null and empty texts have no words, no labels, score 0. Every row gets exactly one result row, repeated ones too; texts are scanned whole.
+All other columns pass through; one that has a name of the result's is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -25,6 +25,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -328,13 +329,22 @@ def fetch(keys: DataFrame, manifest: DataFrame, folder: str, key: str = "doc_id"
     """Keyed access: rows of keys with occurrence and ids (array<long>), once for each document stored under the key, or
     with nulls where there is none.
 
-    The store's ranges (a row for each task that wrote it, a checked number) are broadcast; a key then meets the shards of its ranges alone.
+    The bounds of the store's ranges (one for each task that wrote it, a checked number) are searched for each key; a key then meets the
+    shards of its ranges alone.
     """
     wanted = keys.withColumn("__k", F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)))
-    bounds = manifest.groupBy("part").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high"))
-    if bounds.limit(MOST_PARTS + 1).count() > MOST_PARTS:
+    bounds = manifest.groupBy("part").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high")).orderBy("low", "high", "part").limit(MOST_PARTS + 1).collect()
+    if len(bounds) > MOST_PARTS:
         raise ValueError(f"the store has more than {MOST_PARTS} ranges")
-    ranged = wanted.select("__k").distinct().join(F.broadcast(bounds), F.col("__k").between(F.col("low"), F.col("high"))).select("__k", "part")
+    parts, lows, highs = (np.array([r[c] for r in bounds], dtype=np.int64) for c in ("part", "low", "high"))
+
+    @F.pandas_udf("array<int>")
+    def parts_of(keys: pd.Series) -> pd.Series:
+        """Ranges follow each other, so those that may hold a key lie between two places in their sorted bounds."""
+        first, last = np.searchsorted(highs, keys.to_numpy(), "left"), np.searchsorted(lows, keys.to_numpy(), "right")
+        return pd.Series([parts[i:j].tolist() for i, j in zip(first, last)])
+
+    ranged = wanted.select("__k").distinct().select("__k", F.explode(parts_of("__k")).alias("part"))
     placed = ranged.join(manifest, "part").where(F.col("__k").between(F.col("first_key"), F.col("last_key"))).select("__k", "part", "shard", "name")
     schema = pa.schema([("__k", pa.int64()), ("part", pa.int32()), ("shard", pa.int32()), ("nth", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
