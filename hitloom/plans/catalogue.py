@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import addresses, casts, urls
-from ..operators import attribution, filters, lookups, page_flow, session_totals, sessionize
+from ..operators import attribution, devices, filters, lookups, page_flow, session_totals, sessionize
 from ..operators.components import scratch_folder
 from ..sources import ga4, matomo, requests, shared_columns
 from ..streaming import sessions as streaming
@@ -676,6 +676,31 @@ def wide_sessions(spark, sf_dir):
     )
 
 
+@query("""with t as (select event_id, event_id % (select count(*) from part) + 1 as k, event_id % 5 as m from events)
+select event_id, case when m = 4 then 'bot' when m = 3 then 'desktop' when k % 3 = 0 then 'tablet' else 'smartphone' end as device_category, case when m = 4 then 'Bot ' || k when m = 3 then null else 'Maker ' || (k % 25) end as device_mobile_brand_name,
+  case when m < 3 then case when m = 1 then 'hinted' else 'Model ' || k end end as device_mobile_model_name, case when m = 4 then null when m = 3 then 'Windows' else 'Android' end as device_operating_system,
+  case when m = 3 then '10' when m < 3 then '1' || (k % 4) end as device_operating_system_version, case when m = 4 then null when m = 2 then 'Browser ' || k when m = 3 then 'Chrome' else 'Chrome Mobile' end as device_web_browser,
+  case when m = 2 then '7.' || k when m < 4 then '120.0.0.0' end as device_web_browser_version from t""")
+def device_agents(spark, sf_dir):
+    """A database with four patterns for each part: makers and models, browsers, bots, and one system."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"))
+    k = F.col("k")
+    row = lambda section, regex, name, version=F.lit(None), brand=F.lit(None), device=F.lit(None): F.struct(F.lit(section).alias("section"), k.cast("int").alias("place"), regex.alias("regex"), name.alias("name"), version.cast("string").alias("version"), brand.cast("string").alias("brand"), device.cast("string").alias("device"))
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    database = part.select(F.inline(F.array(
+        row("model", text("(?:^|[^A-Z0-9])mx-(", k, r")[a-f](?:[);/ ]|$)"), F.lit("Model $1"), brand=text("Maker ", k % 25), device=F.when(k % 3 == 0, "tablet").otherwise("phablet")),
+        row("browser", text("surf", k, r"/(\d+[.\d]*)"), text("Browser ", k), F.lit("$1")),
+        row("bot", text("crawl", k, r"(?:er)?/\d"), text("Bot ", k)), row("system", text(r"Android (\d+)[;)] (?:.*)X", k, r"Y?\b"), F.lit("Android"), F.lit("$1")),
+    )))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").crossJoin(F.broadcast(part.agg(F.count("*").alias("parts")))).select("event_id", (F.pmod("event_id", "parts") + 1).alias("k"), F.pmod("event_id", F.lit(5)).alias("m"))
+    phone = lambda more: text("Mozilla/5.0 (Linux; Android 1", k % 4, "; MX-", k, "b) X", k, "Y", more)
+    chrome = F.lit(" AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Mobile Safari/537.36")
+    agent = F.when(F.col("m") == 4, text("Crawl", k, "er/2.0 (+https://x.example)")).when(F.col("m") == 3, "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36")
+    agent = agent.when(F.col("m") == 2, phone(text(chrome, " Surf", k, "/7.", k))).otherwise(phone(chrome))
+    hints = F.when(F.col("m") == 1, F.create_map(F.lit("User-Agent"), F.array(agent), F.lit("Sec-Ch-Ua-Model"), F.array(F.lit('"hinted"')))).otherwise(F.create_map(F.lit("User-Agent"), F.array(agent)))
+    return devices.with_device(e.select("event_id", hints.alias("headers")), database).drop("headers")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query: the wide row of each event."""
     rows = pipeline.hits_from_requests(ga4_requests(spark, sf_dir))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import addresses, casts, urls
-from ..operators import attribution, filters, lookups, page_flow, session_totals, sessionize
+from ..operators import attribution, devices, filters, lookups, page_flow, session_totals, sessionize
 from ..sources import ga4, matomo, requests
 from .columns import ColumnDef, Registry
 
@@ -67,6 +67,7 @@ class Options:
     isolate: bool = False
     excluded_params: tuple[str, ...] = urls.EXCLUDED_PARAMS
     with_device: bool = True
+    devices: DataFrame | None = None  # a pattern database (operators.devices)
 
 
 def registry(options: Options, with_rates: bool = False) -> Registry:
@@ -82,6 +83,8 @@ def event_columns(hits: DataFrame, options: Options, rates: DataFrame | None = N
     df = registry(options, rates is not None).project(df, "event").drop("_usd_rate")
     if geo is not None:
         df = lookups.ip_ranges(df, geo)
+    if options.devices is not None:
+        return devices.with_device(df, options.devices)
     return lookups.with_device(df) if options.with_device else df
 
 
