@@ -683,7 +683,7 @@ select event_id, case when m = 4 then 'bot' when m = 3 then 'desktop' when k % 3
   case when m = 2 then '7.' || k when m < 4 then '120.0.0.0' end as device_web_browser_version from t""")
 def device_agents(spark, sf_dir):
     """A database with four patterns for each part: makers and models, browsers, bots, and one system."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") + 1).alias("k"))
     k = F.col("k")
     row = lambda section, regex, name, version=F.lit(None), brand=F.lit(None), device=F.lit(None): F.struct(F.lit(section).alias("section"), k.cast("int").alias("place"), regex.alias("regex"), name.alias("name"), version.cast("string").alias("version"), brand.cast("string").alias("brand"), device.cast("string").alias("device"))
     text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
