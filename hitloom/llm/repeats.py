@@ -360,3 +360,23 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op11_substring_dedup": op11_substring_dedup}
+
+#: Every window of every document, by its words.
+ORACLE = {
+    "op11_substring_dedup": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+starts as (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13),
+win as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as g from starts),
+least as (select g, min(doc_id) as first_id from win group by g),
+covered as (select win.doc_id, win.i from win join least on win.g = least.g where least.first_id < win.doc_id),
+gone as (select distinct doc_id, i + k as p from covered, range(0, 13) r(k)),
+words as (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d),
+kept as (
+  select words.doc_id, string_agg(words.w[words.p], ' ' order by words.p) as text
+  from words left join gone on gone.doc_id = words.doc_id and gone.p = words.p where gone.p is null group by words.doc_id
+),
+removed as (select doc_id, count(*) as n from gone group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(removed.n, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from d left join kept on kept.doc_id = d.doc_id left join removed on removed.doc_id = d.doc_id
+"""
+}
