@@ -67,13 +67,13 @@ HOT_ROWS, HOT_KEYS = 256, 10_000
 def hot_keys(df: DataFrame, key: str, rows: int, count: Column | None = None, steady: bool = False) -> DataFrame:
     """hot, turns: hot keys of a table of `rows` rows (a bounded table, at most HOT_KEYS), and by how many tasks each is to be shared.
 
-    count: the number of rows that a row of df stands for. steady: with a row that meets nothing, so that plans are the same with hot keys
-    and without."""
+    count: the number of rows that a row of df stands for. steady: always with the key 0, so that plans are the same with hot keys and without (a row
+    of null would be filtered out before a join, and an empty table leaves the join out)."""
     limit = max(HOT_ROWS, -(-rows // HOT_KEYS))
     found = df.groupBy(F.col(key).alias("hot")).agg((F.count("*") if count is None else F.sum(count)).alias("n")).where(F.col("n") > limit)
     found = found.select("hot", F.ceil(F.col("n") / limit).cast("int").alias("turns"))
     if steady:
-        found = found.union(df.sparkSession.range(1).select(F.lit(None).cast(found.schema["hot"].dataType).alias("hot"), F.lit(1).alias("turns")))
+        found = found.union(df.sparkSession.range(1).select(F.lit(0).cast(found.schema["hot"].dataType).alias("hot"), F.lit(1).alias("turns"))).groupBy("hot").agg(F.max("turns").alias("turns"))
     return F.broadcast(found)
 
 

@@ -5,7 +5,7 @@ from collections import Counter
 
 import corpus_pipeline as p
 import numpy as np
-from hitloom.llm import ann, bpe, lang_id, mixing, near_dup, quality_model
+from hitloom.llm import ann, bpe, common, lang_id, mixing, near_dup, quality_model
 from pyspark.sql import functions as F
 from test_text_ops import classes_model
 
@@ -165,3 +165,15 @@ def test_stages_on_clashing_columns_and_empty_tables(spark, tmp_path):
         assert none.columns == columns and none.count() == 0, name
         if stage in (p.near_duplicates, p.language_id, p.mix_sources):
             assert stage(spark, docs, str(tmp_path)).columns == columns, name
+
+
+def test_spread_joins_have_one_plan(spark):
+    rows = spark.createDataFrame([(i % 7, i) for i in range(70)], "k long, v long")
+    cold = common.join_spread(rows, rows.groupBy("k").count(), "k", "v", common.hot_keys(rows, "k", 70, steady=True))
+    assert cold.count() == 70 and len(cold.collect()) == 70
+    done = cold._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert done.count("LeftOuter") == 2  # the joins with hot keys are there though no key is hot
+    many = spark.createDataFrame([(0, i) for i in range(600)] + [(1, i) for i in range(300)] + [(2, 0)], "k long, v long")
+    hot = common.hot_keys(many, "k", many.count(), steady=True)
+    assert sorted(tuple(r) for r in hot.collect()) == [(0, 3), (1, 2)]  # the key 0 is there once
+    assert common.join_spread(many, many.groupBy("k").count(), "k", "v", hot).count() == 901
