@@ -39,6 +39,8 @@ WORDS, THRESHOLD = 5, 0.8
 LARGE = 4
 #: Parts by which the shingles of such nodes are counted, to bound what two of them have in common.
 PARTS = 32
+#: Row numbers of a bounded table: up to so many are broadcast, and the rows that they name stay where they are.
+FEW_ROWS = 1 << 21
 _SEPARATE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _PRIME = np.uint64(0x100000001B3)
 
@@ -167,6 +169,12 @@ def linkable(sets: DataFrame, threshold: float) -> DataFrame:
     return part.where(F.col("shared") >= F.col("n") * threshold).drop("n")
 
 
+def rows_named(wide: DataFrame, named: DataFrame, few: int = FEW_ROWS) -> DataFrame:
+    """Those rows of wide whose __row is among named (a materialized table). Texts' shingles are about as large as the texts: they are shuffled
+    for that only where more than `few` rows are named."""
+    return wide.join(F.broadcast(named) if named.count() <= few else named, "__row", "left_semi")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighted: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, class_id and the columns `carry` for every row."""
     threshold -= 1e-9  # a similarity that equals the threshold counts, whatever its last bit
@@ -183,8 +191,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     hot = hot_keys(shared, "bucket", n_held, F.col("held"), steady=True)
     held = members = materialize(join_spread(in_bucket, shared, "bucket", "node", hot))
     discard(in_bucket)
-    involved = members.select("node").distinct().join(owners, "node").select("__row")
-    sets = materialize(with_words.join(involved, "__row", "left_semi").select("node", "n", "shingles"))
+    involved = materialize(members.select("node").distinct().join(owners, "node").select("__row"))
+    sets = materialize(rows_named(with_words.select("__row", "node", "n", "shingles"), involved).drop("__row"))
 
     # Large buckets: a node whose shingles are mostly its own there can have no link there.
     likely = materialize(linkable(sets.join(members.where(F.col("held") > LARGE).select("node").distinct(), "node"), threshold))
@@ -217,7 +225,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     if not more.isEmpty():
         old, comps = comps, components(links.union(more))
         discard(old)
-    discard(sets, likely, held, members, tried, links, labelled, rest, more)
+    discard(sets, involved, likely, held, members, tried, links, labelled, rest, more)
 
     named = owners.join(comps.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("rank").alias("class_rank"))

@@ -177,3 +177,18 @@ def test_spread_joins_have_one_plan(spark):
     hot = common.hot_keys(many, "k", many.count(), steady=True)
     assert sorted(tuple(r) for r in hot.collect()) == [(0, 3), (1, 2)]  # the key 0 is there once
     assert common.join_spread(many, many.groupBy("k").count(), "k", "v", hot).count() == 901
+
+
+def test_few_named_rows_move_no_shingles(spark):
+    wide = spark.createDataFrame([(i, [i] * 3) for i in range(50)], "__row long, shingles array<int>").repartition(4, "shingles")
+    named = spark.createDataFrame([(i,) for i in range(0, 50, 5)], "__row long")
+    plans = []
+    for few in (10, 9):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        try:
+            got = near_dup.rows_named(wide, named, few)
+            assert sorted(r[0] for r in got.collect()) == list(range(0, 50, 5))
+            plans.append(got._jdf.queryExecution().executedPlan().toString())
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plans[0] and "SortMergeJoin" in plans[1]
