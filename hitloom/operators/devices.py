@@ -2,8 +2,12 @@
 
 A database is a table (section, place, regex, name, version, brand, device): sections `bot`, `browser`, `system` and `model`; within a section
 the first pattern that holds, by place, decides. name, version and brand may say $1 to $9 for what the pattern's groups hold. read_database takes the public YAML
-lists. From each pattern the longest text that it can't do without is taken; one pass over the agent finds which of these it holds, and only
-those patterns are tried, in their order, and the few that have no such text. So an agent costs about the same whatever the size of the list.
+lists. Of the texts that a pattern can't do without, the one is taken that fewest patterns of the list have; one pass over the agent finds which of
+these it holds, and only those patterns are tried, in their order, and the few that have no such text. So an agent costs about the same whatever the
+size of the list.
+
+A database of more than MOST_PATTERNS patterns isn't sent to the tasks: the distinct agents' substrings are joined with its texts, and the patterns
+that they meet are tried there; the result is the same.
 
 What the database doesn't say comes from lookups.parse_agent: the category of what is no known model, and what client hints say.
 """
@@ -13,18 +17,24 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
+from collections import Counter
+from collections.abc import Callable
+from functools import lru_cache
 from re import _constants as kinds
 from re import _parser as parser
 
 import ahocorasick
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .components import settled
 from .lookups import _HINTS, DEVICE, parse_agent
 
 DATABASE = "section string, place int, regex string, name string, version string, brand string, device string"
-#: Patterns that a database has at most: it is sent to the tasks with the plan.
+#: Patterns up to which a database is sent to the tasks with the plan; a larger one is joined.
 MOST_PATTERNS = 200_000
 #: Letters that a text must have to tell patterns apart, and agents that a process remembers.
 LEAST, REMEMBERED = 3, 100_000
@@ -32,28 +42,36 @@ LEAST, REMEMBERED = 3, 100_000
 KINDS = {"smartphone": "smartphone", "feature phone": "smartphone", "phablet": "smartphone", "tablet": "tablet", "tv": "tv", "console": "console", "desktop": "desktop"}
 
 
-def needed_text(pattern: str) -> str:
-    """The longest text, in lower case, that everything which the pattern matches holds; "" if there is none."""
-    best = ""
+def needed_texts(pattern: str) -> list[str]:
+    """Texts, in lower case, that everything which the pattern matches holds. A run goes on through a group that is neither repeated nor a choice."""
+    found, run = [], ""
 
-    def runs(items) -> None:
-        nonlocal best
+    def end() -> None:
+        nonlocal run
+        found.append(run)
         run = ""
+
+    def runs(items) -> None:
+        nonlocal run
         for kind, value in items:
-            if kind is kinds.LITERAL:
-                run += chr(value).lower() if len(chr(value).lower()) == 1 and chr(value).isascii() else "\0"
-                continue
-            if kind is kinds.AT:
-                continue
-            best, run = max([best, *run.split("\0")], key=len), ""
-            if kind is kinds.SUBPATTERN:
+            if kind is kinds.LITERAL and len(chr(value).lower()) == 1 and chr(value).isascii():
+                run += chr(value).lower()
+            elif kind is kinds.SUBPATTERN:
                 runs(value[3])
-            elif kind in (kinds.MAX_REPEAT, kinds.MIN_REPEAT, kinds.POSSESSIVE_REPEAT) and value[0] > 0:
-                runs(value[2])
-        best = max([best, *run.split("\0")], key=len)
+            elif kind is not kinds.AT:
+                end()
+                if kind in (kinds.MAX_REPEAT, kinds.MIN_REPEAT, kinds.POSSESSIVE_REPEAT) and value[0] > 0:
+                    runs(value[2])
+                    end()
 
     runs(parser.parse(pattern, re.I))
-    return best if len(best) >= LEAST else ""
+    end()
+    return [t for t in dict.fromkeys(found) if len(t) >= LEAST]
+
+
+def needed_text(pattern: str) -> str:
+    """The longest of needed_texts; "" if there is none."""
+    return max(needed_texts(pattern), key=len, default="")
 
 
 class Section:
@@ -63,9 +81,11 @@ class Section:
         self.rows, self.compiled, self.always = rows, {}, []
         self.texts = ahocorasick.Automaton()
         places: dict[str, list[int]] = {}
-        for i, r in enumerate(rows):
-            if text := needed_text(r["regex"]):
-                places.setdefault(text, []).append(i)
+        needed = [needed_texts(r["regex"]) for r in rows]
+        held_by = Counter(t for texts in needed for t in texts)
+        for i, texts in enumerate(needed):
+            if texts:
+                places.setdefault(min(texts, key=lambda t: (held_by[t], -len(t))), []).append(i)
             else:
                 self.always.append(i)
         for text, held in places.items():
@@ -101,23 +121,35 @@ class Database:
         self.sections = {s: Section([r for r in rows if r["section"] == s]) for s in ("bot", "browser", "system", "model")}
 
     def parse(self, agent: str | None, *hints: str | None) -> dict:
-        out = parse_agent(agent, *hints)
-        if not agent:
-            return out
-        for section, field in (("browser", "device_web_browser"), ("system", "device_operating_system")):
-            hinted = section == "system" and (hints[1] if len(hints) > 1 else None)
-            if not hinted and (found := self.sections[section].find(agent)):
-                row, m = found
-                version = filled(row["version"], m)
-                out[field], out[f"{field}_version"] = filled(row["name"], m), version and version.replace("_", ".")
-        if found := self.sections["bot"].find(agent):
-            return out | {"device_category": "bot", "device_mobile_brand_name": filled(found[0]["name"], found[1]), "device_mobile_model_name": None}
-        if found := self.sections["model"].find(agent):
-            row, m = found
-            out["device_mobile_brand_name"] = filled(row["brand"], m)
-            out["device_mobile_model_name"] = (hints[0] or "").strip().strip('"') if hints and hints[0] else filled(row["name"], m)
-            out["device_category"] = KINDS.get(row["device"] or "", out["device_category"])
+        def find(section: str) -> dict | None:
+            found = self.sections[section].find(agent)
+            return found and said(*found)
+
+        return described(find, agent, *hints)
+
+
+def said(row: dict, m: re.Match) -> dict:
+    """What a pattern that holds says."""
+    return {c: filled(row[c], m) for c in ("name", "version", "brand")} | {"device": row["device"]}
+
+
+def described(find: Callable[[str], dict | None], agent: str | None, *hints: str | None) -> dict:
+    """The device columns; find gives what the first pattern of a section says."""
+    out = parse_agent(agent, *hints)
+    if not agent:
         return out
+    for section, field in (("browser", "device_web_browser"), ("system", "device_operating_system")):
+        hinted = section == "system" and (hints[1] if len(hints) > 1 else None)
+        if not hinted and (found := find(section)):
+            version = found["version"]
+            out[field], out[f"{field}_version"] = found["name"], version and version.replace("_", ".")
+    if found := find("bot"):
+        return out | {"device_category": "bot", "device_mobile_brand_name": found["name"], "device_mobile_model_name": None}
+    if found := find("model"):
+        out["device_mobile_brand_name"] = found["brand"]
+        out["device_mobile_model_name"] = (hints[0] or "").strip().strip('"') if hints and hints[0] else found["name"]
+        out["device_category"] = KINDS.get(found["device"] or "", out["device_category"])
+    return out
 
 
 def read_database(spark: SparkSession, files: dict[str, str]) -> DataFrame:
@@ -141,11 +173,16 @@ def read_database(spark: SparkSession, files: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(rows, DATABASE)
 
 
-def with_device(df: DataFrame, database: DataFrame, headers: str = "headers") -> DataFrame:
-    """Append the device columns by a database. A process parses an agent once, as long as it remembers it; no shuffle."""
-    rows = database.orderBy("section", "place", "regex").limit(MOST_PATTERNS + 1).collect()
-    if len(rows) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} patterns")
+def _header(headers: str, name: str) -> Column:
+    return F.get(F.try_element_at(headers, F.lit(name)), F.lit(0))
+
+
+def with_device(df: DataFrame, database: DataFrame, headers: str = "headers", most: int = MOST_PATTERNS) -> DataFrame:
+    """Append the device columns by a database. A process parses an agent once, as long as it remembers it; no shuffle, unless the database has more
+    than `most` patterns."""
+    if database.limit(most + 1).count() > most:
+        return _joined(df, database, headers)
+    rows = database.orderBy("section", "place", "regex").collect()
     for r in rows:
         re.compile(r["regex"])  # a pattern that is none fails here and not in a task
     text = json.dumps([r.asDict() for r in rows])
@@ -163,11 +200,88 @@ def with_device(df: DataFrame, database: DataFrame, headers: str = "headers") ->
             out.append(known[row])
         return pd.DataFrame(out, columns=list(DEVICE))
 
-    header = lambda name: F.get(F.try_element_at(headers, F.lit(name)), F.lit(0))
-    made = df.withColumn("_d", parse(header("User-Agent"), *map(header, _HINTS.values())))
+    made = df.withColumn("_d", parse(_header(headers, "User-Agent"), *[_header(headers, h) for h in _HINTS.values()]))
+    return made.select(*df.columns, "_d.*")
+
+
+#: Letters of a text that is joined, at most; of a longer one its head and its tail are. Bits of the filter before that join.
+LONGEST, FILTER_BITS = 16, 27
+_SAID = "name string, version string, brand string, device string"
+
+
+def _joined(df: DataFrame, database: DataFrame, headers: str) -> DataFrame:
+    """The same for a database of any size. A filter of a fixed size keeps most substrings that are no pattern's text out of the join; it decides nothing."""
+
+    @F.pandas_udf("array<string>")
+    def texts_of(patterns: pd.Series) -> pd.Series:
+        return patterns.map(lambda p: list(dict.fromkeys(x for t in needed_texts(p) for x in ((t,) if len(t) <= LONGEST else (t[:LONGEST], t[-LONGEST:])))))
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes and much work: their number isn't to be lowered
+    patterns = settled(database.repartition(tasks).withColumns({"_texts": texts_of("regex"), "_of": F.monotonically_increasing_id()}))
+    each = patterns.select("_of", "section", F.explode("_texts").alias("_text"))
+    held = each.groupBy("section", "_text").agg(F.count("*").alias("n"))
+    rarest = each.join(held, ["section", "_text"]).groupBy("_of").agg(F.min_by("_text", F.struct("n", -F.length("_text"), "_text")).alias("_text"))
+    keyed = settled(patterns.join(rarest, "_of", "left").drop("_of", "_texts"))
+    texts = keyed.where("_text is not null").select("_text").distinct()
+    lengths = [r[0] for r in texts.select(F.length("_text")).distinct().collect()]
+    place = F.crc32(F.col("_text").cast("binary")).bitwiseAND((1 << FILTER_BITS) - 1) + 1
+    maps = texts.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    bits = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
+    for at, own in maps:
+        bits[(at - 1) * 4096 : at * 4096] = np.frombuffer(own, dtype=np.uint8)
+    sent = df.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    @F.pandas_udf("array<string>")
+    def parts_of(agents: pd.Series) -> pd.Series:
+        have = sent.value
+
+        def parts(agent: str) -> list[str]:
+            low, found = agent.lower(), set()
+            for n in lengths:
+                for x in {low[i : i + n] for i in range(len(low) - n + 1)}:
+                    if x.isascii():
+                        at = zlib.crc32(x.encode()) & ((1 << FILTER_BITS) - 1)
+                        if have[at >> 3] >> (at & 7) & 1:
+                            found.add(x)
+            return list(found)
+
+        return agents.map(parts)
+
+    @F.pandas_udf(_SAID)
+    def tried(agents: pd.Series, regexes: pd.Series, names: pd.Series, versions: pd.Series, brands: pd.Series, devices: pd.Series) -> pd.DataFrame:
+        # A device of "" is none; a match is told from none by it.
+        out = []
+        for agent, regex, *row in zip(agents, *(c.where(c.notna(), None).tolist() for c in (regexes, names, versions, brands, devices))):
+            m = _compiled(regex).search(agent)
+            one = m and said(dict(zip(("name", "version", "brand", "device"), row)), m)
+            out.append((one["name"], one["version"], one["brand"], one["device"] or "") if one else (None,) * 4)
+        return pd.DataFrame(out, columns=["name", "version", "brand", "device"])
+
+    agent = _header(headers, "User-Agent")
+    agents = df.select(agent.alias("_agent")).where("_agent <> ''").distinct()
+    met = agents.withColumn("_text", F.explode(parts_of("_agent"))).join(keyed.where("_text is not null"), "_text").drop("_text")
+    always = agents.crossJoin(F.broadcast(keyed.where("_text is null").drop("_text")))
+    pairs = met.unionByName(always).repartition(tasks, "regex").sortWithinPartitions("regex")  # a pattern is compiled once
+    judged = pairs.withColumn("_said", tried("_agent", "regex", "name", "version", "brand", "device")).where("_said.device is not null")
+    sections = ("bot", "browser", "system", "model")
+    first = judged.groupBy("_agent").agg(*[F.min_by(F.when(F.col("section") == s, F.col("_said")), F.when(F.col("section") == s, F.struct("place", "regex"))).alias(f"_{s}") for s in sections])
+
+    @F.pandas_udf(", ".join(f"{c} string" for c in DEVICE))
+    def describe(agents: pd.Series, model: pd.Series, system: pd.Series, version: pd.Series, mobile: pd.Series, found: pd.DataFrame) -> pd.DataFrame:
+        given = (c.where(c.notna(), None).tolist() for c in (agents, model, system, version, mobile))
+        out = [tuple(described(dict(zip(sections, says)).get, *row).values()) for *row, says in zip(*given, found.astype(object).where(found.notna(), None).itertuples(index=False, name=None))]
+        return pd.DataFrame(out, columns=list(DEVICE))
+
+    made = df.withColumn("_agent", agent).join(first, "_agent", "left")
+    made = made.withColumn("_d", describe("_agent", *[_header(headers, h) for h in _HINTS.values()], F.struct(*[f"_{s}" for s in sections])))
     return made.select(*df.columns, "_d.*")
 
 
+@lru_cache(maxsize=4096)
+def _compiled(regex: str) -> re.Pattern:
+    return re.compile(regex, re.I)
+
+
 _LOADED: dict[str, tuple[Database, dict]] = {}
 
 

@@ -44,3 +44,30 @@ def test_lists_from_files(spark, tmp_path):
     assert rows[4]["device_operating_system_version"] == "7" and list(lookups.DEVICE) == rows[0].__fields__[-len(lookups.DEVICE) :]
     with pytest.raises(re.error):
         devices.with_device(df, spark.createDataFrame([("bot", 0, "(", "x", None, None, None)], devices.DATABASE))
+
+
+@pytest.mark.parametrize("pattern,texts", [
+    (r"(?:^|[^A-Z0-9])mx-(12)[a-f]", ["mx-12"]), (r"Android (\d+)[;)] (?:.*)X17Y?\b", ["android ", "x17"]), (r"a(b)+cde", ["cde"]), (r"(foo|bar)quux", ["quux"]),
+])
+def test_needed_texts(pattern, texts):
+    assert devices.needed_texts(pattern) == texts
+
+
+def test_a_text_that_all_patterns_share_is_not_their_key():
+    section = devices.Section([{"regex": rf"Android (\d+)[;)] (?:.*)X{k}Y"} for k in range(100, 400)])
+    assert section.find("Android 12; X399Y")[0]["regex"].endswith("X399Y") and len(section.compiled) == 1
+
+
+def test_large_databases_are_joined(spark):
+    rng, rows = random.Random(6), []
+    word = lambda n=4: "".join(rng.choice("abcdXYZ") for _ in range(n))
+    for i in range(1500):
+        a, b = word(), word()
+        regex = rng.choice([rf"{a}/(\d+)", f"(?:{a}|{b})z", rf"{a}.*{b}", rf"\b{a}[12]?{b}", f"({a})-{a * 5}"])
+        rows.append((rng.choice(["bot", "browser", "system", "model", "model"]), i // 2, regex, rng.choice(["n$1", f"n{i}", ""]), rng.choice([None, "$1"]), rng.choice([None, f"b{i}"]), rng.choice([None, "", "tablet"])))
+    database = spark.createDataFrame(rows, devices.DATABASE)
+    agents = [" ".join(rng.choice([word(), word() + "/1_2", word() + "z", "é", word() + rng.choice(rows)[2][:4], (w := word()) + "-" + w * 5]) for _ in range(rng.randrange(1, 7))) for _ in range(300)] + [None, "", "x"]
+    df = spark.createDataFrame([(i, a, rng.choice([None, '"M1"']), rng.choice([None, '"macOS"'])) for i, a in enumerate(agents * 2)], "i int, agent string, m string, p string")
+    df = df.select("i", F.when(F.col("agent").isNotNull(), F.create_map(F.lit("User-Agent"), F.array("agent"), F.lit("Sec-Ch-Ua-Model"), F.array("m"), F.lit("Sec-Ch-Ua-Platform"), F.array("p"))).alias("headers"))
+    sent, joined = (sorted(map(str, devices.with_device(df, database, most=most).drop("headers").collect())) for most in (2000, 10))
+    assert sent == joined and len(sent) == 606 and len({r.split(", ", 1)[1] for r in sent}) > 60
