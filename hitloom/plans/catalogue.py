@@ -281,8 +281,10 @@ def stream_sessions(spark, sf_dir):
     placed = rows.join(F.broadcast(bounds)).withColumn("part", F.least(F.lit(parts - 1), F.floor((F.unix_micros("ts") - F.unix_micros("a")) * parts / (F.unix_micros("b") - F.unix_micros("a") + 1)))).drop("a", "b")
     beats = bounds.select(F.explode(F.sequence(F.lit(2), F.lit(6), F.lit(2))).alias("days"), "b").select(F.lit("p0").alias("property_id"), F.lit("clock").alias("client_id"), F.timestamp_micros(F.unix_micros("b") + F.col("days") * 86_400_000_000).alias("ts"), (F.col("days") / 2 + parts - 1).cast("int").alias("part"))
     placed = placed.withColumn("part", F.col("part").cast("int")).unionByName(beats, allowMissingColumns=True)
+    placed.write.partitionBy("part").parquet(f"{folder}/placed")  # the input is read once, by all tasks
+    staged = spark.read.schema(placed.schema).parquet(f"{folder}/placed")
     for i in range(parts + 3):  # one batch each
-        placed.where(F.col("part") == i).drop("part").coalesce(1).write.parquet(f"{folder}/in/{i}")
+        staged.where(F.col("part") == i).drop("part").coalesce(1).write.parquet(f"{folder}/in/{i}")
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
     out = streaming.stream_sessions(source.drop("user_id", "value", "page_title"), 43_200, 0, streaming.Limits(10**9, 3))
     q = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()

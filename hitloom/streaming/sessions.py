@@ -118,7 +118,7 @@ class SessionProcessor(StatefulProcessor):
         times = held["ts"].astype("datetime64[us]").astype("int64").to_numpy()
         plain = lambda c: [None if v is None or v != v or v == "" and c == "user_id" else v for v in held[c]]
         before = tuple(self.left.get()) if self.left.exists() else None
-        gap, gone, wake = self.timeout_s * 1_000_000, 0, None
+        gap, gone, wake, closed, last = self.timeout_s * 1_000_000, 0, None, [], None
         parts = list(parts_of(times, plain("user_id"), plain("utm_campaign"), self.timeout_s, self.limits, before))
         for k, (start, end, seq, index, cause) in enumerate(parts):
             follows = k + 1 < len(parts) and parts[k + 1][2] == seq
@@ -126,13 +126,16 @@ class SessionProcessor(StatefulProcessor):
             if final > clock_us:
                 wake = int(final // 1000) + 1
                 break
-            one, gone = held.iloc[start:end], end
-            yield pd.DataFrame({
-                "property_id": key[0], "client_id": key[1], **{c: one[c] for c in FIELDS}, "session_id": one["id"].iloc[0], "proto_seq": seq, "split_idx": index, "session_split_cause": cause,
-                "session_hit_number": range(end - start), "session_total_events": end - start, "session_duration": int(times[end - 1] // 1_000_000 - times[start] // 1_000_000), "is_late": False,
-            })[_COLUMNS]
+            gone = end
+            closed.append((end - start, held["id"].iat[start], seq, index, cause, int(times[end - 1] // 1_000_000 - times[start] // 1_000_000)))
             then = parts[k + 1] if follows else None
-            self.left.update((int(times[end - 1]), seq, then[3] if then else 0, then[4] if then else None))
+            last = (int(times[end - 1]), seq, then[3] if then else 0, then[4] if then else None)
+        if closed:  # one frame and one update of the state for all parts that leave
+            size, *values = zip(*closed)
+            each = dict(zip(("session_id", "proto_seq", "split_idx", "session_split_cause", "session_duration"), (np.repeat(np.array(v, dtype=object), size) for v in values)))
+            number = np.arange(gone) - np.repeat(np.cumsum(size) - size, size)
+            yield held.iloc[:gone].assign(property_id=key[0], client_id=key[1], **each, session_hit_number=number, session_total_events=np.repeat(size, size), is_late=False)[_COLUMNS]
+            self.left.update(last)
         if gone:
             rest = held.iloc[gone:]
             self.hits.clear()

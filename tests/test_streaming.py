@@ -126,3 +126,37 @@ def test_closed_parts_become_wide_rows(spark, tmp_path):
     assert [(r["id"], r["session_id"], r["session_total_events"], r["session_split_cause"]) for r in sorted(out["wide"], key=lambda r: r["id"])] == [
         (f"h{i:02d}", f"h{i // 5 * 5:02d}", 5 if i < 10 else 2, None if i < 5 else "max_events_reached") for i in range(12)
     ]
+
+
+class _State:
+    """A list or value state, and the handle and times of one key, in memory; counts the updates."""
+
+    def __init__(self):
+        self.held, self.updates = None, 0
+
+    def __getattr__(self, name):
+        kept = lambda v=None: (setattr(self, "held", v), setattr(self, "updates", self.updates + 1))
+        return {"exists": lambda: self.held is not None, "get": lambda: self.held or (), "update": kept, "clear": lambda: setattr(self, "held", None), "appendList": lambda v: kept([*(self.held or []), *v])}[name]
+
+
+def test_parts_that_close_together_leave_in_one_frame():
+    from types import SimpleNamespace
+
+    import pandas as pd
+    from hitloom.streaming import sessions
+
+    made = {}
+    state = lambda name, _: made.setdefault(name, _State())
+    p = sessions.SessionProcessor(1800, 88_200, sessions.Limits(10**9, 3))
+    p.init(SimpleNamespace(getListState=state, getValueState=state, registerTimer=lambda at: None, deleteTimer=lambda at: None))
+    seconds = [i * 60 + (i // 50) * 7200 for i in range(1000)]
+    hits = pd.DataFrame({"id": [f"{i:04}" for i in range(1000)], "name": "n", "page_location": None, "ts": pd.to_datetime(seconds, unit="s"), "user_id": None, "utm_campaign": None, "payload": None})
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    assert not list(p.handleInputRows(("p", "c"), iter([hits]), now))
+    late = SimpleNamespace(getCurrentWatermarkInMs=lambda: 10**9)
+    frames = list(p.handleExpiredTimer(("p", "c"), late, None))
+    assert len(frames) == 1 and made["left"].updates == 1 and list(frames[0].columns) == sessions._COLUMNS
+    want = [(f"{i:04}", f"{i - i % 50 % 3:04}", i // 50, i % 50 // 3, i % 50 % 3, 2 if i % 50 > 47 else 3) for i in range(1000)]
+    got = frames[0][["id", "session_id", "proto_seq", "split_idx", "session_hit_number", "session_total_events"]]
+    assert list(got.itertuples(index=False, name=None)) == want
+    assert frames[0]["session_split_cause"].notna().tolist() == [i % 50 >= 3 for i in range(1000)]
