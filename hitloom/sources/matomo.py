@@ -42,18 +42,23 @@ def custom_dimensions() -> Column:
 #: The order's items as SQL text over a JSON text {raw}; what a slot holds counts only if it has the slot's type.
 _ITEMS = "try_variant_get(try_parse_json({raw}), '$', 'array<variant>')"
 _IS_NUMBER = "schema_of_variant({x}) rlike '^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)'"
-_SLOT = "get(a, {i})"
+_SLOT = "get(s.a, {i})"
 _TEXT = "case when schema_of_variant({x}) = 'STRING' then try_variant_get({x}, '$', 'string') end"
 
 
+def _categories_sql() -> str:
+    slot, text = "get(a, 2)", lambda x: _TEXT.format(x=x)
+    several = f"transform(try_variant_get({slot}, '$', 'array<variant>'), v -> {text('v')})"
+    return f"case when schema_of_variant({slot}) = 'STRING' then array({text(slot)}) when schema_of_variant({slot}) like 'ARRAY%' then {several} end"
+
+
 def _item_sql() -> str:
+    """Of s, an item's slots (a) and categories (c), which are made once: what a lambda repeats is evaluated again."""
     slot = [_SLOT.format(i=i) for i in range(5)]
     text = lambda x: _TEXT.format(x=x)
     number = lambda x, default: f"case when {_IS_NUMBER.format(x=x)} then coalesce(try_variant_get({x}, '$', 'double'), {default}D) else {default}D end"
     sku = f"case when schema_of_variant({slot[0]}) = 'STRING' or schema_of_variant({slot[0]}) = 'BOOLEAN' or {_IS_NUMBER.format(x=slot[0])} then try_variant_get({slot[0]}, '$', 'string') end"
-    several = f"transform(try_variant_get({slot[2]}, '$', 'array<variant>'), v -> {text('v')})"
-    cats = f"case when schema_of_variant({slot[2]}) = 'STRING' then array({text(slot[2])}) when schema_of_variant({slot[2]}) like 'ARRAY%' then {several} end"
-    category = [f"nullif(get({cats}, {i}), '')" for i in range(5)]
+    category = [f"nullif(get(s.c, {i}), '')" for i in range(5)]
     fields = [f"{sku} as item_id", f"coalesce({text(slot[1])}, '') as item_name", f"coalesce({category[0]}, '') as item_category"]
     fields += [f"{c} as item_category{i}" for i, c in enumerate(category[1:], 2)]
     return "struct(" + ", ".join([*fields, f"{number(slot[3], 0.0)} as price", f"{number(slot[4], 1.0)} as quantity"]) + ")"
@@ -63,7 +68,7 @@ def order_items() -> Column:
     """[[sku, name, category or up to five categories, price, quantity], ...] with mixed types. A sku may be a text, number or boolean, items
     without one go; a slot of another type counts as missing: name and first category are "", price 0, quantity 1."""
     arrays = f"transform({_ITEMS.format(raw=first_value_sql('query_params', 'ec_items'))}, x -> try_variant_get(x, '$', 'array<variant>'))"
-    return F.expr(f"filter(transform(filter({arrays}, a -> size(a) > 0), a -> {_item_sql()}), r -> coalesce(r.item_id, '') <> '')")
+    return F.expr(f"filter(transform(transform(filter({arrays}, a -> size(a) > 0), a -> struct(a as a, {_categories_sql()} as c)), s -> {_item_sql()}), r -> coalesce(r.item_id, '') <> '')")
 
 
 def items_readable() -> Column:

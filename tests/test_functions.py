@@ -248,3 +248,9 @@ def test_referrer_lists_from_files(spark, tmp_path):
     first = spark.createDataFrame([("https://www.foo.co.uk/s?q=Red+Shoe",), ("https://m.bar.example/x",), ("https://a.foo.example/?q=",), ("",)], "page_referrer string").withColumns({"original_page_location": F.lit("https://s.example/"), "ignore_referrer": F.lit(False)})
     got = [tuple(r)[-3:] for r in attribution.attribute(first, table).collect()]
     assert got == [("foo", "organic", "red-shoe"), ("bar", "social", None), ("foo", "organic", None), ("direct", "none", None)]
+
+
+def test_matomo_categories_are_made_once_an_item():
+    from hitloom.sources import matomo
+
+    assert "array<variant>" not in matomo._item_sql() and matomo._categories_sql().count("array<variant>") == 1
