@@ -171,30 +171,41 @@ FOLD_ROWS = 1_000_000
 def stitching_groups(events: DataFrame, timeout_s: int, by_stamp: bool, by_user: bool, fold_rows: int = FOLD_ROWS, rounds: int = 3) -> DataFrame:
     """Append _group: hits that can bear on each other's owners have the same one; null for clients that share no key.
 
-    Clients are joined by the stamps and user ids that they share (connected components); a component is cut where
-    none of its hits falls into a whole time-out, since all its sessions are closed there. Clients are then joined anew within
-    each piece, and pieces cut again, as long as a group has more than fold_rows hits; where no property has so many, it is one
-    group. Two values with one hash only make a group larger.
+    A property is one group. Where it has more than fold_rows hits, its clients are joined by the stamps and user ids that they share
+    (connected components); a component is cut where none of its hits falls into a whole time-out, since all its sessions are closed
+    there. Clients of groups that are still too large are then joined anew within each piece, and pieces cut again, until a round
+    brings nothing. Two values with one hash only make a group larger.
+
+    The hits are read anew in each pass and aren't shuffled where the clients, and the components' pieces, are few enough to be broadcast: a client stands
+    for all its keys by the least of them, so the graph is one of keys, and passes leave only counts behind.
     """
     keys = [c for on, c in ((by_stamp, "_stamp"), (by_user, "_user")) if on]
-    df = events.withColumns({"_slot": F.floor(F.unix_micros("ts") / (timeout_s * 1_000_000)), "_piece": F.lit(0).cast("bigint"), "_p": F.col("property_id").cast("string"), "_c": F.col("client_id").cast("string")})
+    df = events.withColumns({"_slot": F.floor(F.unix_micros("ts") / (timeout_s * 1_000_000)), "_p": F.col("property_id").cast("string"), "_c": F.col("client_id").cast("string")})
     df = df.withColumn("_group", F.xxhash64("_p") if keys else F.lit(None).cast("bigint"))
+    sizes, seen = df.groupBy("_group").agg(F.count("*").alias("_hits")), None
     for _ in range(rounds if keys else 0):
-        if df.where("_group is not null").groupBy("_group").count().where(F.col("count") > fold_rows).isEmpty():
+        # One row for each fold_rows hits at most. Groups are only ever cut, so the same number of them with as many hits are the same.
+        large = settled(sizes.where(F.col("_hits") > fold_rows).select(F.col("_group").alias("_large"), "_hits"))
+        found = tuple(large.agg(F.count("*"), F.sum("_hits")).first())
+        if not found[0] or found == seen:
             break
-        client = _node("client", "_p", "_piece", "_c")
-        edges = [df.where(F.col(k).isNotNull()).select(client.alias("a"), _node(k, "_p", "_piece", k).alias("b")) for k in keys]
-        comps = components(reduce(DataFrame.union, edges).distinct())
-        df = df.withColumn("_node", client)
-        df = df.join(comps.select(F.col("node").alias("_node"), F.col("comp").alias("_comp")), "_node", "left")
-        slots = df.where("_comp is not null").select("_comp", "_slot").distinct()
-        order = Window.partitionBy("_comp").orderBy("_slot")
-        fresh = F.coalesce((F.col("_slot") - F.lag("_slot").over(order) > 1).cast("int"), F.lit(0))
+        seen = found
+        df = df.join(small(large.drop("_hits")), F.col("_group") == F.col("_large"), "left").withColumn("_node", F.when(F.col("_large").isNotNull(), _node("client", "_large", "_c")))
+        nodes = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), _node(k, "_large", k)) for k in keys]))
+        edges = df.where("_large is not null").select(F.col("_node").alias("_client"), F.explode(nodes).alias("b"))
+        hubs = settled(edges.groupBy("_client").agg(F.min("b").alias("a")))
+        comps = components(edges.join(small(hubs), "_client").select("a", "b").distinct())
+        owned = settled(hubs.join(comps, F.col("a") == F.col("node")).select(F.col("_client"), F.col("comp").alias("_comp")))
+        df = df.join(small(owned), F.col("_node") == F.col("_client"), "left").drop("_client", "_node")
+        slots = df.where("_comp is not null").groupBy(F.col("_comp").alias("_of"), F.col("_slot").alias("_at")).agg(F.count("*").alias("_hits"))
+        order = Window.partitionBy("_of").orderBy("_at")
+        fresh = F.coalesce((F.col("_at") - F.lag("_at").over(order) > 1).cast("int"), F.lit(0))
         pieces = slots.withColumn("_new", fresh).withColumn("_nth", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        pieces = pieces.select("_comp", "_slot", F.xxhash64("_comp", "_nth").alias("_next"))
-        df = df.join(pieces, ["_comp", "_slot"], "left").withColumn("_piece", F.coalesce("_next", "_piece")).drop("_next", "_node")
-        df = df.withColumnRenamed("_comp", "_last").drop("_group").withColumn("_group", F.when(F.col("_last").isNotNull(), F.col("_piece"))).drop("_last")
-    return df.drop("_slot", "_piece", "_p", "_c")
+        pieces = settled(pieces.select("_of", "_at", F.xxhash64("_of", "_nth").alias("_next"), "_hits"))
+        df = df.join(small(pieces.drop("_hits")), (F.col("_comp") == F.col("_of")) & (F.col("_slot") == F.col("_at")), "left")
+        df = df.withColumn("_group", F.when(F.col("_large").isNotNull(), F.col("_next")).otherwise(F.col("_group"))).drop("_large", "_comp", "_of", "_at", "_next")
+        sizes = pieces.groupBy(F.col("_next").alias("_group")).agg(F.sum("_hits").alias("_hits"))
+    return df.drop("_slot", "_p", "_c")
 
 
 def stitch(events: DataFrame, timeout_s: int = 1800, by_stamp: bool = True, by_user: bool = True, fold_rows: int = FOLD_ROWS) -> DataFrame:

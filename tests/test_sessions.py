@@ -87,6 +87,22 @@ def test_stitching_in_groups_equals_the_fold_over_a_property(spark):
     assert len(n) > 20 and max(n) < 300  # one property, many groups
 
 
+def test_groups_that_no_round_cuts_are_tried_once_and_hits_stay_in_place(spark, monkeypatch):
+    rng = random.Random(23)
+    rows = sorted((rng.randrange(20_000), f"c{rng.randrange(30)}", rng.choice(["s", "t", None]), rng.choice(["u", None])) for _ in range(500))
+    df = hits(spark, [(float(t), *r) for t, *r in rows])
+    tries, found = [], sessionize.components
+    monkeypatch.setattr(sessionize, "components", lambda edges: tries.append(edges.count()) or found(edges))
+    grouped = sessionize.stitching_groups(df.withColumnsRenamed({"session_stamp": "_stamp", "user_id": "_user"}), 1800, True, True, fold_rows=100)
+    assert len(tries) == 1 and tries[0] <= 3  # edges between keys alone, not of 30 clients
+    assert "hashpartitioning" not in grouped._jdf.queryExecution().executedPlan().toString()
+    assert grouped.where("_group is not null").select("_group").distinct().count() == 1
+    want = owners(sessionize.stitch(df))
+    assert owners(sessionize.stitch(df, fold_rows=100)) == want
+    monkeypatch.setattr(sessionize, "small", lambda t: t)  # too many clients and pieces to be broadcast
+    assert owners(sessionize.stitch(df, fold_rows=100)) == want
+
+
 def test_stamp_runs_agree_with_the_fold(spark):
     rng = random.Random(3)
     rows = sorted((rng.randrange(20_000), rng.choice("abc"), rng.choice(["s", "t", None]), None) for _ in range(40))
