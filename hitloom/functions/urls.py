@@ -50,17 +50,24 @@ def param_of_query(q: Column, name: str) -> Column:
     return F.coalesce(let(first, lambda p: decode(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise(F.lit("")))), F.lit(""))
 
 
+def after_mark(p: Column) -> Column:
+    """What follows the first = of a pair; "" if it has none."""
+    return F.when(F.contains(p, F.lit("=")), F.substr(p, F.instr(p, F.lit("=")) + 1)).otherwise(F.lit(""))
+
+
 def parse_query(q: Column) -> Column:
     """map<string, array<string>>: all values of each key in order; malformed pairs are left out."""
     parts = F.filter(F.split(F.coalesce(q, F.lit("")), "&"), lambda p: (p != "") & ~F.contains(p, F.lit(";")))
-    pairs = F.transform(parts, lambda p: F.struct(decode(F.substring_index(p, "=", 1)).alias("k"), decode(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise(F.lit(""))).alias("v")))
-    pairs = F.filter(pairs, lambda x: x["k"].isNotNull() & x["v"].isNotNull())
+
+    def pair(p: Column) -> Column:
+        made = lambda f: F.struct(f(F.substring_index(p, "=", 1)).alias("k"), F.array(f(after_mark(p))).alias("v"))
+        return F.when(F.contains(p, F.lit("%")) | F.contains(p, F.lit("+")), made(decode)).otherwise(made(lambda c: c))  # most pairs have nothing to decode
+
+    pairs = F.filter(F.transform(parts, pair), lambda x: x["k"].isNotNull() & F.get(x["v"], F.lit(0)).isNotNull())
 
     def grouped(p: Column) -> Column:
-        every = F.transform(p, lambda x: x["k"])
-        repeated = F.map_from_entries(F.transform(F.array_distinct(every), lambda k: F.struct(k, F.transform(F.filter(p, lambda x: x["k"] == k), lambda x: x["v"]))))
-        plain = F.map_from_arrays(every, F.transform(p, lambda x: F.array(x["v"])))
-        return F.when(F.size(F.array_distinct(every)) == F.size(every), plain).otherwise(repeated)
+        repeated = F.map_from_entries(F.transform(F.array_distinct(p["k"]), lambda k: F.struct(k, F.flatten(F.filter(p, lambda x: x["k"] == k)["v"]))))
+        return F.when(F.size(F.array_distinct(p["k"])) == F.size(p), F.map_from_entries(p)).otherwise(repeated)
 
     return let(pairs, grouped)
 

@@ -69,43 +69,47 @@ def item_struct(text: Column, to_usd: Callable[[Column], Column] | None = None)
     Price and quantity are 0 where they are missing; their product is the refund of a refund event, else the revenue, and
     the other is 0. Fields of lists, creatives and promotions fall back to the event's. to_usd turns an amount into dollars.
     """
-    return urls.let(F.concat(F.lit("~"), text), lambda whole: _item(whole, to_usd))
+    return F.get(_items(F.array(F.concat(F.lit("~"), text)), to_usd), F.lit(0))
 
 
-def _item(whole: Column, to_usd: Callable[[Column], Column] | None) -> Column:
-    def last(code: str) -> Column:
-        mark = f"~{code}"
-        return F.when(F.contains(whole, F.lit(mark)), F.substring_index(F.substring_index(whole, mark, -1), "~", 1))
+def _items(wholes: Column, to_usd: Callable[[Column], Column] | None) -> Column:
+    """Items of texts that begin with ~. Lambdas don't share subexpressions: amounts that are used often are made in a pass of their own, and
+    parts are cut out only where they are."""
 
-    def numbers(code: str) -> Column:
+    def field(whole: Column, code: str) -> Column:
+        last = F.substring_index(F.substring_index(whole, f"~{code}", -1), "~", 1)
+        return F.when(F.contains(whole, F.lit(f"~{code}")), F.coalesce(float_or_null(last), numbers(whole, code)) if ITEM_CODES[code] in ITEM_NUMBERS else last)
+
+    def numbers(whole: Column, code: str) -> Column:
         """Looked at only where the last part of the code is no number."""
         parts = F.transform(F.filter(F.split(whole, "~"), lambda p: p.startswith(code)), lambda p: float_or_null(F.substring(p, 3, 1 << 20)))
         return F.try_element_at(F.filter(parts, lambda v: v.isNotNull()), F.lit(-1))
 
-    fields = {}
-    for code, name in ITEM_CODES.items():
-        fields[name] = F.coalesce(float_or_null(last(code)), F.when(F.contains(whole, F.lit(f"~{code}")), numbers(code))) if name in ITEM_NUMBERS else last(code)
-    for name in ITEM_FALLBACKS:
-        fields[name] = F.coalesce(fields[name], F.col(f"params_{name}"))
-    plain = F.struct(*[c.alias(n) for n, c in fields.items()])
+    def counted(whole: Column) -> Column:
+        return F.struct(whole.alias("whole"), F.coalesce(field(whole, "pr"), F.lit(0.0)).alias("price"), F.coalesce(field(whole, "qt"), F.lit(0.0)).alias("quantity"))
 
     def priced(x: Column) -> Column:
-        price, quantity = F.coalesce(x["price"], F.lit(0.0)), F.coalesce(x["quantity"], F.lit(0.0))
-        refund = F.coalesce(F.col("name") == "refund", F.lit(False))
-        amounts = {"price": price, "quantity": quantity, "item_refund": F.when(refund, price * quantity).otherwise(0.0), "item_revenue": F.when(refund, 0.0).otherwise(price * quantity)}
-        dollars = {f"{n}_in_usd": F.lit(None).cast("double") if to_usd is None else to_usd(amounts[n]) for n in ("price", "item_refund", "item_revenue")}
-        return F.struct(*[(amounts | dollars).get(n, x[n] if n in fields else None).alias(n) for n in ITEM_FIELDS])
+        refund, amount = F.coalesce(F.col("name") == "refund", F.lit(False)), x["price"] * x["quantity"]
+        return F.struct(*[x[n].alias(n) for n in ("whole", "price", "quantity")], F.when(refund, amount).otherwise(0.0).alias("item_refund"), F.when(refund, 0.0).otherwise(amount).alias("item_revenue"))
+
+    def complete(x: Column) -> Column:
+        made = {n: x[n] for n in ("price", "quantity", "item_refund", "item_revenue")}
+        made |= {f"{n}_in_usd": F.lit(None).cast("double") if to_usd is None else to_usd(x[n]) for n in ("price", "item_refund", "item_revenue")}
+        made |= {n: field(x["whole"], code) for code, n in ITEM_CODES.items() if n not in made}
+        made |= {n: F.coalesce(made[n], F.col(f"params_{n}")) for n in ITEM_FALLBACKS}
+        return F.struct(*[made[n].alias(n) for n in ITEM_FIELDS])
 
-    return urls.let(plain, priced)
+    return F.transform(F.transform(F.transform(wholes, counted), priced), complete)
 
 
 def items_array(to_usd: Callable[[Column], Column] | None = None) -> Column:
-    """Items of every parameter whose name begins with pr, in the order of the names; kept if they have an id or a name."""
-    entries = F.array_sort(F.map_entries(F.map_filter(F.coalesce("query_params", F.expr("map()")), lambda k, _: k.startswith("pr"))))
-    texts = F.filter(F.flatten(F.transform(entries, lambda e: e["value"])), lambda t: t != "")
-    made = F.filter(F.transform(texts, lambda t: item_struct(t, to_usd)), lambda x: x["item_id"].isNotNull() | x["item_name"].isNotNull())
+    """Items of every parameter whose name begins with pr, in the order of the names; kept if they have an id or a name, which is seen before they are parsed."""
+    params = F.coalesce("query_params", F.expr("map()"))
+    entries = F.sort_array(F.filter(F.map_entries(params), lambda e: e["key"].startswith("pr")))
+    wholes = F.transform(F.flatten(entries["value"]), lambda t: F.concat(F.lit("~"), t))
+    kept = F.filter(wholes, lambda w: F.contains(w, F.lit("~id")) | F.contains(w, F.lit("~nm")))
     none = F.array().cast(f"array<{ITEM_TYPE}>")
-    return F.when(F.exists(F.map_keys(F.coalesce("query_params", F.expr("map()"))), lambda k: k.startswith("pr")), made).otherwise(none)
+    return F.when(F.exists(F.map_keys(params), lambda k: k.startswith("pr")), _items(kept, to_usd)).otherwise(none)
 
 
 def items_sum(field: str) -> Column:
@@ -113,9 +117,9 @@ def items_sum(field: str) -> Column:
 
 
 def usd_amount(amount: Column) -> Column:
-    """Needs _usd_rate, the rate of the event's currency, which the pipeline joins: as it is in dollars, else rounded half to even,
+    """Needs _in_usd, and _usd_rate, the rate of the event's currency, which the pipeline joins: as it is in dollars, else rounded half to even,
     null where the currency or its rate is not known."""
-    return F.when(F.lower(F.trim("params_currency")) == "usd", amount).otherwise(bankers_round(amount * F.col("_usd_rate")))
+    return F.when(F.col("_in_usd"), amount).otherwise(bankers_round(amount * F.col("_usd_rate")))
 
 
 def columns(protocol: str = "ga4_gtag", domain: str = "ga4", with_rates: bool = False, excluded: tuple[str, ...] = urls.EXCLUDED_PARAMS) -> list[ColumnDef]:
@@ -134,7 +138,8 @@ def columns(protocol: str = "ga4_gtag", domain: str = "ga4", with_rates: bool =
     item_deps = tuple(f"params_{n}" for n in ITEM_FALLBACKS)
     items = "ecommerce_items"
     out += [
-        computed(items, f"array<{ITEM_TYPE}>", lambda: items_array(usd_amount if with_rates else None), *item_deps, "params_currency"),
+        computed(items, f"array<{ITEM_TYPE}>", lambda: items_array(usd_amount if with_rates else None), *item_deps, "_in_usd"),
+        computed("_in_usd", "boolean", lambda: F.lower(F.trim("params_currency")) == "usd", "params_currency"),  # once an event, not for each amount of an item
         computed("ecommerce_purchase_revenue", "double", lambda: F.when(F.col("name") == "purchase", items_sum("item_revenue")).otherwise(0.0), items),
         computed("ecommerce_refund_value", "double", lambda: F.when(F.col("name") == "refund", items_sum("item_refund")).otherwise(0.0), items),
         computed("ecommerce_unique_items", "bigint", lambda: F.size(F.array_distinct(F.filter(F.transform(items, lambda x: x["item_id"]), lambda v: v.isNotNull()))).cast("bigint"), items),
@@ -148,7 +153,7 @@ def columns(protocol: str = "ga4_gtag", domain: str = "ga4", with_rates: bool =
 def usd_columns() -> list[ColumnDef]:
     """Amounts in dollars; they need the rates to be joined."""
     pairs = {"ecommerce_purchase_revenue_in_usd": "ecommerce_purchase_revenue", "ecommerce_refund_value_in_usd": "ecommerce_refund_value", "ecommerce_shipping_value_in_usd": "ecommerce_shipping_value", "ecommerce_tax_value_in_usd": "ecommerce_tax_value"}
-    return [computed(out, "double", lambda source=source: usd_amount(F.col(source)), source, "params_currency") for out, source in pairs.items()]
+    return [computed(out, "double", lambda source=source: usd_amount(F.col(source)), source, "_in_usd") for out, source in pairs.items()]
 
 
 def custom_param(name: str, parameter: str, kind: str = "string") -> ColumnDef:

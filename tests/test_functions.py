@@ -254,3 +254,18 @@ def test_matomo_categories_are_made_once_an_item():
     from hitloom.sources import matomo
 
     assert "array<variant>" not in matomo._item_sql() and matomo._categories_sql().count("array<variant>") == 1
+
+
+def test_items_are_chosen_and_their_currency_told_before_they_are_parsed(spark):
+    """An item without id and name isn't parsed; whether amounts are dollars is told once an event, not in the items' lambda."""
+    items = next(c for c in ga4.columns(with_rates=True) if c.name == "ecommerce_items")
+    assert "_in_usd" in items.depends_on and "params_currency" not in items.depends_on
+    df = spark.sql("select map('pr2', array('brX~pr3'), 'pr1', array('idA~pr2.5~qt2~prx', 'nmB~qt3~pr1e1')) query_params, 'refund' name, 2.0D _usd_rate, false _in_usd")
+    df = df.selectExpr("*", *[f"cast(null as string) params_{n}" for n in ga4.ITEM_FALLBACKS]).select(items.build().alias("i"))
+    got = [(x["item_id"], x["item_name"], x["price"], x["quantity"], x["item_refund"], x["item_revenue"], x["price_in_usd"], x["item_refund_in_usd"]) for x in df.first()["i"]]
+    assert got == [("A", None, 2.5, 2.0, 5.0, 0.0, 5.0, 10.0), (None, "B", 10.0, 3.0, 30.0, 0.0, 20.0, 60.0)]
+
+
+def test_parse_query_of_malformed_and_repeated_pairs(spark):
+    got = one(spark, "a=%zz&b=1=2&%61=x+y&c;d=1&=e&a=+&f", urls.parse_query)
+    assert got == {"b": ["1=2"], "a": ["x y", " "], "": ["e"], "f": [""]}
