@@ -32,15 +32,19 @@ def hot_clients(events: DataFrame, key: list[str], ts: str = "ts", hot_hits: int
     return settled(cuts)
 
 
-def sessionize(events: DataFrame, timeout_s: int = 1800, key: list[str] = CLIENT, ts: str = "ts", tie: str = "id", hot_hits: int | None = HOT_HITS) -> DataFrame:
+def sessionize(events: DataFrame, timeout_s: int = 1800, key: list[str] = CLIENT, ts: str = "ts", tie: str = "id", hot_hits: int | None = HOT_HITS, clients: DataFrame | None = None) -> DataFrame:
     """Append proto_seq, the number from 0 of the session of its key: a new one where more than timeout_s passed.
 
     One exchange on the key; every later window over key and proto_seq reuses it. A client with more than hot_hits hits (None: don't
     look for them) is dealt to tasks by ranges of time: its sessions are numbered within each range, and a range's bounds and number of
     sessions tell, by a prefix over the ranges, where the numbers go on and whether a session runs across the border.
+
+    clients: the client ids of all hits, and maybe of more, where they can be read at less cost; if none has so many there, events aren't
+    counted. It decides about the plan alone, never about results.
     """
     micros = F.unix_micros(ts)
-    hot = None if hot_hits is None else hot_clients(events, key, ts, hot_hits)
+    none = hot_hits is None or (clients is not None and clients.groupBy(*clients.columns).count().where(F.col("count") > hot_hits).isEmpty())
+    hot = None if none else hot_clients(events, key, ts, hot_hits)
     if hot is None:
         w = Window.partitionBy(*key).orderBy(ts, tie)
         new = F.coalesce((micros - F.lag(micros).over(w) > timeout_s * 1_000_000).cast("int"), F.lit(0))

@@ -642,8 +642,8 @@ def ga4_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 case when name = 'purchase' then 5e0 else 0e0 end as ecommerce_purchase_revenue from n""")
 def wide_events(spark, sf_dir):
     """The whole way: requests, hits, event columns, sessions, page flow, session values, attribution."""
-    rows = pipeline.hits_from_requests(ga4_requests(spark, sf_dir))
-    wide = pipeline.build_events(rows, pipeline.Options(), attribution.referrer_table(spark))
+    raw = ga4_requests(spark, sf_dir)
+    wide = pipeline.build_events(pipeline.hits_from_requests(raw), pipeline.Options(), attribution.referrer_table(spark), clients=pipeline.clients_of(raw))
     return wide.select("id", "session_hit_number", "session_total_events", "page_location", "page_title", "session_source", F.col("params_value"), "device_web_browser", "ecommerce_purchase_revenue")
 
 
@@ -671,7 +671,7 @@ def wide_sessions(spark, sf_dir):
     wanted = [{"name": "plan", "parameter": "plan"}, {"name": "session_plan", "scope": "session", "parameter": "plan"}]
     custom = [*columns.custom_columns(wanted, ga4.custom_param), shared_columns.session_param("last_event_plan", "ep.plan")]
     good = pipeline.accepted(pipeline.hits_from_requests(raw, "ga4", settings, max_bytes=131_072))
-    wide = pipeline.build_events(good, pipeline.Options(custom=custom, with_device=False, split=False))
+    wide = pipeline.build_events(good, pipeline.Options(custom=custom, with_device=False, split=False), clients=pipeline.clients_of(raw))
     return wide.select(
         "id", "session_hit_number", "session_total_events", F.unix_seconds("timestamp_utc").alias("timestamp_s"), F.date_format("date_utc", "yyyy-MM-dd").alias("date_utc"), "property_name", F.unix_seconds("page_load_hash").alias("page_load_s"),
         "session_returning_user", "session_plan", "last_event_plan", "session_utm_campaign", "geo_metro", "device_language", "plan", F.col("privacy_ads_storage").alias("consent"),
@@ -705,8 +705,8 @@ def device_agents(spark, sf_dir):
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query: the wide row of each event."""
-    rows = pipeline.hits_from_requests(ga4_requests(spark, sf_dir))
-    return pipeline.build_events(rows, pipeline.Options(), attribution.referrer_table(spark))
+    raw = ga4_requests(spark, sf_dir)
+    return pipeline.build_events(pipeline.hits_from_requests(raw), pipeline.Options(), attribution.referrer_table(spark), clients=pipeline.clients_of(raw))
 
 
 def queries() -> dict[str, Query]:

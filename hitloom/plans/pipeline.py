@@ -95,7 +95,7 @@ def isolated(hits: DataFrame, stamp_headers: tuple[str, ...] = sessionize.STAMP_
     return out if "session_stamp" in hits.columns else out.withColumn("session_stamp", sessionize.request_stamp(stamp_headers))
 
 
-def build_events(hits: DataFrame, options: Options | None = None, referrers: DataFrame | None = None, rates: DataFrame | None = None, geo: DataFrame | None = None) -> DataFrame:
+def build_events(hits: DataFrame, options: Options | None = None, referrers: DataFrame | None = None, rates: DataFrame | None = None, geo: DataFrame | None = None, clients: DataFrame | None = None) -> DataFrame:
     """hits: id, name, ts, property_id, client_id, user_id, ip_address, headers, query_params, with keys extracted.
 
     An event whose page address can't be parsed is broken.
@@ -105,6 +105,8 @@ def build_events(hits: DataFrame, options: Options | None = None, referrers: Dat
 
     Hits that bring proto_seq, split_idx and _split_cause keep them: their sessions were made by a stream.
 
+    clients: see sessionize.sessionize and clients_of; not used where clients are joined or isolated.
+
     The input is read once: all lookups are broadcast constants or tables, and the windows of a session share one exchange and order.
     """
     o = options or Options()
@@ -128,7 +130,7 @@ def build_events(hits: DataFrame, options: Options | None = None, referrers: Dat
         key = ["property_id", "stitched_client_id"]
     session = [*key, *page_flow.SESSION[2:]]
     hits = hits.withColumn("utm_campaign", casts.str_or_null(urls.query_param(requests.value(p.page), "utm_campaign")))
-    df = hits if closed else sessionize.sessionize(hits, o.timeout_s, key)
+    df = hits if closed else sessionize.sessionize(hits, o.timeout_s, key, clients=clients if key[1] == "client_id" else None)
     df = df if closed else sessionize.split(df, o.max_session_s, o.max_session_events, group=[*key, "proto_seq"]) if o.split else df.withColumn("split_idx", F.lit(0).cast("bigint")).withColumn("_split_cause", F.lit(None).cast("string"))
     df = event_columns(df.drop("utm_campaign"), o, rates, geo)
     df = filters.apply_filters(df, o.conditions, o.filter_fields)
@@ -175,6 +177,14 @@ def hits_from_requests(raw: DataFrame, protocol: str | Protocol = "ga4", setting
     return rows.where(requests.has_keys(p.required) & (F.col("property_id").isNotNull() if "property_id" in rows.columns else F.lit(True)))
 
 
+def clients_of(raw: DataFrame) -> DataFrame:
+    """client_id of each hit of GA4 or native requests, of those that will be rejected too, without parsing all parameters: a body line's, else the address's."""
+    lines = F.filter(F.split(F.coalesce("body", F.lit("")), "\r?\n"), lambda x: F.trim(x) != "")
+    asked = raw.select("query", F.explode_outer(lines).alias("_line"))
+    own = urls.param_of_query(F.col("_line"), "cid")
+    return asked.select(F.coalesce(F.nullif(own, F.lit("")), urls.param_of_query(F.col("query"), "cid")).alias("client_id"))
+
+
 def accepted(judged: DataFrame) -> DataFrame:
     return judged.where(F.size("errors") == 0).drop("errors")
 

@@ -200,3 +200,19 @@ def test_filters_with_numbers_and_patterns(spark):
     for bad in ("t rlike '('", "v = 'nothing' and t rlike '[a'", "regexp_replace(t, '*', '') = ''", "not (v = 'x' or regexp_count(t, '(?<') > 0)"):
         with pytest.raises(ValueError):
             filters.apply_filters(df, [filters.Condition("x", "exclude", bad)], ["v", "t"])
+
+
+def test_clients_are_counted_without_parsing_the_hits(spark, monkeypatch):
+    from hitloom.plans import catalogue, pipeline
+
+    counted, found = [], sessionize.hot_clients
+    monkeypatch.setattr(sessionize, "hot_clients", lambda *a, **k: counted.append(a) or found(*a, **k))
+    catalogue.QUERIES["wide_sessions"](spark, "/root/testdata/sf0.001")
+    assert not counted
+    raw = spark.createDataFrame([("v=2&cid=a", ""), ("cid=%61", "en=x&cid=b\n\nen=y\n"), ("en=z", "")], "query string, body string")
+    assert sorted(r["client_id"] for r in pipeline.clients_of(raw).collect()) == ["", "a", "a", "b"]
+    df = hits(spark, [(0, "a", None, None), (5000, "a", None, None), (1, "b", None, None)])
+    some = spark.createDataFrame([("a",), ("a",)], "client_id string")
+    for hot, times in ((1, 1), (2, 1)):  # hot for the cheap count: the hits are counted; else they aren't
+        out = sessionize.sessionize(df, hot_hits=hot, clients=some)
+        assert len(counted) == times and {r["id"]: r["proto_seq"] for r in out.collect()} == {"h000": 0, "h001": 1, "h002": 0}
