@@ -74,11 +74,14 @@ def hot_keys(df: DataFrame, key: str, rows: int, count: Column | None = None, st
     found = found.select("hot", F.ceil(F.col("n") / limit).cast("int").alias("turns"))
     if steady:
         found = found.union(df.sparkSession.range(1).select(F.lit(0).cast(found.schema["hot"].dataType).alias("hot"), F.lit(1).alias("turns"))).groupBy("hot").agg(F.max("turns").alias("turns"))
-    return F.broadcast(found)
+    return found
 
 
 def join_spread(many: DataFrame, one: DataFrame, key: str, spread: str, hot: DataFrame, how: str = "inner") -> DataFrame:
-    """many joined with one by key, hot keys shared among tasks by the hash of the column `spread`: `one` is repeated for each turn."""
+    """many joined with one by key, hot keys shared among tasks by the hash of the column `spread`: `one` is repeated for each turn.
+
+    hot: hot_keys, materialized. Both sides read it, so unwritten it would be two more aggregations of a whole table in every plan."""
+    hot = F.broadcast(hot)
     dealt = many.join(hot, many[key] == hot["hot"], "left").withColumn("__turn", F.coalesce(F.pmod(F.xxhash64(spread), "turns"), F.lit(0).cast("long"))).drop("hot", "turns")
     every = one.join(hot, one[key] == hot["hot"], "left").withColumn("__turn", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("turns", F.lit(1)).cast("long") - 1))).drop("hot", "turns")
     return dealt.join(every, [key, "__turn"], how).drop("__turn")

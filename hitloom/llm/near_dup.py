@@ -125,7 +125,7 @@ def components(links: DataFrame) -> DataFrame:
     """node, comp (the least node connected with it) for links (a, b): labels spread to neighbours, then jump to
     their label's label, until nothing changes (a label can only fall, so that ends). Hubs and common labels are shared among tasks."""
     both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    hubs = hot_keys(both, "b", both.count())
+    hubs = materialize(hot_keys(both, "b", both.count()))
     label = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
     n = label.count()
     while True:
@@ -133,24 +133,29 @@ def components(links: DataFrame) -> DataFrame:
         spread = label.select("node", "comp").join(near, F.col("node") == F.col("a")).select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
         spread = materialize(spread)
         up = label.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        new = materialize(join_spread(spread, up, "comp", "node", hot_keys(spread, "comp", n), "left").select("node", "was", F.least("comp", F.coalesce("up", "comp")).alias("comp")))
+        common = materialize(hot_keys(spread, "comp", n))
+        new = materialize(join_spread(spread, up, "comp", "node", common, "left").select("node", "was", F.least("comp", F.coalesce("up", "comp")).alias("comp")))
         settled = new.where("was <> comp").isEmpty()
-        discard(spread, label)
+        discard(spread, label, common)
         label = new
         if settled:
-            discard(both)
+            discard(both, hubs)
             return label
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of pairs (a, b) whose shingle sets have at least this Jaccard similarity. A node of many pairs is shared among tasks."""
+    """Those of pairs (a, b), a materialized table, whose shingle sets have at least this Jaccard similarity; materialized. A node of many
+    pairs is shared among tasks."""
     n = pairs.count()
+    many_a, many_b = (materialize(hot_keys(pairs, side, n)) for side in ("a", "b"))
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    joined = join_spread(pairs, left, "a", "b", hot_keys(pairs, "a", n))
-    joined = join_spread(joined, right, "b", "a", hot_keys(pairs, "b", n)).where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
+    joined = join_spread(pairs, left, "a", "b", many_a)
+    joined = join_spread(joined, right, "b", "a", many_b).where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
     common = F.size(F.array_intersect("sa", "sb"))
-    return joined.where(common >= threshold * (F.col("na") + F.col("nb") - common)).select("a", "b")
+    found = materialize(joined.where(common >= threshold * (F.col("na") + F.col("nb") - common)).select("a", "b"))
+    discard(many_a, many_b)
+    return found
 
 
 def linkable(sets: DataFrame, threshold: float) -> DataFrame:
@@ -160,13 +165,15 @@ def linkable(sets: DataFrame, threshold: float) -> DataFrame:
     A link needs that to be at least the threshold of all, so what is left out has none.
     """
     held = sets.select("node", "n", F.explode("shingles").alias("s"))
-    common = held.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
-    hot = hot_keys(common, "s", sets.agg(F.sum("n")).collect()[0][0] or 0, F.col("c"))
+    common = materialize(held.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"))
+    hot = materialize(hot_keys(common, "s", sets.agg(F.sum("n")).collect()[0][0] or 0, F.col("c")))
     part = join_spread(held, common, "s", "node", hot).groupBy("node").agg(
         F.count("*").alias("shared"), F.sum("c").alias("holders"), F.max("n").alias("n"),
         F.array(*[F.count_if(F.pmod("s", F.lit(PARTS)) == i).cast("short") for i in range(PARTS)]).alias("parts"),
     )
-    return part.where(F.col("shared") >= F.col("n") * threshold).drop("n")
+    found = materialize(part.where(F.col("shared") >= F.col("n") * threshold).drop("n"))
+    discard(common, hot)
+    return found
 
 
 def rows_named(wide: DataFrame, named: DataFrame, few: int = FEW_ROWS) -> DataFrame:
@@ -188,27 +195,29 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     in_bucket = materialize(banded.select("node", F.explode("bands").alias("bucket")))
     n_held = in_bucket.count()
     shared = materialize(in_bucket.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1"))
-    hot = hot_keys(shared, "bucket", n_held, F.col("held"), steady=True)
-    held = members = materialize(join_spread(in_bucket, shared, "bucket", "node", hot))
+    hot = materialize(hot_keys(shared, "bucket", n_held, F.col("held"), steady=True))
+    members = materialize(join_spread(in_bucket, shared, "bucket", "node", hot))
     discard(in_bucket)
     involved = materialize(members.select("node").distinct().join(owners, "node").select("__row"))
     sets = materialize(rows_named(with_words.select("__row", "node", "n", "shingles"), involved).drop("__row"))
 
     # Large buckets: a node whose shingles are mostly its own there can have no link there.
-    likely = materialize(linkable(sets.join(members.where(F.col("held") > LARGE).select("node").distinct(), "node"), threshold))
-    sized = members.join(sets.select("node", "n"), "node")
+    likely = linkable(sets.join(members.where(F.col("held") > LARGE).select("node").distinct(), "node"), threshold)
+    sized = materialize(members.join(sets.select("node", "n"), "node"))
+    discard(members)
     large = sized.where(F.col("held") > LARGE).join(likely, "node")
     least_n = large.groupBy("bucket").agg(F.min("n").alias("least_n"))
     # In common at most `shared`; the other has as many shingles as the bucket's smallest at least.
     large = join_spread(large, least_n, "bucket", "node", hot).where(F.col("shared") * (1 + threshold) >= threshold * (F.col("n") + F.col("least_n")))
     small = sized.where(F.col("held") <= LARGE).withColumns({"shared": F.col("n").cast("long"), "holders": F.lit(0).cast("long"), "parts": F.lit(None).cast("array<smallint>")})
     members = materialize(small.unionByName(large.drop("least_n")).select("bucket", "node", "n", "shared", "holders", "parts"))
+    discard(sized, likely)
 
     # Each bucket's node whose shingles most others hold is compared with the others.
     middle = members.groupBy("bucket").agg(F.max(F.struct("holders", -F.col("node"), "node"))["node"].alias("middle"))
     tried = join_spread(members, middle, "bucket", "node", hot).where("middle <> node").select(F.least("middle", "node").alias("a"), F.greatest("middle", "node").alias("b")).distinct()
     tried = materialize(tried)
-    links = materialize(verify(tried, sets, threshold))
+    links = verify(tried, sets, threshold)
     comps = components(links)
 
     # Buckets that still hold several components.
@@ -219,22 +228,24 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     y = rest.select("bucket", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("parts").alias("py"))
     # Two nodes have at most the lesser count of each part in common.
     most = F.coalesce(F.aggregate(F.zip_with("px", "py", lambda p, q: F.least(p, q).cast("int")), F.lit(0), lambda t, v: t + v), F.least("nx", "ny"))
-    across = join_spread(x, y, "bucket", "x", hot_keys(rest, "bucket", rest.count())).where((F.col("cx") < F.col("cy")) & (F.least("nx", "ny") >= F.greatest("nx", "ny") * threshold) & (most * (1 + threshold) >= threshold * (F.col("nx") + F.col("ny"))))
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialize(verify(across, sets, threshold))
+    crowded = materialize(hot_keys(rest, "bucket", rest.count()))
+    across = join_spread(x, y, "bucket", "x", crowded).where((F.col("cx") < F.col("cy")) & (F.least("nx", "ny") >= F.greatest("nx", "ny") * threshold) & (most * (1 + threshold) >= threshold * (F.col("nx") + F.col("ny"))))
+    # Verifying reads the pairs four times: written once, they are made once, and no plan holds this join four times.
+    across = materialize(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    more = verify(across, sets, threshold)
     if not more.isEmpty():
         old, comps = comps, components(links.union(more))
         discard(old)
-    discard(sets, involved, likely, held, members, tried, links, labelled, rest, more)
+    discard(sets, involved, members, tried, links, labelled, rest, crowded, across, more, hot)
 
-    named = owners.join(comps.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = materialize(owners.join(comps.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     least = named.groupBy("comp").agg(F.min("rank").alias("class_rank"))
-    n_docs = owners.count()
-    classes = join_spread(named, least, "comp", "node", hot_keys(named, "comp", n_docs)).select("node", F.nullif("class_rank", F.lit((1 << 63) - 1)).alias("class_id"))
+    large_classes = materialize(hot_keys(named, "comp", owners.count()))
+    classes = join_spread(named, least, "comp", "node", large_classes).select("node", F.nullif("class_rank", F.lit((1 << 63) - 1)).alias("class_id"))
     # What the result is read from: ids and nodes alone, so that signatures and shingles need not stay on disk.
     classes, docs = materialize(classes), materialize(signed.select("doc_id", "node", "__row", *carry))
-    discard(signed, owners, comps, shared)
-    copies = hot_keys(docs.where("node is not null"), "node", docs.count())
+    discard(signed, owners, comps, shared, named, large_classes)
+    copies = materialize(hot_keys(docs.where("node is not null"), "node", docs.count()))
     return join_spread(docs, classes, "node", "__row", copies, "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), *carry)
 
 

@@ -1,6 +1,7 @@
 """Rows that an operator or a stage must not lose, against plain models."""
 
 import random
+import re
 from collections import Counter
 
 import corpus_pipeline as p
@@ -192,3 +193,20 @@ def test_few_named_rows_move_no_shingles(spark):
         finally:
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" not in plans[0] and "SortMergeJoin" in plans[1]
+
+
+def test_near_duplicates_plans_stay_small(spark, monkeypatch):
+    rows = []
+    for i in range(6):
+        text = prose(300 + i, 80)
+        rows += [(10 * i + k, text + f" tail{k}") for k in range(6)]
+    joins, write = [], near_dup.materialize
+
+    def counted(df):
+        joins.append(len(re.findall(r"\bJoin ", df._jdf.queryExecution().optimizedPlan().toString())))
+        return write(df)
+
+    monkeypatch.setattr(near_dup, "materialize", counted)
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes_model(rows)
+    assert max(joins) <= 8  # what a plan holds twice, the driver holds twice
