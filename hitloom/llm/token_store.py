@@ -49,7 +49,8 @@ MOST_PARTS = 100_000
 KEPT_WORDS = 500_000
 #: Python's white space beyond the tokenizer's, and letters whose lower case depends on more than themselves.
 ODD = re.compile("[\x1c-\x1f\u03a3\u0130]")
-STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=\s|$)")
+#: A full stop or comma behind a letter, at a word's end. The mark comes first, so that the search skips to it and looks back only there.
+STOP = re.compile(r"([.,])(?<=[^\W\d_].)(?=\s|$)")
 
 
 class LibraryEncoder:
