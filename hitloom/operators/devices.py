@@ -17,9 +17,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import zlib
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from re import _constants as kinds
 from re import _parser as parser
@@ -204,77 +203,135 @@ def with_device(df: DataFrame, database: DataFrame, headers: str = "headers", mo
     return made.select(*df.columns, "_d.*")
 
 
-#: Letters of a text that is joined, at most; of a longer one its head and its tail are. Bits of the filter before that join.
-LONGEST, FILTER_BITS = 16, 27
-_SAID = "name string, version string, brand string, device string"
+#: Letters of a text that is joined, at most; of a longer one its head and its tail are.
+LONGEST = 16
+#: Bits of the number of a bucket in which texts are counted, and of a place in the filter before the join: what the driver holds has a fixed size.
+COUNTED_BITS, FILTER_BITS = 16, 27
+#: The filter has three bits for each text, whose places are taken from its key behind so many bits.
+SHIFTS = (0, 18, 37)
+#: A text held by more agents, or an agent with more rows, isn't left to one task.
+HOT = 10_000
+_SAID = ("name", "version", "brand", "device")
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def windows(data: bytes) -> Iterator[np.ndarray]:
+    """For each length that a joined text can have, from LEAST to LONGEST, the 64-bit keys of the windows of that length, by their start."""
+    letters = np.frombuffer(data, np.uint8).astype(np.uint64)
+    sums = np.zeros(len(letters), np.uint64)
+    for n in range(1, min(LONGEST, len(letters)) + 1):
+        sums = sums[: len(letters) - n + 1] * _BASE + letters[n - 1 :]
+        if n >= LEAST:
+            keys = (sums ^ (sums >> np.uint64(32))) * _MIX
+            yield keys ^ (keys >> np.uint64(32))
+
+
+def text_keys(texts: list[str]) -> np.ndarray:
+    """The keys of texts of LEAST to LONGEST letters."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    starts, keys = np.cumsum(sizes + 1) - sizes - 1, np.zeros(len(texts), np.uint64)
+    for n, found in enumerate(windows("\0".join(texts).encode()), LEAST):
+        keys[sizes == n] = found[starts[sizes == n]]
+    return keys.view(np.int64)
+
+
+def keys_held(agents: list[str], bits: np.ndarray) -> list[np.ndarray]:
+    """For each agent 0 and the keys of its parts that the filter lets through. A window over two agents may add a key, which does no harm."""
+    some = [a.lower().encode() for a in agents]
+    starts = np.cumsum([0, *(len(x) + 1 for x in some)])
+    of, held = [np.arange(len(some))], [np.zeros(len(some), np.uint64)]
+    for keys in windows(b"\0".join(some)):
+        on = np.arange(len(keys))
+        for shift in SHIFTS:
+            at = (keys[on] >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1)
+            on = on[(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+        of.append(np.searchsorted(starts, on, "right") - 1)
+        held.append(keys[on])
+    owner, keys = np.concatenate(of), np.concatenate(held)
+    order = np.argsort(owner, kind="stable")
+    return [np.unique(x) for x in np.split(keys[order].view(np.int64), np.searchsorted(owner[order], np.arange(1, len(some))))]
 
 
 def _joined(df: DataFrame, database: DataFrame, headers: str) -> DataFrame:
-    """The same for a database of any size. A filter of a fixed size keeps most substrings that are no pattern's text out of the join; it decides nothing."""
-
-    @F.pandas_udf("array<string>")
-    def texts_of(patterns: pd.Series) -> pd.Series:
-        return patterns.map(lambda p: list(dict.fromkeys(x for t in needed_texts(p) for x in ((t,) if len(t) <= LONGEST else (t[:LONGEST], t[-LONGEST:])))))
-
+    """The same for a database of any size. A pattern's key is that of its text in the emptiest of a fixed number of buckets, 0 if it has no text; distinct
+    agents meet patterns by the keys of their parts. Keys and a filter of a fixed size only say what is tried. Nothing that grows with the tables
+    is broadcast: sizes that Spark estimates for them are far too low, so the joins say what they are."""
+    context = df.sparkSession.sparkContext
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes and much work: their number isn't to be lowered
-    patterns = settled(database.repartition(tasks).withColumns({"_texts": texts_of("regex"), "_of": F.monotonically_increasing_id()}))
-    each = patterns.select("_of", "section", F.explode("_texts").alias("_text"))
-    held = each.groupBy("section", "_text").agg(F.count("*").alias("n"))
-    rarest = each.join(held, ["section", "_text"]).groupBy("_of").agg(F.min_by("_text", F.struct("n", -F.length("_text"), "_text")).alias("_text"))
-    keyed = settled(patterns.join(rarest, "_of", "left").drop("_of", "_texts"))
-    texts = keyed.where("_text is not null").select("_text").distinct()
-    lengths = [r[0] for r in texts.select(F.length("_text")).distinct().collect()]
-    place = F.crc32(F.col("_text").cast("binary")).bitwiseAND((1 << FILTER_BITS) - 1) + 1
-    maps = texts.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+
+    @F.pandas_udf("array<long>")
+    def keys_of(patterns: pd.Series) -> pd.Series:
+        each = [list(dict.fromkeys(x for t in sorted(needed_texts(p), key=len, reverse=True) for x in ((t,) if len(t) <= LONGEST else (t[:LONGEST], t[-LONGEST:])))) for p in patterns]
+        return pd.Series(np.split(text_keys([x for texts in each for x in texts]), np.cumsum([len(texts) for texts in each])[:-1]))
+
+    patterns = settled(database.repartition(tasks).withColumn("_keys", keys_of("regex")))
+    buckets = patterns.select(F.explode("_keys").alias("key")).groupBy(F.col("key").bitwiseAND((1 << COUNTED_BITS) - 1).alias("at")).count().collect()
+    counts = np.zeros(1 << COUNTED_BITS, np.int64)
+    for at, n in buckets:
+        counts[at] = n
+    counted = context.broadcast(counts)
+
+    @F.pandas_udf("long")
+    def rarest(keys: pd.Series) -> pd.Series:
+        have = counted.value
+        return keys.map(lambda k: k[np.argmin(have[k & ((1 << COUNTED_BITS) - 1)])] if len(k) else 0)
+
+    keyed = patterns.withColumn("_key", rarest("_keys")).drop("_keys")
+    places = F.array(*[F.shiftrightunsigned("_key", shift).bitwiseAND((1 << FILTER_BITS) - 1) + 1 for shift in SHIFTS])
+    placed = keyed.where("_key <> 0").select(F.explode(places).alias("place")).withColumn("at", F.bitmap_bucket_number("place")).repartition(tasks, "at")
     bits = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
-    for at, own in maps:
+    for at, own in placed.groupBy("at").agg(F.bitmap_construct_agg(F.bitmap_bit_position("place"))).collect():
         bits[(at - 1) * 4096 : at * 4096] = np.frombuffer(own, dtype=np.uint8)
-    sent = df.sparkSession.sparkContext.broadcast(bits.tobytes())
-
-    @F.pandas_udf("array<string>")
-    def parts_of(agents: pd.Series) -> pd.Series:
-        have = sent.value
+    sent = context.broadcast(bits.tobytes())
 
-        def parts(agent: str) -> list[str]:
-            low, found = agent.lower(), set()
-            for n in lengths:
-                for x in {low[i : i + n] for i in range(len(low) - n + 1)}:
-                    if x.isascii():
-                        at = zlib.crc32(x.encode()) & ((1 << FILTER_BITS) - 1)
-                        if have[at >> 3] >> (at & 7) & 1:
-                            found.add(x)
-            return list(found)
+    @F.pandas_udf("array<long>")
+    def held(agents: pd.Series) -> pd.Series:
+        have, some = np.frombuffer(sent.value, np.uint8), agents.tolist()
+        return pd.Series([keys for at in range(0, len(some), 256) for keys in keys_held(some[at : at + 256], have)])
 
-        return agents.map(parts)
-
-    @F.pandas_udf(_SAID)
+    @F.pandas_udf(", ".join(f"{c} string" for c in _SAID))
     def tried(agents: pd.Series, regexes: pd.Series, names: pd.Series, versions: pd.Series, brands: pd.Series, devices: pd.Series) -> pd.DataFrame:
         # A device of "" is none; a match is told from none by it.
         out = []
         for agent, regex, *row in zip(agents, *(c.where(c.notna(), None).tolist() for c in (regexes, names, versions, brands, devices))):
             m = _compiled(regex).search(agent)
-            one = m and said(dict(zip(("name", "version", "brand", "device"), row)), m)
+            one = m and said(dict(zip(_SAID, row)), m)
             out.append((one["name"], one["version"], one["brand"], one["device"] or "") if one else (None,) * 4)
-        return pd.DataFrame(out, columns=["name", "version", "brand", "device"])
-
-    agent = _header(headers, "User-Agent")
-    agents = df.select(agent.alias("_agent")).where("_agent <> ''").distinct()
-    met = agents.withColumn("_text", F.explode(parts_of("_agent"))).join(keyed.where("_text is not null"), "_text").drop("_text")
-    always = agents.crossJoin(F.broadcast(keyed.where("_text is null").drop("_text")))
-    pairs = met.unionByName(always).repartition(tasks, "regex").sortWithinPartitions("regex")  # a pattern is compiled once
-    judged = pairs.withColumn("_said", tried("_agent", "regex", "name", "version", "brand", "device")).where("_said.device is not null")
-    sections = ("bot", "browser", "system", "model")
-    first = judged.groupBy("_agent").agg(*[F.min_by(F.when(F.col("section") == s, F.col("_said")), F.when(F.col("section") == s, F.struct("place", "regex"))).alias(f"_{s}") for s in sections])
+        return pd.DataFrame(out, columns=list(_SAID))
+
+    given = {"_agent": _header(headers, "User-Agent")} | {f"_{h}": _header(headers, name) for h, name in _HINTS.items()}
+    row = F.to_json(F.array(*given.values()))  # never null
+    told = settled(df.select(row.alias("_row"), *[c.alias(name) for name, c in given.items()]).groupBy("_row", *given).agg(F.count("*").alias("_n")))
+    agents = told.where("_agent <> ''").select("_agent").repartition(tasks, "_agent").distinct()
+    met = settled(agents.withColumn("_keys", held("_agent"))).select("_agent", F.explode("_keys").alias("_key"))
+    hot = settled(met.groupBy("_key").count().where((F.col("count") > HOT) | (F.col("_key") == 0)).select("_key", F.lit(True).alias("_hot")))
+    shares = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(tasks - 1))).otherwise(F.array(F.lit(0)))  # the patterns of a hot key go to all tasks, its agents are dealt
+    share = F.when(F.col("_hot"), F.pmod(F.xxhash64("_agent"), F.lit(tasks)).cast("int")).otherwise(0)
+    left = met.join(F.broadcast(hot), "_key", "left").select("_key", "_agent", share.alias("_share")).repartition(tasks, "_key", "_share")
+    right = keyed.join(F.broadcast(hot), "_key", "left").withColumn("_share", F.explode(shares)).drop("_hot").repartition(tasks, "_key", "_share")
+    pairs = left.join(right.hint("merge"), ["_key", "_share"]).sortWithinPartitions("regex")  # a pattern is compiled once in a task
+    judged = pairs.withColumn("_said", tried("_agent", "regex", *_SAID)).where("_said.device is not null")
+    sections, size = ("bot", "browser", "system", "model"), len(given)
+    first = judged.groupBy("_agent").agg(*[F.min_by(F.when(F.col("section") == s, F.col("_said")), F.when(F.col("section") == s, F.struct("place", "regex"))).alias(f"_{s}_said") for s in sections])
 
     @F.pandas_udf(", ".join(f"{c} string" for c in DEVICE))
-    def describe(agents: pd.Series, model: pd.Series, system: pd.Series, version: pd.Series, mobile: pd.Series, found: pd.DataFrame) -> pd.DataFrame:
-        given = (c.where(c.notna(), None).tolist() for c in (agents, model, system, version, mobile))
-        out = [tuple(described(dict(zip(sections, says)).get, *row).values()) for *row, says in zip(*given, found.astype(object).where(found.notna(), None).itertuples(index=False, name=None))]
+    def describe(*columns: pd.Series) -> pd.DataFrame:
+        out = []
+        for values in zip(*(c.where(c.notna(), None).tolist() for c in columns)):
+            of, says = values[:size], iter(values[size:])
+            found = {s: dict(zip(_SAID, four)) for s, four in zip(sections, zip(*[says] * len(_SAID))) if four[-1] is not None}
+            out.append(tuple(described(found.get, *of).values()))
         return pd.DataFrame(out, columns=list(DEVICE))
 
-    made = df.withColumn("_agent", agent).join(first, "_agent", "left")
-    made = made.withColumn("_d", describe("_agent", *[_header(headers, h) for h in _HINTS.values()], F.struct(*[f"_{s}" for s in sections])))
-    return made.select(*df.columns, "_d.*")
+    both = told.join(first.hint("merge"), "_agent", "left").repartition(tasks, "_row")
+    each = settled(both.select("_row", "_n", describe(*given, *[f"_{s}_said.{c}" for s in sections for c in _SAID]).alias("_d")))
+    if each.limit(HOT + 1).count() <= HOT:
+        return df.withColumn("_row", row).join(F.broadcast(each), "_row", "left").select(*df.columns, "_d.*")
+    often = F.broadcast(each.where(F.col("_n") > HOT).select("_row", F.col("_d").alias("_often")))
+    dealt = F.concat(F.lit("#"), F.xxhash64(F.lit(0), *[c for c, kind in df.dtypes if "map<" not in kind and kind != "variant"]).cast("string"))  # no row's text
+    made = df.withColumn("_row", row).join(often, "_row", "left").withColumn("_at", F.when(F.col("_often").isNull(), F.col("_row")).otherwise(dealt))
+    made = made.join(each.select(F.col("_row").alias("_at"), "_d").hint("merge"), "_at", "left")
+    return made.select(*df.columns, *[F.coalesce(f"_often.{c}", f"_d.{c}").alias(c) for c in DEVICE])
 
 
 @lru_cache(maxsize=4096)

@@ -71,3 +71,19 @@ def test_large_databases_are_joined(spark):
     df = df.select("i", F.when(F.col("agent").isNotNull(), F.create_map(F.lit("User-Agent"), F.array("agent"), F.lit("Sec-Ch-Ua-Model"), F.array("m"), F.lit("Sec-Ch-Ua-Platform"), F.array("p"))).alias("headers"))
     sent, joined = (sorted(map(str, devices.with_device(df, database, most=most).drop("headers").collect())) for most in (2000, 10))
     assert sent == joined and len(sent) == 606 and len({r.split(", ", 1)[1] for r in sent}) > 60
+
+
+def test_no_table_that_grows_is_broadcast(spark, tmp_path, monkeypatch):
+    plans, settled = [], devices.settled
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(devices, "settled", lambda df: settled(plan(df)))
+    rows = [("browser", i, rf"surf{i}/(\d+)", f"Surf {i}", "$1", None, None) for i in range(300)] + [("model", i, rf"(?:^| )m{i}\b", f"M{i}", None, "Maker", "tablet") for i in range(12)] + [("bot", 0, r"z+", "Z", None, None, None)]
+    spark.createDataFrame(rows, devices.DATABASE).write.parquet(str(tmp_path / "database"))
+    database = spark.read.parquet(str(tmp_path / "database"))  # of a known, small size
+    agents = [None, "", "Zzz", *[f"Surf{i}/{i} m{i % 12} SURF{i // 3}/1" for i in range(0, 300, 5)], *["Surf7/2"] * 30]
+    df = spark.createDataFrame(list(enumerate(agents)), "i int, agent string").select("i", F.when(F.col("agent").isNotNull(), F.create_map(F.lit("User-Agent"), F.array("agent"))).alias("headers"))
+    want = sorted(map(str, devices.with_device(df, database).drop("headers").collect()))
+    for hot in (4, 10_000):  # with hot texts and agents, and without
+        monkeypatch.setattr(devices, "HOT", hot, raising=False)
+        assert sorted(map(str, plan(devices.with_device(df, database, most=10)).drop("headers").collect())) == want
+    assert {k for p in plans for k in re.findall(r"BroadcastHashJoin \[(\w+)#", p)} <= {"_key", "_row"} and len(plans) > 2  # hot keys, hot or few rows
